@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, media, pieces, quality, simhash, substrings
+from . import host_reputation, licenses, lm_scoring, media, pieces, quality, simhash, substrings
 from .common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,6 +19,14 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.learn_and_score(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in a page's path is the id of the document that it shows, whose label is the page's outcome."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    shown = pages.select("page_id", F.regexp_extract("url", "^[^?#]*/([0-9]{1,18})", 1).try_cast("long").alias("doc_id"))
+    bad = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return host_reputation.judge(pages, shown.join(bad, "doc_id").select("page_id", "bad")).drop("rate", "bound")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -32,6 +40,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store(table(spark, sf_dir, "documents")))
 
@@ -40,9 +52,54 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents")).drop("intervals")
 
 
+#: The same prior chain and bound, level by level.
+OP2_SQL = """
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+    try_cast(regexp_extract(url, '^[^?#]*/([0-9]{1,18})', 1) AS BIGINT) AS doc_id FROM cut),
+placed AS (
+  SELECT page_id, host, path, regexp_extract(regexp_replace(host, '^.*@|:[0-9]*$', ''), '(?:[^.]+\\.)?[^.]*$', 0) AS domain,
+    regexp_extract(regexp_replace(host, '^.*@|:[0-9]*$', ''), '[^.]*$', 0) AS suffix, doc_id FROM parts),
+outcome AS (
+  SELECT p.host, p.domain, p.suffix, max(CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0 END) AS bad
+  FROM placed p LEFT JOIN labels l ON p.doc_id = l.doc_id GROUP BY p.page_id, p.host, p.domain, p.suffix),
+h AS (SELECT host, domain, suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM outcome GROUP BY 1, 2, 3),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY 1),
+g AS (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(n), 0) + 10.0::DOUBLE) AS prior FROM s),
+sx AS (SELECT sum(power(bad - n * prior, 2) / (n * prior * (1 - prior))) AS x, count(*) AS u, sum(n - 1) AS m FROM s, g WHERE n > 0),
+s1 AS (SELECT CASE WHEN m > 0 AND x > u THEN least(greatest(m / (x - u) - 1, 1.0), 10000.0) ELSE 10000.0 END AS w FROM sx),
+sp AS (SELECT suffix, (bad + w * prior) / (n + w) AS prior FROM s, g, s1),
+dj AS (SELECT d.*, sp.prior FROM d JOIN sp ON d.suffix = sp.suffix),
+dx AS (SELECT sum(power(bad - n * prior, 2) / (n * prior * (1 - prior))) AS x, count(*) AS u, sum(n - 1) AS m FROM dj WHERE n > 0),
+s2 AS (SELECT CASE WHEN m > 0 AND x > u THEN least(greatest(m / (x - u) - 1, 1.0), 10000.0) ELSE 10000.0 END AS w FROM dx),
+dp AS (SELECT domain, suffix, (bad + w * prior) / (n + w) AS prior FROM dj, s2),
+hj AS (SELECT h.*, dp.prior FROM h JOIN dp ON h.domain = dp.domain AND h.suffix = dp.suffix),
+hx AS (SELECT sum(power(bad - n * prior, 2) / (n * prior * (1 - prior))) AS x, count(*) AS u, sum(n - 1) AS m FROM hj WHERE n > 0),
+s3 AS (SELECT CASE WHEN m > 0 AND x > u THEN least(greatest(m / (x - u) - 1, 1.0), 10000.0) ELSE 10000.0 END AS w FROM hx),
+hr AS (SELECT host, n + w AS total, (bad + w * prior) / (n + w) AS rate FROM hj, s3),
+hb AS (SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (total + 1)) AS bound FROM hr)
+SELECT p.page_id, p.host, p.path,
+  CASE WHEN (p.host = 'www.example.com' OR p.host LIKE '%.www.example.com') AND starts_with(p.path, '/en/') THEN 'www.example.com/en/'
+       WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(p.path, '/en/') THEN 'example.com/en/'
+       WHEN (p.host = 'net' OR p.host LIKE '%.net') AND starts_with(p.path, '/es/') THEN 'net/es/'
+       WHEN (p.host = 'net' OR p.host LIKE '%.net') AND starts_with(p.path, '/fr/') THEN 'net/fr/'
+       WHEN (p.host = 'com' OR p.host LIKE '%.com') AND starts_with(p.path, '/') THEN 'com/' END AS rule,
+  CASE WHEN (p.host = 'www.example.com' OR p.host LIKE '%.www.example.com') AND starts_with(p.path, '/en/') THEN 'allow'
+       WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(p.path, '/en/') THEN 'block'
+       WHEN (p.host = 'net' OR p.host LIKE '%.net') AND (starts_with(p.path, '/es/') OR starts_with(p.path, '/fr/')) THEN 'block'
+       WHEN (p.host = 'com' OR p.host LIKE '%.com') AND starts_with(p.path, '/') THEN 'allow'
+       WHEN hb.bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM placed p LEFT JOIN hb ON p.host = hb.host
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op3_simhash, op4_sentencepiece, op5_quality_rules, op9_media_columns, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_simhash, op4_sentencepiece, op5_quality_rules, op8_license_scan, op9_media_columns, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filters": OP2_SQL}

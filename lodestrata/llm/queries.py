@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_reputation, licenses, lm_scoring, media, pieces, quality, simhash, substrings
+from . import host_reputation, licenses, lm_scoring, media, packing, pieces, quality, simhash, substrings, token_files
 from .common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -40,6 +40,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -98,7 +106,7 @@ FROM placed p LEFT JOIN hb ON p.host = hb.host
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_simhash, op4_sentencepiece, op5_quality_rules, op8_license_scan, op9_media_columns, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_simhash, op4_sentencepiece, op5_quality_rules, op6_best_fit_packing, op7_token_files, op8_license_scan, op9_media_columns, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -56,6 +56,18 @@ def discard(df: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Rows of an Arrow batch: documents may be long, and a batch is held whole on both sides.
+BATCH_ROWS = 1_000
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, after the session's Arrow batches are limited to BATCH_ROWS rows; a lower setting stays."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return docs
+
+
 def text_bytes(column: str = "text") -> F.Column:
     """The text as bytes, empty for null: Python then needs no decoding."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

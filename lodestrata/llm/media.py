@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import bounded, slices, text_bytes
 
 FRAME, RATE, KEY_EVERY, CHUNK_FRAMES = 192, 8000, 16, 64
 
@@ -226,7 +226,7 @@ def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def inspect(media: DataFrame, column: str = "media") -> DataFrame:
     """For each row of bytes: its tracks with codec, duration and keyframe byte ranges, or the problem."""
-    return media.select(F.col(column).cast("binary").alias("media")).mapInArrow(_inspect, INSPECT_SCHEMA)
+    return bounded(media).select(F.col(column).cast("binary").alias("media")).mapInArrow(_inspect, INSPECT_SCHEMA)
 
 
 STORE_SCHEMA = "doc_id long, n_bytes long, media binary"
@@ -240,7 +240,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text as a container, in a column of bytes."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(_store, STORE_SCHEMA)
+    return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(_store, STORE_SCHEMA)
 
 
 DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

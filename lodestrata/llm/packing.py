@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
-from .common import slices, stored, text_bytes
+from .common import bounded, slices, stored, text_bytes
 
 SEQUENCE, END_ID = 1024, 2
 #: Pieces that are packed together.
@@ -191,7 +191,7 @@ def pieces(docs: DataFrame, tokenizer: str, most: int = SEQUENCE, end_id: int =
             count += len(rows)
             yield pa.RecordBatch.from_arrays([pa.array(number), batch.column(0).take(where), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["row", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
+    source = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
     return source.mapInArrow(run, PIECES)
 
 

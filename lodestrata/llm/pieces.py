@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import bounded, slices, text_bytes
 
 TABLE_WORDS = 400_000
 MARK = "▁"
@@ -135,7 +135,7 @@ def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "te
             rows = [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()) for n, ids, plain in own.encode_all(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(run, SCHEMA)
+    return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def encoded(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -150,7 +150,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -
             rows = [[int(i) for i in joined.split(",")] if n else [] for n, joined, _ in own.encode_all(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int32()))], [*batch.schema.names, ids])
 
-    return docs.mapInArrow(run, f"{fields}, `{ids}` array<int>")
+    return bounded(docs).mapInArrow(run, f"{fields}, `{ids}` array<int>")
 
 
 def decoded(frame: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -164,4 +164,4 @@ def decoded(frame: DataFrame, model: str, ids: str = "ids", text: str = "decoded
             rows = [library.decode(x) if x else "" for x in batch.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.string())], [*batch.schema.names, text])
 
-    return frame.mapInArrow(run, f"{fields}, `{text}` string")
+    return bounded(frame).mapInArrow(run, f"{fields}, `{text}` string")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import bounded, slices, text_bytes
 
 #: Largest share of the characters of a text that may lie in repeats of an n-gram that came before, by length.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -137,7 +137,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row of measures and verdicts for each row of docs."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(_judge, SCHEMA)
+    return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(_judge, SCHEMA)
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -153,4 +153,4 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
             for verdict in _judge(iter([id_free])):
                 yield batch.filter(verdict.column(verdict.num_columns - 1))
 
-    return docs.mapInArrow(run, kinds)
+    return bounded(docs).mapInArrow(run, kinds)

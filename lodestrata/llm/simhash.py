@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import discard, slices, stored, text_bytes
+from .common import bounded, discard, slices, stored, text_bytes
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of one key that one task compares, and those of one tile.
@@ -69,7 +69,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(_fingerprint, "doc_id long, fp long")
+    return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(_fingerprint, "doc_id long, fp long")
 
 
 def _key_columns(radius: int) -> F.Column:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
-from .common import discard, slices, stored, text_bytes
+from .common import bounded, discard, slices, stored, text_bytes
 
 MOST_BITS, BLOCK_IDS, CHECKPOINT, END_ID = 18, 1_000_000, 256, 0
 #: Ids that one output partition holds.
@@ -215,7 +215,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str = "
     """Write the ids of all rows as a table of blocks (part, block, n, data) in the shared folder, in ascending order of id, and return it."""
     spark = docs.sparkSession
     size = max(encoder(tokenizer).size, end_id + 1)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
+    source = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
     ids = stored(source.mapInArrow(_encode(tokenizer, end_id), ENCODED), "ids")
     counted = ids.where("n < 0").select("counts").mapInArrow(_unpack_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(size, np.int64)

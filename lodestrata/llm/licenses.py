@@ -6,8 +6,9 @@ THRESHOLD of the template's distinct words. The join finds every such pair:
 - global order: template words are ranked by how often they occur in all texts,
   counted in one pass with map-side combination; ties go by the word.
 - prefix filter: a match must hold one of a template's rarest
-  size - needed + 1 words, so blocks are joined on those only. The templates are
-  a parameter, their words a few hundred rows, and are broadcast for that reason.
+  size - needed + 1 words, so texts without any such word are left at once, and
+  blocks of the others are joined on those words only. The templates are a
+  parameter, their words a few hundred rows, and are broadcast for that reason.
 - length filter: a block must have as many distinct words as are needed.
 - positional filter: in the global order, the words behind the first common one
   must suffice on both sides.
@@ -90,10 +91,10 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 
 def frequencies(docs: DataFrame, words: set[str]) -> dict[str, int]:
-    """In how many lines each of the given words occurs, over all texts. At most as many rows as words come to the driver."""
+    """How often each of the given words occurs in all texts. At most as many rows as words come to the driver."""
     spark = docs.sparkSession
     asked = spark.createDataFrame([(w,) for w in sorted(words)], "token string")
-    seen = _blocks(docs).select(F.explode("tokens").alias("token")).join(F.broadcast(asked), "token")
+    seen = docs.select(F.explode(F.split(words_spaced(F.col("text")), " ")).alias("token")).join(F.broadcast(asked), "token")
     return {r.token: r.n for r in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
@@ -112,8 +113,9 @@ def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     index = spark.createDataFrame(prefix, "token string, rank int, place int, template int, label string, template_ranks array<int>, need int")
     ranks = F.create_map(*(x for w, k in rank.items() for x in (F.lit(w), F.lit(k)))) if rank else F.lit(None).cast("map<string,int>")
 
-    blocks = _blocks(docs)
-    hit = blocks.select("doc_id", "text_hash", "block", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token").where(F.size("tokens") >= F.col("need"))
+    # a text without any prefix word holds no match: what is left is cut into lines
+    near = docs.where(F.arrays_overlap(F.split(words_spaced(F.col("text")), " "), F.array(*(F.lit(w) for w in sorted({p[0] for p in prefix}))))) if prefix else docs.limit(0)
+    hit = _blocks(near).select("doc_id", "text_hash", "block", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token").where(F.size("tokens") >= F.col("need"))
     ranked = hit.withColumn("block_ranks", F.array_sort(F.filter(F.transform("tokens", lambda t: ranks[t]), lambda r: r.isNotNull())))
     behind = F.least(F.size("block_ranks") - F.array_position("block_ranks", F.col("rank")).cast("int") + 1, F.size("template_ranks") - F.col("place"))
     # the words before the joined one can only add what they have in common, so the first common word alone must pass

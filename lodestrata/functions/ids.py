@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _column(x: Column | str) -> Column:
@@ -21,7 +22,7 @@ def body_hash(body: Column | str) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(_column(body).cast("binary"), 256))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a64(values: pd.Series) -> pd.Series:
     """64-bit FNV-1a as 16 hex digits; wrapping products are an overflow in ANSI SQL, so this is an Arrow batch function."""
 

@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from .vocabulary import DOCUMENT_SUFFIXES, FACADE_SECRET_NAMES, FETCHABLE_PREDICATES, FETCHABLE_RELS, PREDICATE_ROLES, SECRET_NAMES
 
@@ -55,7 +56,7 @@ def normalize(c: Column) -> Column:
     return F.when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), full).otherwise(bare)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _join_udf(base: pd.Series, raw: pd.Series) -> pd.Series:
     def one(b: str | None, r: str | None) -> str | None:
         try:
@@ -119,7 +120,7 @@ def same_origin(a: Column, b: Column) -> Column:
     return (scheme(a) == scheme(b)) & (host(a) == host(b)) & (port(a) == port(b))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_private_ip(values: pd.Series) -> pd.Series:
     """Addresses that must not be fetched: private, loopback, link-local, multicast, reserved or unspecified ones, mapped ones too. Null for what is no address."""
 

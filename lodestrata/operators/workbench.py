@@ -52,7 +52,7 @@ def readiness_categories(items: DataFrame, validated: bool = True) -> DataFrame:
     known = F.col("presence") == "found"
     by = items.groupBy("run_id", category.alias("category")).agg(F.count_if(known).alias("known"), F.count("*").alias("total"), F.bool_or(~known & (F.col("item_rank") == "blocking")).alias("_blocked"), F.bool_or(F.col("presence").isin("invalid", "auth-required")).alias("_partial"))
     percent = F.floor(100 * F.col("known") / F.col("total") + 0.5).cast("int")
-    status = F.when((F.col("category") == "validatable") & F.lit(not validated), "not-checked").when("_blocked", "missing").when(F.col("known") == F.col("total"), "ready").when((F.col("known") > 0) | F.col("_partial"), "partial").otherwise("missing")
+    status = F.when((F.col("category") == "validatable") & F.lit(not validated), "not-checked").when(F.col("_blocked"), "missing").when(F.col("known") == F.col("total"), "ready").when((F.col("known") > 0) | F.col("_partial"), "partial").otherwise("missing")
     return by.select("run_id", "category", "known", "total", percent.alias("percent"), status.alias("status"))
 
 

@@ -147,7 +147,7 @@ def first_wins_dedupe(spark, d):
 
 # ---- scalar functions
 
-@query("""SELECT p_partkey, lower(trim(regexp_replace('  ' || p_name || '  API ', '\\s+', ' ', 'g'))) AS label, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS access_label, lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS field, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) = initcap_free AS same
+@query("""SELECT p_partkey, lower(trim(regexp_replace('  ' || p_name || '  API ', '\\s+', ' ', 'g'))) AS label, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS access_label, lower(regexp_extract(p_brand, '#(.*)$', 1)) AS field, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) = initcap_free AS same
 FROM (SELECT *, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS initcap_free FROM part)""")
 def canonical_labels(spark, d):
     raw = F.concat(F.lit("  "), "p_name", F.lit("  API "))

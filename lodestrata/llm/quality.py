@@ -40,6 +40,8 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 def _repeated(hashes: np.ndarray, owner: np.ndarray, at: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the windows that start at `at`: those whose words occur elsewhere in their text, and those that occur earlier in it."""
+    if not len(at):
+        return at, at
     key = hashes ^ (owner[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     order = np.argsort(key, kind="stable")
     key, place = key[order], at[order]

@@ -56,6 +56,14 @@ def discard(df: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """name, or the name with underscores before it, such that frame has no such column."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Rows of an Arrow batch: documents may be long, and a batch is held whole on both sides.
 BATCH_ROWS = 1_000
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import bounded, discard, slices, stored, text_bytes
+from .common import bounded, discard, free_name, slices, stored, text_bytes
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of one key that one task compares, and those of one tile.
@@ -236,8 +236,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays, once. Rows with a null id stay."""
-    kept = near_duplicates(docs, radius, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id).cast("long") == F.col("_kept_id"), "left_semi")
+    mark, number = free_name(docs, "_kept_id"), free_name(docs, "_row")
+    kept = near_duplicates(docs, radius, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
+    named = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id).cast("long") == F.col(mark), "left_semi")
     # repeated rows of one id have one row left; the join has put an id's rows together
-    once = named.withColumn("_row", F.row_number().over(Window.partitionBy(doc_id).orderBy(F.xxhash64(text)))).where("_row = 1").drop("_row")
+    once = named.withColumn(number, F.row_number().over(Window.partitionBy(doc_id).orderBy(F.xxhash64(text)))).where(F.col(number) == 1).drop(number)
     return once.unionByName(docs.where(F.col(doc_id).isNull()))

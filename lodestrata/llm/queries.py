@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_reputation, licenses, lm_scoring, media, packing, pieces, quality, simhash, substrings, token_files
+from . import host_reputation, licenses, lm_scoring, media, oracles, packing, pieces, quality, simhash, substrings, token_files
 from .common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -37,7 +37,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents")).drop("dup_line_share", "dup_line_char_share", "dup_ngram_shares")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,4 +110,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL}
+    return {"op2_url_filters": OP2_SQL, "op5_quality_rules": oracles.OP5_SQL, "op8_license_scan": oracles.OP8_SQL, "op10_substring_dedup": oracles.OP10_SQL}

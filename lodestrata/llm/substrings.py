@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import bounded, slices, stored, text_bytes
+from .common import bounded, free_name, slices, stored, text_bytes
 
 WINDOW, SEED_WORDS = 50, 25
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -142,11 +142,14 @@ def find(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id:
     prepared = stored(base.mapInArrow(_prepare(window, seed), PREPARED), "prepared")
     seen = prepared.where("doc_id is not null").select("doc_id", "text_hash", F.explode("seeds").alias("seed"))
     repeated = seen.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed")
-    wanted = seen.join(repeated, "seed").groupBy("doc_id", "text_hash").agg(F.collect_set("seed").alias("seeds"))
+    # a join on the complement of the key puts an exchange on either side: adaptive execution can then split a frequent key, which it cannot where an aggregate's exchange is used again
+    other = F.bitwise_not("seed").alias("other")
+    wanted = seen.select("*", other).join(repeated.select(other), "other").groupBy("doc_id", "text_hash").agg(F.collect_set("seed").alias("seeds"))
     candidates = stored(base.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "seeds"), "candidates")
     windows = candidates.mapInArrow(_windows(window, seed), "doc_id long, text_hash long, start int, h1 long, h2 int")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    later = windows.join(first, ["h1", "h2"]).where("doc_id > lo")
+    other = F.bitwise_not("h1").alias("other")
+    later = windows.select("*", other).join(first.select(other, "h2", "lo"), ["other", "h2"]).where("doc_id > lo")
     starts = later.groupBy("doc_id", "text_hash").agg(F.collect_set("start").alias("starts"))
     return prepared, candidates, starts
 
@@ -199,8 +202,10 @@ def _rest(text: str, starts: np.ndarray, window: int) -> str:
 def remove(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated words cut out of their texts; all other columns and rows stay. Texts that lose nothing stay as they are."""
     _, _, starts = find(docs, window, seed, doc_id, text)
-    found = stored(starts.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "starts"), "starts").withColumnRenamed("starts", "_starts")
-    joined = docs.join(found, (F.col(doc_id).cast("long") == F.col("_doc")) & (F.coalesce(F.xxhash64(F.col(text)), F.lit(0)) == F.col("_hash")), "left").drop("_doc", "_hash")
+    own, hashed, gone = (free_name(docs, n) for n in ("_doc", "_hash", "_starts"))
+    found = stored(starts, "starts").select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed), F.col("starts").alias(gone))
+    same = (F.col(doc_id).cast("long") == F.col(own)) & (F.coalesce(F.xxhash64(F.col(text)), F.lit(0)) == F.col(hashed))
+    joined = docs.join(found, same, "left").drop(own, hashed)
     names = docs.columns
     where = names.index(text)
 

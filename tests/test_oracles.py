@@ -1,8 +1,7 @@
 """Every query that has SQL beside it gives the same rows in both engines."""
 
-import math
-
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +20,7 @@ def oracle():
 
 def rows(frame):
     def plain(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if pd.isna(v):
             return None
         return int(v) if isinstance(v, float) and v == int(v) else v
 

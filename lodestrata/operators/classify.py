@@ -123,12 +123,26 @@ def record_type(kind: Column) -> Column:
 
 
 def service_type(text: Column) -> Column:
-    """The workbench's subtype of a service, by what its conformance and type IRIs hold."""
+    """The workbench's subtype of a service, by what its conformance and type values hold."""
     low = F.lower(text)
-    return F.when(F.contains(low, F.lit("ogcapi-records")), "ogc-record-collection").when(F.contains(low, F.lit("ogcapi-features")), "ogc-feature-collection").when(F.contains(low, F.lit("openapi")), "operation-group").otherwise("service")
+    return F.when(has_any(low, ("ogcapi-records", "ogc api records")), "ogc-record-collection").when(has_any(low, ("ogcapi-features", "ogc api features")), "ogc-feature-collection").otherwise("service")
+
+
+def distribution_type(text: Column) -> Column:
+    return F.when(has_any(F.lower(text), ("ogcapi-features", "geo+json")), "ogc-feature-collection").otherwise("distribution")
+
+
+def is_base_registry(text: Column) -> Column:
+    return F.contains(F.lower(text), F.lit("base-registry"))
 
 
 def inferred_profile(iris: Column) -> Column:
-    """A profile id from all IRIs of a catalogue, joined."""
+    """The profile that a catalogue's conformance IRIs stand for."""
     low = F.lower(F.array_join(iris, " "))
-    return F.when(F.contains(low, F.lit("bregdcat")) | F.contains(low, F.lit("breg-dcat")), "breg-dcat-ap").when(F.contains(low, F.lit("dcat-ap")), "dcat-ap").when(F.contains(low, F.lit("ogcapi-records")), "ogc-api-records")
+    return (
+        F.when(has_any(low, ("bregdcat", "base-registry")), "breg-dcat-ap")
+        .when(F.contains(low, F.lit("2.1.1")), "dcat-ap-2")
+        .when(has_any(low, ("dcat-ap", "3.0.0")), "dcat-ap-3")
+        .when(F.contains(low, F.lit("registry-relay")), "registry-relay-publisher-profile")
+        .otherwise("dcat-ap-3")
+    )

@@ -160,7 +160,8 @@ def json_ld(facts: Facts, document: Any, kind: str) -> None:
         facts.asset("vocabulary", ["jsonld-context"], facts.url, first_of(document, ("title", "dcterms:title", "name")), description=first_of(document, ("description", "dcterms:description")), pointer="/")
     for node in objects(document):
         _node(facts, node, names)
-    for node in objects(document):
+    for k, node in enumerate(objects(document)):
+        _fields(facts, node, names, k)
         _relations(facts, node, names)
     for node in objects(document):
         for key in sorted(node):
@@ -207,6 +208,16 @@ def _node(facts: Facts, node: dict, names: Names) -> None:
             facts.claim(uri, "prof:isProfileOf", base=names.full(base), title=title)
 
 
+def _fields(facts: Facts, node: dict, names: Names, k: int) -> None:
+    """Every value of a node by the canonical name of its key. Nodes without an id are named by their place."""
+    own = first_of(node, ("@id", "id"))
+    for key in sorted(node):
+        if key not in ("@context", "@graph", "@id", "id"):
+            short = "@type" if key == "type" else names.short(key)
+            for value in texts_of(node[key]):
+                facts.add("field", node=names.full(own) if own else f"_:{k}", occurrence=k, key=short, value=shorten(names.short(value) if short == "@type" else names.full(value)))
+
+
 def _signals(facts: Facts, node: dict, key: list[str]) -> None:
     for predicate, aliases in _SIGNAL_KEYS.items():
         for value in all_of(node, tuple(dict.fromkeys(aliases))):

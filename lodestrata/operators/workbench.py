@@ -22,6 +22,29 @@ def records(assets: DataFrame) -> DataFrame:
     return shown.withColumns({"ordinal": F.col("ordinal").cast("int"), "seq": F.col("seq").cast("long")}).unionByName(made)
 
 
+ACCESS_TYPES = ("service", "distribution", "ogc-feature-collection", "ogc-record-collection", "operation-group")
+
+
+def with_parents(assets: DataFrame) -> DataFrame:
+    """Records with the record that they belong to: datasets to the catalogue, ways of access to the dataset whose URI is the longest prefix of theirs, else to the catalogue; a catalogue counts its ways of access."""
+    shown = assets.withColumn("record_type", record_type(F.col("kind"))).where("record_type is not null")
+    rank = F.struct(F.when(F.col("kind") == "catalog", 0).otherwise(1), "ordinal", "seq")
+    catalog = shown.where("kind in ('catalog', 'semantic_model_package')").groupBy("run_id").agg(F.min_by("id", rank).alias("_catalog"))
+    key = F.concat_ws("\0", "run_id", "id")
+    own = shown.where(F.col("record_type").isin(*ACCESS_TYPES)).select(key.alias("key"), F.col("run_id"), F.explode(F.array_compact(F.array("uri", "endpoint_url"))).alias("url"))
+    sets = shown.where("kind in ('dataset', 'class') and uri is not null").select(F.concat_ws("\0", "run_id", "uri").alias("prefix"), F.col("id").alias("owner"))
+    cuts = F.transform(F.filter(F.sequence(F.lit(1), F.length("url")), lambda i: F.substr(F.col("url"), i, F.lit(1)).isin("/", "#")), lambda i: F.substr(F.col("url"), F.lit(1), i - 1))
+    near = own.select("key", F.explode(F.transform(F.array_distinct(F.concat(F.array("url"), cuts)), lambda p: F.concat_ws("\0", "run_id", p))).alias("prefix")).join(sets, "prefix")
+    dataset = near.groupBy("key").agg(F.max_by("owner", F.struct(F.length("prefix"), F.col("owner"))).alias("_dataset"))
+    placed = shown.withColumn("key", key).join(dataset, "key", "left").join(catalog, "run_id", "left")
+    parent = F.when(F.col("record_type").isin("dataset", "base-registry"), F.col("_catalog")).when(F.col("record_type").isin(*ACCESS_TYPES), F.coalesce("_dataset", "_catalog"))
+    counts = shown.groupBy("run_id").agg(F.count_if(F.col("record_type").isin(*ACCESS_TYPES)).alias("_n"))
+    return placed.join(counts, "run_id").select(
+        "run_id", F.col("id").alias("record_id"), "record_type", F.coalesce("title", "uri", "id").alias("name"), "publisher", F.nullif(parent, F.col("id")).alias("parent_id"),
+        F.when(F.col("record_type") == "catalog", F.col("_n")).otherwise(0).alias("service_count"), F.try_element_at("conforms_to", F.lit(1)).alias("profile"),
+    )
+
+
 def nearest(urls: DataFrame, prefixes: DataFrame) -> DataFrame:
     """urls (key, url) with the longest of prefixes (prefix, owner) that the URL equals or that ends before a `/` or `#` of it.
 

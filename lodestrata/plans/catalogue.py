@@ -619,3 +619,118 @@ def fetch_summary(spark, d):
     hops = F.slice(F.array(F.lit("a"), F.lit("b")), 1, (F.col("page_id") % 3).cast("int"))
     fetched = load(spark, d, "pages").select(F.lit("all").alias("run_id"), F.col("html").cast("binary").alias("body"), hops.alias("redirect_chain"))
     return crawl.fetch_summary(fetched, load(spark, d, "documents").where("doc_id % 10 = 0").select(F.lit("all").alias("run_id")))
+
+
+# ---- extractors: documents written from the tables, read back by the report plan
+
+def _fetched(frame, run, ordinal, url, media_type, body):
+    none = F.lit(None).cast("string")
+    return frame.select(
+        run.alias("run_id"), ordinal.cast("int").alias("ordinal"), url.alias("url"), none.alias("final_url"), F.lit(200).alias("status"), F.lit(media_type).alias("media_type"), F.array().cast("array<struct<name:string,value:string>>").alias("headers"),
+        body.cast("binary").alias("body"), none.alias("discovered_from"),
+    )
+
+
+def _suppliers(spark, d):
+    """One JSON-LD dataset with a distribution for each supplier; a run for each nation."""
+    k = F.col("s_suppkey")
+    s = load(spark, d, "supplier").join(load(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    dist = F.struct(F.concat(demo.uri("supplier", "s_suppkey"), F.lit("/file")).alias("@id"), F.lit("dcat:Distribution").alias("@type"), F.concat(demo.uri("supplier", "s_suppkey"), F.lit(".csv")).alias("dcat:accessURL"))
+    node = F.struct(demo.uri("supplier", "s_suppkey").alias("@id"), F.lit("dcat:Dataset").alias("@type"), F.col("s_name").alias("dcterms:title"), F.struct(demo.uri("nation", "s_nationkey").alias("@id")).alias("dcterms:publisher"), F.when(k % 2 == 1, "https://www.w3.org/TR/shacl/").alias("dcterms:conformsTo"), dist.alias("dcat:distribution"))
+    return _fetched(s, F.col("n_name"), k, F.concat(F.lit("https://data.example/docs/"), k.cast("string"), F.lit(".jsonld")), "application/ld+json", F.to_json(node))
+
+
+@query("""SELECT n_name AS run_id, count(*) AS artifact_count, 2 * count(*) AS asset_count, count_if(s_suppkey % 2 = 1) AS standard_count, 0::BIGINT AS profile_count, 0::BIGINT AS parse_error_count, 0::BIGINT AS next_fetch_count,
+  2 * count(*) + count_if(s_suppkey % 2 = 1) AS relations, 2 * count(*) + count_if(s_suppkey % 2 = 1) AS links, count(*) AS signals FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
+def catalogue_report(spark, d):
+    from .report import analyze
+
+    r = analyze(_suppliers(spark, d))
+    count = lambda t, name: t.groupBy("run_id").agg(F.count("*").alias(name))
+    out = r.run.select("run_id", "artifact_count", "asset_count", "standard_count", "profile_count", "parse_error_count", "next_fetch_count")
+    return out.join(count(r.relations, "relations"), "run_id").join(count(r.links, "links"), "run_id").join(count(r.findings.where("code = 'semantic.standard_signal'"), "signals"), "run_id")
+
+
+@query(f"""SELECT s_suppkey::INT AS ordinal, {_B}supplier/' || s_suppkey AS subject, 'dcat:distribution' AS predicate, {_B}supplier/' || s_suppkey || '/file' AS object FROM supplier JOIN nation ON s_nationkey = n_nationkey
+ UNION ALL SELECT s_suppkey::INT, {_B}supplier/' || s_suppkey || '/file', 'dcat:accessURL', {_B}supplier/' || s_suppkey || '.csv' FROM supplier JOIN nation ON s_nationkey = n_nationkey
+ UNION ALL SELECT s_suppkey::INT, {_B}supplier/' || s_suppkey, 'dcterms:conformsTo', 'https://www.w3.org/TR/shacl/' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 1""")
+def json_ld_relations(spark, d):
+    from .report import analyze
+
+    return analyze(_suppliers(spark, d)).relations.select("ordinal", F.col("subject.uri").alias("subject"), "predicate", F.col("object.uri").alias("object"))
+
+
+def _facts(fetched, fact):
+    from . import report
+
+    return report._of(report.facts(report.classified(fetched)), fact)
+
+
+@query("""SELECT p_partkey::INT AS ordinal, unnest(['/properties/brand', '/properties/brand/properties/na~1me', '/allOf/0/properties/size']) AS pointer, unnest(['brand', 'brand.na/me', 'size']) AS path, unnest(['{"properties": {"na/me": {"type": "string"}}}', '{"type": "string"}', '{"type": "integer"}']) AS value FROM part""")
+def schema_property_paths(spark, d):
+    body = F.concat(F.lit('{"title": "'), F.col("p_name"), F.lit('", "properties": {"brand": {"properties": {"na/me": {"type": "string"}}}}, "allOf": [{"properties": {"size": {"type": "integer"}}}]}'))
+    found = _facts(_fetched(load(spark, d, "part"), F.lit("r"), F.col("p_partkey"), demo.uri("schemas", "p_partkey"), "application/schema+json", body), "finding")
+    return found.select("ordinal", F.col("evidence.schema_pointer").alias("pointer"), F.col("evidence.property_path").alias("path"), F.col("evidence.value").alias("value"))
+
+
+@query("""SELECT s_suppkey::INT AS ordinal, 'get' AS method, '/' || s_suppkey AS path, s_name AS summary FROM supplier UNION ALL SELECT s_suppkey::INT, 'post', '/all', NULL FROM supplier WHERE s_suppkey % 2 = 0""")
+def openapi_operations(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    more = F.when(F.col("s_suppkey") % 2 == 0, ', "/all": {"post": {}, "x-note": {}}').otherwise("")
+    body = F.concat(F.lit('{"openapi": "3.1.0", "paths": {"/'), k, F.lit('": {"get": {"summary": "'), "s_name", F.lit('"}}'), more, F.lit("}}"))
+    found = _facts(_fetched(load(spark, d, "supplier"), F.lit("r"), F.col("s_suppkey"), demo.uri("apis", "s_suppkey"), "application/json", body), "finding")
+    return found.select("ordinal", "evidence.method", "evidence.path", "evidence.summary")
+
+
+@query("""SELECT n_nationkey AS ordinal, 'ogc_features' AS kind, n_name AS collection FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, 'ogc_records', n_name FROM nation WHERE n_nationkey % 2 = 1""")
+def ogc_collections(spark, d):
+    kind = F.when(F.col("n_nationkey") % 2 == 0, "features").otherwise("records")
+    body = F.concat(F.lit('{"conformsTo": ["http://www.opengis.net/spec/ogcapi-'), kind, F.lit('-1/1.0/conf/core"], "links": [], "collections": [{"id": "'), "n_name", F.lit('"}, {}]}'))
+    fetched = _fetched(load(spark, d, "nation"), F.lit("r"), F.col("n_nationkey"), demo.uri("ogc", "n_nationkey"), "application/json", body)
+    kinds = _facts(fetched, "kind").select("ordinal", "kind")
+    return kinds.join(_facts(fetched, "finding").select("ordinal", F.col("evidence.collection_id").alias("collection")), "ordinal")
+
+
+@query("""SELECT r_regionkey AS ordinal, 'catalog' AS kind, r_name AS title, 'https://data.example/r' || r_regionkey AS uri FROM region UNION ALL SELECT n_regionkey, 'dataset', n_name, 'https://data.example/r' || n_regionkey || '/datasets/' || n_nationkey FROM nation""")
+def metadata_indexes(spark, d):
+    sets = load(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("title"))).alias("datasets"))
+    r = load(spark, d, "region").join(sets, F.col("r_regionkey") == F.col("n_regionkey"))
+    base = F.concat(F.lit("https://data.example/r"), F.col("r_regionkey").cast("string"))
+    body = F.to_json(F.struct(base.alias("id"), F.col("r_name").alias("title"), F.concat(base, F.lit("/")).alias("base_url"), "datasets"))
+    return _facts(_fetched(r, F.lit("r"), F.col("r_regionkey"), base, "application/json", body), "asset").select("ordinal", "kind", "title", "uri")
+
+
+@query("""SELECT n_nationkey AS ordinal, 'shape_graph' AS kind, 'https://data.example/t#S' || n_nationkey AS uri, n_name AS title FROM nation UNION ALL SELECT n_nationkey, 'concept_scheme', 'https://data.example/t#C' || n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, 'alignment', 'https://data.example/t#C' || n_nationkey, n_name FROM nation""")
+def turtle_assets(spark, d):
+    k = F.col("n_nationkey").cast("string")
+    body = F.concat(F.lit('@prefix t: <https://data.example/t#> . @prefix sh: <http://www.w3.org/ns/shacl#> . @prefix skos: <http://www.w3.org/2004/02/skos/core#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\nt:S'), k, F.lit(' a sh:NodeShape ; rdfs:label "'), "n_name", F.lit('"@en ; sh:property [ sh:path t:x ] .\nt:C'), k, F.lit(' a skos:ConceptScheme ; skos:prefLabel "'), "n_name", F.lit('" ; skos:exactMatch t:other , t:more .'))
+    return _facts(_fetched(load(spark, d, "nation"), F.lit("r"), F.col("n_nationkey"), demo.uri("t", "n_nationkey"), "text/turtle", body), "asset").select("ordinal", "kind", "uri", "title")
+
+
+@query("""SELECT r_regionkey AS ordinal, unnest(['semantic_model_package', 'class', 'property', 'vocabulary']) AS kind, unnest([r_name, 'Place', 'name', 'Kind']) AS title FROM region UNION ALL SELECT r_regionkey + 100, unnest(['semantic_model_package', 'crosswalk']), unnest([r_name, r_name || ' crosswalk']) FROM region""")
+def package_assets(spark, d):
+    r = load(spark, d, "region")
+    yaml = F.concat(F.lit("id: https://data.example/m\nname: "), "r_name", F.lit("\nclasses:\n  Place:\n    description: x\nslots:\n  name: {}\nenums:\n  Kind: {}\n"))
+    toml = F.concat(F.lit('[package]\nname = "'), "r_name", F.lit('"\nversion = "1"\n[[artifacts]]\nrole = "crosswalk"\npath = "c.ttl"\n'))
+    two = _fetched(r, F.lit("r"), F.col("r_regionkey"), F.concat(demo.uri("m", "r_regionkey"), F.lit(".linkml.yaml")), "application/yaml", yaml).unionByName(_fetched(r, F.lit("r"), F.col("r_regionkey") + 100, demo.uri("p", "r_regionkey"), "application/toml", toml))
+    return _facts(two, "asset").select("ordinal", "kind", "title")
+
+
+@query("""SELECT n_name AS run_id, count(*) AS known, CASE WHEN count(*) > 0 THEN 'missing' END AS status FROM (SELECT DISTINCT n_name, unnest(['identity-dataset', 'identity-title', 'identity-publisher']) AS item FROM supplier JOIN nation ON s_nationkey = n_nationkey) GROUP BY 1""")
+def atlas_readiness(spark, d):
+    """The workbench model end to end: no catalogue and no endpoint, so three of six items are known."""
+    from .atlas import atlas
+    from .report import analyze
+
+    return atlas(analyze(_suppliers(spark, d))).readiness.where("category = 'discoverable'").select("run_id", "known", "status")
+
+
+@query("""SELECT s_suppkey::INT AS ordinal, 'dataset' AS record_type, NULL AS parent FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_suppkey::INT, 'distribution', 'https://data.example/supplier/' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def atlas_parents(spark, d):
+    """A distribution belongs to the dataset whose URI is the longest prefix of its own."""
+    from .report import analyze
+
+    r = analyze(_suppliers(spark, d))
+    uris = r.assets.select("run_id", F.col("id").alias("parent_id"), F.col("uri").alias("parent"))
+    own = workbench.with_parents(r.assets).join(r.assets.select("run_id", F.col("id").alias("record_id"), "ordinal"), ["run_id", "record_id"])
+    return own.join(uris, ["run_id", "parent_id"], "left").select("ordinal", "record_type", "parent")

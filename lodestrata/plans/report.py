@@ -7,9 +7,10 @@ shared folder once, as eight tables read them.
 
 from __future__ import annotations
 
+import dataclasses
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,18 +50,19 @@ class Report:
     profiles: DataFrame
     findings: DataFrame
     next_fetches: DataFrame
+    fields: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {f.name: getattr(self, f.name) for f in dataclasses.fields(self)}
 
     def write(self, path: str) -> None:
-        """One Parquet folder for each table, by run."""
+        """One Parquet folder for each table. Rows are sorted by run, so that a filter on runs skips row groups; a folder for each of very many runs would not scale."""
         for name, table in self.tables().items():
-            table.write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/{name}")
+            table.sortWithinPartitions("run_id").write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def read(cls, spark, path: str) -> Report:
-        return cls(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)})
+        return cls(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in dataclasses.fields(cls)})
 
     def views(self, prefix: str = "") -> None:
         """Register all tables as views, so that spark.sql can query them."""
@@ -183,7 +185,7 @@ def analyze(fetched: DataFrame, options: Options | None = None) -> Report:
     relations = links.first_by(named.select("run_id", "id", "ordinal", "seq", "subject_id", "predicate", "object_id", "subject", "object"), ["run_id", "id"], ["ordinal", "seq"])
     relation_claims = links.first_by(named.select("run_id", det_id("claim", "id", "artifact_id", F.to_json("evidence")).alias("id"), F.col("id").alias("relation_id"), "ordinal", "seq", F.col("artifact_id").alias("asserted_by_artifact_id"), "evidence"), ["run_id", "id"], ["ordinal", "seq"])
 
-    return Report(summary(fetched, artifacts, assets, standards, profiles, every, top, options), artifacts, assets, relations, relation_claims, link, standards, profiles, findings, top)
+    return Report(summary(fetched, artifacts, assets, standards, profiles, every, top, options), artifacts, assets, relations, relation_claims, link, standards, profiles, findings, top, _of(rows, "field").drop("from_url"))
 
 
 def summary(fetched: DataFrame, artifacts: DataFrame, assets: DataFrame, standards: DataFrame, profiles: DataFrame, every: DataFrame, top: DataFrame, options: Options) -> DataFrame:

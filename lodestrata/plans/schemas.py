@@ -19,6 +19,7 @@ FACTS = {
     "link": f"href string, rel string, predicate string, role string, evidence {EVIDENCE}",
     "finding": f"code string, message string, evidence {EVIDENCE}, asset_key array<string>, standard_iri string, severity string",
     "relation": f"subject {ENDPOINT}, predicate string, object {ENDPOINT}, evidence {EVIDENCE}",
+    "field": "node string, occurrence int, key string, value string",
     "kind": "kind string",
     "error": "message string",
 }

@@ -139,3 +139,27 @@ def test_arriving_artifacts(spark, bundle, tmp_path):
     query = arriving.analyze_stream(arriving.arriving(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out" / "batch=0" / "artifacts")).count() == 6
+
+
+def test_workbench_model(spark, report):
+    from lodestrata.plans.atlas import atlas
+
+    model = atlas(report)
+    kinds = {r.record_type: r for r in model.records.collect()}
+    assert kinds["catalog"].service_count == 2 and kinds["dataset"].parent_id == kinds["catalog"].record_id
+    assert kinds["service"].parent_id == kinds["catalog"].record_id
+    assert {r.check_id for r in model.checks.where("presence = 'found'").collect()} == {"dcat-ap-jsonld"}
+    assert {r.item_id for r in model.items.where("presence = 'found'").collect()} == {"identity-catalog", "identity-dataset", "identity-title"}
+    status = {r.category: (r.known, r.total, r.status) for r in model.readiness.collect()}
+    assert status["discoverable"] == (3, 6, "missing") and status["validatable"][2] == "not-checked"
+    assert model.profiles.first().profile == "dcat-ap-3" and model.edges.count() == 3
+    assert model.artifacts.where("presence = 'invalid'").count() == 2
+
+
+def test_later_values_of_a_node_win(spark):
+    from lodestrata.plans.atlas import merged, record_fields
+
+    rows = [("r", 0, "a", 1, "urn:x", 0, "dcterms:title", "old"), ("r", 1, "b", 1, "urn:x", 3, "dcterms:title", "new"), ("r", 0, "a", 2, "urn:x", 0, "own:colour", "red"), ("r", 0, "a", 3, "_:1", 1, "dcterms:title", "anonymous")]
+    fields = spark.createDataFrame(rows, "run_id string, ordinal int, artifact_id string, seq long, node string, occurrence int, key string, value string")
+    found = {(r.record_id, r.field_id): (r.value, r.publisher_specific) for r in record_fields(merged(fields)).collect()}
+    assert found == {("urn:x", "title"): ("new", False), ("urn:x", "own:colour"): ("red", True), ("a#_:1", "title"): ("anonymous", False)}

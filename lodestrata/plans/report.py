@@ -1,8 +1,8 @@
 """From fetched artifacts to the tables of a report, for any number of runs at once.
 
 fetched -> classified (one projection) -> facts (one pass over the bodies) ->
-one DataFrame for each table. Nothing is collected; the facts are stored in the
-shared folder once, as eight tables read them.
+one DataFrame for each table. Nothing is collected; facts, artifact heads and
+judged links are stored in the shared folder once, as several tables read them.
 """
 
 from __future__ import annotations
@@ -143,6 +143,8 @@ def analyze(fetched: DataFrame, options: Options | None = None) -> Report:
     packs = enabled_packs(options.profile_packs)
     found = classified(fetched)
     rows = stored(facts(found), "facts")
+    # what later tables need of an artifact, without its body
+    head = stored(found.select("run_id", "ordinal", "artifact_id", "url", "final_url", "kind", "status", "media_type", "http_status", "discovered_from", F.octet_length("body").cast("long").alias("byte_length"), body_hash("body").alias("hash")), "artifacts")
 
     key = lambda c: F.concat_ws("\0", c)
     raw = _of(rows, "asset").withColumn("id", det_id("asset", "artifact_id", key(F.col("key"))))
@@ -158,16 +160,16 @@ def analyze(fetched: DataFrame, options: Options | None = None) -> Report:
     error = _of(rows, "error").select("run_id", "ordinal", F.col("message").alias("error"))
     kind = _of(rows, "kind").groupBy("run_id", "ordinal").agg(F.max_by("kind", "seq").alias("_kind"))
     first = assets.groupBy("run_id", "artifact_id").agg(F.min_by(F.struct("title", "description"), F.struct("ordinal", "seq")).alias("_first"))
-    artifacts = found.join(kind, ["run_id", "ordinal"], "left").join(error, ["run_id", "ordinal"], "left").join(first, ["run_id", "artifact_id"], "left")
+    artifacts = head.join(kind, ["run_id", "ordinal"], "left").join(error, ["run_id", "ordinal"], "left").join(first, ["run_id", "artifact_id"], "left")
     artifacts = artifacts.withColumn("kind", F.coalesce("_kind", "kind")).select(
         "run_id", F.col("artifact_id").alias("id"), "ordinal", "url", "final_url", "kind", classify.artifact_status(F.col("http_status"), F.col("kind"), F.col("error")).alias("status"), "media_type", "http_status",
-        "_first.title", "_first.description", "discovered_from", F.octet_length("body").cast("long").alias("byte_length"), body_hash("body").alias("hash"), "error", F.lit(options.analyzed_at).alias("analyzed_at"),
+        "_first.title", "_first.description", "discovered_from", "byte_length", "hash", "error", F.lit(options.analyzed_at).alias("analyzed_at"),
     )
 
     claim = _of(rows, "claim").drop("from_url")
     standards, profiles = claims(claim, packs)
 
-    judged = links.judged(_raw_links(found, rows))
+    judged = stored(links.judged(_raw_links(found, rows)), "links")
     link = links.links(judged).select("run_id", "id", "ordinal", "seq", "from_artifact_id", "from_url", "to_url", "rel", "predicate", "role", F.lit("declared").alias("confidence"), "evidence")
     every = links.candidates(judged)
     top = links.top_candidates(every, options.max_next_fetches)
@@ -185,12 +187,12 @@ def analyze(fetched: DataFrame, options: Options | None = None) -> Report:
     relations = links.first_by(named.select("run_id", "id", "ordinal", "seq", "subject_id", "predicate", "object_id", "subject", "object"), ["run_id", "id"], ["ordinal", "seq"])
     relation_claims = links.first_by(named.select("run_id", det_id("claim", "id", "artifact_id", F.to_json("evidence")).alias("id"), F.col("id").alias("relation_id"), "ordinal", "seq", F.col("artifact_id").alias("asserted_by_artifact_id"), "evidence"), ["run_id", "id"], ["ordinal", "seq"])
 
-    return Report(summary(fetched, artifacts, assets, standards, profiles, every, top, options), artifacts, assets, relations, relation_claims, link, standards, profiles, findings, top, _of(rows, "field").drop("from_url"))
+    return Report(summary(head, artifacts, assets, standards, profiles, every, top, options), artifacts, assets, relations, relation_claims, link, standards, profiles, findings, top, _of(rows, "field").drop("from_url"))
 
 
-def summary(fetched: DataFrame, artifacts: DataFrame, assets: DataFrame, standards: DataFrame, profiles: DataFrame, every: DataFrame, top: DataFrame, options: Options) -> DataFrame:
+def summary(head: DataFrame, artifacts: DataFrame, assets: DataFrame, standards: DataFrame, profiles: DataFrame, every: DataFrame, top: DataFrame, options: Options) -> DataFrame:
     """The header of each run: its entry, and counts of its tables."""
-    entry = fetched.groupBy("run_id").agg(F.min_by("url", "ordinal").alias("entry_url"))
+    entry = head.groupBy("run_id").agg(F.min_by("url", "ordinal").alias("entry_url"))
     status = lambda name: F.count_if(F.col("status") == name).alias(f"{name}_artifact_count" if name != "parse_error" else "parse_error_count")
     out = entry.join(artifacts.groupBy("run_id").agg(F.count("*").alias("artifact_count"), status("failed"), status("unsupported"), status("parse_error")), "run_id", "left")
     for table, name in ((assets, "asset_count"), (standards, "standard_count"), (profiles, "profile_count"), (top, "next_fetch_count"), (every, "_all")):

@@ -101,6 +101,12 @@ class ServiceGraph:
     def channels(self) -> DataFrame:
         return self.outgoing(("cv:hasChannel",), "channel")
 
+    def authorities(self) -> DataFrame:
+        return self.outgoing(("cv:hasCompetentAuthority",), "public_organisation")
+
+    def concepts(self) -> DataFrame:
+        return self.outgoing(("cccev:hasConcept",), "information_concept")
+
     def requirements(self) -> DataFrame:
         return self.outgoing(("cv:holdsRequirement", "cccev:hasRequirement"), "requirement")
 

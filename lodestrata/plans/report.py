@@ -81,6 +81,13 @@ class Report:
         names = [n for n in self.tables() if n != "run"]
         return out.select("run_id", F.to_json(F.struct("run.*", *[F.coalesce(n, F.array().cast(out.schema[n].dataType)).alias(n) for n in names])).alias("report"))
 
+    def to_envelope(self, rejected: DataFrame, summary: DataFrame) -> DataFrame:
+        """(run_id, envelope): the report with what a crawl rejected (run_id, url, reason_code, discovered_from) and its summary (run_id, counts), as one JSON value."""
+        listed = rejected.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("url", "reason_code", "discovered_from"))).alias("rejected_fetches"))
+        counts = summary.select("run_id", F.struct(*[c for c in summary.columns if c != "run_id"]).alias("fetched"))
+        out = self.to_json().join(listed, "run_id", "left").join(counts, "run_id", "left")
+        return out.select("run_id", F.to_json(F.struct(F.parse_json("report").alias("report"), "fetched", F.coalesce("rejected_fetches", F.array().cast("array<struct<url:string,reason_code:string,discovered_from:string>>")).alias("rejected_fetches"))).alias("envelope"))
+
     def validate(self) -> None:
         """Raise for a version that is not known or a relation without a claim."""
         if self.run.where(~F.col("schema_version").isin(*VERSIONS)).take(1):
@@ -125,6 +132,14 @@ def _evidence(**given: F.Column) -> F.Column:
     return F.struct(*(given.get(n, F.lit(None).cast("string")).cast("string").alias(n) for n in EVIDENCE_FIELDS)).cast(EVIDENCE)
 
 
+def redacted(evidence: F.Column) -> F.Column:
+    """Evidence whose URLs show no secrets."""
+    for name in ("value", "href"):
+        text = evidence[name]
+        evidence = evidence.withField(name, F.when(text.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), urls.redact(text)).otherwise(text))
+    return evidence
+
+
 def _raw_links(found: DataFrame, rows: DataFrame) -> DataFrame:
     """Links of trees, of HTML tags and of headers, in one shape; headers come before the body."""
     tree = _of(rows, "link")
@@ -170,17 +185,17 @@ def analyze(fetched: DataFrame, options: Options | None = None) -> Report:
     standards, profiles = claims(claim, packs)
 
     judged = stored(links.judged(_raw_links(found, rows)), "links")
-    link = links.links(judged).select("run_id", "id", "ordinal", "seq", "from_artifact_id", "from_url", "to_url", "rel", "predicate", "role", F.lit("declared").alias("confidence"), "evidence")
+    link = links.links(judged).select("run_id", "id", "ordinal", "seq", "from_artifact_id", "from_url", "to_url", "rel", "predicate", "role", F.lit("declared").alias("confidence"), redacted(F.col("evidence")).alias("evidence"))
     every = links.candidates(judged)
     top = links.top_candidates(every, options.max_next_fetches)
 
     rejected = judged.where("verdict <> 'accepted'").select("run_id", "ordinal", F.col("from_artifact_id").alias("artifact_id"), "seq", F.lit("link.rejected_by_core").alias("code"), F.lit("warning").alias("severity"), F.concat(F.lit("A link was rejected: "), "verdict").alias("message"), F.lit(None).cast("string").alias("asset_id"), F.lit(None).cast("string").alias("standard_iri"), F.col("evidence").withField("value", urls.redact(F.coalesce("to_url", "href"))).withField("href", F.lit(None).cast("string")).alias("evidence"))
-    said = _of(rows, "finding").select("run_id", "ordinal", "artifact_id", "seq", "code", "severity", "message", F.when(F.col("asset_key").isNotNull(), det_id("asset", "artifact_id", key(F.col("asset_key")))).alias("asset_id"), "standard_iri", "evidence")
+    said = _of(rows, "finding").select("run_id", "ordinal", "artifact_id", "seq", "code", "severity", "message", F.when(F.col("asset_key").isNotNull(), det_id("asset", "artifact_id", key(F.col("asset_key")))).alias("asset_id"), "standard_iri", redacted(F.col("evidence")).alias("evidence"))
     broken = _of(rows, "error").select("run_id", "ordinal", "artifact_id", "seq", F.lit("parse.failed").alias("code"), F.lit("warning").alias("severity"), "message", F.lit(None).cast("string").alias("asset_id"), F.lit(None).cast("string").alias("standard_iri"), _evidence(source=F.lit("content_sniff"), detector=F.lit("parser"), marker=F.col("message")).alias("evidence"))
     findings = said.unionByName(rejected).unionByName(broken).withColumn("id", det_id("finding", "code", "artifact_id", F.coalesce("asset_id", F.lit("")), F.to_json("evidence")))
     findings = links.first_by(findings, ["run_id", "id"], ["ordinal", "seq"])
 
-    ends = _of(rows, "relation")
+    ends = _of(rows, "relation").withColumn("evidence", redacted(F.col("evidence")))
     ends = ends.withColumns({end: F.struct(F.col(f"{end}.asset_id"), F.col(f"{end}.uri"), F.when(F.col(f"{end}.node").isNotNull(), det_id("blank", "artifact_id", F.col(f"{end}.node"))).alias("node_id")) for end in ("subject", "object")})
     resolved = resolve_endpoints(ends, assets)
     named = resolved.withColumn("id", det_id("relation", F.concat_ws("|", F.coalesce("subject.uri", "subject_id"), "predicate", F.coalesce("object.uri", "object_id"))))

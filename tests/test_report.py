@@ -163,3 +163,81 @@ def test_later_values_of_a_node_win(spark):
     fields = spark.createDataFrame(rows, "run_id string, ordinal int, artifact_id string, seq long, node string, occurrence int, key string, value string")
     found = {(r.record_id, r.field_id): (r.value, r.publisher_specific) for r in record_fields(merged(fields)).collect()}
     assert found == {("urn:x", "title"): ("new", False), ("urn:x", "own:colour"): ("red", True), ("a#_:1", "title"): ("anonymous", False)}
+
+
+def test_envelope(spark, report):
+    run = report.run.first().run_id
+    rejected = spark.createDataFrame([(run, "ftp://x/", "policy.unsupported_scheme", None)], "run_id string, url string, reason_code string, discovered_from string")
+    summary = spark.createDataFrame([(run, 5, 1)], "run_id string, fetched_count int, rejected_count int")
+    whole = json.loads(report.to_envelope(rejected, summary).first().envelope)
+    assert whole["fetched"]["fetched_count"] == 5 and whole["rejected_fetches"][0]["url"] == "ftp://x/" and len(whole["report"]["artifacts"]) == 6
+
+
+def test_secrets_do_not_reach_evidence(report):
+    for table in (report.findings, report.relation_claims, report.links):
+        assert not table.where("evidence.value like '%token=1%' or evidence.href like '%token=1%'").count()
+
+
+class Site:
+    """A transport over a few pages."""
+
+    pages = {
+        "https://a.example/": (301, [("Location", "/x")], b""),
+        "https://a.example/x": (200, [("Content-Type", "text/html; charset=utf-8"), ("Set-Cookie", "s")], b"hello"),
+        "https://a.example/down": (302, [("Location", "http://a.example/x")], b""),
+        "https://a.example/loop": (302, [("Location", "/loop")], b""),
+        "https://a.example/nowhere": (302, [], b""),
+        "https://a.example/big": (200, [], b"x" * 50),
+        "https://a.example/private": (403, [], b""),
+        "https://a.example/inner": (302, [("Location", "https://inner.example/")], b""),
+        "https://a.example/gone": (410, [], b""),
+    }
+
+    def get(self, url, credential):
+        status, headers, body = self.pages[url]
+        return {"status": status, "headers": headers, "body": body}
+
+    def resolve(self, host):
+        if host == "lost.example":
+            raise OSError("no such host")
+        return {"inner.example": ["10.0.0.1"]}.get(host, ["93.184.216.34"])
+
+
+@pytest.mark.parametrize(
+    "path, reason",
+    [("", None), ("x", None), ("down", "policy.https_downgrade"), ("loop", "policy.too_many_redirects"), ("nowhere", "policy.redirect_missing_location"), ("big", "limit.body_too_large"), ("private", "auth.required"), ("inner", "policy.private_network_blocked"), ("gone", "fetch.failed"), ("missing", "fetch.failed")],
+)
+def test_fetch_policy(path, reason):
+    from lodestrata.sources import fetch
+
+    site = Site()
+    got = fetch.fetch_artifact(f"https://a.example/{path}", site.get, site.resolve, fetch.Policy(max_body_bytes=20))
+    assert got["reason_code"] == reason
+    if not reason:
+        assert got["media_type"] == "text/html" and got["headers"] == [{"name": "content-type", "value": "text/html; charset=utf-8"}] and got["final_url"].endswith("/x")
+
+
+@pytest.mark.parametrize("url, reason", [("x", "policy.invalid_url"), ("ftp://a.example/", "policy.unsupported_scheme"), ("https://u:p@a.example/", "policy.embedded_credentials"), ("https:///x", "policy.missing_host"), ("https://lost.example/", "policy.dns_failed")])
+def test_refused_urls(url, reason):
+    from lodestrata.sources import fetch
+
+    assert fetch.refused(url, fetch.Policy(), Site().resolve) == reason
+
+
+def test_credentials_stay_at_their_origin():
+    from lodestrata.sources import fetch
+
+    site = Site()
+    got = fetch.fetch_artifact("https://a.example/private", site.get, site.resolve, fetch.Policy(credential_origin="https://a.example:443/"))
+    assert got["reason_code"] == "auth.rejected" and got["credential_sent"]
+
+
+def test_fetching_in_workers(spark):
+    from lodestrata.sources import fetch
+
+    pages = dict(Site.pages)  # workers cannot import this module
+    get = lambda url, credential: dict(zip(("status", "headers", "body"), pages[url], strict=True))
+    due = spark.createDataFrame([("r", "https://a.example/", 0, None), ("r", "ftp://a.example/", 0, None)], "run_id string, url string, depth int, discovered_from string")
+    rows = {r.url: r for r in fetch.fetching(get, lambda host: ["93.184.216.34"])(due).collect()}
+    assert bytes(rows["https://a.example/"].body) == b"hello" and rows["https://a.example/"].redirect_chain == ["https://a.example/"]
+    assert rows["ftp://a.example/"].reason_code == "policy.unsupported_scheme" and rows["ftp://a.example/"].status is None

@@ -7,8 +7,9 @@ starts in a document with a smaller id.
    and keeps, for each long window, its smallest seed hash (a minimizer). Equal
    long windows have equal minimizers, so windows whose minimizer occurs in one
    document only cannot repeat. That leaves about a fourteenth of the rows.
-2. The minimizers are counted in Spark, with map-side combination; documents
-   that hold one seen in several documents are candidates.
+   Texts of the same words as a text with a smaller id lose all words at once.
+2. The minimizers of the others are counted in Spark, with map-side
+   combination; documents that hold one seen in several documents are candidates.
 3. Every long window of the candidates with such a minimizer is hashed (96 bits)
    and counted in Spark: smallest and largest id of each. Windows with a smaller
    id elsewhere are joined back and merged into maximal removal intervals.
@@ -136,11 +137,17 @@ def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("text_hash"), text_bytes(text).alias("text"))
 
 
-def find(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What prepare() says of each row; the candidates with their texts; and per text the starts of the windows to remove."""
+def find(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What prepare() says of each row; texts that lose all words as copies; candidates with their texts; and per candidate the starts of the windows to remove."""
     base = _base(docs, doc_id, text)
     prepared = stored(base.mapInArrow(_prepare(window, seed), PREPARED), "prepared")
-    seen = prepared.where("doc_id is not null").select("doc_id", "text_hash", F.explode("seeds").alias("seed"))
+    keys = ["doc_id", "text_hash"]
+    # every window of a copy starts in its first text, too; the windows of copies need no counting
+    whole = prepared.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
+    other = F.concat(F.lit("="), F.col("sha256")).alias("other")
+    firsts = whole.groupBy("sha256").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(other, "lo")
+    copies = stored(whole.select(*keys, other).join(firsts, "other").where("doc_id > lo").select(*keys).distinct(), "copies")
+    seen = whole.select(*keys, "seeds").join(copies, keys, "left_anti").select(*keys, F.explode("seeds").alias("seed"))
     repeated = seen.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed")
     # a join on the complement of the key puts an exchange on either side: adaptive execution can then split a frequent key, which it cannot where an aggregate's exchange is used again
     other = F.bitwise_not("seed").alias("other")
@@ -151,7 +158,7 @@ def find(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id:
     other = F.bitwise_not("h1").alias("other")
     later = windows.select("*", other).join(first.select(other, "h2", "lo"), ["other", "h2"]).where("doc_id > lo")
     starts = later.groupBy("doc_id", "text_hash").agg(F.collect_set("start").alias("starts"))
-    return prepared, candidates, starts
+    return prepared, copies, candidates, starts
 
 
 def _cut(window: int):
@@ -172,15 +179,21 @@ def _cut(window: int):
 
 def digests(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, intervals) for each row of docs."""
-    prepared, candidates, starts = find(docs, window, seed, doc_id, text)
+    prepared, copies, candidates, starts = find(docs, window, seed, doc_id, text)
     cut = (
         candidates.join(starts, ["doc_id", "text_hash"])
         .select("doc_id", "text_hash", "text", "starts")
         .mapInArrow(_cut(window), "doc_id long, text_hash long, removed long, cut_sha256 string, intervals array<struct<from: long, to: long>>")
         .dropDuplicates(["doc_id", "text_hash"])
     )
-    return prepared.join(cut, ["doc_id", "text_hash"], "left").select(
-        "doc_id", "n_words", F.coalesce("removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("cut_sha256", "sha256").alias("kept_sha256"), "intervals"
+    copy = F.coalesce(F.col("copy"), F.lit(False))
+    everything = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_words").alias("to")))
+    return prepared.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "text_hash"], "left").join(cut, ["doc_id", "text_hash"], "left").select(
+        "doc_id",
+        "n_words",
+        F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("cut_sha256", "sha256")).alias("kept_sha256"),
+        F.when(copy, everything).otherwise(F.col("intervals")).alias("intervals"),
     )
 
 
@@ -201,7 +214,9 @@ def _rest(text: str, starts: np.ndarray, window: int) -> str:
 
 def remove(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated words cut out of their texts; all other columns and rows stay. Texts that lose nothing stay as they are."""
-    _, _, starts = find(docs, window, seed, doc_id, text)
+    _, copies, _, starts = find(docs, window, seed, doc_id, text)
+    # of a copy no word is left: no starts
+    starts = starts.unionByName(copies.withColumn("starts", F.array().cast("array<int>")))
     own, hashed, gone = (free_name(docs, n) for n in ("_doc", "_hash", "_starts"))
     found = stored(starts, "starts").select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed), F.col("starts").alias(gone))
     same = (F.col(doc_id).cast("long") == F.col(own)) & (F.coalesce(F.xxhash64(F.col(text)), F.lit(0)) == F.col(hashed))
@@ -214,7 +229,7 @@ def remove(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id
             texts = batch.column(where)
             starts_ = batch.column(batch.num_columns - 1)
             if starts_.null_count < len(starts_):
-                texts = pa.array([t.as_py() if s.values is None else _rest(t.as_py(), np.asarray(s.values), window) for t, s in zip(texts, starts_, strict=True)], pa.string())
+                texts = pa.array([t.as_py() if s.values is None else _rest(t.as_py(), np.asarray(s.values), window) if len(s.values) else "" for t, s in zip(texts, starts_, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([texts if k == where else batch.column(k) for k in range(len(names))], names)
 
     return joined.mapInArrow(run, docs.schema)

@@ -136,13 +136,10 @@ def is_base_registry(text: Column) -> Column:
     return F.contains(F.lower(text), F.lit("base-registry"))
 
 
-def inferred_profile(iris: Column) -> Column:
-    """The profile that a catalogue's conformance IRIs stand for."""
+def inferred_profile(iris: Column, own: tuple[str, str] | None = None) -> Column:
+    """The profile that a catalogue's conformance IRIs stand for. own: a part of the IRIs of a publisher's own profile, and its id."""
     low = F.lower(F.array_join(iris, " "))
-    return (
-        F.when(has_any(low, ("bregdcat", "base-registry")), "breg-dcat-ap")
-        .when(F.contains(low, F.lit("2.1.1")), "dcat-ap-2")
-        .when(has_any(low, ("dcat-ap", "3.0.0")), "dcat-ap-3")
-        .when(F.contains(low, F.lit("registry-relay")), "registry-relay-publisher-profile")
-        .otherwise("dcat-ap-3")
-    )
+    known = F.when(has_any(low, ("bregdcat", "base-registry")), "breg-dcat-ap").when(F.contains(low, F.lit("2.1.1")), "dcat-ap-2").when(has_any(low, ("dcat-ap", "3.0.0")), "dcat-ap-3")
+    if own:
+        known = known.when(F.contains(low, F.lit(own[0].lower())), own[1])
+    return known.otherwise("dcat-ap-3")

@@ -28,12 +28,12 @@ FIELD_TERMS = (
 CHECKS = (
     ("dcat-ap-jsonld", "DCAT-AP"), ("breg-dcat-ap", "BRegDCAT-AP"), ("ogc-api-records", "OGC API Records"), ("openapi", "OpenAPI"),
     ("ogc-api-features", "OGC API Features"), ("shacl", "SHACL"), ("odrl", "ODRL"), ("access-rights", "Dublin Core / DCAT-AP"), ("dqv", "DQV"),
-    ("adms", "ADMS"), ("dpv", "DPV"), ("trust", "DID/VCDM/PROV"), ("sp-dci", "Publisher-specific OpenAPI-visible pattern"),
+    ("adms", "ADMS"), ("dpv", "DPV"), ("trust", "DID/VCDM/PROV"), ("publisher-specific", "Publisher-specific pattern"),
 )
 
 
 @dataclass
-class Atlas:
+class Board:
     records: DataFrame
     fields: DataFrame
     checks: DataFrame
@@ -63,8 +63,8 @@ def record_fields(nodes: DataFrame) -> DataFrame:
     return out.select("run_id", F.col("node").alias("record_id"), F.coalesce(F.substring_index("_known", "|", 1), "key").alias("field_id"), F.coalesce(F.substring_index("_known", "|", -1), "key").alias("label"), "value", F.col("key").alias("term"), "publisher_specific")
 
 
-def checks(nodes: DataFrame, artifacts: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_id, ord, check_id, presence, standard): thirteen checks over all nodes of a run, as one aggregate."""
+def checks(nodes: DataFrame, artifacts: DataFrame, runs: DataFrame, publisher_keys: tuple[str, ...] = ()) -> DataFrame:
+    """(run_id, ord, check_id, presence, standard): thirteen checks over all nodes of a run, as one aggregate. publisher_keys: keys by which a publisher's own integration is known."""
     key, value = F.col("key"), F.lower("value")
     typed = lambda *names: (key == "@type") & F.col("value").isin(*names)
     holds = lambda keys, words=None: key.isin(*keys) if words is None else key.isin(*keys) & has_any(value, words)
@@ -79,12 +79,12 @@ def checks(nodes: DataFrame, artifacts: DataFrame, runs: DataFrame) -> DataFrame
         ("adms", holds(("adms:status",))),
         ("dpv", holds(("dpv:hasLegalBasis", "dpv:hasPersonalDataCategory", "dcatap:applicableLegislation"))),
         ("trust", typed("did:Service", "VerifiableCredential", "https://www.w3.org/2018/credentials#VerifiableCredential") | holds(("prov:wasGeneratedBy", "prov:wasAttributedTo", "schema:identifier"), ("did:", "credential", "provenance"))),
-        ("dci", holds(("relay:syncRoute", "registry_relay:registryName"))),
+        ("own", holds(publisher_keys) if publisher_keys else F.lit(False)),
     )
     by_node = nodes.groupBy("run_id").agg(*(F.bool_or(c).alias(n) for n, c in seen))
     by_artifact = artifacts.groupBy("run_id").agg(F.bool_or((F.col("kind") == "dcat_catalog") & (F.col("status") == "fetched")).alias("dcat"), F.bool_or((F.col("kind") == "open_api") & (F.col("status") == "fetched")).alias("openapi"))
     row = runs.select("run_id").join(by_node, "run_id", "left").join(by_artifact, "run_id", "left")
-    order = ("dcat", "breg", "records", "openapi", "features", "shacl", "odrl", "rights", "dqv", "adms", "dpv", "trust", "dci")
+    order = ("dcat", "breg", "records", "openapi", "features", "shacl", "odrl", "rights", "dqv", "adms", "dpv", "trust", "own")
     state = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)), "found").otherwise("missing")
     return row.select("run_id", F.inline(F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(i).alias("check_id"), state(c).alias("presence"), F.lit(std).alias("standard")) for k, ((i, std), c) in enumerate(zip(CHECKS, order, strict=True))))))
 
@@ -113,16 +113,16 @@ def checklist(records: DataFrame, fields: DataFrame, found: DataFrame, validatio
     return row.select("run_id", *(v.alias(k) for k, v in items.items()))
 
 
-def atlas(report: Report, validation: str = "not-run", budget: int = workbench.NODE_BUDGET) -> Atlas:
+def board(report: Report, validation: str = "not-run", budget: int = workbench.NODE_BUDGET, publisher_keys: tuple[str, ...] = (), publisher_profile: tuple[str, str] | None = None) -> Board:
     """The model of each run of a report."""
     nodes = merged(report.fields)
     fields = record_fields(nodes)
-    found = checks(nodes, report.artifacts, report.run)
+    found = checks(nodes, report.artifacts, report.run, publisher_keys)
     records = workbench.with_parents(report.assets)
     items = workbench.readiness_items(checklist(records, fields, found, validation))
     graph_nodes = records.select("run_id", F.col("record_id").alias("node_id"), F.col("record_type").alias("node_type"), F.col("record_id").alias("seq"))
     edges = records.where("parent_id is not null").select("run_id", F.col("parent_id").alias("source"), F.col("record_id").alias("target"), workbench.edge_label(F.col("record_type")).alias("label"))
     kept, inside = workbench.budgeted(graph_nodes, edges, budget)
     compared = fields.groupBy("run_id").agg(F.count_if(~F.col("publisher_specific")).alias("core_fields"), F.count_if("publisher_specific").alias("publisher_fields"), F.bool_or("publisher_specific").alias("impact"))
-    profile = report.assets.where("kind = 'catalog'").groupBy("run_id").agg(inferred_profile(F.flatten(F.array_sort(F.collect_list("conforms_to")))).alias("profile"))
-    return Atlas(records, fields, found, artifact_statuses(report.artifacts), items, workbench.readiness_categories(items, validation != "not-run"), kept, inside, compared, profile)
+    profile = report.assets.where("kind = 'catalog'").groupBy("run_id").agg(inferred_profile(F.flatten(F.array_sort(F.collect_list("conforms_to"))), publisher_profile).alias("profile"))
+    return Board(records, fields, found, artifact_statuses(report.artifacts), items, workbench.readiness_categories(items, validation != "not-run"), kept, inside, compared, profile)

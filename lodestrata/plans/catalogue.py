@@ -717,16 +717,16 @@ def package_assets(spark, d):
 
 
 @query("""SELECT n_name AS run_id, count(*) AS known, CASE WHEN count(*) > 0 THEN 'missing' END AS status FROM (SELECT DISTINCT n_name, unnest(['identity-dataset', 'identity-title', 'identity-publisher']) AS item FROM supplier JOIN nation ON s_nationkey = n_nationkey) GROUP BY 1""")
-def atlas_readiness(spark, d):
+def board_readiness(spark, d):
     """The workbench model end to end: no catalogue and no endpoint, so three of six items are known."""
-    from .atlas import atlas
+    from .board import board
     from .report import analyze
 
-    return atlas(analyze(_suppliers(spark, d))).readiness.where("category = 'discoverable'").select("run_id", "known", "status")
+    return board(analyze(_suppliers(spark, d))).readiness.where("category = 'discoverable'").select("run_id", "known", "status")
 
 
 @query("""SELECT s_suppkey::INT AS ordinal, 'dataset' AS record_type, NULL AS parent FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_suppkey::INT, 'distribution', 'https://data.example/supplier/' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
-def atlas_parents(spark, d):
+def board_parents(spark, d):
     """A distribution belongs to the dataset whose URI is the longest prefix of its own."""
     from .report import analyze
 

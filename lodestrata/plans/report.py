@@ -27,7 +27,8 @@ from ..operators.trees import extract
 from ..sources.store import stored
 from .schemas import EVIDENCE, EVIDENCE_FIELDS, FACTS
 
-VERSIONS = ("semantic-asset-discovery.report.v1", "semantic-asset-discovery.report.v2")
+#: Versions that are read, whatever name stands before them; the last is written.
+VERSIONS = ("report.v1", "report.v2")
 
 
 @dataclass
@@ -90,7 +91,7 @@ class Report:
 
     def validate(self) -> None:
         """Raise for a version that is not known or a relation without a claim."""
-        if self.run.where(~F.col("schema_version").isin(*VERSIONS)).take(1):
+        if self.run.where(~F.col("schema_version").rlike("(^|[.])report[.]v[12]$")).take(1):
             raise ValueError("the report's version is not known")
         if unclaimed(self.relations.withColumnRenamed("id", "relation_id"), self.relation_claims).take(1):
             raise ValueError("a relation has no claim")

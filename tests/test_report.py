@@ -142,9 +142,9 @@ def test_arriving_artifacts(spark, bundle, tmp_path):
 
 
 def test_workbench_model(spark, report):
-    from lodestrata.plans.atlas import atlas
+    from lodestrata.plans.board import board
 
-    model = atlas(report)
+    model = board(report)
     kinds = {r.record_type: r for r in model.records.collect()}
     assert kinds["catalog"].service_count == 2 and kinds["dataset"].parent_id == kinds["catalog"].record_id
     assert kinds["service"].parent_id == kinds["catalog"].record_id
@@ -157,7 +157,7 @@ def test_workbench_model(spark, report):
 
 
 def test_later_values_of_a_node_win(spark):
-    from lodestrata.plans.atlas import merged, record_fields
+    from lodestrata.plans.board import merged, record_fields
 
     rows = [("r", 0, "a", 1, "urn:x", 0, "dcterms:title", "old"), ("r", 1, "b", 1, "urn:x", 3, "dcterms:title", "new"), ("r", 0, "a", 2, "urn:x", 0, "own:colour", "red"), ("r", 0, "a", 3, "_:1", 1, "dcterms:title", "anonymous")]
     fields = spark.createDataFrame(rows, "run_id string, ordinal int, artifact_id string, seq long, node string, occurrence int, key string, value string")

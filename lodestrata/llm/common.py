@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -35,17 +36,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+#: Folders of the tables that stored() has written in this process, in their order.
+_written: list[str] = []
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: this cuts the lineage, and lost executors cost no more than a new read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata-{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end all tables written inside but the last: for a step whose result is itself stored last."""
+    before = len(_written)
+    yield
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in _written[before:-1]:
+        folder = path_of(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    del _written[before:]
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that stored() wrote and that no later plan reads."""
     spark = df.sparkSession

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import packing, quality, simhash, substrings
-from lodestrata.llm.common import stored, table
+from lodestrata.llm.common import stored, swept, table
 from lodestrata.llm.queries import BYTE_BPE
 
 
@@ -39,8 +39,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each written as Parquet and reread as the next one's documents."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with swept(spark):  # what a stage has written on its way goes once its result is stored
+            docs = stored(stage(spark, docs, sf_dir), f"stage{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

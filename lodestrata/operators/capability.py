@@ -311,7 +311,8 @@ def search(index: DataFrame, assets: DataFrame, terms: DataFrame, signals: DataF
     a = assets.select(F.col("source_id"), F.col("id").alias("asset_id"), "run_id", "kind", "uri", "title", "publisher", "endpoint_url")
     joined = match.join(a, ["source_id", "asset_id"], "left")
     if locations is not None:
-        joined = joined.join(locations.select("run_id", "asset_id", "location"), ["run_id", "asset_id"], "left")
+        keys = [c for c in ("query_id", "need_id", "source_id", "run_id", "asset_id") if c in locations.columns]
+        joined = joined.join(locations.select(*keys, "location"), keys, "left")
     else:
         joined = joined.withColumn("location", F.lit(None).cast("string"))
     if rejected is not None:

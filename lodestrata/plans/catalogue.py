@@ -734,3 +734,17 @@ def board_parents(spark, d):
     uris = r.assets.select("run_id", F.col("id").alias("parent_id"), F.col("uri").alias("parent"))
     own = workbench.with_parents(r.assets).join(r.assets.select("run_id", F.col("id").alias("record_id"), "ordinal"), ["run_id", "record_id"])
     return own.join(uris, ["run_id", "parent_id"], "left").select("ordinal", "record_type", "parent")
+
+
+@query(f"""SELECT n_name AS source_id, {_B}supplier/' || s_suppkey AS uri, 1 AS metadata, 'metadata_only' AS access_kind, 'low' AS confidence FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_name IN ('Supplier#000000003', 'Supplier#000000008')
+ UNION ALL SELECT n_name, {_B}supplier/' || s_suppkey || '/file', 1, 'dataset_distribution', 'low' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 5""")
+def report_search(spark, d):
+    """Two datasets by their titles and one distribution by its endpoint, searched over analyzed documents."""
+    from .report import analyze
+    from .search import search
+
+    report = analyze(_suppliers(spark, d))
+    need = InformationNeed("n").requires_any(Term.label("supplier#000000003"), Term.label(" SUPPLIER#000000008"), Term.iri("https://data.example/supplier/5.csv"))
+    found = search(report, CapabilityQuery("q").need(need).terms(spark))
+    uris = report.assets.select(F.col("run_id").alias("source_id"), F.col("id").alias("asset_id"), "uri")
+    return found.join(uris, ["source_id", "asset_id"]).select("source_id", "uri", "metadata", "access_kind", "confidence")

@@ -241,3 +241,26 @@ def test_fetching_in_workers(spark):
     rows = {r.url: r for r in fetch.fetching(get, lambda host: ["93.184.216.34"])(due).collect()}
     assert bytes(rows["https://a.example/"].body) == b"hello" and rows["https://a.example/"].redirect_chain == ["https://a.example/"]
     assert rows["ftp://a.example/"].reason_code == "policy.unsupported_scheme" and rows["ftp://a.example/"].status is None
+
+
+def test_search_over_a_report(spark, report):
+    from lodestrata.operators.capability import CapabilityQuery, InformationNeed, Term
+    from lodestrata.plans.search import search
+
+    run = report.run.first().run_id
+    find = lambda *terms, rejected=None: search(report, CapabilityQuery("q").need(InformationNeed("n").requires_any(*terms)).terms(spark), rejected).collect()
+    (trees,) = find(Term.label("trees"))
+    assert trees.source_id == run and trees.access_kind == "metadata_only" and trees.boundary == "gateway_or_intermediary"
+    (claim,) = find(Term.iri("https://semiceu.github.io/DCAT-AP/releases/3.0.0/"))[:1]
+    assert claim.confidence in ("low", "medium")
+    rejected = spark.createDataFrame([(run, "rejected-1", "https://town.example/api", "auth.required")], "run_id string, id string, url string, reason_code string")
+    (gated,) = [r for r in find(Term.iri("https://town.example/api"), rejected=rejected) if r.asset_id != "metadata"]
+    assert gated.access_kind == "rejected_or_gated" and gated.endpoint_url == "https://town.example/api"
+
+
+def test_envelopes_are_read_back(spark, report, tmp_path):
+    body = report.to_json().first().report
+    (tmp_path / "town.envelope.json").write_text(json.dumps({"report": json.loads(body)}))
+    (tmp_path / "bare.json").write_text(json.dumps(json.loads(body) | {"run_id": "run:x"}))
+    rows = {r.source_id: r for r in bundles.read_envelopes(spark, str(tmp_path)).select("source_id", F.try_variant_get("report", "$.artifact_count", "int").alias("n")).collect()}
+    assert rows["town"].n == 6 and rows["run:x"].n == 6

@@ -18,11 +18,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, **kinds: str):
+    """Register a query and its SQL. kinds: types of columns whose own type in the other engine is wider."""
+
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            casts = ", ".join(f"CAST({c} AS {k}) AS {c}" for c, k in kinds.items())
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({casts}) FROM ({sql}) AS q" if casts else sql
         return f
 
     return register
@@ -109,7 +112,7 @@ def url_redact(spark, d):
     CASE WHEN rel IS NULL THEN 10 WHEN rel = 'describedby' THEN 20 ELSE 30 END AS priority, page_id, position FROM v WHERE verdict = 'accepted'),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, id ORDER BY page_id, position) AS k FROM c) WHERE k = 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY priority, url, id) AS rank, count(*) OVER (PARTITION BY run_id) > 20 AS truncated FROM f)
-SELECT run_id, id, url, priority, rank, truncated FROM n WHERE rank <= 20""")
+SELECT run_id, id, url, priority, rank, truncated FROM n WHERE rank <= 20""", rank="INTEGER")
 def next_fetch_topk(spark, d):
     found = links.candidates(links.judged(_raw_links(spark, d), native=True))
     total = found.groupBy("run_id").agg((F.count("*") > links.CANDIDATES).alias("truncated"))
@@ -172,7 +175,7 @@ def header_links(spark, d):
     return links.header_links(load(spark, d, "nation").select("n_nationkey", _headers().alias("headers")))
 
 
-@query("SELECT count_if(regexp_matches(text, 'secret|token|api_key|password')) AS flagged, count(*) AS n FROM (SELECT lower(text) AS text FROM documents)")
+@query("SELECT count_if(regexp_matches(text, 'secret|token|api_key|password')) AS flagged, count(*) AS n FROM (SELECT lower(text) AS text FROM documents)", flagged="BIGINT")
 def sensitive_flags(spark, d):
     return load(spark, d, "documents").agg(F.count_if(labels.is_sensitive(F.col("text"), ("secret", "token", "api_key", "password"))).alias("flagged"), F.count("*").alias("n"))
 
@@ -256,7 +259,7 @@ def service_providers(spark, d):
     return _graph(spark, d).service_providers().select("source", "target")
 
 
-@query(f"WITH {_GRAPH} SELECT requirement, option, n_types, n_missing, n_types > 0 AND n_missing = 0 AS satisfiable FROM optacc")
+@query(f"WITH {_GRAPH} SELECT requirement, option, n_types, n_missing, n_types > 0 AND n_missing = 0 AS satisfiable FROM optacc", n_missing="BIGINT")
 def evidence_option_satisfiable(spark, d):
     return _graph(spark, d).option_access().drop("run_id")
 
@@ -387,7 +390,7 @@ def _search(spark, d):
     return capability.search(_index(spark, d), _searched(spark, d), _terms(spark))
 
 
-@query(f"WITH {_INDEX}, {_TERMS} SELECT need_id, id AS asset_id, rank, structured::INT AS structured, metadata::INT AS metadata, access, confidence, gap_count FROM ranked")
+@query(f"WITH {_INDEX}, {_TERMS} SELECT need_id, id AS asset_id, rank, structured::INT AS structured, metadata::INT AS metadata, access, confidence, gap_count FROM ranked", rank="INTEGER")
 def capability_rank(spark, d):
     """The flagship: index, match, score and rank for all needs."""
     return _search(spark, d).select("need_id", "asset_id", "rank", "structured", "metadata", "access", "confidence", F.size("gaps").alias("gap_count"))
@@ -405,7 +408,7 @@ def access_summary(spark, d):
     return a.select(F.col("id").alias("asset_id"), F.col("s.kind").alias("access_kind"), "s.endpoint_url", F.when(F.col("s.protocol_hint") == "http", urls.scheme(F.col("s.endpoint_url"))).alias("scheme"))
 
 
-@query(f"""WITH {_INDEX}, {_TERMS} SELECT need_id, min(rank) AS rank, coalesce(endpoint, 'demo:' || need_id || ':' || id) AS route_key FROM ranked GROUP BY need_id, coalesce(endpoint, 'demo:' || need_id || ':' || id)""")
+@query(f"""WITH {_INDEX}, {_TERMS} SELECT need_id, min(rank) AS rank, coalesce(endpoint, 'demo:' || need_id || ':' || id) AS route_key FROM ranked GROUP BY need_id, coalesce(endpoint, 'demo:' || need_id || ':' || id)""", rank="INTEGER")
 def route_identity_dedupe(spark, d):
     return _search(spark, d).select("need_id", "rank", F.coalesce("endpoint_url", "distribution_url", "source_url", "route_id").alias("route_key"))
 
@@ -532,7 +535,7 @@ def nearest_dataset(spark, d):
 _CHECKS = {"catalog": "catalog", "dataset": "dataset", "policy": "policy|rights", "license": "licen[sc]e", "contact": "contact|@", "api": "openapi|swagger", "profile": "profile|conformsto", "shape": "shacl|nodeshape", "vocabulary": "skos|concept", "status": "status", "issued": "issued|modified", "provenance": "provenance|wasderived", "trust": "did:|credential"}
 
 
-@query("SELECT " + ", ".join(f"count_if(regexp_matches(t, '{p}')) AS {n}_n" for n, p in _CHECKS.items()) + " FROM (SELECT lower(text) AS t FROM documents UNION ALL SELECT lower(html) FROM pages)")
+@query("SELECT " + ", ".join(f"count_if(regexp_matches(t, '{p}')) AS {n}_n" for n, p in _CHECKS.items()) + " FROM (SELECT lower(text) AS t FROM documents UNION ALL SELECT lower(html) FROM pages)", **{f"{n}_n": "BIGINT" for n in _CHECKS})
 def artifact_status(spark, d):
     texts = load(spark, d, "documents").select(F.col("text").alias("t")).union(load(spark, d, "pages").select("html"))
     return texts.agg(*(F.count_if(c).alias(f"{n}_n") for n, c in workbench.presence(F.col("t"), _CHECKS).items()))
@@ -560,12 +563,12 @@ def readiness_items(spark, d):
 
 @query(f"""WITH {_ITEMS}, g AS (SELECT run_id, CASE item_group WHEN 'Identity' THEN 'discoverable' WHEN 'Access' THEN 'discoverable' WHEN 'Validation' THEN 'validatable' ELSE lower(item_group) END AS category, count_if(presence = 'found') AS known, count(*) AS total,
   bool_or(presence <> 'found' AND item_rank = 'blocking') AS blocked, bool_or(presence = 'invalid') AS part FROM items GROUP BY 1, 2)
-SELECT run_id, category, known, total, floor(100 * known / total + 0.5)::INT AS percent, CASE WHEN blocked THEN 'missing' WHEN known = total THEN 'ready' WHEN known > 0 OR part THEN 'partial' ELSE 'missing' END AS status FROM g""")
+SELECT run_id, category, known, total, floor(100 * known / total + 0.5)::INT AS percent, CASE WHEN blocked THEN 'missing' WHEN known = total THEN 'ready' WHEN known > 0 OR part THEN 'partial' ELSE 'missing' END AS status FROM g""", known="BIGINT")
 def readiness_categories(spark, d):
     return workbench.readiness_categories(workbench.readiness_items(_readiness(spark, d)))
 
 
-@query(f"WITH {_ITEMS}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE item_rank WHEN 'blocking' THEN 0 ELSE 1 END, ord) AS position FROM items WHERE presence <> 'found') SELECT run_id, item_id, position FROM n WHERE position <= 3")
+@query(f"WITH {_ITEMS}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE item_rank WHEN 'blocking' THEN 0 ELSE 1 END, ord) AS position FROM items WHERE presence <> 'found') SELECT run_id, item_id, position FROM n WHERE position <= 3", position="INTEGER")
 def top_missing(spark, d):
     return workbench.top_missing(workbench.readiness_items(_readiness(spark, d))).select("run_id", "item_id", "position")
 
@@ -583,7 +586,7 @@ def eav_fields(spark, d):
     return _fields(spark, d)
 
 
-@query(f"WITH {_EAV} SELECT count_if(NOT contains(field_id, ':')) AS core_fields, count_if(contains(field_id, ':')) AS publisher_fields, count_if(contains(field_id, ':')) > 0 AS impact FROM eav")
+@query(f"WITH {_EAV} SELECT count_if(NOT contains(field_id, ':')) AS core_fields, count_if(contains(field_id, ':')) AS publisher_fields, count_if(contains(field_id, ':')) > 0 AS impact FROM eav", core_fields="BIGINT", publisher_fields="BIGINT")
 def comparison_summary(spark, d):
     return workbench.comparison(_fields(spark, d), F.contains("field_id", F.lit(":")))
 
@@ -641,7 +644,7 @@ def _suppliers(spark, d):
 
 
 @query("""SELECT n_name AS run_id, count(*) AS artifact_count, 2 * count(*) AS asset_count, count_if(s_suppkey % 2 = 1) AS standard_count, 0::BIGINT AS profile_count, 0::BIGINT AS parse_error_count, 0::BIGINT AS next_fetch_count,
-  2 * count(*) + count_if(s_suppkey % 2 = 1) AS relations, 2 * count(*) + count_if(s_suppkey % 2 = 1) AS links, count(*) AS signals FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
+  2 * count(*) + count_if(s_suppkey % 2 = 1) AS relations, 2 * count(*) + count_if(s_suppkey % 2 = 1) AS links, count(*) AS signals FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""", standard_count="BIGINT", relations="BIGINT", links="BIGINT")
 def catalogue_report(spark, d):
     from .report import analyze
 

@@ -9,17 +9,24 @@ mixture at a node is a fixed probability, and a text's score is a sum over its
 bytes. Texts begin with bytes 0xFF, which UTF-8 never uses, and end with one;
 the score is thus a proper code length of the whole text.
 
-The tree holds every context of 0, 1 and 2 bytes that was seen, and contexts of
-3 and 4 bytes that hold at least a share SHARE of the training bytes; what a
-context's other children hold is one child more, which they have in common. So
-there are at most 256**2 + 2 / SHARE contexts whatever the corpus holds, and the
-table (256 float32 for each context) is broadcast with that proven bound, 170 MB;
-it is some 10 MB for text in a few languages.
-
-Training counts words and byte triples in one pass, and what follows frequent
-contexts in a second; each task combines before Spark sums. Word counts have no
-bound: at most HEAD of the most frequent words are broadcast, the occurrences of all others
-are joined to their counts in Spark.
+The tree holds every context of up to TOP + 1 bytes that was seen, and every
+context of up to DEPTH bytes that was seen at least LEAST times; what a
+context's other children hold is one child more, which they have in common. It
+grows with the corpus and is never in one place:
+
+- One pass counts words and pairs (the DEPTH bytes before a symbol, the symbol);
+  each task combines before Spark sums. All shallower counts are sums of these.
+- Pairs are dealt by their newest TOP + 1 bytes, so a task sees whole subtrees. It
+  weighs them from the deepest contexts up, and each pair gets what its subtree
+  says of its symbol's eight bits. Pairs that are only asked for have count 0.
+- The TOP levels above (at most 256**TOP contexts) are weighed from the sums of
+  the subtrees' weights, and are broadcast.
+- Every pair then has one log probability. The GRAM_HEAD most frequent are
+  broadcast, as are the HEAD most frequent words; the occurrences of all others are
+  joined in Spark. The result does not depend on either.
+
+Model.tree is a tree of bounded size over the same texts, for use without Spark;
+score() does not read it.
 
 Results in edge cases: a null or empty text has one token (the end); rows with
 a null id are training rows; repeated rows count and are scored each time; with
@@ -31,6 +38,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -38,17 +46,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, held_out, slices, stored, text_bytes
+from .common import bounded, discard, held_out, slices, stored, text_bytes
 
 #: Words whose counts are broadcast. The rest is joined; the result does not depend on it.
 HEAD = 200_000
 #: Distinct words or triples that a training task holds before it passes their counts on.
 HELD = 400_000
-#: Share of all training bytes that a context of three or four bytes must hold.
+#: The longest contexts; from which length on a context must be seen LEAST times; and the levels that are broadcast.
+DEPTH, LEAST, TOP = 6, 2, 2
+#: Pairs whose scores are broadcast, those that a training task holds, and those that are weighed at once.
+GRAM_HEAD, GRAMS_HELD, WEIGHED = 2_000_000, 1_000_000, 300_000
+#: In Model.tree: share of all training bytes that a context of three or four bytes must hold.
 SHARE = 1 / 32_768
 #: Bytes of text that a task works on at once: each takes some 60 bytes of arrays.
 STEP = 1_000_000
-WORD, TRIPLE, TEXTS, FOUR, FIVE = 0, 1, 2, 3, 4
+WORD, TRIPLE, TEXTS, FOUR, FIVE, GRAM = 0, 1, 2, 3, 4, 5
 END, PAD = b"\xff", 4
 
 _SYMBOLS = np.arange(256)
@@ -201,26 +213,167 @@ def grams(texts: list[bytes], length: int, wanted: np.ndarray | None = None) ->
     return np.unique(codes[keep], return_counts=True)
 
 
+def pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol of each text and for its end: the DEPTH bytes before it, the newest in the highest place, and the symbol, as a number; and which text it is in."""
+    data = np.frombuffer(b"".join(END * DEPTH + t + END for t in texts), np.uint8)
+    n = len(data)
+    keys = np.zeros(n - DEPTH, np.int64)
+    for back in [*range(1, DEPTH + 1), 0]:
+        keys <<= 8
+        keys |= data[DEPTH - back : n - back]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.cumsum(sizes + DEPTH + 1)[:-1]
+    keep = np.ones(len(keys), bool)
+    for k in range(DEPTH):  # the padding of later texts is no symbol
+        keep[first - DEPTH + k] = False
+    return keys[keep], np.repeat(np.arange(len(texts)), sizes + 1)
+
+
+def subtrees(key: np.ndarray, n: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From pairs in their order, of whole subtrees below TOP bytes, and how often each was seen: the probability that a pair's subtree gives each of its symbol's bits; and the sum of the subtrees' weights at each node (the TOP bytes, then the node) and these nodes."""
+    code, count, at = key, n.astype(np.float64), np.arange(len(key))
+    given = np.full((8, len(key)), 0.5)
+    own_bits = _BIT[:, key & 255].astype(bool)
+    inside = np.zeros(len(key), bool)  # by pair: whether its context of the level below is in the tree
+    lower: list[tuple[np.ndarray, ...]] = []
+    half = np.log(0.5)
+    for depth in range(DEPTH, TOP, -1):
+        up = np.zeros(0, np.int64)
+        if depth < DEPTH:
+            code, up = np.unique(code >> 16 << 8 | code & 255, return_inverse=True)
+            count, at = np.bincount(up, count, len(code)), up[at]
+        symbol, level, held = code & 255, [], np.ones(len(code), bool)
+        for k in range(8):
+            group = code >> (8 - k)
+            new = np.r_[True, group[1:] != group[:-1]]
+            run, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+            total, ones = np.add.reduceat(count, starts), np.add.reduceat(count * _BIT[k, symbol], starts)
+            if k == 0 and depth > TOP + 1:
+                held = (total >= least)[run]
+            zeros = total - ones
+            rest_zeros, rest_ones, weight = zeros, ones, 0.0
+            log = rest_log = _log_kt(zeros, ones)
+            if lower:
+                of, kid_zeros, kid_ones, kid_weight, kid_held = lower[k]
+                to = run[up[of[kid_held]]]
+                rest_zeros = zeros - np.bincount(to, kid_zeros[kid_held], len(starts))
+                rest_ones = ones - np.bincount(to, kid_ones[kid_held], len(starts))
+                rest_log, weight = _log_kt(rest_zeros, rest_ones), np.bincount(to, kid_weight[kid_held], len(starts))
+            weight = half + np.logaddexp(log, weight + rest_log)
+            stop = np.exp(half + log - weight)
+            own, rest = (ones + 0.5) / (total + 1), (rest_ones + 0.5) / (rest_zeros + rest_ones + 1)
+            mine = run[at]
+            rest = np.where(own_bits[k], rest[mine], 1 - rest[mine])
+            own = np.where(own_bits[k], own[mine], 1 - own[mine])
+            given[k] = stop[mine] * own + (1 - stop[mine]) * np.where(inside, given[k], rest)
+            level.append((starts, zeros, ones, weight, held[starts]))
+        lower, inside = level, held[at]
+    nodes = np.concatenate([code[x[0]] >> 16 << 8 | _NODE[k, code[x[0]] & 255] for k, x in enumerate(lower)])
+    nodes, where = np.unique(nodes, return_inverse=True)
+    return given, nodes, np.bincount(where, np.concatenate([x[3] for x in lower]), len(nodes))
+
+
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs come in their order; a subtree that goes on in the next batch waits for it."""
+    keys, counts, held = [], [], 0
+
+    def found(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        given, nodes, weights = subtrees(key, n)
+        raw = np.ascontiguousarray(given.T, np.float32)
+        bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(key), [None, pa.py_buffer(raw)]).cast(pa.binary())
+        names = ["key", "n", "bits", "weight"]
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), bits, pa.nulls(len(key), pa.float64())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.binary()), pa.array(weights)], names)
+
+    for batch in batches:
+        keys.append(np.asarray(batch.column(0)))
+        counts.append(np.asarray(batch.column(1)))
+        held += batch.num_rows
+        if held >= WEIGHED:
+            key, n = np.concatenate(keys), np.concatenate(counts)
+            subtree = key >> 8 * (DEPTH - TOP)
+            cut = int(np.searchsorted(subtree, subtree[-1]))
+            if cut:
+                yield from found(key[:cut], n[:cut])
+            keys, counts, held = [key[cut:]], [n[cut:]], 0
+    if keys and sum(map(len, keys)):
+        yield from found(np.concatenate(keys), np.concatenate(counts))
+
+
+@dataclass
+class Top:
+    """The levels of up to TOP = 2 bytes. row: of the two bytes before a symbol, the newer one higher. one: by node, the probability of bit 1 so far; left: the part that the subtree decides."""
+
+    row: np.ndarray
+    one: np.ndarray
+    left: np.ndarray
+
+    @classmethod
+    def trained(cls, codes: np.ndarray, counts: np.ndarray, nodes: np.ndarray, weights: np.ndarray) -> Top:
+        contexts, at = np.unique(codes >> 8, return_inverse=True)
+        table = np.zeros((len(contexts), 256))
+        table[at, codes & 255] = counts
+        below = np.zeros((len(contexts), 255))
+        below[np.searchsorted(contexts, nodes >> 8), nodes & 255] = weights
+        half, levels, rows = np.log(0.5), [], np.arange(len(contexts))
+        for _ in range(TOP + 1):
+            zeros, ones = _nodes(table)
+            log = _log_kt(zeros, ones)
+            weight = half + np.logaddexp(log, below)
+            levels.append(((ones + 0.5) / (zeros + ones + 1), np.exp(half + log - weight), rows))
+            contexts, up = np.unique(contexts >> 8, return_inverse=True)
+            rows = up[rows]
+            table, below = (_summed(x, up, len(contexts)) for x in (table, weight))
+        one, left = 0.0, 1.0
+        for own, stop, of in reversed(levels):
+            one = one + left * (stop * own)[of]
+            left = left * (1 - stop)[of]
+        row = np.zeros(65536, np.int32)
+        row[np.unique(codes >> 8)] = np.arange(len(left))
+        return cls(row, one.astype(np.float32), left.astype(np.float32))
+
+    def logs(self, key: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """log10 probability of each pair's symbol; given: by pair and bit, the probability that its subtree gives the bit."""
+        row, symbol = self.row[key >> 8 * (DEPTH + 1 - TOP)], key & 255
+        log = np.zeros(len(key))
+        for k in range(8):
+            one, left = self.one[row, _NODE[k, symbol]].astype(np.float64), self.left[row, _NODE[k, symbol]]
+            log += np.log10(np.where(_BIT[k, symbol] == 1, one, 1 - left - one) + left * given[:, k])
+        return log
+
+
+def _summed(rows: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, rows.shape[1]))
+    np.add.at(out, to, rows)
+    return out
+
+
+def _gram_keys(keys: np.ndarray) -> pa.Array:
+    """Pairs as keys of the join: eight bytes, of which the first is in no word."""
+    raw = (keys | -2 << 56).astype(">i8")
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(keys), [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
 def triples(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams(texts, 3)
 
 
 def _rows(kind: int, keys: list[bytes], counts: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], ["kind", "key", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.array(counts, pa.int64())], ["kind", "key", "gram", "n"])
 
 
 class _Counts:
     """Counts of byte strings in a task: merged now and then, and passed on where there are many."""
 
-    def __init__(self, kind: int, length: int) -> None:
-        self.kind, self.length, self.parts, self.held = kind, length, [], 0
+    def __init__(self, kind: int, length: int, most: int = HELD) -> None:
+        self.kind, self.length, self.most, self.parts, self.held = kind, length, most, [], 0
 
     def add(self, found: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
         self.parts.append(found)
         self.held += len(found[0])
-        if self.held > 2 * HELD:
+        if self.held > 2 * self.most:
             self._merge()
-            if self.held > HELD:
+            if self.held > self.most:
                 yield from self.flush()
 
     def _merge(self) -> None:
@@ -232,24 +385,35 @@ class _Counts:
         if self.parts:
             self._merge()
             codes, counts = self.parts.pop()
+            self.held = 0
+            if self.kind == GRAM:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), GRAM, np.int32)), pa.nulls(len(codes), pa.binary()), pa.array(codes), pa.array(counts)], ["kind", "key", "gram", "n"])
+                return
             raw = codes.astype(">u8").tobytes()
             yield _rows(self.kind, [raw[k - self.length : k] for k in range(8, len(raw) + 1, 8)], counts.tolist())
-            self.held = 0
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words, pairs and number of the texts that are learned from; of the others only the pairs, with count 0."""
     words: Counter[bytes] = Counter()
-    found = _Counts(TRIPLE, 3)
+    found = _Counts(GRAM, DEPTH + 1, GRAMS_HELD)
     texts_seen = 0
     for batch in slices(batches, "text", STEP):
         texts = [t.lower() for t in batch.column(0).to_pylist()]
-        texts_seen += len(texts)
-        for t in texts:
+        learned = np.asarray(batch.column(1).to_pylist(), bool)
+        own = [t for t, yes in zip(texts, learned.tolist(), strict=True) if yes]
+        texts_seen += len(own)
+        for t in own:
             words.update(t.split())
             if len(words) > HELD:
                 yield _rows(WORD, list(words), list(words.values()))
                 words.clear()
-        yield from found.add(triples(texts))
+        if own:
+            yield from found.add(np.unique(pairs(own)[0], return_counts=True))
+        asked = [t for t, yes in zip(texts, learned.tolist(), strict=True) if not yes]
+        if asked:
+            codes = np.unique(pairs(asked)[0])
+            yield from found.add((codes, np.zeros(len(codes), np.int64)))
     if words:
         yield _rows(WORD, list(words), list(words.values()))
     yield from found.flush()
@@ -257,6 +421,13 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(TEXTS, [b""], [texts_seen])
 
 
+def _train_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = _Counts(TRIPLE, 3)
+    for batch in slices(batches, "text", STEP):
+        yield from found.add(triples([t.lower() for t in batch.column(0).to_pylist()]))
+    yield from found.flush()
+
+
 def _train_deeper(frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What follows contexts of three and four bytes whose triples are all frequent."""
@@ -276,11 +447,29 @@ def _train_deeper(frequent: np.ndarray):
 @dataclass
 class Model:
     counts: DataFrame
-    tree: ByteTree
     head: dict[bytes, float]
     n: int
     v: int
     texts: int
+    source: DataFrame
+    share: float
+
+    @cached_property
+    def tree(self) -> ByteTree:
+        """The tree of at most 256**2 + 2 / share contexts."""
+        count = lambda run: self.source.mapInArrow(run, COUNTED).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+        codes, n = _collected(count(_train_triples))  # at most 256**3 rows
+        least = max(2, int(np.ceil(n.sum() * self.share)))
+        frequent = codes[n >= least]  # at most 1 / share
+        deep = stored(count(_train_deeper(frequent)).withColumn("context", F.expr("substring(key, 1, length(key) - 1)")), "deep")
+        held = deep.groupBy("kind", "context").agg(F.sum("n").alias("held")).where(F.col("held") >= least)
+        kept = deep.join(held, ["kind", "context"], "left_semi")  # at most 256 / share rows of either kind
+        four, five = (_collected(kept.where(F.col("kind") == k)) for k in (FOUR, FIVE))
+        whole = np.isin(five[0] >> 8 & 0xFFFFFF, four[0] >> 8)  # a context is in the tree only if the one below it is
+        return ByteTree.trained(codes, n, (four, (five[0][whole], five[1][whole])))
+
+
+COUNTED = "kind int, key binary, gram long, n long"
 
 
 def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -288,50 +477,91 @@ def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(rows["code"]).astype(np.int64), np.asarray(rows["n"]).astype(np.int64)
 
 
-def train(texts: DataFrame, text: str = "text", head: int = HEAD, share: float = SHARE) -> Model:
-    """Count all words and byte strings of the texts."""
-    source = bounded(texts).select(text_bytes(text).alias("text"))
-    counts = stored(source.mapInArrow(_train, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    totals = counts.groupBy("kind").agg(F.count("*").alias("keys"), F.sum("n").alias("n")).collect()
-    by = {r.kind: r for r in totals}
-    ends = by[TEXTS].n if TEXTS in by else 0
-    known = by[WORD] if WORD in by else None
+def _counted(texts: DataFrame, text: str, learned: F.Column) -> DataFrame:
+    source = bounded(texts).select(text_bytes(text).alias("text"), learned.alias("learned"))
+    return source.mapInArrow(_train, COUNTED).groupBy("kind", "key", "gram").agg(F.sum("n").alias("n"))
 
-    codes, n = _collected(counts.where(F.col("kind") == TRIPLE))  # at most 256**3 rows
-    least = max(2, int(np.ceil(n.sum() * share)))
-    frequent = codes[n >= least]  # at most 1 / share
-    deep = source.mapInArrow(_train_deeper(frequent), "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    context = F.expr("substring(key, 1, length(key) - 1)")
-    deep = stored(deep.withColumn("context", context), "deep")
-    held = deep.groupBy("kind", "context").agg(F.sum("n").alias("held")).where(F.col("held") >= least)
-    kept = deep.join(held, ["kind", "context"], "left_semi")  # at most 256 / share rows of either kind
-    four, five = (_collected(kept.where(F.col("kind") == k)) for k in (FOUR, FIVE))
-    whole = np.isin(five[0] >> 8 & 0xFFFFFF, four[0] >> 8)  # a context is in the tree only if the one below it is
-    tree = ByteTree.trained(codes, n, (four, (five[0][whole], five[1][whole])))
-
-    # the most frequent words by classes of counts, of which there are 4096 at most: no task sorts the words of all others
-    words = counts.where(F.col("kind") == WORD).select("key", "n", F.floor(F.log2("n") * 64).alias("class"))
-    least_class, taken = 1 << 62, 0
-    for row in sorted(words.groupBy("class").count().collect(), key=lambda r: -r["class"]):
+
+def _least_class(counts: DataFrame, most: int) -> int:
+    """The least class of counts such that all of it and above are at most `most` rows. There are some 4096 classes at most: no task sorts the rows of all others."""
+    least, taken = 1 << 62, 0
+    for row in sorted(counts.groupBy("class").count().collect(), key=lambda r: -r["class"]):
         taken += row["count"]
-        if taken > head:
+        if taken > most:
             break
-        least_class = row["class"]
-    top = words.where(F.col("class") >= least_class).select("key", "n").toArrow()
+        least = row["class"]
+    return least
+
+
+def _class() -> F.Column:
+    return F.floor(F.log2(F.col("n") + 1) * 64).alias("class")
+
+
+def train(texts: DataFrame, text: str = "text", head: int = HEAD, share: float = SHARE, learned: F.Column | None = None) -> Model:
+    """Count all words and pairs of the texts, or of those that are `learned` from; the pairs of the others are known to be asked for."""
+    learned = F.lit(True) if learned is None else learned
+    counts = stored(_counted(texts, text, learned), "counts")
+    totals = counts.where(F.col("kind") != GRAM).groupBy("kind").agg(F.count("*").alias("keys"), F.sum("n").alias("n")).collect()
+    by = {r.kind: r for r in totals}
+    ends = by[TEXTS].n if TEXTS in by else 0
+    known = by[WORD] if WORD in by else None
+    words = counts.where(F.col("kind") == WORD).select("key", "n", _class())
+    top = words.where(F.col("class") >= _least_class(words, head)).select("key", "n").toArrow()
     logs = np.log10(np.asarray(top["n"]) + 1.0).tolist()
-    return Model(counts, tree, dict(zip(top["key"].to_pylist(), logs, strict=True)), (known.n if known else 0) + ends, (known["keys"] if known else 0) + bool(ends), ends)
+    source = bounded(texts).where(learned).select(text_bytes(text).alias("text"))
+    return Model(counts, dict(zip(top["key"].to_pylist(), logs, strict=True)), (known.n if known else 0) + ends, (known["keys"] if known else 0) + bool(ends), ends, source, share)
+
+
+def weighed(grams: DataFrame) -> DataFrame:
+    """(key, n, log) for each of the pairs (gram, n): its log10 probability."""
+    width = 8 * (DEPTH - TOP)
+    dealt = grams.select(F.col("gram").alias("key"), "n").repartition(F.shiftright("key", width)).sortWithinPartitions("key")
+    deep = stored(dealt.mapInArrow(_weigh, "key long, n long, bits binary, weight double"), "deep")
+    code = F.shiftleft(F.shiftright("gram", width + 8), 8).bitwiseOR(F.col("gram").bitwiseAND(F.lit(255)))
+    few = grams.groupBy(code.alias("code")).agg(F.sum("n").alias("n")).toArrow()  # at most 256**3 rows
+    sums = deep.where("bits is null").groupBy("key").agg(F.sum("weight").alias("weight")).toArrow()  # at most 255 * 256**2 rows
+    of = lambda t, c, kind: np.asarray(t[c]).astype(kind)
+    top = Top.trained(of(few, "code", np.int64), of(few, "n", np.float64), of(sums, "key", np.int64), of(sums, "weight", np.float64))
+    shared = grams.sparkSession.sparkContext.broadcast((top.row, top.one, top.left))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = Top(*shared.value)
+        for batch in batches:
+            if batch.num_rows:
+                key = np.asarray(batch.column(0))
+                given = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, 8)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(top.logs(key, given).astype(np.float32))], ["key", "n", "log"])
+
+    found = stored(deep.where("bits is not null").select("key", "n", "bits").mapInArrow(run, "key long, n long, log float"), "logs")
+    discard(deep)
+    return found
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([_gram_keys(np.asarray(batch.column(0))), pa.nulls(batch.num_rows, pa.int64()), batch.column(1)], ["word", "c", "log"])
 
 
-SCORED = "row long, doc_id long, held_out boolean, word binary, n long, n_words long, head_known long, head_log double, score double, n_bytes long"
+SCORED = "row long, doc_id long, held_out boolean, word binary, n long, n_words long, head_known long, head_log double, head_score double, n_bytes long"
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.tree.start, model.tree.child, model.tree.table, model.head))
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", asked: bool = False, gram_head: int = GRAM_HEAD) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row of docs. asked: the model knows all pairs of docs."""
+    grams = model.counts.where(F.col("kind") == GRAM).select("gram", "n")
+    if not asked:
+        more = _counted(docs, text, F.lit(False)).where(F.col("kind") == GRAM).select("gram", "n")
+        grams = grams.unionByName(more).groupBy("gram").agg(F.sum("n").alias("n"))
+    logs = weighed(grams)
+    classes = logs.select("key", "log", _class())
+    least = _least_class(classes, gram_head)
+    top = classes.where(F.col("class") >= least).select("key", "log").toArrow()
+    keys = np.asarray(top["key"]).astype(np.int64)
+    order = np.argsort(keys)
+    shared = docs.sparkSession.sparkContext.broadcast((keys[order], np.asarray(top["log"]).astype(np.float32)[order], model.head))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, child, table, head = shared.value
-        tree, get = ByteTree(start, child, table), head.get
+        frequent, frequent_logs, head = shared.value
+        get = head.get
         for batch in slices(batches, "text", STEP):
             texts = [t.lower() for t in batch.column(3).to_pylist()]
             lists = [t.split() for t in texts]
@@ -342,31 +572,44 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             known = logs >= 0
             total = np.concatenate([[0.0], np.cumsum(np.where(known, logs, 0))])
             seen = np.concatenate([[0], np.cumsum(known)])
+            codes, of = pairs(texts)
+            order = np.argsort(codes)
+            codes, of = codes[order], of[order]
+            at = np.minimum(np.searchsorted(frequent, codes), max(len(frequent) - 1, 0))
+            hit = frequent[at] == codes if len(frequent) else np.zeros(len(codes), bool)
+            scores = np.bincount(of[hit], frequent_logs[at[hit]], len(texts)).astype(np.float64)
             ids, held, row = batch.column(1), batch.column(2), batch.column(0)
             # a row's own line has a key that no word equals, so that these lines spread over the partitions of the join
             marks = [END + int(r).to_bytes(8, "big") for r in row.to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [row, ids, held, pa.array(marks, pa.binary()), pa.nulls(len(texts), pa.int64()), pa.array(counts), pa.array(seen[ends] - seen[ends - counts]), pa.array(total[ends] - total[ends - counts]), pa.array(tree.scores(texts)), pa.array([len(t) for t in texts], pa.int64())],
+                [row, ids, held, pa.array(marks, pa.binary()), pa.nulls(len(texts), pa.int64()), pa.array(counts), pa.array(seen[ends] - seen[ends - counts]), pa.array(total[ends] - total[ends - counts]), pa.array(scores), pa.array([len(t) for t in texts], pa.int64())],
                 names,
             )
+            codes, of = codes[~hit], of[~hit]
+            if len(codes):
+                none = [pa.nulls(len(codes), kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([row.take(pa.array(of)), pa.nulls(len(codes), pa.int64()), pa.nulls(len(codes), pa.bool_()), _gram_keys(codes), pa.array(np.ones(len(codes), np.int64)), *none], names)
             rare = np.flatnonzero(~known)
             if len(rare):
                 owner = np.searchsorted(ends, rare, "right")
-                pairs = Counter(zip(owner.tolist(), [words[i] for i in rare.tolist()], strict=True))
-                where = pa.array([i for i, _ in pairs], pa.int64())
-                none = [pa.nulls(len(pairs), kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([row.take(where), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.bool_()), pa.array([w for _, w in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int64()), *none], names)
+                times = Counter(zip(owner.tolist(), [words[i] for i in rare.tolist()], strict=True))
+                where = pa.array([i for i, _ in times], pa.int64())
+                none = [pa.nulls(len(times), kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([row.take(where), pa.nulls(len(times), pa.int64()), pa.nulls(len(times), pa.bool_()), pa.array([w for _, w in times], pa.binary()), pa.array(list(times.values()), pa.int64()), *none], names)
 
     names = SCORED.replace(",", "").split()[::2]
     source = bounded(docs).select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), text_bytes(text).alias("text"))
     lines = source.mapInArrow(run, SCORED)
-    rare = model.counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"))
+    rare = model.counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"), F.lit(None).cast("float").alias("log"))
+    rare = rare.unionByName(classes.where(F.col("class") < least).select("key", "log").mapInArrow(_keyed, "word binary, c long, log float"))
     by_row = lines.join(rare, "word", "left").groupBy("row").agg(
-        *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_words", "head_known", "head_log", "score", "n_bytes")),
+        *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_words", "head_known", "head_log", "head_score", "n_bytes")),
         F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("rare_known"),
         F.sum(F.log10(F.col("c") + 1.0) * F.col("n")).alias("rare_log"),
+        F.sum("log").alias("rare_score"),
     )
     zero = F.lit(0)
+    whole = F.col("head_score") + F.coalesce("rare_score", F.lit(0.0))
     tokens = F.col("n_words") + 1
     log = F.col("head_log") + F.coalesce("rare_log", F.lit(0.0)) + F.lit(float(np.log10(model.texts + 1)))
     return by_row.select(
@@ -376,11 +619,11 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         (F.col("head_known") + F.coalesce("rare_known", zero) + F.lit(int(model.texts > 0))).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
         (log - tokens * F.lit(float(np.log10(model.n + model.v + 1)))).alias("base_score"),
-        "score",
-        (-F.col("score") / F.lit(float(np.log10(2))) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        whole.alias("score"),
+        (-whole / F.lit(float(np.log10(2))) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
 
 
 def learn_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Learn from the rows that are not held out and score all."""
-    return score(docs, train(docs.where(~held_out(doc_id)), text), doc_id, text)
+    return score(docs, train(docs, text, learned=~held_out(doc_id)), doc_id, text, asked=True)

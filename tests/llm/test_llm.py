@@ -175,6 +175,74 @@ def test_trained_model_beats_an_untrained_one_on_held_out_texts(small):
     assert found.agg(F.sum("score") / F.sum("n_tokens")).first()[0] < 0 and found.agg(F.avg("bits_per_byte")).first()[0] < 4
 
 
+def brute_whole_tree(texts):
+    """The score by definition over contexts of up to lm_scoring.DEPTH bytes: all of up to three that were seen, longer ones that were seen at least lm_scoring.LEAST times."""
+    top, counts, seen = lm_scoring.DEPTH, {}, Counter()
+    for t in texts:
+        s = b"\xff" * top + t + b"\xff"
+        for i in range(top, len(s)):
+            for depth in range(top + 1):
+                seen[s[i - depth : i]] += 1
+                for k in range(8):
+                    counts.setdefault((s[i - depth : i], k, s[i] >> (8 - k)), [0, 0])[s[i] >> (7 - k) & 1] += 1
+    kids = {}
+    for c, n in seen.items():
+        if c and (len(c) <= 3 or n >= lm_scoring.LEAST):
+            kids.setdefault(c[1:], []).append(c)
+
+    def log_kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def pair(ctx, k, p):
+        return counts.get((ctx, k, p), (0, 0))
+
+    def rest(ctx, k, p):
+        return tuple(pair(ctx, k, p)[j] - sum(pair(c, k, p)[j] for c in kids.get(ctx, [])) for j in (0, 1))
+
+    def weighted(ctx, k, p):
+        if ctx not in kids:
+            return log_kt(*pair(ctx, k, p))
+        return math.log(0.5) + np.logaddexp(log_kt(*pair(ctx, k, p)), log_kt(*rest(ctx, k, p)) + sum(weighted(c, k, p) for c in kids[ctx]))
+
+    def score(t):
+        s, total = b"\xff" * top + t + b"\xff", 0.0
+        for i in range(top, len(s)):
+            path = [b""]
+            while s[i - len(path) : i] in kids.get(path[-1], []):
+                path.append(s[i - len(path) : i])
+            for k in range(8):
+                p = s[i] >> (8 - k)
+                a, b = rest(path[-1], k, p)
+                q = (b + 0.5) / (a + b + 1)
+                for ctx in reversed(path):
+                    a, b = pair(ctx, k, p)
+                    stop = math.exp(math.log(0.5) + log_kt(a, b) - weighted(ctx, k, p)) if ctx in kids else 1
+                    q = stop * (b + 0.5) / (a + b + 1) + (1 - stop) * q
+                total += math.log10(q if s[i] >> (7 - k) & 1 else 1 - q)
+        return total
+
+    return score
+
+
+@pytest.mark.parametrize("gram_head", [0, 40, 4_000_000])
+def test_scores_equal_the_whole_tree_whatever_the_head(spark, gram_head):
+    texts = ["abracadabra abracadabra", "abcabcabcabc", None, "zz abra", "abrab cabra"]
+    asked = [*texts, "", "abracadabra", "cabcab", "zebra", "é"]
+    brute = brute_whole_tree([(t or "").encode() for t in texts])
+    model = lm_scoring.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    frame = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.score(frame, model, gram_head=gram_head).collect()}
+    assert [got[k] for k in range(len(asked))] == pytest.approx([brute((t or "").encode()) for t in asked], abs=1e-4)
+
+
+def test_no_share_of_the_corpus_is_asked_of_a_context(spark):
+    passage = "quixotic zephyrs vex jumbled wyverns"
+    frame = spark.createDataFrame([(k, prose(k, 400)) for k in range(60)] + [(100 + k, passage) for k in range(8)], "doc_id long, text string")
+    model = lm_scoring.train(frame, share=1 / 32)
+    found = lm_scoring.score(spark.createDataFrame([(0, passage)], "doc_id long, text string"), model).first()
+    assert found.score > model.tree.scores([passage.encode()])[0] + 5
+
+
 # ---- URLs
 
 URLS = [None, "", "no-scheme.example.com/x", "HTTP://WWW.Example.COM/en/1?q#f", "https://example.com/en/x", "https://a.example.com/en/", "https://example.com/fr/en/", "https://x.net/es/1", "https://net/fr/2", "https://x.netz/es/1", "https://example.com", "https://example.com?x=/en/", "https://u@h.co.uk:8080/p", "https://10.0.0.1/x", "a://b.com/x://y/"]

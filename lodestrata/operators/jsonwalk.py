@@ -1,29 +1,35 @@
-"""A walk over nested JSON, one row for each value with its pointer, by a recursive query over VARIANT values."""
+"""A walk over nested JSON, one row for each value with its pointer, level by level over VARIANT values."""
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 
 def walk(documents: DataFrame, key: str = "key", body: str = "body") -> DataFrame:
     """(key, pointer, depth, name, position, kind, value) of each value below and with the root. What is no JSON gives no row.
 
-    Names are escaped as pointers ask for (~0, ~1). Object members come in the order of their names.
+    Names are escaped as pointers ask for (~0, ~1). Object members come in the order of their names. Each level is a table in the shared
+    folder, so neither the number of values nor the depth has a limit but that of the JSON parser.
     """
-    spark = documents.sparkSession
-    view = f"json_{uuid.uuid4().hex}"
-    documents.select(F.col(key).alias("key"), F.try_parse_json(F.col(body).cast("string")).alias("v")).where("v is not null").createOrReplaceTempView(view)
-    found = spark.sql(f"""
-        WITH RECURSIVE nodes (key, pointer, depth, name, position, v) MAX RECURSION LEVEL 100 AS (
-          SELECT key, CAST('' AS STRING), 0, CAST(NULL AS STRING), 0, v FROM {view}
-          UNION ALL
-          SELECT n.key, concat(n.pointer, '/', coalesce(replace(replace(e.key, '~', '~0'), '/', '~1'), CAST(e.pos AS STRING))), n.depth + 1, e.key, e.pos, e.value
-          FROM nodes n, LATERAL variant_explode(n.v) e)
-        SELECT key, pointer, depth, name, position, schema_of_variant(v) AS kind, v AS value FROM nodes""")
-    return found
+    level = documents.select(
+        F.col(key).alias("key"), F.lit("").alias("pointer"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("position"), F.try_parse_json(F.col(body).cast("string")).alias("v")
+    ).where("v is not null")
+    levels = [stored(level, "json")]
+    while True:
+        view = {"level": levels[-1]}
+        level = documents.sparkSession.sql("""
+            SELECT n.key, concat(n.pointer, '/', coalesce(replace(replace(e.key, '~', '~0'), '/', '~1'), CAST(e.pos AS STRING))) AS pointer, n.depth + 1 AS depth, e.key AS name, e.pos AS position, e.value AS v
+            FROM {level} n, LATERAL variant_explode(n.v) e""", **view)
+        level = stored(level, "json")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels).select("key", "pointer", "depth", "name", "position", F.expr("schema_of_variant(v)").alias("kind"), F.col("v").alias("value"))
 
 
 def leaves(walked: DataFrame) -> DataFrame:

@@ -338,11 +338,71 @@ def test_forest_joins_what_is_near(values, radius):
     array = np.array(values, np.uint64)
     found = {int(v): int(v) for v in array}
     for a, b in zip(*simhash.forest(array, None, radius), strict=True):
-        found[int(a)] = int(b)
+        found[int(array[a])] = int(array[b])
     named = brute_components([(v, v) for v in values], radius)
     assert len({found[v] for v in values}) == len(set(named.values()))
 
 
+def brute_copies(rows, similarity=0.8):
+    """By id, the smallest id that is reachable over pairs whose sets of five-word shingles have the Jaccard similarity."""
+    sets, where = {}, {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        if i is not None:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    for i, own in sets.items():
+        for x in own:
+            where.setdefault(x, []).append(i)
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    common = Counter((a, b) for ids in where.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    for (a, b), n in common.items():
+        if n >= similarity * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("group, cell_bytes", [(simhash.GROUP, simhash.CELL_BYTES), (30, 3_000)])
+def test_near_copies_equal_brute_force(docs, spark, group, cell_bytes):
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for frame in (docs, whole):
+        found = simhash.near_copies(frame, group=group, cell_bytes=cell_bytes).collect()
+        want = brute_copies(local(frame))
+        assert len(found) == frame.count() and all(r.component_id == want.get(r.doc_id) for r in found)
+
+
+def test_a_large_group_of_near_copies_is_joined_through_others(spark):
+    """A chain: neighbours are similar, its ends are not, and the group goes to many cells."""
+    words = prose(8, 400).split()
+    rows = [(k, " ".join(words[k : k + 120])) for k in range(0, 240, 4)] + [(1000 + k, prose(k, 120)) for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(frame, group=8, cell_bytes=5_000).collect()}
+    assert found == brute_copies(rows) and {found[k] for k in range(0, 240, 4)} == {0} and all(found[1000 + k] == 1000 + k for k in range(20))
+
+
+def test_tiles_over_all_fingerprints_find_the_same_links(docs, small):
+    for frame in both(docs, small):
+        assert every(simhash.near_duplicates(frame, all_tiles=True), "fp", "component_id") == every(simhash.near_duplicates(frame), "fp", "component_id")
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 40)
+    values = np.unique(np.concatenate([base, base ^ (1 << rng.integers(0, 63, 40)), base ^ (1 << rng.integers(0, 63, 40))]))
+    nodes = small.sparkSession.createDataFrame([(int(v),) for v in values], "fp long")
+    few, all_ = ({(r.node, r.root) for r in simhash.components(f(nodes, 4, 16)).collect()} for f in (simhash.links, simhash.tiled_links))
+    assert few == all_ and few
+
+
+def test_one_of_copies_stays(docs):
+    kept = [r.doc_id for r in simhash.one_of_copies(docs).collect()]
+    assert kept.count(7) == 1 and 8 not in kept and kept.count(None) == 2
+    assert simhash.one_of_copies(docs).columns == docs.columns and simhash.one_of_copies(docs.limit(0)).count() == 0
+
+
 def test_one_of_each_group_stays(docs, spark):
     kept = [r.doc_id for r in simhash.one_of_each(docs).collect()]
     assert kept.count(7) == 1 and 8 not in kept and kept.count(None) == 2
@@ -718,7 +778,7 @@ def test_clashing_columns_change_nothing(spark, docs):
     for run in runs:
         a, b = run(docs), run(wide)
         assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
-    for stage in (quality.keep, substrings.remove, simhash.one_of_each):
+    for stage in (quality.keep, substrings.remove, simhash.one_of_each, simhash.one_of_copies):
         assert stage(wide).columns == wide.columns
 
 
@@ -739,8 +799,8 @@ def test_pipeline_equals_its_brute_force_twin(spark, small):
     rows = [r for r in sorted(local(small)) if not brute_quality(r[1])[5]]
     kept = {r.doc_id for r in quality.judge(small).where("kept").collect()}
     rows = [r for r in rows if r[0] in kept]
-    named = brute_components([(i, brute_print(t)) for i, t in rows])
-    rows = [(i, t) for i, t in rows if named[brute_print(t)] == i]
+    named = brute_copies(rows)
+    rows = [(i, t) for i, t in rows if named[i] == i]
     removed = {r[0]: r for r in brute_substrings(rows)}
     stage = None
     docs = small

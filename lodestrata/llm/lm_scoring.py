@@ -14,8 +14,10 @@ context of up to DEPTH bytes that was seen at least LEAST times; what a
 context's other children hold is one child more, which they have in common. It
 grows with the corpus and is never in one place:
 
-- One pass counts words and pairs (the DEPTH bytes before a symbol, the symbol);
-  each task combines before Spark sums. All shallower counts are sums of these.
+- One pass counts words and pairs (the DEPTH bytes before a symbol, the symbol).
+  Each task combines what it has counted, and passes pairs on as packed arrays by
+  BUCKETS hashed buckets, which are then merged bucket by bucket. All shallower
+  counts are sums of these.
 - Pairs are dealt by their newest TOP + 1 bytes, so a task sees whole subtrees. It
   weighs them from the deepest contexts up, and each pair gets what its subtree
   says of its symbol's eight bits. Pairs that are only asked for have count 0.
@@ -56,11 +58,14 @@ HELD = 400_000
 DEPTH, LEAST, TOP = 6, 2, 2
 #: Pairs whose scores are broadcast, those that a training task holds, and those that are weighed at once.
 GRAM_HEAD, GRAMS_HELD, WEIGHED = 2_000_000, 1_000_000, 300_000
+#: Pairs are merged in so many buckets. A task that merges one holds its distinct pairs, and up to UNMERGED more.
+BUCKETS, UNMERGED = 4096, 2_000_000
 #: In Model.tree: share of all training bytes that a context of three or four bytes must hold.
 SHARE = 1 / 32_768
 #: Bytes of text that a task works on at once: each takes some 60 bytes of arrays.
 STEP = 1_000_000
 WORD, TRIPLE, TEXTS, FOUR, FIVE, GRAM = 0, 1, 2, 3, 4, 5
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 END, PAD = b"\xff", 4
 
 _SYMBOLS = np.arange(256)
@@ -358,8 +363,48 @@ def triples(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams(texts, 3)
 
 
+COUNTED = "kind int, key binary, n long, bucket int, counts binary"
+_NAMES = [c.split()[0] for c in COUNTED.split(", ")]
+
+
 def _rows(kind: int, keys: list[bytes], counts: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.array(counts, pa.int64())], ["kind", "key", "gram", "n"])
+    n = len(keys)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], _NAMES)
+
+
+def _packed(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Pairs in ascending order and their counts, as a row of arrays for each bucket."""
+    with np.errstate(over="ignore"):
+        bucket = (codes.view(np.uint64) * _MIX >> np.uint64(64 - 12)).astype(np.int32) % BUCKETS
+    order = np.argsort(bucket, kind="stable")
+    bucket, codes, counts = bucket[order], np.ascontiguousarray(codes[order]), np.ascontiguousarray(counts[order])
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    n, ends = len(starts), pa.py_buffer((np.r_[starts, len(codes)] * 8).astype(np.int32))
+    column = lambda x: pa.BinaryArray.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(x)])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, GRAM, np.int32)), column(codes), pa.nulls(n, pa.int64()), pa.array(bucket[starts]), column(counts)], _NAMES)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
+
+
+def _merge_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket; a bucket is passed on when its last row has come."""
+    own, parts, held = None, [], 0
+    row = lambda: pa.RecordBatch.from_arrays(list(map(pa.array, _merged(parts))), ["gram", "n"])
+    for batch in batches:
+        for bucket, codes, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            if bucket != own:
+                if parts:
+                    yield row()
+                own, parts, held = bucket, [], 0
+            parts.append((np.frombuffer(codes.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int64)))
+            held += len(parts[-1][0])
+            if held > UNMERGED:
+                parts, held = [_merged(parts)], 0
+    if parts:
+        yield row()
 
 
 class _Counts:
@@ -377,9 +422,8 @@ class _Counts:
                 yield from self.flush()
 
     def _merge(self) -> None:
-        codes, at = np.unique(np.concatenate([c for c, _ in self.parts]), return_inverse=True)
-        self.parts = [(codes, np.bincount(at, np.concatenate([n for _, n in self.parts])).astype(np.int64))]
-        self.held = len(codes)
+        self.parts = [_merged(self.parts)]
+        self.held = len(self.parts[0][0])
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
@@ -387,7 +431,7 @@ class _Counts:
             codes, counts = self.parts.pop()
             self.held = 0
             if self.kind == GRAM:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), GRAM, np.int32)), pa.nulls(len(codes), pa.binary()), pa.array(codes), pa.array(counts)], ["kind", "key", "gram", "n"])
+                yield _packed(codes, counts)
                 return
             raw = codes.astype(">u8").tobytes()
             yield _rows(self.kind, [raw[k - self.length : k] for k in range(8, len(raw) + 1, 8)], counts.tolist())
@@ -446,7 +490,10 @@ def _train_deeper(frequent: np.ndarray):
 
 @dataclass
 class Model:
-    counts: DataFrame
+    """words: (kind, key, n) of all words. grams: (gram, n) of all pairs."""
+
+    words: DataFrame
+    grams: DataFrame
     head: dict[bytes, float]
     n: int
     v: int
@@ -469,17 +516,20 @@ class Model:
         return ByteTree.trained(codes, n, (four, (five[0][whole], five[1][whole])))
 
 
-COUNTED = "kind int, key binary, gram long, n long"
-
-
 def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = counts.select(F.conv(F.hex("key"), 16, 10).cast("long").alias("code"), "n").toArrow()
     return np.asarray(rows["code"]).astype(np.int64), np.asarray(rows["n"]).astype(np.int64)
 
 
-def _counted(texts: DataFrame, text: str, learned: F.Column) -> DataFrame:
+def _counted(texts: DataFrame, text: str, learned: F.Column) -> tuple[DataFrame, DataFrame]:
+    """Tables of words and texts (kind, key, n), and of pairs (gram, n)."""
     source = bounded(texts).select(text_bytes(text).alias("text"), learned.alias("learned"))
-    return source.mapInArrow(_train, COUNTED).groupBy("kind", "key", "gram").agg(F.sum("n").alias("n"))
+    raw = stored(source.mapInArrow(_train, COUNTED), "raw")
+    words = stored(raw.where(F.col("kind") != GRAM).groupBy("kind", "key").agg(F.sum("n").alias("n")), "words")
+    dealt = raw.where(F.col("kind") == GRAM).select("bucket", "key", "counts").repartition("bucket").sortWithinPartitions("bucket")
+    grams = stored(dealt.mapInArrow(_merge_grams, "gram long, n long"), "grams")
+    discard(raw)
+    return words, grams
 
 
 def _least_class(counts: DataFrame, most: int) -> int:
@@ -500,8 +550,8 @@ def _class() -> F.Column:
 def train(texts: DataFrame, text: str = "text", head: int = HEAD, share: float = SHARE, learned: F.Column | None = None) -> Model:
     """Count all words and pairs of the texts, or of those that are `learned` from; the pairs of the others are known to be asked for."""
     learned = F.lit(True) if learned is None else learned
-    counts = stored(_counted(texts, text, learned), "counts")
-    totals = counts.where(F.col("kind") != GRAM).groupBy("kind").agg(F.count("*").alias("keys"), F.sum("n").alias("n")).collect()
+    counts, grams = _counted(texts, text, learned)
+    totals = counts.groupBy("kind").agg(F.count("*").alias("keys"), F.sum("n").alias("n")).collect()
     by = {r.kind: r for r in totals}
     ends = by[TEXTS].n if TEXTS in by else 0
     known = by[WORD] if WORD in by else None
@@ -509,7 +559,7 @@ def train(texts: DataFrame, text: str = "text", head: int = HEAD, share: float =
     top = words.where(F.col("class") >= _least_class(words, head)).select("key", "n").toArrow()
     logs = np.log10(np.asarray(top["n"]) + 1.0).tolist()
     source = bounded(texts).where(learned).select(text_bytes(text).alias("text"))
-    return Model(counts, dict(zip(top["key"].to_pylist(), logs, strict=True)), (known.n if known else 0) + ends, (known["keys"] if known else 0) + bool(ends), ends, source, share)
+    return Model(counts, grams, dict(zip(top["key"].to_pylist(), logs, strict=True)), (known.n if known else 0) + ends, (known["keys"] if known else 0) + bool(ends), ends, source, share)
 
 
 def weighed(grams: DataFrame) -> DataFrame:
@@ -547,10 +597,9 @@ SCORED = "row long, doc_id long, held_out boolean, word binary, n long, n_words
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", asked: bool = False, gram_head: int = GRAM_HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row of docs. asked: the model knows all pairs of docs."""
-    grams = model.counts.where(F.col("kind") == GRAM).select("gram", "n")
+    grams = model.grams
     if not asked:
-        more = _counted(docs, text, F.lit(False)).where(F.col("kind") == GRAM).select("gram", "n")
-        grams = grams.unionByName(more).groupBy("gram").agg(F.sum("n").alias("n"))
+        grams = grams.unionByName(_counted(docs, text, F.lit(False))[1]).groupBy("gram").agg(F.sum("n").alias("n"))
     logs = weighed(grams)
     classes = logs.select("key", "log", _class())
     least = _least_class(classes, gram_head)
@@ -600,7 +649,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     names = SCORED.replace(",", "").split()[::2]
     source = bounded(docs).select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), text_bytes(text).alias("text"))
     lines = source.mapInArrow(run, SCORED)
-    rare = model.counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"), F.lit(None).cast("float").alias("log"))
+    rare = model.words.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"), F.lit(None).cast("float").alias("log"))
     rare = rare.unionByName(classes.where(F.col("class") < least).select("key", "log").mapInArrow(_keyed, "word binary, c long, log float"))
     by_row = lines.join(rare, "word", "left").groupBy("row").agg(
         *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_words", "head_known", "head_log", "head_score", "n_bytes")),

@@ -1,7 +1,9 @@
 """License scan: an exact set-similarity join of text blocks and notice templates, in DataFrame functions only.
 
-A block is a line of a text. A block matches a template where it holds at least
-THRESHOLD of the template's distinct words. The join finds every such pair:
+A block begins with a line of a text: it holds the line's words and, for a
+template of k words, the k words behind the line. A notice is thus found in one
+line as well as wrapped over several. A block matches a template where it holds at
+least THRESHOLD of the template's distinct words. The join finds every such pair:
 
 - global order: template words are ranked by how often they occur in all texts,
   counted in one pass with map-side combination; ties go by the word.
@@ -14,10 +16,12 @@ THRESHOLD of the template's distinct words. The join finds every such pair:
   must suffice on both sides.
 - what is left is verified by the exact intersection.
 
-The phrase count of each text is made beside it from the text with its words
-spaced apart. Results in edge cases: a null or empty text has no words; a text
-of one very long line is one block; repeated rows get equal results; an empty
-table gives an empty result; without templates only phrases give labels.
+Texts are brought to words with blanks between them and line ends once, in a
+stored table from which all else is read; the phrase count is made beside it.
+Results in edge cases: a null or empty text has no words; lines without words are
+no blocks; a text of one very long line is one block; repeated rows get equal
+results; an empty table gives an empty result; without templates only phrases
+give labels.
 """
 
 from __future__ import annotations
@@ -27,9 +31,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What separates words: all of ASCII but letters and digits.
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words within a line: all of ASCII but letters, digits and the line feed.
+GAP = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Notices of public licenses (fixed values), in lower case and without punctuation.
@@ -52,14 +58,20 @@ TEMPLATES = (
 THRESHOLD = 0.9
 
 
-def words_spaced(text: Column) -> Column:
-    """The words of a text with one blank between them and none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP, " "))
+def lines_of(text: Column) -> Column:
+    """The words of a text with one blank between them, or one line feed where they are of different lines, and none at the ends."""
+    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP, " ")
+    return F.btrim(F.regexp_replace(plain, " ?\n[ \n]*", "\n"), F.lit(" \n"))
+
 
+def _spaced(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and lines of each row of docs (doc_id, text_hash, text)."""
+    return docs.select("doc_id", "text_hash", lines_of(F.col("text")).alias("lines"))
 
-def _base(docs: DataFrame) -> DataFrame:
+
+def _base(spaced: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_words, n_base, first_word, last_word, base_labels of each row."""
-    line = docs.select("doc_id", "text_hash", words_spaced(F.col("text")).alias("words"))
+    line = spaced.select("doc_id", "text_hash", F.translate("lines", "\n", " ").alias("words"))
     count = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1).cast("long")
     # each word gets a blank of its own on either side, so neighbours share none
     spaced = F.when(F.contains("words", F.lit("license")), F.concat(F.lit(" "), F.replace("words", F.lit(" "), F.lit("  ")), F.lit(" ")))
@@ -84,58 +96,73 @@ def _base(docs: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """The distinct words of each line that has one."""
-    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block", "line"))
-    return lines.select("doc_id", "text_hash", "block", words_spaced(F.col("line")).alias("words")).where("words <> ''").select("doc_id", "text_hash", "block", F.array_distinct(F.split("words", " ")).alias("tokens"))
+def _blocks(spaced: DataFrame, behind: int, rare: Column) -> DataFrame:
+    """For each line that has words: how many, and these words with up to `behind` more that follow; blocks without a rare word are left out."""
+    lines = spaced.where("lines <> ''").select("doc_id", "text_hash", F.transform(F.split("lines", "\n"), lambda x: F.split(x, " ")).alias("all"))
+    # each line has a word at least, so as many lines as words suffice
+    more = lambda i: F.slice(F.flatten(F.slice("all", i + 2, behind)), 1, behind)
+    block = F.transform("all", lambda x, i: F.struct(i.alias("block"), F.size(x).alias("own"), F.concat(x, more(i)).alias("words")))
+    return lines.select("doc_id", "text_hash", F.explode(F.filter(block, lambda x: F.arrays_overlap(x["words"], rare))).alias("b")).select("doc_id", "text_hash", "b.*")
 
 
-def frequencies(docs: DataFrame, words: set[str]) -> dict[str, int]:
+def frequencies(spaced: DataFrame, words: set[str]) -> dict[str, int]:
     """How often each of the given words occurs in all texts. At most as many rows as words come to the driver."""
-    spark = docs.sparkSession
+    spark = spaced.sparkSession
     asked = spark.createDataFrame([(w,) for w in sorted(words)], "token string")
-    seen = docs.select(F.explode(F.split(words_spaced(F.col("text")), " ")).alias("token")).join(F.broadcast(asked), "token")
+    seen = spaced.select(F.explode(F.split(F.translate("lines", "\n", " "), " ")).alias("token")).join(F.broadcast(asked), "token")
     return {r.token: r.n for r in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
 def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text_hash, block, template, label, common, containment) for each line and template that meet the threshold."""
-    spark = docs.sparkSession
-    sets = [(sorted(set(t.split())), label) for t, label in templates]
-    seen = frequencies(docs, {w for s, _ in sets for w in s})
-    order = sorted({w for s, _ in sets for w in s}, key=lambda w: (seen.get(w, 0), w))
+    """(doc_id, text_hash, block, template, label, common, containment) for each block and template that meet the threshold. docs: doc_id, text_hash, text."""
+    return _matches(stored(_spaced(docs), "lines"), templates, threshold)
+
+
+def _listed(templates) -> list[tuple[str, str]]:
+    """Templates may be a table (text, label); it is small and comes to the driver."""
+    return [(r.text, r.label) for r in templates.select("text", "label").collect()] if isinstance(templates, DataFrame) else list(templates)
+
+
+def _matches(spaced: DataFrame, templates, threshold: float) -> DataFrame:
+    spark = spaced.sparkSession
+    sets = [(sorted(set(t.split())), label, len(t.split())) for t, label in _listed(templates)]
+    seen = frequencies(spaced, {w for s, *_ in sets for w in s})
+    order = sorted({w for s, *_ in sets for w in s}, key=lambda w: (seen.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
-    prefix = []
-    for number, (own, label) in enumerate(sets):
+    prefix, cut = [], []
+    for number, (own, label, length) in enumerate(sets):
         own = sorted(own, key=rank.__getitem__)
         need = max(1, math.ceil(threshold * len(own) - 1e-9))
-        prefix += [(own[j], rank[own[j]], j, number, label, [rank[w] for w in own], need) for j in range(len(own) - need + 1)]
-    index = spark.createDataFrame(prefix, "token string, rank int, place int, template int, label string, template_ranks array<int>, need int")
-    ranks = F.create_map(*(x for w, k in rank.items() for x in (F.lit(w), F.lit(k)))) if rank else F.lit(None).cast("map<string,int>")
-
-    # a text without any prefix word holds no match: what is left is cut into lines
-    near = docs.where(F.arrays_overlap(F.split(words_spaced(F.col("text")), " "), F.array(*(F.lit(w) for w in sorted({p[0] for p in prefix}))))) if prefix else docs.limit(0)
-    hit = _blocks(near).select("doc_id", "text_hash", "block", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token").where(F.size("tokens") >= F.col("need"))
-    ranked = hit.withColumn("block_ranks", F.array_sort(F.filter(F.transform("tokens", lambda t: ranks[t]), lambda r: r.isNotNull())))
-    behind = F.least(F.size("block_ranks") - F.array_position("block_ranks", F.col("rank")).cast("int") + 1, F.size("template_ranks") - F.col("place"))
+        cut += own[: len(own) - need + 1]
+        prefix += [(own[j], rank[own[j]], j, number, label, own, need, length) for j in range(len(own) - need + 1)]
+    index = spark.createDataFrame(prefix, "token string, rank int, place int, template int, label string, template_words array<string>, need int, length int")
+    rare = F.array(*(F.lit(w) for w in sorted(set(cut)))) if cut else F.array().cast("array<string>")
+
+    # a text without any prefix word holds no match: what is left is cut into blocks
+    near = spaced.where(F.arrays_overlap(F.split(F.translate("lines", "\n", " "), " "), rare)) if cut else spaced.limit(0)
+    blocks = _blocks(near, max((x[2] for x in sets), default=1), rare)
+    hit = blocks.withColumn("token", F.explode(F.array_intersect("words", rare))).join(F.broadcast(index), "token")
+    # template words come in the global order, and so do those that the block has of them
+    hit = hit.withColumn("tokens", F.array_distinct(F.slice("words", 1, F.col("own") + F.col("length")))).where(F.size("tokens") >= F.col("need"))
+    hit = hit.withColumn("both", F.array_intersect("template_words", "tokens"))
     # the words before the joined one can only add what they have in common, so the first common word alone must pass
-    first = F.array_min(F.array_intersect("block_ranks", "template_ranks")) == F.col("rank")
-    exact = F.size(F.array_intersect("block_ranks", "template_ranks"))
+    first = F.element_at("both", 1) == F.col("token")
+    behind = F.least(F.size("tokens"), F.size("template_words") - F.col("place"))
     return (
-        ranked.where(first & (behind >= F.col("need")))
-        .withColumn("common", exact)
-        .where("common >= need")
-        .select("doc_id", "text_hash", "block", "template", "label", "common", (F.col("common") / F.size("template_ranks")).alias("containment"))
+        hit.where((F.size("both") > 0) & (behind >= F.col("need")))
+        .where(first & (F.size("both") >= F.col("need")))
+        .select("doc_id", "text_hash", "block", "template", "label", F.size("both").alias("common"), (F.size("both") / F.size("template_words")).alias("containment"))
     )
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for each row of docs."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("text_hash"), F.col(text).alias("text"))
-    # where a line holds several templates, such as one notice within another, the one with most words names it
-    by_line = matches(own, templates, threshold).groupBy("doc_id", "text_hash", "block").agg(F.max_by("label", F.struct("common", "template")).alias("label"), F.max("containment").alias("best"))
+    spaced = stored(_spaced(own), "lines")
+    # where a block holds several templates, such as one notice within another, the one with most words names it
+    by_line = _matches(spaced, templates, threshold).groupBy("doc_id", "text_hash", "block").agg(F.max_by("label", F.struct("common", "template")).alias("label"), F.max("containment").alias("best"))
     found = by_line.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set("label").alias("found"), F.max("best").alias("best"))
-    joined = _base(own).join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
+    joined = _base(spaced).join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
     text_of = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return joined.select(
         "doc_id",

@@ -53,17 +53,19 @@ def _op8() -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = f"translate({{}}, '{licenses.UPPER}', '{licenses.LOWER}')"
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in licenses.PHRASES)
-    templates = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))})" for k, (t, label) in enumerate(licenses.TEMPLATES))
+    templates = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))}, {len(t.split())})" for k, (t, label) in enumerate(licenses.TEMPLATES))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all({low.format("coalesce(text, '')")}, '{word}') AS w FROM documents),
 ph AS (SELECT * FROM (VALUES {phrases}) AS t(phrase, label, k)),
 pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE list_contains(w, 'license')),
 hit AS (SELECT pos.doc_id, pos.i - 1 AS i, ph.label FROM pos, ph WHERE array_to_string(list_slice(pos.w, pos.i, pos.i + ph.k - 1), ' ') = ph.phrase),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, list(DISTINCT label) AS labels FROM hit GROUP BY 1),
-tp AS (SELECT * FROM (VALUES {templates}) AS t(number, label, tokens)),
-ln AS (SELECT doc_id, block, list_distinct(regexp_extract_all({low.format("line")}, '{word}')) AS tokens FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS block, unnest(string_split(text, chr(10))) AS line FROM d)),
-m AS (SELECT ln.doc_id, ln.block, tp.number, tp.label, len(list_intersect(ln.tokens, tp.tokens)) AS common, len(tp.tokens) AS size FROM ln, tp
-  WHERE len(ln.tokens) >= 5 AND len(list_intersect(ln.tokens, tp.tokens)) >= ceil({licenses.THRESHOLD} * len(tp.tokens) - 1e-9)),
+tp AS (SELECT * FROM (VALUES {templates}) AS t(number, label, tokens, k)),
+cut AS (SELECT doc_id, w, unnest(range(len(list_filter(ls, lambda x: len(x) > 0)))) AS block, unnest(list_filter(ls, lambda x: len(x) > 0)) AS line
+  FROM (SELECT doc_id, w, list_transform(string_split({low.format("text")}, chr(10)), lambda x: regexp_extract_all(x, '{word}')) AS ls FROM d)),
+ln AS (SELECT doc_id, block, w, len(line) AS n, sum(len(line)) OVER (PARTITION BY doc_id ORDER BY block) - len(line) AS before FROM cut),
+m AS (SELECT doc_id, block, number, label, size, len(list_intersect(list_slice(w, before + 1, before + n + k), tokens)) AS common FROM (SELECT *, len(tokens) AS size FROM ln, tp)
+  WHERE len(list_intersect(list_slice(w, before + 1, before + n + k), tokens)) >= ceil({licenses.THRESHOLD} * size - 1e-9)),
 best AS (SELECT doc_id, block, arg_max(label, common * 1000 + number) AS label, max(common / size) AS score FROM m GROUP BY 1, 2),
 own AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM best GROUP BY 1)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.a::BIGINT AS first_word, base.z::BIGINT AS last_word,

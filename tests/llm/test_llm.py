@@ -606,9 +606,12 @@ def brute_license(text):
     w = find(text or "")
     places = [(k, label) for phrase, label in licenses.PHRASES for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
     found, best = {label for _, label in places}, 0.0
+    at = 0
     for line in (text or "").split("\n"):
-        own = set(find(line))
-        hits = [(len(own & set(t.split())), k, label, len(own & set(t.split())) / len(set(t.split()))) for k, (t, label) in enumerate(licenses.TEMPLATES)]
+        n = len(find(line))
+        block = lambda t, a=at, z=at + n: set(w[a : z + len(t.split())]) & set(t.split())
+        hits = [(len(block(t)), k, label, len(block(t)) / len(set(t.split()))) for k, (t, label) in enumerate(licenses.TEMPLATES)] if n else []
+        at += n
         hits = [h for h in hits if h[3] >= licenses.THRESHOLD - 1e-9]
         if hits:
             found.add(max(hits)[2])
@@ -620,6 +623,7 @@ def brute_license(text):
 
 NOTICES = [
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files", "Licensed under CC BY-NC 4.0.", "licensed under CC", "Licensed under the Apache License, Version 2.0",
+    "/*\n * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted,\n */", "Copyright. Redistribution and use in\n\nsource and binary forms, with or without\nmodification, are permitted provided that the\nfollowing conditions are met:", "Licensed\nunder\nCC\nBY-NC\n4.0", "other words first, permission is hereby\r\ngranted, free of charge, to any person obtaining a copy\r\nof this software and associated documentation files",
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "the of is a to", "x\nReleased under the MIT License\ny\nLicensed under CC BY 4.0",
 ]
 
@@ -632,6 +636,15 @@ def test_license_scan(docs, small, spark):
         assert got == want
 
 
+def test_wrapped_notices_are_found(spark):
+    text = {"isc": NOTICES[4], "bsd": NOTICES[5], "cc-by-nc": NOTICES[6], "mit": NOTICES[7]}
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(text.values())] + [(9, "Licensed to nobody\nunder a rock"), (10, "CC")], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(frame).collect()} == dict(enumerate(text)) | {9: "", 10: ""}
+    table = spark.createDataFrame(licenses.TEMPLATES, "text string, label string")
+    assert every(licenses.scan(frame, table), "labels", "score") == every(licenses.scan(frame), "labels", "score")
+    assert {r.labels for r in licenses.scan(frame, ()).collect()} == {""}
+
+
 def test_license_join_at_other_thresholds(spark):
     rng = np.random.default_rng(2)
     vocabulary = [f"w{k}" for k in range(25)]
@@ -641,8 +654,8 @@ def test_license_join_at_other_thresholds(spark):
     for threshold in (0.5, 0.75, 1.0):
         want = set()
         for i, t in enumerate(texts):
-            for b, line in enumerate(t.split("\n")):
-                want |= {(i, b, k) for k, (words, _) in enumerate(templates) if len(set(words.split()) & set(line.split())) / 8 >= threshold}
+            for b in range(4):
+                want |= {(i, b, k) for k, (words, _) in enumerate(templates) if len(set(words.split()) & set(t.split()[12 * b : 12 * b + 20])) / 8 >= threshold}
         assert {(r.doc_id, r.block, r.template) for r in licenses.matches(frame, templates, threshold).collect()} == want
 
 

@@ -2,14 +2,15 @@
 
 A file whose merges are ranked as its ids, with the plain byte-level split, means
 the same to both libraries; the faster one then runs. Any other file is run by
-tokenizers itself. The text of a special token is ordinary text.
+tokenizers itself, and so are texts that hold the text of an added token, which
+tokenizers reads as that token.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -43,22 +44,32 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.size = max(max(spec["model"]["vocab"].values()), max((t["id"] for t in spec.get("added_tokens", [])), default=0)) + 1
-        ranks = _ranks(spec)
-        if ranks:
+        self.path, ranks, self.fast = path, _ranks(spec), None
+        # an added token that is found in other text than its own could be missed
+        added = spec.get("added_tokens", [])
+        self.added = [t["content"] for t in added]
+        if ranks and not any(t.get("normalized") or t.get("single_word") for t in added):
             import tiktoken
 
             self.fast = tiktoken.Encoding(f"own-{os.path.basename(path)}", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        else:
-            from tokenizers import Tokenizer
 
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            self.fast = None
-            self.slow = Tokenizer.from_file(path)
-            self.slow.encode_special_tokens = True
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        return Tokenizer.from_file(self.path)
+
+    def _one(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, "<u4")
+        if any(t in text for t in self.added):
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.fast:
-            return [np.asarray(self.fast.encode_to_numpy(t, disallowed_special=()), "<u4") if t else np.zeros(0, "<u4") for t in texts]
+            return [self._one(t) for t in texts]
         return [np.array(e.ids, "<u4") for e in self.slow.encode_batch(texts, add_special_tokens=False)]
 
 

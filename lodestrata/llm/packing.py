@@ -10,8 +10,8 @@ lies in underfull bins of all shards again, many shards to one, so few bins stay
 underfull in all. Only lengths travel: ids are never shuffled.
 
 Results in edge cases: a null or empty text is a piece of one end id; repeated
-rows are packed each; ties in length go by id, so results do not depend on how
-rows are dealt to tasks; an empty table gives an empty result.
+rows are packed each, and are dealt to all shards however many there are; ties in
+length go by id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from .byte_bpe import encoder
 from .common import bounded, slices, stored, text_bytes
 
 SEQUENCE, END_ID = 1024, 2
-#: Pieces that are packed together.
-SHARD = 50_000
+#: Pieces that are packed together, and how often the search goes through the underfull bins at most.
+SHARD, PASSES = 50_000, 50
 
 
 def cut(n: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -136,15 +136,19 @@ class _Search:
         return False
 
     def run(self) -> None:
-        done = np.zeros(len(self.bins), bool)
-        while True:
-            live = (self.fill > 0) & (self.fill < self.most) & ~done
-            if live.sum() < 1 or ((self.fill > 0) & (self.fill < self.most)).sum() < 2:
+        """From the lightest bin to the fullest, again and again until no exchange is left or PASSES are over. What an exchange leaves behind may open another, so a pass that emptied no bin still counts."""
+        for _ in range(PASSES):
+            done, changed = np.zeros(len(self.bins), bool), False
+            while True:
+                live = (self.fill > 0) & (self.fill < self.most) & ~done
+                if live.sum() < 1 or ((self.fill > 0) & (self.fill < self.most)).sum() < 2:
+                    break
+                light = int(np.flatnonzero(live)[np.argmin(self.fill[live])])
+                while self.fill[light] > 0 and self._improve(light):
+                    changed = True
+                done[light] = self.fill[light] > 0
+            if not changed:
                 return
-            light = int(np.flatnonzero(live)[np.argmin(self.fill[live])])
-            while self.fill[light] > 0 and self._improve(light):
-                pass
-            done[light] = self.fill[light] > 0
 
 
 def pack(lengths: np.ndarray, most: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +221,7 @@ def assign(found: DataFrame, most: int = SEQUENCE, shard: int = SHARD) -> DataFr
     count = short.count()
     shards = max(1, round(count / shard))
     later = max(1, round(shards / 16))
-    mixed = F.xxhash64("doc_id", "ids_crc32", "length")
+    mixed = F.xxhash64("doc_id", "piece", "row")
     first = stored(short.withColumn("shard", F.pmod(mixed, F.lit(shards))).groupBy("shard").applyInArrow(_pack_groups(most), PACKED), "packed")
     columns = [n.split()[0] for n in PIECES.split(", ")]
     again = first.where(~F.col("full")).select(*columns, F.pmod(F.xxhash64("shard"), F.lit(later)).alias("shard")).groupBy("shard").applyInArrow(_pack_groups(most), PACKED)

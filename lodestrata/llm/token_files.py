@@ -1,7 +1,8 @@
 """Token-id files: canonical length-limited Huffman codes in independent blocks.
 
 The ids of all texts are counted in Spark; the counts (at most one row per id of
-the vocabulary) give one code whose lengths package-merge limits to MOST_BITS.
+the vocabulary) give one code whose lengths package-merge limits to MOST_BITS, or
+to as many bits as that many ids need.
 Only the lengths are stored, as the code is canonical. Documents are dealt by
 ranges of their id and coded in that order, in blocks of about BLOCK_IDS ids.
 
@@ -11,13 +12,13 @@ checkpoint distance, u32 checkpoints, u64 payload bytes, u32 crc32 of the
 payload; i64 id of each document (smallest i64: null), u32 ids of each document;
 u64 bit offset of each checkpoint; the payload. A checkpoint stands at every
 CHECKPOINT-th id, so all stretches between them are decoded side by side by a
-table that MOST_BITS bits index. Blocks are rows of a Parquet table in the
+table that the longest code's bits index. Blocks are rows of a Parquet table in the
 shared folder (part, block, data), the lengths its row with part -1: any store
 that Spark reaches will do, and a lost executor costs no block twice.
 
 Results in edge cases: a null or empty text has the end id only; rows with a
-null id come first; repeated rows are stored each, in a fixed order; an empty
-table gives an empty table of blocks.
+null id come first; repeated rows are stored each, and as many as there may be of
+one id are dealt to several parts; an empty table gives an empty table of blocks.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
@@ -43,9 +44,10 @@ _HEAD = struct.Struct("<4sIQQIIQI")
 _NULL = -(1 << 63)
 
 
-def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
-    """The optimal code length of each id under the limit, by package-merge; 0 for ids that do not occur."""
+def code_lengths(counts: np.ndarray, most: int | None = None) -> np.ndarray:
+    """The optimal code length of each id under the limit, by package-merge; 0 for ids that do not occur. The limit is MOST_BITS or, for more than 2**MOST_BITS / 4 ids, two bits above what their number needs."""
     used = np.flatnonzero(counts)
+    most = max(MOST_BITS, int(max(len(used) - 1, 0)).bit_length() + 2) if most is None else most
     out = np.zeros(len(counts), np.uint8)
     n = len(used)
     if n <= 1:
@@ -73,12 +75,14 @@ def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
 
 @dataclass
 class Code:
-    """The canonical code of given lengths."""
+    """The canonical code of given lengths, the longest of which sets the size of the decoding table. At most 25 bits can be read at once."""
 
     lengths: np.ndarray
-    most: int = MOST_BITS
 
     def __post_init__(self) -> None:
+        self.most = max(1, int(self.lengths.max(initial=0)))
+        if self.most > 25:
+            raise ValueError(f"codes of {self.most} bits are too long")
         used = np.flatnonzero(self.lengths)
         order = used[np.lexsort((used, self.lengths[used]))]
         size = self.lengths[order].astype(np.int64)
@@ -222,8 +226,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str = "
     counts[np.asarray(counted["id"])] = np.asarray(counted["n"])
     lengths = code_lengths(counts)
     parts = max(1, -(-int(counts.sum()) // PART_IDS))
-    rows = ids.where("n >= 0").select("doc_id", "n", "ids", "check")
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n", "check").select("doc_id", "n", "ids")
+    # a number of its own lets the ranges part rows that are all alike
+    rows = ids.where("n >= 0").select("doc_id", "n", "ids", "check", F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
+    by = ("doc_id", "n", "check", "salt")
+    ordered = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("doc_id", "n", "ids")
     blocks = ordered.mapInArrow(_write(lengths, "<u2" if size <= 1 << 16 else "<u4"), "part long, block long, n long, data binary")
     head = spark.createDataFrame([(-1, 0, 0, bytearray(zlib.compress(lengths.tobytes())))], "part long, block long, n long, data binary")
     out = stored(blocks.unionByName(head), "token-blocks")
@@ -235,26 +241,24 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def read(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the blocks."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the blocks. What lies before each part is a table of a row for each PART_IDS ids, which is joined."""
     (head,) = files.where("part = -1").select("data").collect()
     lengths = np.frombuffer(zlib.decompress(bytes(head.data)), np.uint8)
-    sizes = sorted((r.part, r.n) for r in files.where("part >= 0").groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row for each output partition
-    first, total = {}, 0
-    for part, n in sizes:
-        first[part] = total
-        total += n
+    sizes = files.where("part >= 0").groupBy("part").agg(F.sum("n").alias("n"))
+    before_part = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(lengths)
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs, counts, ids, before = read_block(data.as_py(), code)
-                ends = np.cumsum(counts, dtype=np.int64)
+                ends, docs_ = np.cumsum(counts, dtype=np.int64), len(docs)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == _NULL), pa.array(first[part] + before + ends - counts), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == _NULL), pa.array(before + ends - counts), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(np.full(docs_, part, np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32", "part"])
 
-    return files.where("part >= 0").select("part", "data").mapInArrow(run, READ)
+    found = files.where("part >= 0").select("part", "data").mapInArrow(run, READ + ", part long")
+    return found.join(before_part, "part").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_ids(files: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
 """ISO media containers: a writer, and a reader that walks boxes and sample tables only.
 
 The reader decodes no payload. It walks the nested boxes, reads the sample
-tables (sizes, chunks, chunk offsets, times, sync samples) and returns codec,
-duration, sample count, where each keyframe's bytes lie, and the byte ranges
-that hold all samples. The writer stores bytes as 8-bit audio samples so that
-any payload survives a round trip.
+tables (sizes, compact sizes, chunks, chunk offsets, times, sync samples) and the
+runs of movie fragments, and returns codec, duration, sample count, where each
+keyframe's bytes lie, and the byte ranges that hold all samples. The writer stores
+bytes as 8-bit audio samples so that any payload survives a round trip.
 
 Results in edge cases: a null or empty text is stored as one frame of blanks;
 bytes that are no container, or a container cut short, give a row whose
-`problem` says so; equal payloads give equal files, as no clock or chance is
+`problem` says so, as does a fragment of a track that there is not; boxes may be
+nested however deep; a sample without a known flag is a keyframe where its track
+has no table of them; equal payloads give equal files, as no clock or chance is
 used; repeated rows give repeated results.
 """
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, slices, text_bytes
+from .common import bounded, slices, stored, text_bytes
 
 FRAME, RATE, KEY_EVERY, CHUNK_FRAMES = 192, 8000, 16, 64
 
@@ -94,6 +96,7 @@ class Track:
     timescale: int = 0
     duration: int = 0
     samples: int = 0
+    number: int = 0
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -108,10 +111,13 @@ class Track:
         return list(zip(start[np.r_[0, cut + 1]].tolist(), end[np.r_[cut, len(end) - 1]].tolist(), strict=True))
 
 
-def walk(data: bytes, start: int = 0, stop: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """Each box with its path and where its body lies. A box that ends beyond its parent raises ValueError."""
-    stop = len(data) if stop is None else stop
-    while start + 8 <= stop:
+    open_: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while open_:
+        start, stop, path = open_.pop()
+        if start + 8 > stop:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
@@ -123,11 +129,11 @@ def walk(data: bytes, start: int = 0, stop: int | None = None, path: tuple[bytes
             size = stop - start
         if size < body - start or start + size > stop:
             raise ValueError("box is cut short")
-        own = (*path, kind)
+        open_.append((start + size, stop, path))
+        own = (*path[-3:], kind)  # who asks for more of a path than that does not need it
         yield own, body, start + size
-        if kind in CONTAINERS and len(own) < 16:
-            yield from walk(data, body + CONTAINERS[kind], start + size, own)
-        start += size
+        if kind in CONTAINERS:
+            open_.append((body + CONTAINERS[kind], start + size, own))
 
 
 def _numbers(data: bytes, at: int, stop: int, kind: str, count: int) -> np.ndarray:
@@ -137,21 +143,136 @@ def _numbers(data: bytes, at: int, stop: int, kind: str, count: int) -> np.ndarr
     return np.frombuffer(data, kind, count, at).astype(np.int64)
 
 
+def _sizes(data: bytes, at: int, stop: int, kind: bytes) -> np.ndarray:
+    """The sizes of all samples, from a table of 32-bit or of compact sizes."""
+    size, count = struct.unpack_from(">II", data, at + 4)
+    if kind == b"stsz":
+        return np.full(count, size, np.int64) if size and count <= len(data) else _numbers(data, at + 12, stop, ">u4", count)
+    width = size & 255
+    if width == 4:
+        packed = _numbers(data, at + 12, stop, "u1", (count + 1) // 2)
+        return np.stack([packed >> 4, packed & 15], 1).ravel()[:count]
+    if width not in (8, 16):
+        raise ValueError("sizes have no known width")
+    return _numbers(data, at + 12, stop, "u1" if width == 8 else ">u2", count)
+
+
+#: Flags of fragment boxes (fixed values), and the flag of a sample that is no keyframe.
+BASE_OFFSET, DEFAULT_DURATION, DEFAULT_SIZE, DEFAULT_FLAGS, DESCRIPTION, FROM_MOOF = 0x1, 0x8, 0x10, 0x20, 0x2, 0x20000
+DATA_OFFSET, FIRST_FLAGS, DURATIONS, SIZES, FLAGS, TIMES = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NO_SYNC = 0x10000
+
+
+class _Fragments:
+    """What the boxes of movie fragments say of their tracks' samples."""
+
+    def __init__(self) -> None:
+        self.defaults: dict[int, tuple[int, int, int]] = {}
+        self.found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]] = {}
+        self.moof = self.base = self.next = 0
+        self.track, self.duration, self.size, self.flags = 0, 0, 0, 0
+
+    def trex(self, data: bytes, at: int) -> None:
+        track, _, *rest = struct.unpack_from(">IIIII", data, at + 4)
+        self.defaults[track] = tuple(rest)
+
+    def tfhd(self, data: bytes, at: int) -> None:
+        flags, track = struct.unpack_from(">II", data, at)
+        if track != self.track and not flags & (BASE_OFFSET | FROM_MOOF):
+            self.base = self.next or self.moof  # the data of a track follow those of the one before
+        self.track, at = track, at + 8
+        self.duration, self.size, self.flags = self.defaults.get(track, (0, 0, 0))
+        if flags & BASE_OFFSET:
+            (self.base,) = struct.unpack_from(">Q", data, at)
+            at += 8
+        elif flags & FROM_MOOF:
+            self.base = self.moof
+        self.next = self.base
+        at += 4 * bool(flags & DESCRIPTION)
+        for flag, name in ((DEFAULT_DURATION, "duration"), (DEFAULT_SIZE, "size"), (DEFAULT_FLAGS, "flags")):
+            if flags & flag:
+                setattr(self, name, struct.unpack_from(">I", data, at)[0])
+                at += 4
+
+    def trun(self, data: bytes, at: int, stop: int) -> None:
+        flags, count = struct.unpack_from(">II", data, at)
+        at += 8
+        if flags & DATA_OFFSET:
+            self.next = self.base + struct.unpack_from(">i", data, at)[0]
+            at += 4
+        first = None
+        if flags & FIRST_FLAGS:
+            (first,) = struct.unpack_from(">I", data, at)
+            at += 4
+        held = [f for f in (DURATIONS, SIZES, FLAGS, TIMES) if flags & f]
+        if not held and count > len(data):
+            raise ValueError("run is cut short")
+        table = _numbers(data, at, stop, ">u4", count * len(held)).reshape(count, len(held))
+        column = lambda flag, other: table[:, held.index(flag)] if flag in held else np.full(count, other, np.int64)
+        sizes, marks = column(SIZES, self.size), column(FLAGS, self.flags).copy()
+        if first is not None and count and FLAGS not in held:
+            marks[0] = first
+        starts = self.next + np.cumsum(sizes) - sizes
+        self.next += int(sizes.sum())
+        if count and (int(starts.min()) < 0 or self.next > len(data)):
+            raise ValueError("samples lie beyond the end")
+        self.found.setdefault(self.track, []).append((starts, sizes, (marks & NO_SYNC) == 0, int(column(DURATIONS, self.duration).sum())))
+
+    def add_to(self, tracks: list[Track]) -> None:
+        for number, runs in self.found.items():
+            track = next((t for t in tracks if t.number == number), None)
+            if track is None:
+                raise ValueError("fragment of a track that there is not")
+            keys = np.concatenate([k for *_, k, _ in runs])
+            track.keys = np.concatenate([track.keys, track.samples + np.flatnonzero(keys)])
+            track.offsets = np.concatenate([track.offsets, *(r[0] for r in runs)])
+            track.sizes = np.concatenate([track.sizes, *(r[1] for r in runs)])
+            track.samples = len(track.sizes)
+            track.duration += sum(r[3] for r in runs)
+
+
+def _chunked(own: dict[str, np.ndarray], sizes: np.ndarray, end: int) -> np.ndarray:
+    """Where each sample of the sample tables begins."""
+    chunks, runs = own.get("chunks", np.zeros(0, np.int64)), own.get("runs", np.zeros((0, 3), np.int64))
+    if not len(runs) or not len(chunks) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any():
+        raise ValueError("no whole chunk table")
+    per = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0], len(chunks) + 1]).clip(0))[: len(chunks)]
+    if int(per.sum()) < len(sizes):
+        raise ValueError("chunks hold fewer samples than there are")
+    chunk = np.repeat(np.arange(len(per)), np.minimum(per, len(sizes)))[: len(sizes)]
+    before = np.cumsum(sizes) - sizes
+    first = np.r_[True, chunk[1:] != chunk[:-1]]
+    offsets = chunks[chunk] + before - np.repeat(before[first], np.diff(np.r_[np.flatnonzero(first), len(sizes)]))
+    if int((offsets + sizes).max()) > end or int(offsets.min()) < 0:
+        raise ValueError("samples lie beyond the end")
+    return offsets
+
+
 def read_container(data: bytes) -> list[Track]:
     """The tracks of a container. Raises ValueError for what is no whole container."""
     tracks: list[Track] = []
     tables: list[dict[str, np.ndarray]] = []
+    fragments = _Fragments()
     try:
         for path, at, stop in walk(data):
             kind = path[-1]
             if kind == b"trak":
                 tracks.append(Track())
                 tables.append({})
-                continue
+            elif kind == b"moof":
+                fragments.moof, fragments.base, fragments.next, fragments.track = at - 8, at - 8, 0, 0
+            elif kind == b"trex":
+                fragments.trex(data, at)
+            elif kind == b"tfhd":
+                fragments.tfhd(data, at)
+            elif kind == b"trun":
+                fragments.trun(data, at, stop)
             if not tracks:
                 continue
             t, own = tracks[-1], tables[-1]
-            if kind == b"mdhd":
+            if kind == b"tkhd":
+                (t.number,) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
+            elif kind == b"mdhd":
                 t.timescale, t.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
             elif kind == b"hdlr" and b"mdia" in path:
                 t.handler = data[at + 8 : at + 12].decode("latin-1")
@@ -163,34 +284,23 @@ def read_container(data: bytes) -> list[Track]:
                 own["keys"] = _numbers(data, at + 8, stop, ">u4", struct.unpack_from(">I", data, at + 4)[0]) - 1
             elif kind == b"stsc":
                 own["runs"] = _numbers(data, at + 8, stop, ">u4", 3 * struct.unpack_from(">I", data, at + 4)[0]).reshape(-1, 3)
-            elif kind == b"stsz":
-                size, count = struct.unpack_from(">II", data, at + 4)
-                own["sizes"] = np.full(count, size, np.int64) if size and count <= len(data) else _numbers(data, at + 12, stop, ">u4", count)
+            elif kind in (b"stsz", b"stz2"):
+                own["sizes"] = _sizes(data, at, stop, kind)
             elif kind in (b"stco", b"co64"):
                 own["chunks"] = _numbers(data, at + 8, stop, ">u4" if kind == b"stco" else ">u8", struct.unpack_from(">I", data, at + 4)[0])
-    except struct.error as e:
+    except (struct.error, IndexError) as e:
         raise ValueError("box is cut short") from e
     if not tracks:
         raise ValueError("no track")
     for t, own in zip(tracks, tables, strict=True):
         t.sizes = own.get("sizes", t.sizes)
         t.samples = len(t.sizes)
-        chunks, runs = own.get("chunks", np.zeros(0, np.int64)), own.get("runs", np.zeros((0, 3), np.int64))
         if t.samples:
-            if not len(runs) or not len(chunks) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any():
-                raise ValueError("no whole chunk table")
-            per = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0], len(chunks) + 1]).clip(0))[: len(chunks)]
-            if int(per.sum()) < t.samples:
-                raise ValueError("chunks hold fewer samples than there are")
-            chunk = np.repeat(np.arange(len(per)), per)[: t.samples]
-            before = np.cumsum(t.sizes) - t.sizes
-            first = np.r_[True, chunk[1:] != chunk[:-1]]
-            t.offsets = chunks[chunk] + before - np.repeat(before[first], np.diff(np.r_[np.flatnonzero(first), t.samples]))
-            if int((t.offsets + t.sizes).max()) > len(data):
-                raise ValueError("samples lie beyond the end")
+            t.offsets = _chunked(own, t.sizes, len(data))
         if "time" in own and not t.duration:
             t.duration = int((own["time"][:, 0] * own["time"][:, 1]).sum())
-        t.keys = own["keys"][own["keys"] < t.samples] if "keys" in own else np.arange(t.samples)
+        t.keys = own["keys"][(own["keys"] < t.samples) & (own["keys"] >= 0)] if "keys" in own else np.arange(t.samples)
+    fragments.add_to(tracks)
     return tracks
 
 
@@ -239,24 +349,28 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each text as a container, in a column of bytes."""
-    return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(_store, STORE_SCHEMA)
+    """Each text as a container, in a column of bytes of a table that is written to the shared folder and read again."""
+    return stored(bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).mapInArrow(_store, STORE_SCHEMA), "media")
 
 
-DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration long, key_starts array<long>, key_ends array<long>"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = DIGEST_SCHEMA.replace(",", "").split()[::2]
+    names = [c.split()[0] for c in DIGEST_SCHEMA.split(", ")]
     for batch in slices(batches, "media"):
-        rows = []
+        rows, starts, ends = [], [], []
         for data in batch.column(2).to_pylist():
             track = read_container(data)[0]
             payload = payload_of(data, track)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(track)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, zip(*rows, strict=True))], names)
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(track), track.codec, track.duration))
+            starts.append(track.offsets[track.keys])
+            ends.append(starts[-1] + track.sizes[track.keys])
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in starts])]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x))) for x in (starts, ends)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, zip(*rows, strict=True)), *lists], names)
 
 
-def digests(stored: DataFrame) -> DataFrame:
-    """What is read back from the containers of store()."""
-    return stored.mapInArrow(_digest, DIGEST_SCHEMA)
+def digests(media: DataFrame) -> DataFrame:
+    """What is read back from the containers of store(): digests, codec, duration and the byte range of each keyframe."""
+    return media.mapInArrow(_digest, DIGEST_SCHEMA)

@@ -736,6 +736,45 @@ def test_media_of_other_shapes():
     assert track.codec == "avc1" and track.ranges() == [(8, 19), (40, 47)] and track.ranges(track.keys) == [(40, 47)] and track.duration == 1200
 
 
+def fragmented():
+    """A movie without samples of its own, and two fragments of two samples each; the second runs from its moof, with flags by sample."""
+    box, full = media._box, media._full
+    u = lambda *n: b"".join(k.to_bytes(4, "big") for k in n)
+    track = box(b"trak", full(b"tkhd", u(0, 0, 7, 0)), box(b"mdia", full(b"mdhd", u(0, 0, 600, 0)), box(b"minf", box(b"stbl", full(b"stsd", u(1), box(b"avc1"))))))
+    movie = box(b"moov", track, box(b"mvex", full(b"trex", u(7, 1, 100, 5, media.NO_SYNC))))
+    one = lambda at: box(b"moof", box(b"traf", full(b"tfhd", u(7), flags=0x20000), full(b"trun", u(2, at, 0), flags=0x5)))
+    first = one(len(one(0)) + 8) + box(b"mdat", b"aaaaabbbbb")
+    two = lambda at: box(b"moof", box(b"traf", full(b"tfhd", u(7), flags=0x20000), full(b"trun", u(2, at, 3, media.NO_SYNC, 4, 0), flags=0x601)))
+    return movie + first + two(len(two(0)) + 8) + box(b"mdat", b"cccdddd")
+
+
+def test_fragments_are_read(spark):
+    data = fragmented()
+    (track,) = media.read_container(data)
+    assert media.payload_of(data, track) == b"aaaaabbbbbcccdddd" and track.samples == 4 and track.duration == 400
+    assert [data[a:b] for a, b in track.ranges(track.keys)] == [b"aaaaa", b"dddd"]
+    row = media.inspect(spark.createDataFrame([(data,), (data.replace((7).to_bytes(4, "big"), (8).to_bytes(4, "big"), 1),)], "media binary")).collect()
+    assert row[0].problem is None and row[0].tracks[0].samples == 4 and row[1].problem
+
+
+def test_compact_sizes_and_deep_boxes():
+    u = lambda *n: b"".join(k.to_bytes(4, "big") for k in n)
+    for width, raw in ((4, b"\x56\x70"), (8, b"\5\6\7"), (16, b"\0\5\0\6\0\7")):
+        body = media._full(b"stz2", u(width, 3), raw)
+        assert media._sizes(body, 8, len(body), b"stz2").tolist() == [5, 6, 7]
+    data = b""
+    for _ in range(3000):
+        data = media._box(b"udta", data)
+    assert sum(1 for _ in media.walk(data)) == 3000
+
+
+def test_keyframe_ranges_are_columns(docs):
+    row = media.digests(media.store(docs)).where("doc_id = 15").first()
+    frames = row.payload_bytes // 192
+    assert row.codec == "raw" and row.duration == row.payload_bytes and len(row.key_starts) == -(-frames // 16)
+    assert all(b - a == 192 for a, b in zip(row.key_starts, row.key_ends, strict=True)) and row.key_starts[1] - row.key_starts[0] == 16 * 192
+
+
 def test_damaged_media_is_reported(spark):
     whole = media.write_container(media.pad(b"x"))
     rows = [(None,), (b"",), (b"no box",), (whole[:300],), (whole[:-20],), (whole,), (b"\0\0\0\x08moov",)]

@@ -48,7 +48,7 @@ GROUP, TILE = 16_384, 1_024
 SIMILARITY, NEAR_SHINGLE, NEAR_RADIUS = 0.8, 5, 36
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text whose shingle sets one task compares with one another.
-CELL_BYTES = 8_000_000
+CELL_BYTES = 500_000
 
 
 def _shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +231,8 @@ def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Rec
 def _grouped_links(keyed: DataFrame, radius: int, group: int, similarity: float = 0.0) -> DataFrame:
     """A spanning forest (a, b) of the links within each key. keyed: key, fp; or key, fp, fp2, n, node."""
     names = [c for c in keyed.columns if c != "key"]
-    large = keyed.groupBy("key").count().where(F.col("count") > group).select("key", F.ceil(F.col("count") / group).cast("int").alias("parts"))
+    # as a table its size is known when the join is planned: where it is small, keys are shuffled once only
+    large = stored(keyed.groupBy("key").count().where(F.col("count") > group).select("key", F.ceil(F.col("count") / group).cast("int").alias("parts")), "large")
     part = F.pmod(F.xxhash64(*names), F.col("parts")).cast("int")
     low, high = F.least(F.col("part"), F.col("other")), F.greatest(F.col("part"), F.col("other"))
     dealt = (

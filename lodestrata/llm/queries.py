@@ -24,7 +24,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     shown = pages.select("page_id", F.regexp_extract("url", "^[^?#]*/([0-9]{1,18})", 1).try_cast("long").alias("doc_id"))
     bad = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return host_reputation.judge(pages, shown.join(bad, "doc_id").select("page_id", "bad")).drop("rate", "bound")
+    return host_reputation.judge(pages, shown.join(bad, "doc_id").select("page_id", "bad")).drop("rate", "below")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,17 +60,30 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents")).drop("intervals")
 
 
-#: The same prior chain and bound, level by level.
-OP2_SQL = """
+_TWO = "|".join(s.replace(".", "\\.") for s in host_reputation.TWO_LABEL_SUFFIXES)
+_STEPS = f"list_transform(range({host_reputation.POINTS}), lambda k: (k - {host_reputation.POINTS // 2}) * {host_reputation.STEP}::DOUBLE)"
+_LT = "(least({u}, 0.0) - ln(1 + exp(-abs({u}))))"
+
+
+def _mass(sign: int) -> str:
+    """The mass of the posterior on one side of a share of one half, as in host_reputation."""
+    v = "w * exp(s - exp(-s))"
+    u = f"({sign} * {v})"
+    return f"list_sum(list_transform({_STEPS}, lambda s: exp(a * {_LT.format(u=u)} + b * {_LT.format(u=f'(-1 * {u})')} - peak) * {v} * (1 + exp(-s))))"
+
+
+#: The same prior chain and posterior, level by level.
+OP2_SQL = f"""
 WITH cut AS (
   SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 parts AS (
   SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
-    try_cast(regexp_extract(url, '^[^?#]*/([0-9]{1,18})', 1) AS BIGINT) AS doc_id FROM cut),
+    try_cast(regexp_extract(url, '^[^?#]*/([0-9]{{1,18}})', 1) AS BIGINT) AS doc_id FROM cut),
 placed AS (
-  SELECT page_id, host, path, regexp_extract(regexp_replace(host, '^.*@|:[0-9]*$', ''), '(?:[^.]+\\.)?[^.]*$', 0) AS domain,
-    regexp_extract(regexp_replace(host, '^.*@|:[0-9]*$', ''), '[^.]*$', 0) AS suffix, doc_id FROM parts),
+  SELECT page_id, host, path, CASE WHEN address THEN bare ELSE regexp_extract(bare, '(?:[^.]+\\.)?(?:{_TWO}|[^.]*)$', 0) END AS domain,
+    CASE WHEN address THEN 'address' ELSE regexp_extract(bare, '(?:^|\\.)({_TWO}|[^.]*)$', 1) END AS suffix, doc_id
+  FROM (SELECT *, regexp_matches(bare, '^[0-9]+(\\.[0-9]+){{3}}$|^\\[') AS address FROM (SELECT *, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS bare FROM parts))),
 outcome AS (
   SELECT p.host, p.domain, p.suffix, max(CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0 END) AS bad
   FROM placed p LEFT JOIN labels l ON p.doc_id = l.doc_id GROUP BY p.page_id, p.host, p.domain, p.suffix),
@@ -89,7 +102,9 @@ hj AS (SELECT h.*, dp.prior FROM h JOIN dp ON h.domain = dp.domain AND h.suffix
 hx AS (SELECT sum(power(bad - n * prior, 2) / (n * prior * (1 - prior))) AS x, count(*) AS u, sum(n - 1) AS m FROM hj WHERE n > 0),
 s3 AS (SELECT CASE WHEN m > 0 AND x > u THEN least(greatest(m / (x - u) - 1, 1.0), 10000.0) ELSE 10000.0 END AS w FROM hx),
 hr AS (SELECT host, n + w AS total, (bad + w * prior) / (n + w) AS rate FROM hj, s3),
-hb AS (SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (total + 1)) AS bound FROM hr)
+hp AS (SELECT *, rate * total AS a, (1 - rate) * total AS b, (rate - {host_reputation.LIMIT}) / sqrt(rate * (1 - rate) / (total + 1)) AS apart FROM hr),
+hw AS (SELECT *, sqrt(1 / a + 1 / b) AS w, a * {_LT.format(u="ln(a / b)")} + b * {_LT.format(u="ln(b / a)")} AS peak FROM hp),
+hb AS (SELECT host, CASE WHEN apart > 30 THEN 0.0 WHEN apart < -30 THEN 1.0 ELSE low / (low + high) END AS below FROM (SELECT *, {_mass(-1)} AS low, {_mass(1)} AS high FROM hw))
 SELECT p.page_id, p.host, p.path,
   CASE WHEN (p.host = 'www.example.com' OR p.host LIKE '%.www.example.com') AND starts_with(p.path, '/en/') THEN 'www.example.com/en/'
        WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(p.path, '/en/') THEN 'example.com/en/'
@@ -100,7 +115,7 @@ SELECT p.page_id, p.host, p.path,
        WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(p.path, '/en/') THEN 'block'
        WHEN (p.host = 'net' OR p.host LIKE '%.net') AND (starts_with(p.path, '/es/') OR starts_with(p.path, '/fr/')) THEN 'block'
        WHEN (p.host = 'com' OR p.host LIKE '%.com') AND starts_with(p.path, '/') THEN 'allow'
-       WHEN hb.bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+       WHEN hb.below < 1 - {host_reputation.CONFIDENCE} THEN 'block' ELSE 'allow' END AS verdict
 FROM placed p LEFT JOIN hb ON p.host = hb.host
 """
 

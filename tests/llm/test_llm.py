@@ -272,6 +272,36 @@ def test_bad_hosts_are_blocked_and_thin_evidence_is_shrunk(spark):
     assert got[1001].verdict == "allow" and len(got) == 402
 
 
+@pytest.mark.parametrize("limit", [0.5, 0.2])
+def test_posterior_mass_equals_an_integral(spark, limit):
+    cases = [(a, b) for a in (0.05, 0.7, 1.0, 3.5, 40.0, 4000.0) for b in (0.05, 1.0, 2.5, 90.0, 4200.0)]
+    frame = spark.createDataFrame([(a / (a + b), a + b) for a, b in cases], "rate double, total double")
+    got = [r[0] for r in frame.coalesce(1).select(host_reputation.below(F.col("rate"), F.col("total"), limit)).collect()]
+
+    def brute(a, b):
+        u = np.linspace(-800, 800, 4_000_001)
+        log = -a * np.logaddexp(0, -u) - b * np.logaddexp(0, u)
+        mass = np.exp(log - log.max())
+        return mass[u <= math.log(limit / (1 - limit))].sum() / mass.sum()
+
+    assert got == pytest.approx([brute(a, b) for a, b in cases], abs=5e-4)
+
+
+def test_suffixes_are_a_parameter(spark):
+    pages = spark.createDataFrame([(1, "https://a.b.co.uk/x"), (2, "https://a.b.my.tld/x"), (3, "https://10.0.0.1:80/x"), (4, "https://u@co.uk/")], "page_id long, url string")
+    of = lambda *s: {r.page_id: (r.domain, r.suffix) for r in host_reputation.with_parts(pages, "url", *s).collect()}
+    assert of() == {1: ("b.co.uk", "co.uk"), 2: ("my.tld", "tld"), 3: ("10.0.0.1", "address"), 4: ("co.uk", "co.uk")}
+    assert of(("my.tld",)) == {1: ("co.uk", "uk"), 2: ("b.my.tld", "my.tld"), 3: ("10.0.0.1", "address"), 4: ("co.uk", "uk")}
+
+
+def test_of_repeated_labels_the_worst_counts_and_other_columns_change_nothing(spark):
+    pages = spark.createDataFrame([(k, f"https://h{k % 3}.org/{k}") for k in range(60)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, k % 3 == 1) for k in range(60)] + [(1, False), (1, True), (None, True)], "page_id long, bad boolean")
+    wide = pages.withColumns({n: F.lit("x") for n in ("host", "path", "domain", "suffix", "bad", "n", "rate", "_url", "prior")})
+    got = [sorted(map(repr, host_reputation.judge(p, labels).select("page_id", "host", "verdict").collect())) for p in (pages, wide)]
+    assert got[0] == got[1] and sum("block" in r for r in got[0]) == 20
+
+
 def test_url_filter_on_an_empty_table(spark):
     assert host_reputation.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad boolean")).count() == 0
 

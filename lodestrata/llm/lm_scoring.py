@@ -16,9 +16,8 @@ grows with the corpus and is never in one place:
 
 - One pass counts words and pairs (the DEPTH bytes before a symbol, the symbol).
   Each task combines what it has counted, and passes pairs on as packed arrays by
-  BUCKETS hashed buckets, which are then merged bucket by bucket. All shallower
-  counts are sums of these.
-- Pairs are dealt by their newest TOP + 1 bytes, so a task sees whole subtrees. It
+  their newest TOP + 1 bytes. All shallower counts are sums of these.
+- The arrays are dealt by these bytes, so a task merges, and sees, whole subtrees. It
   weighs them from the deepest contexts up, and each pair gets what its subtree
   says of its symbol's eight bits. Pairs that are only asked for have count 0.
 - The TOP levels above (at most 256**TOP contexts) are weighed from the sums of
@@ -58,14 +57,14 @@ HELD = 400_000
 DEPTH, LEAST, TOP = 6, 2, 2
 #: Pairs whose scores are broadcast, those that a training task holds, and those that are weighed at once.
 GRAM_HEAD, GRAMS_HELD, WEIGHED = 2_000_000, 1_000_000, 300_000
-#: Pairs are merged in so many buckets. A task that merges one holds its distinct pairs, and up to UNMERGED more.
-BUCKETS, UNMERGED = 4096, 2_000_000
+#: Pairs that a task holds before it merges them.
+UNMERGED = 1_000_000
 #: In Model.tree: share of all training bytes that a context of three or four bytes must hold.
 SHARE = 1 / 32_768
 #: Bytes of text that a task works on at once: each takes some 60 bytes of arrays.
 STEP = 1_000_000
-WORD, TRIPLE, TEXTS, FOUR, FIVE, GRAM = 0, 1, 2, 3, 4, 5
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of counted rows; pairs with counts of one byte, and of eight.
+WORD, TRIPLE, TEXTS, FOUR, FIVE, GRAMS, FREQUENT = 0, 1, 2, 3, 4, 5, 6
 END, PAD = b"\xff", 4
 
 _SYMBOLS = np.arange(256)
@@ -279,8 +278,9 @@ def subtrees(key: np.ndarray, n: np.ndarray, least: int = LEAST) -> tuple[np.nda
 
 
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs come in their order; a subtree that goes on in the next batch waits for it."""
-    keys, counts, held = [], [], 0
+    """Packed pairs come by subtree, in ascending order; a subtree that goes on in the next batch waits for it."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    width = 8 * (DEPTH - TOP)
 
     def found(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         given, nodes, weights = subtrees(key, n)
@@ -290,19 +290,26 @@ def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), bits, pa.nulls(len(key), pa.float64())], names)
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.binary()), pa.array(weights)], names)
 
+    def whole(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """At most about WEIGHED pairs at a time, but never less than a subtree."""
+        first = np.flatnonzero(np.r_[True, key[1:] >> width != key[:-1] >> width]) if len(key) else np.zeros(0, np.int64)
+        at = 0
+        while at < len(key):
+            stop = int(first[k]) if (k := int(np.searchsorted(first, at + WEIGHED))) < len(first) else len(key)
+            yield from found(key[at:stop], n[at:stop])
+            at = stop
+
     for batch in batches:
-        keys.append(np.asarray(batch.column(0)))
-        counts.append(np.asarray(batch.column(1)))
-        held += batch.num_rows
-        if held >= WEIGHED:
-            key, n = np.concatenate(keys), np.concatenate(counts)
-            subtree = key >> 8 * (DEPTH - TOP)
-            cut = int(np.searchsorted(subtree, subtree[-1]))
-            if cut:
-                yield from found(key[:cut], n[:cut])
-            keys, counts, held = [key[cut:]], [n[cut:]], 0
-    if keys and sum(map(len, keys)):
-        yield from found(np.concatenate(keys), np.concatenate(counts))
+        if not batch.num_rows:
+            continue
+        parts.append(_unpacked(batch))
+        if sum(len(k) for k, _ in parts) > UNMERGED:
+            key, n = _merged(parts)
+            last = int(np.searchsorted(key, (key[-1] >> width) << width))
+            yield from whole(key[:last], n[:last])
+            parts = [(key[last:], n[last:])]
+    if parts:
+        yield from whole(*_merged(parts))
 
 
 @dataclass
@@ -363,7 +370,7 @@ def triples(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams(texts, 3)
 
 
-COUNTED = "kind int, key binary, n long, bucket int, counts binary"
+COUNTED = "kind int, key binary, n long, subtree int, counts binary"
 _NAMES = [c.split()[0] for c in COUNTED.split(", ")]
 
 
@@ -372,39 +379,41 @@ def _rows(kind: int, keys: list[bytes], counts: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], _NAMES)
 
 
-def _packed(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """Pairs in ascending order and their counts, as a row of arrays for each bucket."""
-    with np.errstate(over="ignore"):
-        bucket = (codes.view(np.uint64) * _MIX >> np.uint64(64 - 12)).astype(np.int32) % BUCKETS
-    order = np.argsort(bucket, kind="stable")
-    bucket, codes, counts = bucket[order], np.ascontiguousarray(codes[order]), np.ascontiguousarray(counts[order])
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-    n, ends = len(starts), pa.py_buffer((np.r_[starts, len(codes)] * 8).astype(np.int32))
-    column = lambda x: pa.BinaryArray.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(x)])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, GRAM, np.int32)), column(codes), pa.nulls(n, pa.int64()), pa.array(bucket[starts]), column(counts)], _NAMES)
+def _packed(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs in ascending order and their counts, as a row of arrays for each subtree: what is below the subtree in 32 bits, and counts in one byte where they fit."""
+    for kind, own, width in ((GRAMS, counts < 256, np.uint8), (FREQUENT, counts >= 256, np.int64)):
+        code, count = codes[own], counts[own].astype(width)
+        if not len(code):
+            continue
+        tree = (code >> 32).astype(np.int32)
+        starts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+        n, ends = len(starts), np.r_[starts, len(code)]
+        column = lambda x, n=n, ends=ends: pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), column(code.astype(np.uint32)), pa.nulls(n, pa.int64()), pa.array(tree[starts]), column(count)], _NAMES)
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs and counts of rows (kind, subtree, key, counts)."""
+    codes, counts = [], []
+    for kind, width in ((GRAMS, np.uint8), (FREQUENT, np.int64)):
+        rows = batch.filter(pa.compute.equal(batch.column(0), kind))
+        if rows.num_rows:
+            low, count = (np.frombuffer(b"".join(rows.column(k).to_pylist()), t) for k, t in ((2, np.uint32), (3, width)))
+            sizes = np.asarray(pa.compute.binary_length(rows.column(2))) // 4
+            codes.append(np.repeat(np.asarray(rows.column(1)).astype(np.int64) << 32, sizes) | low)
+            counts.append(count.astype(np.int64))
+    return np.concatenate(codes), np.concatenate(counts)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    return codes, np.bincount(at, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
-
-
-def _merge_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket; a bucket is passed on when its last row has come."""
-    own, parts, held = None, [], 0
-    row = lambda: pa.RecordBatch.from_arrays(list(map(pa.array, _merged(parts))), ["gram", "n"])
-    for batch in batches:
-        for bucket, codes, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            if bucket != own:
-                if parts:
-                    yield row()
-                own, parts, held = bucket, [], 0
-            parts.append((np.frombuffer(codes.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int64)))
-            held += len(parts[-1][0])
-            if held > UNMERGED:
-                parts, held = [_merged(parts)], 0
-    if parts:
-        yield row()
+    """Distinct codes in ascending order and the sums of their counts. Runs that are in order are merged, not sorted anew."""
+    codes, counts = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
+    if not len(codes):
+        return codes, counts
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    return codes[first], np.add.reduceat(counts[order], first)
 
 
 class _Counts:
@@ -430,8 +439,8 @@ class _Counts:
             self._merge()
             codes, counts = self.parts.pop()
             self.held = 0
-            if self.kind == GRAM:
-                yield _packed(codes, counts)
+            if self.kind == GRAMS:
+                yield from _packed(codes, counts)
                 return
             raw = codes.astype(">u8").tobytes()
             yield _rows(self.kind, [raw[k - self.length : k] for k in range(8, len(raw) + 1, 8)], counts.tolist())
@@ -440,7 +449,7 @@ class _Counts:
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words, pairs and number of the texts that are learned from; of the others only the pairs, with count 0."""
     words: Counter[bytes] = Counter()
-    found = _Counts(GRAM, DEPTH + 1, GRAMS_HELD)
+    found = _Counts(GRAMS, DEPTH + 1, GRAMS_HELD)
     texts_seen = 0
     for batch in slices(batches, "text", STEP):
         texts = [t.lower() for t in batch.column(0).to_pylist()]
@@ -490,7 +499,7 @@ def _train_deeper(frequent: np.ndarray):
 
 @dataclass
 class Model:
-    """words: (kind, key, n) of all words. grams: (gram, n) of all pairs."""
+    """words: (kind, key, n) of all words. grams: (kind, subtree, key, counts) of all pairs, packed."""
 
     words: DataFrame
     grams: DataFrame
@@ -522,14 +531,11 @@ def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(texts: DataFrame, text: str, learned: F.Column) -> tuple[DataFrame, DataFrame]:
-    """Tables of words and texts (kind, key, n), and of pairs (gram, n)."""
+    """Tables of words and texts (kind, key, n), and of packed pairs (kind, subtree, key, counts)."""
     source = bounded(texts).select(text_bytes(text).alias("text"), learned.alias("learned"))
     raw = stored(source.mapInArrow(_train, COUNTED), "raw")
-    words = stored(raw.where(F.col("kind") != GRAM).groupBy("kind", "key").agg(F.sum("n").alias("n")), "words")
-    dealt = raw.where(F.col("kind") == GRAM).select("bucket", "key", "counts").repartition("bucket").sortWithinPartitions("bucket")
-    grams = stored(dealt.mapInArrow(_merge_grams, "gram long, n long"), "grams")
-    discard(raw)
-    return words, grams
+    words = stored(raw.where(F.col("subtree").isNull()).groupBy("kind", "key").agg(F.sum("n").alias("n")), "words")
+    return words, raw.where(F.col("subtree").isNotNull()).select("kind", "subtree", "key", "counts")
 
 
 def _least_class(counts: DataFrame, most: int) -> int:
@@ -563,12 +569,12 @@ def train(texts: DataFrame, text: str = "text", head: int = HEAD, share: float =
 
 
 def weighed(grams: DataFrame) -> DataFrame:
-    """(key, n, log) for each of the pairs (gram, n): its log10 probability."""
+    """(key, n, log) for each of the packed pairs (kind, subtree, key, counts): its log10 probability."""
     width = 8 * (DEPTH - TOP)
-    dealt = grams.select(F.col("gram").alias("key"), "n").repartition(F.shiftright("key", width)).sortWithinPartitions("key")
+    dealt = grams.repartition("subtree").sortWithinPartitions("subtree")
     deep = stored(dealt.mapInArrow(_weigh, "key long, n long, bits binary, weight double"), "deep")
-    code = F.shiftleft(F.shiftright("gram", width + 8), 8).bitwiseOR(F.col("gram").bitwiseAND(F.lit(255)))
-    few = grams.groupBy(code.alias("code")).agg(F.sum("n").alias("n")).toArrow()  # at most 256**3 rows
+    code = F.shiftleft(F.shiftright("key", width + 8), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255)))
+    few = deep.where("bits is not null").groupBy(code.alias("code")).agg(F.sum("n").alias("n")).toArrow()  # at most 256**3 rows
     sums = deep.where("bits is null").groupBy("key").agg(F.sum("weight").alias("weight")).toArrow()  # at most 255 * 256**2 rows
     of = lambda t, c, kind: np.asarray(t[c]).astype(kind)
     top = Top.trained(of(few, "code", np.int64), of(few, "n", np.float64), of(sums, "key", np.int64), of(sums, "weight", np.float64))
@@ -595,12 +601,14 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SCORED = "row long, doc_id long, held_out boolean, word binary, n long, n_words long, head_known long, head_log double, head_score double, n_bytes long"
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", asked: bool = False, gram_head: int = GRAM_HEAD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row of docs. asked: the model knows all pairs of docs."""
-    grams = model.grams
-    if not asked:
-        grams = grams.unionByName(_counted(docs, text, F.lit(False))[1]).groupBy("gram").agg(F.sum("n").alias("n"))
-    logs = weighed(grams)
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", gram_head: int = GRAM_HEAD) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row of docs."""
+    asked = _counted(docs, text, F.lit(False))[1]
+    return _scored(docs, model, weighed(model.grams.unionByName(asked)), doc_id, text, gram_head)
+
+
+def _scored(docs: DataFrame, model: Model, logs: DataFrame, doc_id: str, text: str, gram_head: int) -> DataFrame:
+    """logs: (key, n, log) of all pairs of docs."""
     classes = logs.select("key", "log", _class())
     least = _least_class(classes, gram_head)
     top = classes.where(F.col("class") >= least).select("key", "log").toArrow()
@@ -673,6 +681,9 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     )
 
 
-def learn_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def learn_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram_head: int = GRAM_HEAD) -> DataFrame:
     """Learn from the rows that are not held out and score all."""
-    return score(docs, train(docs, text, learned=~held_out(doc_id)), doc_id, text, asked=True)
+    model = train(docs, text, learned=~held_out(doc_id))
+    logs = weighed(model.grams)
+    discard(model.grams)
+    return _scored(docs, model, logs, doc_id, text, gram_head)

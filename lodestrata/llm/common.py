@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import discard, shared_dir, stored, swept
+
+__all__ = ["bounded", "discard", "free_name", "held_out", "shared_dir", "slices", "stored", "swept", "table", "text_bytes"]
+
 #: Texts are worked on in slices of about so many bytes, which bounds the memory of a task.
 SLICE_BYTES = 4_000_000
 
@@ -20,57 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the cluster names it.
-
-    Only where the setting is absent, as in tests on one machine, a local
-    folder is set.
-    """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "/tmp/lodestrata-checkpoints"
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-#: Folders of the tables that stored() has written in this process, in their order.
-_written: list[str] = []
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: this cuts the lineage, and lost executors cost no more than a new read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestrata-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def swept(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end all tables written inside but the last: for a step whose result is itself stored last."""
-    before = len(_written)
-    yield
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for path in _written[before:-1]:
-        folder = path_of(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    del _written[before:]
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that stored() wrote and that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if "lodestrata-" in folder.getName():
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def free_name(frame: DataFrame, name: str) -> str:
     """name, or the name with underscores before it, such that frame has no such column."""
     taken = {c.lower() for c in frame.columns}
@@ -84,7 +35,7 @@ BATCH_ROWS = 1_000
 
 
 def bounded(docs: DataFrame) -> DataFrame:
-    """docs, after the session's Arrow batches are limited to BATCH_ROWS rows; a lower setting stays."""
+    """docs, after the session's Arrow batches are limited to BATCH_ROWS rows; a lower setting stays. The plan runs later, so the setting cannot be put back here."""
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, BATCH_ROWS)

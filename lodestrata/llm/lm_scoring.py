@@ -89,7 +89,7 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 def _nodes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones at the 255 nodes, from counts by symbol in the last axis."""
-    levels = [counts.reshape(*counts.shape[:-1], 1 << k, -1).sum(-1) for k in range(9)]
+    levels = [counts.reshape(*counts.shape[:-1], 1 << k, 256 >> k).sum(-1) for k in range(9)]
     return np.concatenate([x[..., 0::2] for x in levels[1:]], -1), np.concatenate([x[..., 1::2] for x in levels[1:]], -1)
 
 

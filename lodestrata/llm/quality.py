@@ -3,8 +3,8 @@
 Every text is read once, without a shuffle. For each slice of texts the words
 become 64-bit numbers, and rolling hashes of several n-gram lengths are built in
 numpy from one another. Only windows whose shorter window is repeated can be
-repeated themselves, so the candidates shrink as the length grows. Equal hashes
-are confirmed word by word.
+repeated themselves, so the candidates shrink as the length grows. Windows of
+equal hashes are confirmed by the 64-bit hashes of each of their words.
 
 Results in edge cases: a null or empty text has no words and fails the base
 rule; repeated rows are judged one by one; an empty table gives an empty result;

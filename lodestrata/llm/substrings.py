@@ -14,6 +14,10 @@ starts in a document with a smaller id.
    and counted in Spark: smallest and largest id of each. Windows with a smaller
    id elsewhere are joined back and merged into maximal removal intervals.
 
+With every=True, steps 1 and 2 are left out: each window of each text is hashed and
+counted. The result is the same, which the tests hold, at about fourteen times the
+rows.
+
 No step gathers a passage's documents in one task: counts are combined before
 the shuffle, and the joins back are plain equi joins that adaptive execution
 splits where a passage is frequent.
@@ -109,9 +113,10 @@ def _windows(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
             out: list[tuple[np.ndarray, ...]] = []
-            for i, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
+            wanted = batch.column(3) if batch.num_columns > 3 else [None] * batch.num_rows
+            for i, (text, seeds) in enumerate(zip(batch.column(2).to_pylist(), wanted, strict=True)):
                 ids = word_hashes(text.split())
-                at = np.flatnonzero(np.isin(minimizers(ids, window, seed), np.asarray(wanted.values).view(np.uint64)))
+                at = np.arange(max(len(ids) - window + 1, 0)) if seeds is None else np.flatnonzero(np.isin(minimizers(ids, window, seed), np.asarray(seeds.values).view(np.uint64)))
                 out.append((rabin_karp(ids, window, _B1)[at], rabin_karp(ids, window, _B2)[at], at, np.full(len(at), i)))
             h1, h2, at, row = (np.concatenate(c) for c in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc_id", "text_hash", "start", "h1", "h2"])
@@ -137,11 +142,14 @@ def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("text_hash"), text_bytes(text).alias("text"))
 
 
-def find(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def find(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """What prepare() says of each row; texts that lose all words as copies; candidates with their texts; and per candidate the starts of the windows to remove."""
     base = _base(docs, doc_id, text)
     prepared = stored(base.mapInArrow(_prepare(window, seed), PREPARED), "prepared")
     keys = ["doc_id", "text_hash"]
+    if every:
+        candidates = base.where("doc_id is not null")
+        return prepared, prepared.select(*keys).limit(0), candidates, _starts(candidates, window, seed)
     # every window of a copy starts in its first text, too; the windows of copies need no counting
     whole = prepared.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     other = F.concat(F.lit("="), F.col("sha256")).alias("other")
@@ -153,12 +161,16 @@ def find(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id:
     other = F.bitwise_not("seed").alias("other")
     wanted = seen.select("*", other).join(repeated.select(other), "other").groupBy("doc_id", "text_hash").agg(F.collect_set("seed").alias("seeds"))
     candidates = stored(base.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "seeds"), "candidates")
-    windows = candidates.mapInArrow(_windows(window, seed), "doc_id long, text_hash long, start int, h1 long, h2 int")
+    return prepared, copies, candidates, _starts(candidates, window, seed)
+
+
+def _starts(candidates: DataFrame, window: int, seed: int) -> DataFrame:
+    """(doc_id, text_hash, starts) of the windows that also start in a document with a smaller id."""
+    windows = stored(candidates.mapInArrow(_windows(window, seed), "doc_id long, text_hash long, start int, h1 long, h2 int"), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
     other = F.bitwise_not("h1").alias("other")
     later = windows.select("*", other).join(first.select(other, "h2", "lo"), ["other", "h2"]).where("doc_id > lo")
-    starts = later.groupBy("doc_id", "text_hash").agg(F.collect_set("start").alias("starts"))
-    return prepared, copies, candidates, starts
+    return later.groupBy("doc_id", "text_hash").agg(F.collect_set("start").alias("starts"))
 
 
 def _cut(window: int):
@@ -177,9 +189,9 @@ def _cut(window: int):
     return run
 
 
-def digests(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, intervals) for each row of docs."""
-    prepared, copies, candidates, starts = find(docs, window, seed, doc_id, text)
+    prepared, copies, candidates, starts = find(docs, window, seed, doc_id, text, every)
     cut = (
         candidates.join(starts, ["doc_id", "text_hash"])
         .select("doc_id", "text_hash", "text", "starts")

@@ -857,6 +857,11 @@ def test_substrings_with_other_windows(spark):
     assert every(substrings.digests(frame, 8, 4), "n_words", "n_removed", "kept_sha256") == brute_substrings(list(enumerate(texts)), 8)
 
 
+def test_counting_every_window_gives_the_same(docs, small):
+    for frame in both(docs, small):
+        assert every(substrings.digests(frame, every=True), "n_words", "n_removed", "kept_sha256") == every(substrings.digests(frame), "n_words", "n_removed", "kept_sha256")
+
+
 def test_removal_keeps_rows_columns_and_untouched_texts(docs):
     after = substrings.remove(docs)
     assert after.columns == docs.columns and after.count() == docs.count()
@@ -908,6 +913,18 @@ def test_empty_tables(docs):
         assert found.count() == 0
 
 
+def test_stages_on_empty_tables(docs):
+    none = docs.limit(0)
+    for stage in (quality.keep, substrings.remove, simhash.one_of_each, simhash.one_of_copies):
+        assert stage(none).count() == 0 and stage(none).columns == docs.columns
+
+
+def test_scores_do_not_depend_on_other_columns(spark, docs):
+    wide = odd(spark, docs)
+    a, b = (every(lm_scoring.learn_and_score(f).withColumn("s", F.round("score", 3)), "n_tokens", "n_known", "s") for f in (docs, wide))
+    assert a == b
+
+
 def test_queries_are_registered():
     names = list(queries.queries())
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))

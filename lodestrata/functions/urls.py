@@ -1,14 +1,13 @@
-"""URLs: parts, normal form, secrets, redaction, keys and fetch policy. All but reference resolution and address classes are native."""
+"""URLs: parts, normal form, reference resolution, secrets, redaction, keys and fetch policy. All but address classes are native."""
 
 from __future__ import annotations
 
 import ipaddress
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import BooleanType
 
 from .vocabulary import DOCUMENT_SUFFIXES, FACADE_SECRET_NAMES, FETCHABLE_PREDICATES, FETCHABLE_RELS, PREDICATE_ROLES, SECRET_NAMES
 
@@ -56,41 +55,38 @@ def normalize(c: Column) -> Column:
     return F.when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), full).otherwise(bare)
 
 
-@F.pandas_udf(StringType())
-def _join_udf(base: pd.Series, raw: pd.Series) -> pd.Series:
-    def one(b: str | None, r: str | None) -> str | None:
-        try:
-            return urljoin(b, r) if b and r else None
-        except ValueError:
-            return None
+def _without_dots(path_: Column) -> Column:
+    """A path that begins with a slash, without `.` and `..` segments; what would lead above the root stays there."""
+    parts = F.slice(F.split(path_, "/"), 2, 1 << 30)
+    last = F.element_at(parts, -1).isin(".", "..")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
 
-    return pd.Series([one(b, r) for b, r in zip(base, raw, strict=True)], dtype=object)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(F.when(last, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
 
 
 def resolve(base: Column, raw: Column) -> Column:
-    """The reference resolved against the base (RFC 3986): full, network, root, query and fragment references natively, others by an Arrow function; null for an empty reference."""
+    """The reference resolved against the base (RFC 3986); null for an empty reference or without a base. Against a base without authority a relative reference stays as it is."""
     r = F.trim(raw)
     bare = F.regexp_replace(base, "#[\\s\\S]*$", "")
     origin = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    plain_root = r.startswith("/") & ~F.contains(r, F.lit("/."))
+    own, tail = F.regexp_extract(r, "^([^?#]*)", 1), F.regexp_extract(r, r"^[^?#]*([\s\S]*)$", 1)
+    folder = F.regexp_replace(F.when(path(base) == "", "/").otherwise(path(base)), "[^/]*$", "")
+    merged = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
     return (
-        F.when(raw.isNull() | (r == ""), None)
+        F.when(base.isNull() | raw.isNull() | (r == ""), None)
         .when(r.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), r)
         .when(r.startswith("//"), F.concat(scheme(base), F.lit(":"), r))
-        .when(plain_root, F.concat(origin, r))
+        .when(origin == "", r)
         .when(r.startswith("?"), F.concat(F.regexp_replace(bare, r"\?[\s\S]*$", ""), r))
         .when(r.startswith("#"), F.concat(bare, r))
-        .otherwise(_join_udf(base, r))
+        .otherwise(F.concat(origin, _without_dots(merged), tail))
     )
 
 
-def resolve_native(base: Column, raw: Column) -> Column:
-    """resolve() for root references and full URLs only, as pages use them: no Python at all."""
-    r = F.trim(raw)
-    origin = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    return F.when(r.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), r).when(r.startswith("/"), F.concat(origin, r))
-
-
 def _names(policy: str) -> tuple[str, ...]:
     return SECRET_NAMES if policy == "core" else FACADE_SECRET_NAMES
 

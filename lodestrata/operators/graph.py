@@ -1,18 +1,22 @@
 """The service graph: bounded multi-hop joins over edges, for all services at once.
 
 Assets: run_id, id, kind, uri, title. Relations: run_id, relation_id, subject_id,
-predicate, object_id, seq. Every hop is an equi join; "first wins" is a minimum
+predicate, object_id, seq. stored() puts both, and what several methods share,
+into tables of the shared folder, each computed once. Every hop is an equi join; "first wins" is a minimum
 of structs that combines before the shuffle; a path is the array of its
 relation ids. A filter on one service reaches the first hop's scan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 PROVIDED = ("registry_manifest:evidenceProvider", "registry_manifest:providedBy", "registry_manifest:issuingAuthority")
 OFFERS = ("registry_manifest:offersEvidenceType", "registry_manifest:acceptedEvidenceType", "registry_manifest:evidenceType")
 ACCEPTS, LISTS, SPECIFIES = ("registry_manifest:acceptedEvidenceType",), ("cccev:hasEvidenceTypeList",), ("cccev:specifiesEvidenceType",)
@@ -45,7 +49,19 @@ class ServiceGraph:
     assets: DataFrame
     relations: DataFrame
     claims: DataFrame | None = None
-    _kinds: dict = field(default_factory=dict)
+    keep: bool = False
+    _tables: dict[str, DataFrame] = field(default_factory=dict, repr=False)
+
+    def stored(self) -> ServiceGraph:
+        """The same graph over stored tables. Shared paths are stored when they are first asked for."""
+        return ServiceGraph(stored(self.assets.select("run_id", "id", "kind", "uri", "title"), "assets"), stored(self.relations, "relations"), self.claims, True)
+
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if not self.keep:
+            return build()
+        if name not in self._tables:
+            self._tables[name] = stored(build(), name)
+        return self._tables[name]
 
     def check(self) -> None:
         """Raise where a relation has no claim."""
@@ -121,15 +137,18 @@ class ServiceGraph:
 
     def requirement_types(self) -> DataFrame:
         """What a requirement accepts: named directly, or through a list."""
-        return self.either(self.direct_types(), self.chain(self.lists(), self.list_types()))
+        return self._once("requirement-types", lambda: self.either(self.direct_types(), self.chain(self.lists(), self.list_types())))
 
     def service_types(self) -> DataFrame:
         """What a service accepts: through its requirements, or named directly."""
+        return self._once("service-types", self._service_types)
+
+    def _service_types(self) -> DataFrame:
         return self.either(self.chain(self.requirements(), self.requirement_types()), self.direct_types().join(self.services(), ["run_id", "source"], "left_semi"))
 
     def offerings(self) -> DataFrame:
         """(evidence type, offering)"""
-        return self.incoming(OFFERS, "evidence_offering")
+        return self._once("offerings", lambda: self.incoming(OFFERS, "evidence_offering"))
 
     def offering_providers(self) -> DataFrame:
         return self.outgoing(PROVIDED, "evidence_provider", "public_organisation")
@@ -139,6 +158,9 @@ class ServiceGraph:
 
     def type_providers(self) -> DataFrame:
         """(evidence type, provider): through offerings, named directly, or by an offering that specifies the type."""
+        return self._once("type-providers", self._type_providers)
+
+    def _type_providers(self) -> DataFrame:
         specified = self.incoming((*OFFERS, *SPECIFIES), "evidence_offering")
         return self.either(self.chain(self.offerings(), self.offering_providers()), self.outgoing(PROVIDED, "evidence_provider", "public_organisation").join(self.of_kind("evidence_type").withColumnRenamed("target", "source"), ["run_id", "source"], "left_semi"), self.chain(specified, self.offering_providers()))
 
@@ -185,19 +207,30 @@ class ServiceGraph:
     def requirement_access(self) -> DataFrame:
         return self.option_access().groupBy("run_id", "requirement").agg(F.bool_or("satisfiable").alias("satisfiable"))
 
+    def _pairs(self, predicates: tuple[str, ...], source: str, target: str, *kinds: str) -> DataFrame:
+        """(run_id, source, target) of edges to assets of the kinds, without paths: where only existence matters."""
+        edges = self.relations.where(F.col("predicate").isin(*predicates)).select("run_id", F.col(source).alias("source"), F.col(target).alias("target"))
+        return edges.join(self.of_kind(*kinds), ["run_id", "target"], "left_semi")
+
     def gaps(self) -> DataFrame:
-        """(run_id, asset_id, predicate): what is missing, by six rules of which each is an anti join."""
-        need = self.requirements().select("run_id", F.col("target").alias("source")).distinct()
-        types = self.service_types().select("run_id", F.col("target").alias("source")).distinct()
-        offered = self.offerings()
-        offering = offered.join(types, ["run_id", "source"], "left_semi").select("run_id", F.col("target").alias("source")).distinct()
+        """(run_id, asset_id, predicate): what is missing, by six rules of which each is an anti join. No path is made."""
+        out_ = lambda p, *kinds: self._pairs(p, "subject_id", "object_id", *kinds)
+        targets = lambda df: df.select("run_id", F.col("target").alias("source")).distinct()
+        holds = self._once("holds", lambda: out_(("cv:holdsRequirement", "cccev:hasRequirement"), "requirement").distinct())
+        need = targets(holds)
+        direct = out_(ACCEPTS, "evidence_type")
+        listed = out_(LISTS, "evidence_type_list").join(out_(SPECIFIES, "evidence_type").select("run_id", F.col("source").alias("target"), F.col("target").alias("type")), ["run_id", "target"]).select("run_id", "source", F.col("type").alias("target"))
+        accepts = self._once("accepts", lambda: direct.unionByName(listed).distinct())
+        types = self._once("types", lambda: targets(accepts.join(need, ["run_id", "source"], "left_semi").unionByName(direct.join(self.services(), ["run_id", "source"], "left_semi"))))
+        offered = self._once("offered", lambda: self._pairs(OFFERS, "object_id", "subject_id", "evidence_offering").distinct())
+        offering = targets(offered.join(types, ["run_id", "source"], "left_semi"))
         rules = (
-            (self.services(), self.channels(), "cv:hasChannel"),
-            (self.services(), self.requirements(), "cv:holdsRequirement"),
-            (need, self.requirement_types(), "cccev:hasEvidenceTypeList"),
+            (self.services(), out_(("cv:hasChannel",), "channel"), "cv:hasChannel"),
+            (self.services(), holds, "cv:holdsRequirement"),
+            (need, accepts, "cccev:hasEvidenceTypeList"),
             (types, offered, "registry_manifest:evidenceType"),
-            (offering, self.offering_providers(), "registry_manifest:providedBy"),
-            (offering, self.access_services(), "registry_manifest:evidenceService"),
+            (offering, out_(PROVIDED, "evidence_provider", "public_organisation"), "registry_manifest:providedBy"),
+            (offering, out_(("registry_manifest:evidenceService", "dcat:accessService"), "data_service"), "registry_manifest:evidenceService"),
         )
         out = None
         for have, want, predicate in rules:
@@ -205,6 +238,24 @@ class ServiceGraph:
             out = gap if out is None else out.unionByName(gap)
         return out
 
+    def endpoint_gaps(self) -> DataFrame:
+        """(run_id, asset_id, predicate): data services that give access to offered evidence and have no endpoint URL."""
+        used = self.chain(self.offerings(), self.access_services()).select("run_id", F.col("target").alias("asset_id")).distinct()
+        return used.join(self.endpoint_urls().select("run_id", F.col("source").alias("asset_id")), ["run_id", "asset_id"], "left_anti").withColumn("predicate", F.lit("dcat:endpointURL"))
+
+    def bundles(self) -> DataFrame:
+        """(run_id, source, requirement, option, types, missing, complete): for each service the options of each requirement as the bundle of evidence to hand in."""
+        option = self.options().join(self.with_access().withColumn("reached", F.lit(True)), ["run_id", "target"], "left")
+        by = option.groupBy("run_id", "requirement", "option").agg(F.array_sort(F.collect_set("target")).alias("types"), F.array_sort(F.collect_set(F.when(F.col("reached").isNull(), F.col("target")))).alias("missing"))
+        held = self.requirements().join(self.services(), ["run_id", "source"], "left_semi").select("run_id", "source", F.col("target").alias("requirement"))
+        return held.join(by, ["run_id", "requirement"]).withColumn("complete", (F.size("types") > 0) & (F.size("missing") == 0))
+
+    def concept_services(self) -> DataFrame:
+        """(concept, data service): data sources for a concept, over the offerings of the evidence types that have it."""
+        of = self.concepts().join(self.of_kind("evidence_type").withColumnRenamed("target", "source"), ["run_id", "source"], "left_semi")
+        turned = of.select("run_id", F.col("target").alias("source"), F.col("source").alias("target"), "ord", "path")
+        return self.chain(turned, self.chain(self.offerings(), self.access_services()))
+
     def routes(self) -> DataFrame:
         """(run_id, kind, source, target, path) of everything that a service leads to."""
         access = self.chain(self.service_types(), self.chain(self.offerings(), self.access_services()))

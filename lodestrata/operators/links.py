@@ -51,11 +51,10 @@ def verdict(to_url: Column) -> Column:
     )
 
 
-def judged(raw: DataFrame, base: str = "from_url", href: str = "href", native: bool = False) -> DataFrame:
+def judged(raw: DataFrame, base: str = "from_url", href: str = "href") -> DataFrame:
     """raw links (from_artifact_id, from_url, href, rel, predicate, role) with to_url, verdict, and whether they lead to metadata."""
-    resolve = urls.resolve_native if native else urls.resolve
     return (
-        raw.withColumn("to_url", resolve(F.col(base), F.col(href)))
+        raw.withColumn("to_url", urls.resolve(F.col(base), F.col(href)))
         .withColumn("verdict", verdict(F.col("to_url")))
         .withColumn("fetchable", (F.col("verdict") == "accepted") & urls.is_fetchable(F.col("rel"), F.col("predicate"), F.col("role")))
     )

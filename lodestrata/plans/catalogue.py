@@ -96,7 +96,7 @@ v AS (SELECT *, CASE WHEN starts_with(href, '/') THEN regexp_extract(from_url, '
 
 @query(f"WITH {_RAW} SELECT verdict, verdict = 'accepted' AS fetchable, count(*) AS n FROM v GROUP BY 1, 2")
 def link_verdict(spark, d):
-    return links.judged(_raw_links(spark, d), native=True).groupBy("verdict", "fetchable").agg(F.count("*").alias("n"))
+    return links.judged(_raw_links(spark, d)).groupBy("verdict", "fetchable").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, regexp_replace(url, '[?#].*$', '') || '?token=REDACTED&page=2' AS core, regexp_replace(url, '[?#].*$', '') || '?token=REDACTED&page=2' AS facade, regexp_replace(url, '[?#].*$', '') || '?session_sig=REDACTED' AS wide, regexp_replace(url, '[?#].*$', '') || '?session_sig=1' AS narrow FROM pages")
@@ -114,14 +114,14 @@ f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, id ORDER
 n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY priority, url, id) AS rank, count(*) OVER (PARTITION BY run_id) > 20 AS truncated FROM f)
 SELECT run_id, id, url, priority, rank, truncated FROM n WHERE rank <= 20""", rank="INTEGER")
 def next_fetch_topk(spark, d):
-    found = links.candidates(links.judged(_raw_links(spark, d), native=True))
+    found = links.candidates(links.judged(_raw_links(spark, d)))
     total = found.groupBy("run_id").agg((F.count("*") > links.CANDIDATES).alias("truncated"))
     return links.top_candidates(found).join(total, "run_id").select("run_id", "id", "url", "priority", "rank", "truncated")
 
 
 @query(f"""WITH {_RAW} SELECT run_id, 'link:' || substr(sha256('link' || chr(0) || from_url || chr(0) || to_url || chr(0) || coalesce(rel, 'dcat:catalog')), 1, 16) AS id, min(page_id) AS first_page, count(*) AS n FROM v WHERE verdict = 'accepted' GROUP BY 1, 2""")
 def link_ids(spark, d):
-    named = links.judged(_raw_links(spark, d), native=True)
+    named = links.judged(_raw_links(spark, d))
     once = links.links(named)
     n = named.where("verdict = 'accepted'").groupBy("run_id", ids.det_id("link", "from_url", "to_url", F.coalesce("rel", "predicate")).alias("id")).agg(F.count("*").alias("n"))
     return once.select("run_id", "id", F.col("ordinal").cast("long").alias("first_page")).join(n, ["run_id", "id"])
@@ -150,11 +150,10 @@ def first_wins_dedupe(spark, d):
 
 # ---- scalar functions
 
-@query("""SELECT p_partkey, lower(trim(regexp_replace('  ' || p_name || '  API ', '\\s+', ' ', 'g'))) AS label, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS access_label, lower(regexp_extract(p_brand, '#(.*)$', 1)) AS field, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) = initcap_free AS same
-FROM (SELECT *, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS initcap_free FROM part)""")
+@query("""SELECT p_partkey, lower(trim(regexp_replace('  ' || p_name || '  API ', '\\s+', ' ', 'g'))) AS label, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS access_label, lower(regexp_extract(p_brand, '#(.*)$', 1)) AS field FROM part""")
 def canonical_labels(spark, d):
     raw = F.concat(F.lit("  "), "p_name", F.lit("  API "))
-    return load(spark, d, "part").select("p_partkey", labels.canonical_label(raw).alias("label"), labels.canonical_access_label(raw).alias("access_label"), labels.loose_field(F.concat(F.lit("https://data.example/x#"), "p_brand")).alias("field"), F.lit(True).alias("same"))
+    return load(spark, d, "part").select("p_partkey", labels.canonical_label(raw).alias("label"), labels.canonical_access_label(raw).alias("access_label"), labels.loose_field(F.concat(F.lit("https://data.example/x#"), "p_brand")).alias("field"))
 
 
 def _headers():
@@ -191,13 +190,12 @@ def url_parts(spark, d):
 # ---- graph
 
 _B = "'https://data.example/"
-_GRAPH = f"""urgent AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority LIKE '1%'),
-own AS (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM urgent)),
+_GRAPH = f"""own AS (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag FROM lineitem),
 channel AS (SELECT {_B}customer/' || c_custkey AS s, {_B}segment/' || c_mktsegment AS o FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'),
-holds AS (SELECT {_B}customer/' || o_custkey AS s, {_B}orders/' || o_orderkey AS o FROM urgent WHERE o_custkey IN (SELECT c_custkey FROM customer)),
+holds AS (SELECT {_B}customer/' || o_custkey AS s, {_B}orders/' || o_orderkey AS o FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)),
 haslist AS (SELECT DISTINCT {_B}orders/' || l_orderkey AS s, {_B}list/' || l_orderkey || '-' || l_returnflag AS o FROM own),
 spec AS (SELECT DISTINCT {_B}list/' || l_orderkey || '-' || l_returnflag AS s, {_B}part/' || l_partkey AS o FROM own WHERE l_partkey IN (SELECT p_partkey FROM part)),
-offer AS (SELECT DISTINCT {_B}supplier/' || l_suppkey AS s, {_B}part/' || l_partkey AS o FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R' AND l_suppkey IN (SELECT s_suppkey FROM supplier)),
+offer AS (SELECT DISTINCT {_B}supplier/' || l_suppkey AS s, {_B}part/' || l_partkey AS o FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier)),
 provided AS (SELECT {_B}supplier/' || s_suppkey AS s, {_B}nation/' || s_nationkey AS o FROM supplier WHERE s_acctbal >= 1000),
 access AS (SELECT {_B}supplier/' || s_suppkey AS s, {_B}access/' || s_suppkey AS o FROM supplier WHERE s_suppkey % 3 <> 0),
 partof AS (SELECT {_B}nation/' || n_nationkey AS s, {_B}region/' || n_regionkey AS o FROM nation),
@@ -239,7 +237,7 @@ def outgoing_assets(spark, d):
     return _graph(spark, d).requirements().groupBy("source").agg(F.count("*").alias("n"), F.min("target").alias("first"))
 
 
-@query(f"WITH {_GRAPH} SELECT o AS source, count(*) AS n, min(s) AS first FROM offer WHERE o IN (SELECT {_B}part/' || p_partkey FROM part) OR true GROUP BY 1")
+@query(f"WITH {_GRAPH} SELECT o AS source, count(*) AS n, min(s) AS first FROM offer GROUP BY 1")
 def incoming_assets(spark, d):
     return _graph(spark, d).offerings().groupBy("source").agg(F.count("*").alias("n"), F.min("target").alias("first"))
 
@@ -256,7 +254,7 @@ def evidence_providers(spark, d):
 
 @query(f"WITH {_GRAPH} SELECT DISTINCT c AS source, prov AS target FROM stype JOIN tprov ON stype.t = tprov.t")
 def service_providers(spark, d):
-    return _graph(spark, d).service_providers().select("source", "target")
+    return _graph(spark, d).stored().service_providers().select("source", "target")
 
 
 @query(f"WITH {_GRAPH} SELECT requirement, option, n_types, n_missing, n_types > 0 AND n_missing = 0 AS satisfiable FROM optacc", n_missing="BIGINT")
@@ -282,20 +280,40 @@ UNION ALL SELECT a, 'registry_manifest:evidenceType' FROM typ WHERE a NOT IN (SE
 UNION ALL SELECT a, 'registry_manifest:providedBy' FROM off WHERE a NOT IN (SELECT s FROM provided)
 UNION ALL SELECT a, 'registry_manifest:evidenceService' FROM off WHERE a NOT IN (SELECT s FROM access)""")
 def service_gaps(spark, d):
-    return _graph(spark, d).gaps().drop("run_id")
+    return _graph(spark, d).stored().gaps().drop("run_id")
 
 
 @query(f"""WITH {_GRAPH} SELECT kind, count(*) AS n, count(DISTINCT source) AS services FROM (
  SELECT 'evidence_type' AS kind, c AS source, t FROM stype UNION ALL SELECT DISTINCT 'evidence_provider', c, prov FROM stype JOIN tprov ON stype.t = tprov.t
  UNION ALL SELECT DISTINCT 'evidence_access_service', c, svc FROM stype JOIN tacc ON stype.t = tacc.t) GROUP BY 1""")
 def service_routes(spark, d):
-    return _graph(spark, d).routes().groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("source").alias("services"))
+    return _graph(spark, d).stored().routes().groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("source").alias("services"))
 
 
-@query(f"WITH {_GRAPH} SELECT c AS source, count(*) * 3 AS claims, count(*) AS routes FROM stype GROUP BY 1")
+_ID = "'relation:' || substr(sha256('relation' || chr(0) || {s} || '|{p}|' || {o}), 1, 16)"
+
+
+@query(f"""WITH {_GRAPH},
+rpath AS (SELECT h.s AS r, spec.o AS t, min([{_ID.format(s='h.s', p='cccev:hasEvidenceTypeList', o='h.o')}, {_ID.format(s='spec.s', p='cccev:specifiesEvidenceType', o='spec.o')}]) AS path FROM haslist h JOIN spec ON h.o = spec.s GROUP BY 1, 2),
+spath AS (SELECT h.s AS c, rpath.t, min(list_concat([{_ID.format(s='h.s', p='cv:holdsRequirement', o='h.o')}], rpath.path)) AS path FROM holds h JOIN rpath ON h.o = rpath.r GROUP BY 1, 2),
+step AS (SELECT c, t, unnest(path) AS relation_id, unnest(range(3)) AS step FROM spath),
+claim AS (SELECT {_ID.format(s='s', p='cv:holdsRequirement', o='o')} AS relation_id, 2 AS n FROM holds)
+SELECT c AS source, sum(coalesce(claim.n, 1)) AS claims, count(DISTINCT t) AS routes, min(step.relation_id) AS first_relation FROM step LEFT JOIN claim ON step.relation_id = claim.relation_id GROUP BY 1""", claims="BIGINT")
 def route_provenance(spark, d):
     g = _graph(spark, d)
-    return g.provenance(g.service_types()).groupBy("source").agg(F.count("*").alias("claims"), F.count_distinct("target").alias("routes"))
+    return g.provenance(g.service_types()).groupBy("source").agg(F.count("*").alias("claims"), F.count_distinct("target").alias("routes"), F.min("relation_id").alias("first_relation"))
+
+
+@query(f"""WITH {_GRAPH}, used AS (SELECT DISTINCT svc FROM tacc) SELECT svc AS asset_id, 'dcat:endpointURL' AS predicate FROM used WHERE svc NOT IN (SELECT s FROM endpoint WHERE NOT ends_with(s, '5'))""")
+def endpoint_gaps(spark, d):
+    rel = demo.relations(spark, d).where("not (predicate = 'dcat:endpointURL' and subject_id like '%5')")
+    return graph.ServiceGraph(demo.assets(spark, d), rel).endpoint_gaps().select("asset_id", "predicate")
+
+
+@query(f"""WITH {_GRAPH}, b AS (SELECT requirement, option, count(DISTINCT t) AS n_types, count(DISTINCT CASE WHEN t NOT IN (SELECT t FROM tacc) THEN t END) AS n_missing, min(t) AS first_type FROM opt GROUP BY 1, 2)
+SELECT holds.s AS source, b.requirement, b.option, n_types, n_missing, first_type, n_types > 0 AND n_missing = 0 AS complete FROM holds JOIN b ON holds.o = b.requirement""", n_types="INTEGER", n_missing="INTEGER")
+def evidence_bundles(spark, d):
+    return _graph(spark, d).stored().bundles().select("source", "requirement", "option", F.size("types").alias("n_types"), F.size("missing").alias("n_missing"), F.element_at("types", 1).alias("first_type"), "complete")
 
 
 @query(f"WITH {_GRAPH} SELECT t AS source, count(*) AS n, min(c) AS first FROM stype GROUP BY 1")
@@ -451,9 +469,9 @@ def related_datasets(spark, d):
 
 # ---- views
 
-_ALL = f"""urgent AS (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%'), lists AS (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM urgent)),
+_ALL = f"""lists AS (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem),
 kinds AS (SELECT 'catalog' AS kind, count(*) AS n FROM region UNION ALL SELECT 'evidence_provider', count(*) FROM nation UNION ALL SELECT 'public_service', count(*) FROM customer UNION ALL SELECT 'channel', count(DISTINCT c_mktsegment) FROM customer
- UNION ALL SELECT 'requirement', count(*) FROM urgent UNION ALL SELECT 'evidence_type_list', count(*) FROM lists UNION ALL SELECT 'evidence_type', count(*) FROM part UNION ALL SELECT 'evidence_offering', count(*) FROM supplier UNION ALL SELECT 'data_service', count(*) FROM supplier)"""
+ UNION ALL SELECT 'requirement', count(*) FROM orders UNION ALL SELECT 'evidence_type_list', count(*) FROM lists UNION ALL SELECT 'evidence_type', count(*) FROM part UNION ALL SELECT 'evidence_offering', count(*) FROM supplier UNION ALL SELECT 'data_service', count(*) FROM supplier)"""
 
 
 @query(f"WITH {_ALL} SELECT kind, n FROM kinds")

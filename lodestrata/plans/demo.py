@@ -1,8 +1,10 @@
 """The star-schema tables read as assets and relations, so that every operator can run, and be compared, on large tables.
 
-customer: public service; urgent orders: requirements; (order, return flag):
-lists of evidence types; part: evidence type; supplier: offering, with a data
-service of its own; nation: provider; region: catalogue.
+customer: public service; orders: requirements; (order, return flag): lists of
+evidence types; part: evidence type; supplier: offering of all parts that it has
+delivered, with a data service of its own; nation: provider; region: catalogue.
+Every row of the tables is mapped; what is missing is left out by an offering's
+provider or access service, and by a customer's channel.
 """
 
 from __future__ import annotations
@@ -32,14 +34,13 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id, source_id, id (= uri), kind, uri, title, description, publisher, endpoint_url, conforms_to, source_hints, artifact_id, ordinal, seq."""
     t = lambda n: load(spark, sf_dir, n)
     none = F.lit(None).cast("string")
-    urgent = t("orders").where("o_orderpriority like '1%'")
-    lists = t("lineitem").join(urgent.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select("l_orderkey", "l_returnflag").distinct()
+    lists = t("lineitem").select("l_orderkey", "l_returnflag").distinct()
     parts = (
         _assets(t("region"), "catalog", uri("region", "r_regionkey"), F.col("r_name"), none, none),
         _assets(t("nation"), "evidence_provider", uri("nation", "n_nationkey"), F.col("n_name"), none, none),
         _assets(t("customer"), "public_service", uri("customer", "c_custkey"), F.col("c_name"), F.col("c_mktsegment"), none),
         _assets(t("customer").select("c_mktsegment").distinct(), "channel", uri("segment", "c_mktsegment"), F.col("c_mktsegment"), none, none),
-        _assets(urgent, "requirement", uri("orders", "o_orderkey"), F.concat(F.lit("Order "), "o_orderkey"), none, none),
+        _assets(t("orders"), "requirement", uri("orders", "o_orderkey"), F.concat(F.lit("Order "), "o_orderkey"), none, none),
         _assets(lists, "evidence_type_list", uri("list", "l_orderkey", "l_returnflag"), F.col("l_returnflag"), none, none),
         _assets(t("part"), "evidence_type", uri("part", "p_partkey"), F.col("p_name"), F.col("p_brand"), none),
         _assets(t("supplier"), "evidence_offering", uri("supplier", "s_suppkey"), F.col("s_name"), none, none),
@@ -58,15 +59,13 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """subject_id, predicate, object_id: distinct."""
     t = lambda n: load(spark, sf_dir, n)
-    urgent = t("orders").where("o_orderpriority like '1%'").select("o_orderkey", "o_custkey")
-    line = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
-    own = line.join(urgent, line.l_orderkey == urgent.o_orderkey, "left_semi")
+    line = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
     parts = (
         (t("customer").where("c_mktsegment <> 'HOUSEHOLD'"), uri("customer", "c_custkey"), "cv:hasChannel", uri("segment", "c_mktsegment")),
-        (urgent, uri("customer", "o_custkey"), "cv:holdsRequirement", uri("orders", "o_orderkey")),
-        (own, uri("orders", "l_orderkey"), "cccev:hasEvidenceTypeList", uri("list", "l_orderkey", "l_returnflag")),
-        (own, uri("list", "l_orderkey", "l_returnflag"), "cccev:specifiesEvidenceType", uri("part", "l_partkey")),
-        (line.where("l_linenumber = 1 and l_returnflag = 'R'"), uri("supplier", "l_suppkey"), "registry_manifest:evidenceType", uri("part", "l_partkey")),
+        (t("orders"), uri("customer", "o_custkey"), "cv:holdsRequirement", uri("orders", "o_orderkey")),
+        (line, uri("orders", "l_orderkey"), "cccev:hasEvidenceTypeList", uri("list", "l_orderkey", "l_returnflag")),
+        (line, uri("list", "l_orderkey", "l_returnflag"), "cccev:specifiesEvidenceType", uri("part", "l_partkey")),
+        (line, uri("supplier", "l_suppkey"), "registry_manifest:evidenceType", uri("part", "l_partkey")),
         (t("supplier").where("s_acctbal >= 1000"), uri("supplier", "s_suppkey"), "registry_manifest:providedBy", uri("nation", "s_nationkey")),
         (t("supplier").where("s_suppkey % 3 <> 0"), uri("supplier", "s_suppkey"), "registry_manifest:evidenceService", uri("access", "s_suppkey")),
         (t("nation"), uri("nation", "n_nationkey"), "dcterms:isPartOf", uri("region", "n_regionkey")),
@@ -74,9 +73,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     whole = None
     for frame, a, p, b in parts:
-        e = frame.select(a.alias("subject_id"), F.lit(p).alias("predicate"), b.alias("object_id"))
+        e = frame.select(a.alias("subject_id"), F.lit(p).alias("predicate"), b.alias("object_id")).distinct()
         whole = e if whole is None else whole.unionByName(e)
-    return whole.distinct()
+    return whole
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +83,7 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(rel: DataFrame) -> DataFrame:
-    """One claim for each relation: which artifact asserts it."""
-    return rel.select("run_id", "relation_id", det_id("claim", "relation_id", F.lit("artifact:demo")).alias("id"), F.lit("artifact:demo").alias("asserted_by_artifact_id"))
+    """Which artifacts assert each relation: one, or two for what a service requires."""
+    by = F.when(F.col("predicate") == "cv:holdsRequirement", F.array(F.lit("artifact:demo"), F.lit("artifact:review"))).otherwise(F.array(F.lit("artifact:demo")))
+    own = rel.select("run_id", "relation_id", F.explode(by).alias("asserted_by_artifact_id"))
+    return own.select("run_id", "relation_id", det_id("claim", "relation_id", "asserted_by_artifact_id").alias("id"), "asserted_by_artifact_id")

@@ -2,23 +2,78 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written inside swept(), in their order.
+_inside: ContextVar[list[str] | None] = ContextVar("_inside", default=None)
+#: Tables that still exist; they go when the program ends.
+_standing: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, as in tests, a local folder."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """spark.checkpoint.dir of the session, or the context's checkpoint folder. Where neither is set, a local master gets a temporary folder; anything else is an error, as executors would not see it."""
+    conf = spark.sparkContext.getConf()
+    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = "/tmp/lodestrata-checkpoints"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="lodestrata-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _standing.pop(path, None)
+
+
+@atexit.register
+def _end() -> None:
+    for path, spark in list(_standing.items()):
+        with contextlib.suppress(Exception):  # the session may have ended
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back; the lineage ends there."""
+    """Write df as a Parquet table in the shared folder and read it back: this cuts the lineage, and lost executors cost no more than a new read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _standing[path] = spark
+    inside = _inside.get()
+    if inside is not None:
+        inside.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end all tables written inside but the last: for a step whose result is itself stored last. After an error all of them go."""
+    outer, own, done = _inside.get(), [], False
+    token = _inside.set(own)
+    try:
+        yield
+        done = True
+    finally:
+        _inside.reset(token)
+        for path in own[:-1] if done else own:
+            _delete(spark, path)
+        if outer is not None and done:
+            outer.extend(own[-1:])
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that stored() wrote and that no later plan reads."""
+    for name in df.inputFiles()[:1]:
+        folder = name.rsplit("/", 1)[0]
+        if "/lodestrata-" in folder:
+            _delete(df.sparkSession, folder)

@@ -24,6 +24,18 @@ def expanded(c: Column, prefixes: Column | dict[str, str] = PREFIXES) -> Column:
     return F.coalesce(expand(c, prefixes), c)
 
 
+def matches(predicate: Column, wanted: str, prefixes: dict[str, str] = PREFIXES) -> Column:
+    """Whether a predicate is the wanted compact one: as it is, expanded, or by its local name behind `#` or `/`."""
+    prefix, _, local = wanted.partition(":")
+    local = local.partition(":")[0]
+    out = predicate == wanted
+    if local:
+        out = out | predicate.endswith(f"#{local}") | predicate.endswith(f"/{local}")
+        if prefix in prefixes:
+            out = out | (predicate == prefixes[prefix] + local)
+    return out
+
+
 def compact(c: Column) -> Column:
     """The canonical compact form of a full IRI in a known namespace, dcterms for dct; all else as it is."""
     out = c

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vocabulary import SENSITIVE_WORDS
+from .vocabulary import REVIEW_WORDS, SENSITIVE_WORDS
 
 
 def canonical_label(c: Column) -> Column:
@@ -47,6 +47,11 @@ def is_sensitive(c: Column, words: tuple[str, ...] = SENSITIVE_WORDS) -> Column:
     return canonical_label(c).rlike("|".join(words))
 
 
+def needs_review(c: Column) -> Column:
+    """Whether a need's id, label and terms are of sensitive matters, by the workbench's words."""
+    return F.lower(c).rlike("|".join(REVIEW_WORDS))
+
+
 def short_id(c: Column) -> Column:
     """The last two segments of an id."""
     parts = F.filter(F.split(c, "[/#:]"), lambda x: x != "")

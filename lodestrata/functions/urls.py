@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .vocabulary import DOCUMENT_SUFFIXES, FACADE_SECRET_NAMES, FETCHABLE_PREDICATES, FETCHABLE_RELS, PREDICATE_ROLES, SECRET_NAMES
+from .vocabulary import DOCUMENT_SUFFIXES, FACADE_SECRET_NAMES, FETCHABLE_PREDICATES, FETCHABLE_RELS, PREDICATE_ROLES, SECRET_NAMES, WORKBENCH_SECRET_NAMES, WORKBENCH_SECRET_WORDS
 
 
 def scheme(c: Column) -> Column:
@@ -87,14 +87,18 @@ def resolve(base: Column, raw: Column) -> Column:
     )
 
 
-def _names(policy: str) -> tuple[str, ...]:
-    return SECRET_NAMES if policy == "core" else FACADE_SECRET_NAMES
-
-
 def is_secret_name(c: Column, policy: str = "core") -> Column:
-    """core: the name holds one of the words; facade: it is one of them."""
+    """core: the name holds one of the words; facade: it is one of them; workbench: it is one of the workbench's names, holds one of its words or ends with `key`; proxy: one of the words stands in it between underscores or hyphens."""
     low = F.lower(c)
-    return low.rlike("|".join(_names(policy))) if policy == "core" else low.isin(*_names(policy))
+    if policy == "core":
+        return low.rlike("|".join(SECRET_NAMES))
+    if policy == "facade":
+        return low.isin(*FACADE_SECRET_NAMES)
+    if policy == "workbench":
+        return low.isin(*WORKBENCH_SECRET_NAMES) | low.rlike("|".join(WORKBENCH_SECRET_WORDS)) | low.endswith("key")
+    if policy == "proxy":
+        return low.rlike(f"(^|[_-])({'|'.join(SECRET_NAMES)}|api-key)([_-]|$)")
+    raise ValueError(f"unknown policy {policy}")
 
 
 def has_secret(c: Column) -> Column:
@@ -104,12 +108,16 @@ def has_secret(c: Column) -> Column:
 
 
 def redact(c: Column, policy: str = "core") -> Column:
-    """Without user information, and with the values of secret names replaced."""
+    """Without user information, and with the values of secret names replaced. The proxy's policy keeps the place of user information, and replaces what is no URL at all."""
     pairs = F.transform(F.split(query(c), "&"), lambda p: F.when(is_secret_name(F.substring_index(p, "=", 1), policy), F.concat(F.substring_index(p, "=", 1), F.lit("=REDACTED"))).otherwise(p))
     bare = F.regexp_replace(c, "^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#]*@", "$1")
+    if policy == "proxy":
+        shown = F.regexp_replace(F.regexp_replace(userinfo(c), "^[^:]+", "redacted"), ":.+$", ":redacted")
+        bare = F.when(userinfo(c) == "", c).otherwise(F.concat(scheme(c), F.lit("://"), shown, F.lit("@"), F.regexp_extract(c, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@([\\s\\S]*)$", 1)))
+        bare = F.when(scheme(c) == "", "[invalid-url]").otherwise(bare)
     head = F.regexp_extract(bare, r"^([^#?]*)", 1)
     tail = F.regexp_extract(bare, r"(#[\s\S]*)$", 1)
-    return F.when(query(c).isNull(), bare).otherwise(F.concat(head, F.lit("?"), F.array_join(pairs, "&"), tail))
+    return F.when(query(c).isNull() | (bare == "[invalid-url]"), bare).otherwise(F.concat(head, F.lit("?"), F.array_join(pairs, "&"), tail))
 
 
 def same_origin(a: Column, b: Column) -> Column:

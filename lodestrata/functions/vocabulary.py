@@ -155,6 +155,9 @@ SENSITIVE_HEADERS = ("authorization", "cookie", "proxy-authenticate", "proxy-aut
 KEPT_HEADERS = ("content-type", "content-length", "etag", "last-modified", "link", "location")
 SECRET_NAMES = ("token", "access_token", "id_token", "refresh_token", "api_key", "apikey", "key", "secret", "client_secret", "password", "signature", "sig")
 FACADE_SECRET_NAMES = ("token", "access_token", "api_key", "apikey", "key", "secret", "password")
+WORKBENCH_SECRET_NAMES = ("authorization", "access_token", "api_key", "apikey", "client_secret", "signature", "sig")
+WORKBENCH_SECRET_WORDS = ("token", "secret", "password")
+REVIEW_WORDS = ("disability", "attendance", "child", "school", "health", "income", "eligibility", "household", "identity")
 SENSITIVE_WORDS = ("disability", "health", "income", "eligibility", "household", "identity", "migration", "child", "student", "attendance")
 
 REGISTERABLE = (

@@ -241,6 +241,36 @@ def access_of(kind: Column, uri: Column, endpoint: Column, hit_location: Column,
     )
 
 
+def access_urls(kind: Column, uri: Column, endpoint: Column) -> Column:
+    """All URLs at which an asset can be reached: its endpoint, and its URI if it is a distribution, a collection or a service."""
+    return F.array_distinct(F.array_compact(F.array(endpoint, F.when(kind.isin("distribution", "record_collection", "feature_collection", "api_description", "data_service"), uri))))
+
+
+def rejected_access(assets: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(run_id, id, rejected_url): of each asset the first rejected fetch that is among its access URLs. rejected: run_id, url, and where it has one, seq."""
+    order = F.struct("seq", "url") if "seq" in rejected.columns else F.struct("url")
+    own = assets.select("run_id", "id", F.explode(access_urls(F.col("kind"), F.col("uri"), F.col("endpoint_url"))).alias("url"))
+    return own.join(rejected, ["run_id", "url"]).groupBy("run_id", "id").agg(F.min_by("url", order).alias("rejected_url"))
+
+
+def inputs_summary(sources: DataFrame, mappings: DataFrame | None = None, reviews: DataFrame | None = None) -> DataFrame:
+    """One row: the ids of reports, of envelopes, of reviewed mapping sets with their version, and of review assertions, each in the order of its sources. sources: source_id, ordinal, run_id, is_envelope; mappings: source_id, set_id, version, set_ord; reviews: source_id, id, seq."""
+    def listed(frame: DataFrame, value: Column, *order: str) -> DataFrame:
+        return frame.agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, value.alias("v")))), lambda x: x["v"]).alias("ids"))
+
+    place = sources.select("source_id", "ordinal")
+    parts = {"report_ids": listed(sources, F.col("run_id"), "ordinal"), "envelope_ids": listed(sources.where("is_envelope"), F.col("source_id"), "ordinal")}
+    if mappings is not None:
+        parts["reviewed_mapping_sets"] = listed(mappings.join(place, "source_id"), F.concat_ws("@", "set_id", "version"), "ordinal", "set_ord")
+    if reviews is not None:
+        parts["review_assertions"] = listed(reviews.join(place, "source_id"), F.col("id"), "ordinal", "seq")
+    out = None
+    for name, part in parts.items():  # one row each
+        own = part.select(F.lit(1).alias("_one"), F.col("ids").alias(name))
+        out = own if out is None else out.join(own, "_one")
+    return out.drop("_one")
+
+
 def related_distribution(assets: DataFrame) -> DataFrame:
     """(id, distribution): the first distribution with the same access label or the same route key, by (ordinal, seq)."""
     keyed = assets.select("run_id", "id", "kind", "ordinal", "seq", labels.canonical_access_label(F.col("title")).alias("_label"), urls.route_key(F.coalesce("endpoint_url", "uri")).alias("_route"))
@@ -316,9 +346,8 @@ def search(index: DataFrame, assets: DataFrame, terms: DataFrame, signals: DataF
     else:
         joined = joined.withColumn("location", F.lit(None).cast("string"))
     if rejected is not None:
-        own = rejected.select("run_id", F.col("url").alias("_url")).distinct()
-        reach = F.coalesce("endpoint_url", "uri")
-        joined = joined.join(own, (joined.run_id == own.run_id) & (reach == own._url), "left").drop(own.run_id).withColumnRenamed("_url", "rejected_url")
+        gated = rejected_access(assets, rejected).withColumnRenamed("id", "asset_id")
+        joined = joined.join(gated, ["run_id", "asset_id"], "left")
     else:
         joined = joined.withColumn("rejected_url", F.lit(None).cast("string"))
     if signals is not None:

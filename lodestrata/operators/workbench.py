@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vocabulary import READINESS
+from ..functions.vocabulary import PREFIXES, READINESS
 from .classify import record_type
 
 NODE_BUDGET = 1500
@@ -86,6 +86,26 @@ def top_missing(items: DataFrame, most: int = 3) -> DataFrame:
     return missing.where(F.col("position") <= most)
 
 
+def grouped_items(items: DataFrame) -> DataFrame:
+    """(run_id, group, items): the items of each run's checklist by group, sorted; a checklist has a fixed number of items."""
+    return items.groupBy("run_id", "group").agg(F.array_sort(F.collect_list(F.struct("item", "status"))).alias("items"))
+
+
+def is_publisher_specific(key: Column) -> Column:
+    """Whether a key is of no standard vocabulary: it has a foreign prefix, or begins with `x-`."""
+    standard = F.substring_index(key, ":", 1).isin(*PREFIXES) & F.contains(key, F.lit(":"))
+    for iri in dict.fromkeys(PREFIXES.values()):
+        standard = standard | key.startswith(iri)
+    return ~key.startswith("@") & ~standard & (F.contains(key, F.lit(":")) | key.startswith("x-"))
+
+
+def overview(records_: DataFrame, items: DataFrame) -> DataFrame:
+    """(run_id, assets, access_methods, publisher_fields, blocking): what the overview counts. records_: run_id, type, publisher_fields; items: run_id, rank, status."""
+    open_ = items.groupBy("run_id").agg(F.count_if((F.col("rank") == "blocking") & (F.col("status") != "known")).alias("blocking"))
+    by = records_.groupBy("run_id").agg(F.count_if(F.col("type").isin("catalog", "dataset")).alias("assets"), F.count_if(F.col("type").isin("service", "distribution", "ogc-record-collection", "ogc-feature-collection")).alias("access_methods"), F.sum("publisher_fields").cast("long").alias("publisher_fields"))
+    return by.join(open_, "run_id", "left").na.fill({"blocking": 0})
+
+
 def comparison(fields: DataFrame, publisher: Column) -> DataFrame:
     """Core and publisher fields of all records, and whether publisher fields matter."""
     return fields.agg(F.count_if(~publisher).alias("core_fields"), F.count_if(publisher).alias("publisher_fields"), (F.count_if(publisher) > 0).alias("impact"))

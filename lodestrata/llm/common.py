@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.batches import bounded, slices
 from ..sources.store import discard, shared_dir, stored, swept
 
 __all__ = ["bounded", "discard", "free_name", "held_out", "shared_dir", "slices", "stored", "swept", "table", "text_bytes"]
 
-#: Texts are worked on in slices of about so many bytes, which bounds the memory of a task.
-SLICE_BYTES = 4_000_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,38 +23,11 @@ def free_name(frame: DataFrame, name: str) -> str:
     return name
 
 
-#: Rows of an Arrow batch: documents may be long, and a batch is held whole on both sides.
-BATCH_ROWS = 1_000
-
-
-def bounded(docs: DataFrame) -> DataFrame:
-    """docs, after the session's Arrow batches are limited to BATCH_ROWS rows; a lower setting stays. The plan runs later, so the setting cannot be put back here."""
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, BATCH_ROWS)
-    return docs
-
-
 def text_bytes(column: str = "text") -> F.Column:
     """The text as bytes, empty for null: Python then needs no decoding."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of a slice hold about `most` bytes; one longer text makes a slice of its own."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        array = batch.column(batch.schema.get_field_index(column))
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(array).fill_null(0)), dtype=np.int64)
-        start = 0
-        while start < batch.num_rows:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
-            yield batch.slice(start, stop - start)
-            start = stop
-
-
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Whether crc32 of the decimal id has the remainder 2 by 7; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))

@@ -250,7 +250,8 @@ def rejected_access(assets: DataFrame, rejected: DataFrame) -> DataFrame:
     """(run_id, id, rejected_url): of each asset the first rejected fetch that is among its access URLs. rejected: run_id, url, and where it has one, seq."""
     order = F.struct("seq", "url") if "seq" in rejected.columns else F.struct("url")
     own = assets.select("run_id", "id", F.explode(access_urls(F.col("kind"), F.col("uri"), F.col("endpoint_url"))).alias("url"))
-    return own.join(rejected, ["run_id", "url"]).groupBy("run_id", "id").agg(F.min_by("url", order).alias("rejected_url"))
+    gated = rejected.select("run_id", "url", *[c for c in ("seq",) if c in rejected.columns])
+    return own.join(gated, ["run_id", "url"]).groupBy("run_id", "id").agg(F.min_by("url", order).alias("rejected_url"))
 
 
 def inputs_summary(sources: DataFrame, mappings: DataFrame | None = None, reviews: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,9 @@ Each artifact's body is parsed once, in one Arrow pass without a shuffle, and
 gives facts: assets, claims, links, findings, relations, kinds and errors, as
 rows (table, seq, payload as JSON). Identity, link policy, claims, deduplication
 and endpoints are decided from the facts with DataFrame functions (plans.report).
+JSON trees are walked with stacks of their own, however deep they are. What the
+parsers themselves refuse, such as Turtle that is nested beyond LEVELS, is a parse
+error of the artifact.
 """
 
 from __future__ import annotations
@@ -45,25 +48,33 @@ class Facts:
 
 # ---- values
 
-def text_of(value: Any, depth: int = 0) -> str | None:
+_TEXT_KEYS = ("@id", "id", "@value", "value", "foaf:name", "name", "dcterms:title", "dct:title")
+
+
+def text_of(value: Any) -> str | None:
     """The string that a value stands for: itself, an object's id, value or name, or the first of an array that has one."""
-    if isinstance(value, str):
-        return value
-    if depth < 8 and isinstance(value, dict):
-        for key in ("@id", "id", "@value", "value", "foaf:name", "name", "dcterms:title", "dct:title"):
-            if (found := text_of(value.get(key), depth + 1)) is not None:
-                return found
-    if depth < 8 and isinstance(value, list):
-        return next((t for x in value if (t := text_of(x, depth + 1)) is not None), None)
+    stack = [value]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            return x
+        if isinstance(x, dict):
+            stack += [x[k] for k in reversed(_TEXT_KEYS) if k in x]
+        elif isinstance(x, list):
+            stack += reversed(x)
     return None
 
 
 def texts_of(value: Any) -> list[str]:
     """All strings of a value, arrays flattened."""
-    if isinstance(value, list):
-        return [t for x in value for t in texts_of(x)]
-    found = text_of(value)
-    return [] if found is None else [found]
+    out, stack = [], [value]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, list):
+            stack += reversed(x)
+        elif (found := text_of(x)) is not None:
+            out.append(found)
+    return out
 
 
 def first_of(node: Any, keys: tuple[str, ...]) -> str | None:
@@ -239,23 +250,22 @@ def _relations(facts: Facts, node: dict, names: Names) -> None:
                 facts.add("relation", subject={"uri": names.full(subject)}, predicate=predicate, object=_endpoint(value, names), evidence={"source": "json_ld_predicate", "predicate": predicate, "value": shorten(text_of(value) or value)})
 
 
-def _shapes(facts: Facts, value: Any, names: Names, shape: str | None, depth: int = 0) -> None:
+def _shapes(facts: Facts, value: Any, names: Names, shape: str | None) -> None:
     """Property shapes with a path; the shape is the nearest object above with an id."""
-    if depth > LEVELS:
-        return
-    if isinstance(value, list):
-        for x in value:
-            _shapes(facts, x, names, shape, depth + 1)
-    elif isinstance(value, dict):
-        own = first_of(value, ("@id", "id")) or shape
-        for key in sorted(value):
-            if names.short(key) == "sh:property":
-                for p in value[key] if isinstance(value[key], list) else [value[key]]:
-                    path = next((text_of(p[k]) for k in p if names.short(k) == "sh:path"), None) if isinstance(p, dict) else None
-                    if path:
-                        label = next((text_of(p[k]) for k in p if names.short(k) == "sh:name"), None)
-                        facts.finding("semantic.shacl_property", "A shape has a property path", {"source": "shacl_property", "shape": own or "", "path": names.full(path), "predicate": "sh:path", "value": label or names.full(path)})
-            _shapes(facts, value[key], names, own, depth + 1)
+    stack: list[tuple[str | None, Any, str | None]] = [(None, value, shape)]
+    while stack:
+        key, x, own = stack.pop()
+        if key is not None and names.short(key) == "sh:property":
+            for p in x if isinstance(x, list) else [x]:
+                path = next((text_of(p[k]) for k in p if names.short(k) == "sh:path"), None) if isinstance(p, dict) else None
+                if path:
+                    label = next((text_of(p[k]) for k in p if names.short(k) == "sh:name"), None)
+                    facts.finding("semantic.shacl_property", "A shape has a property path", {"source": "shacl_property", "shape": own or "", "path": names.full(path), "predicate": "sh:path", "value": label or names.full(path)})
+        if isinstance(x, list):
+            stack += [(None, y, own) for y in reversed(x)]
+        elif isinstance(x, dict):
+            inner = first_of(x, ("@id", "id")) or own
+            stack += [(k, x[k], inner) for k in sorted(x, reverse=True)]
 
 
 # ---- other JSON
@@ -297,37 +307,35 @@ def json_schema(facts: Facts, document: Any) -> None:
         facts.finding("semantic.schema_property", "A schema has a property", {"source": "schema_property", "schema_pointer": pointer, "property_path": path, "property_name": name, "value": shorten(schema)})
 
 
-def schema_references(value: Any, pointer: str = "", depth: int = 0) -> Iterator[tuple[str, str]]:
+def schema_references(value: Any) -> Iterator[tuple[str, str]]:
     """(pointer, url) of every $ref."""
-    if depth > LEVELS:
-        return
-    if isinstance(value, dict):
-        for key in sorted(value):
-            own = f"{pointer}/{escape(key)}"
-            if key == "$ref" and isinstance(value[key], str):
-                yield own, value[key]
-            else:
-                yield from schema_references(value[key], own, depth + 1)
-    elif isinstance(value, list):
-        for k, x in enumerate(value):
-            yield from schema_references(x, f"{pointer}/{k}", depth + 1)
+    stack: list[tuple[str, str | None, Any]] = [("", None, value)]
+    while stack:
+        pointer, key, x = stack.pop()
+        if key == "$ref" and isinstance(x, str):
+            yield pointer, x
+        elif isinstance(x, dict):
+            stack += [(f"{pointer}/{escape(k)}", k, x[k]) for k in sorted(x, reverse=True)]
+        elif isinstance(x, list):
+            stack += [(f"{pointer}/{k}", None, x[k]) for k in range(len(x) - 1, -1, -1)]
 
 
-def schema_properties(schema: Any, pointer: str = "", path: str = "", depth: int = 0) -> Iterator[tuple[str, str, str, Any]]:
+def schema_properties(schema: Any) -> Iterator[tuple[str, str, str, Any]]:
     """(pointer, dotted path, name, schema) of every property, through the keywords that hold schemas."""
-    if depth > LEVELS or not isinstance(schema, dict):
-        return
-    own = schema.get("properties")
-    for name in sorted(own) if isinstance(own, dict) else ():
-        at, dotted = f"{pointer}/properties/{escape(name)}", f"{path}.{name}" if path else name
-        yield at, dotted, name, own[name]
-        yield from schema_properties(own[name], at, dotted, depth + 1)
-    for key in ("items", "additionalProperties", "contains", "propertyNames"):
-        yield from schema_properties(schema.get(key), f"{pointer}/{key}", path, depth + 1)
-    for key in ("allOf", "anyOf", "oneOf", "prefixItems"):
-        parts = schema.get(key)
-        for k, part in enumerate(parts if isinstance(parts, list) else ()):
-            yield from schema_properties(part, f"{pointer}/{key}/{k}", path, depth + 1)
+    stack: list[tuple[str, str, str | None, Any]] = [("", "", None, schema)]
+    while stack:
+        pointer, path, name, x = stack.pop()
+        if name is not None:
+            yield pointer, path, name, x
+        if not isinstance(x, dict):
+            continue
+        own = x.get("properties")
+        below = [(f"{pointer}/properties/{escape(k)}", f"{path}.{k}" if path else k, k, own[k]) for k in sorted(own)] if isinstance(own, dict) else []
+        below += [(f"{pointer}/{k}", path, None, x.get(k)) for k in ("items", "additionalProperties", "contains", "propertyNames")]
+        for key in ("allOf", "anyOf", "oneOf", "prefixItems"):
+            parts = x.get(key)
+            below += [(f"{pointer}/{key}/{k}", path, None, part) for k, part in enumerate(parts if isinstance(parts, list) else ())]
+        stack += reversed(below)
 
 
 def open_api(facts: Facts, document: Any) -> None:

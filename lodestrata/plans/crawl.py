@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from time import monotonic
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import fetch_policy
+from ..sources.fetch import Policy
 from ..sources.store import stored
 
 
@@ -32,6 +34,10 @@ class CrawlConfig:
         if self.max_depth < 0 or not self.schemes:
             raise ValueError("a depth of zero or more and a scheme are needed")
 
+    def policy(self, **more) -> Policy:
+        """The limits of a single fetch, for sources.fetch.fetching()."""
+        return Policy(schemes=self.schemes, max_redirects=self.max_redirects, max_body_bytes=self.max_body_bytes, timeout_ms=self.fetch_timeout_ms, **more)
+
 
 def levels(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(node, level): the least number of edges (source, target) from a seed (node), up to max_depth."""
@@ -54,12 +60,20 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], analyze: Ca
     round has fetched and returns candidates (run_id, url, priority,
     discovered_from). A URL of a run is fetched once. In each round a run's
     candidates are taken by (priority, url) while its budget of fetches lasts.
+    Bytes are counted in that order after each round: what goes beyond
+    max_total_bytes is rejected, is not analyzed, and ends its run. No round
+    begins after total_timeout_ms. What fetch itself rejects keeps its
+    reason_code, if it returns one. A crawl of which nothing could be fetched is
+    an error.
     """
     config = config or CrawlConfig()
     order = Window.partitionBy("run_id").orderBy("priority", "url")
     asked = seeds.select("run_id", "url", F.lit(0).alias("priority"), F.lit(None).cast("string").alias("discovered_from"))
     fetched = rejected = seen = None
+    until = monotonic() + config.total_timeout_ms / 1000
     for depth in range(config.max_depth + 1):
+        if depth and monotonic() > until:
+            break
         fresh = asked.groupBy("run_id", "url").agg(F.min(F.struct("priority", "discovered_from")).alias("_c")).select("run_id", "url", "_c.*")
         if seen is not None:
             fresh = fresh.join(seen, ["run_id", "url"], "left_anti")
@@ -69,15 +83,27 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], analyze: Ca
             fresh = fresh.withColumn("_left", F.lit(config.max_fetches))
         judged = fresh.withColumn("reason_code", fetch_policy(F.col("url"), config.schemes))
         refused = judged.where("reason_code is not null").select("run_id", "url", "reason_code", "discovered_from")
-        due = judged.where("reason_code is null").withColumn("_n", F.row_number().over(order)).where("_n <= _left").select("run_id", "url", F.lit(depth).alias("depth"), "discovered_from")
-        got = stored(fetch(due), "fetched")
+        due = stored(judged.where("reason_code is null").withColumn("_n", F.row_number().over(order)).where("_n <= _left").select("run_id", "url", F.lit(depth).alias("depth"), "discovered_from", F.col("_n").alias("place")), "due")
+        got = fetch(due.drop("place"))
+        given = F.col("reason_code") if "reason_code" in got.columns else F.lit(None).cast("string")
+        got = stored(got.withColumn("reason_code", given), "fetched")
         if not got.take(1):
             rejected = refused if rejected is None else rejected.unionByName(refused)
             break
         large = F.length("body") > config.max_body_bytes
         failed = F.col("body").isNull() | ~F.col("status").between(200, 299)
-        code = F.when(F.col("status").isin(401, 403), "auth.required").when(failed, "fetch.failed").when(large, "limit.body_too_large")
+        code = F.coalesce("reason_code", F.when(F.col("status").isin(401, 403), "auth.required").when(failed, "fetch.failed").when(large, "limit.body_too_large"))
         whole = got.withColumn("reason_code", code)
+        # at most max_fetches rows a run, so a window over a run is small
+        size = F.when(F.col("reason_code").isNull(), F.length("body")).otherwise(0)
+        placed = whole.join(due.select("run_id", "url", "place"), ["run_id", "url"])
+        if fetched is not None:
+            placed = placed.join(fetched.groupBy("run_id").agg(F.sum(F.length("body")).alias("_before")), "run_id", "left")
+        else:
+            placed = placed.withColumn("_before", F.lit(0))
+        running = F.sum(size).over(Window.partitionBy("run_id").orderBy("place")) + F.coalesce("_before", F.lit(0))
+        whole = stored(placed.withColumn("reason_code", F.when(F.col("reason_code").isNull() & (running > config.max_total_bytes), "limit.total_bytes").otherwise(F.col("reason_code"))).drop("place", "_before"), "judged")
+        ended = whole.where("reason_code = 'limit.total_bytes'").select("run_id").distinct()
         bad = whole.where("reason_code is not null").select("run_id", "url", "reason_code", "discovered_from").unionByName(refused)
         good = whole.where("reason_code is null").drop("reason_code")
         rejected = bad if rejected is None else rejected.unionByName(bad)
@@ -85,13 +111,10 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], analyze: Ca
         own = got.select("run_id", "url")
         seen = own if seen is None else seen.unionByName(own)
         if depth < config.max_depth:
-            asked = stored(analyze(good), "candidates")
+            asked = stored(analyze(good).join(ended, "run_id", "left_anti"), "candidates")
     if fetched is None:
         raise ValueError("nothing could be fetched")
-    total = fetched.groupBy("run_id").agg(F.sum(F.length("body")).alias("bytes")).where(F.col("bytes") > config.max_total_bytes)
-    over = fetched.join(total, "run_id").withColumn("_sum", F.sum(F.length("body")).over(Window.partitionBy("run_id").orderBy("depth", "url"))).where(F.col("_sum") > config.max_total_bytes)
-    late = stored(over.select("run_id", "url", F.lit("limit.total_bytes").alias("reason_code"), "discovered_from"), "late")
-    return fetched.join(late.select("run_id", "url"), ["run_id", "url"], "left_anti"), rejected.unionByName(late)
+    return fetched, rejected
 
 
 def fetch_summary(fetched: DataFrame, rejected: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def iri_functions(spark, d):
     predicate = F.when(k % 4 == 0, "dcterms:title").when(k % 4 == 1, f"{_DCT}title").when(k % 4 == 2, "https://data.example/terms#title").otherwise("https://data.example/subtitle")
     return load(spark, d, "nation").select(
         "n_nationkey", iris.expand(of("dct:")).alias("expanded"), iris.expand(of("https://data.example/")).alias("none"), iris.expanded(of("x:")).alias("unknown"), iris.compact(of(_DCT)).alias("compacted"), iris.compact(of("dct:")).alias("renamed"),
-        iris.compact(F.concat(F.lit(_CV), shared)).alias("shared"), iris.canonical(of(" dct:")).alias("canonical"), iris.canonical(of("own:"), {"own": "https://data.example/own/"}).alias("own"), iris.matches(predicate, "dcterms:title").alias("same"),
+        iris.compact(F.concat(F.lit(_CV), shared)).alias("shared"), iris.canonical(of(" dcterms:")).alias("canonical"), iris.canonical(of("own:"), {"own": "https://data.example/own/"}).alias("own"), iris.matches(predicate, "dcterms:title").alias("same"),
     )
 
 

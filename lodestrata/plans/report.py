@@ -1,8 +1,9 @@
 """From fetched artifacts to the tables of a report, for any number of runs at once.
 
 fetched -> classified (one projection) -> facts (one pass over the bodies) ->
-one DataFrame for each table. Nothing is collected; facts, artifact heads and
-judged links are stored in the shared folder once, as several tables read them.
+one DataFrame for each table. Nothing is collected; classified artifacts, facts
+and judged links are stored in the shared folder once, as several tables read
+them. Arrow batches are small, as bodies may be of several megabytes.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from ..operators import classify, links
 from ..operators.claims import claims, enabled_packs
 from ..operators.graph import resolve_endpoints, unclaimed
 from ..operators.trees import extract
+from ..sources.batches import bounded, slices
 from ..sources.store import stored
 from .schemas import EVIDENCE, EVIDENCE_FIELDS, FACTS
 
@@ -109,7 +111,7 @@ def classified(fetched: DataFrame) -> DataFrame:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["run_id", "ordinal", "artifact_id", "from_url", "seq", "fact", "payload"]
     kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-    for batch in batches:
+    for batch in slices(batches, "text"):
         rows = []
         for run, ordinal, artifact, url, at, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for seq, (fact, payload) in enumerate(extract(kind, at or url or "", text or "")):
@@ -121,7 +123,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def facts(found: DataFrame) -> DataFrame:
     """What the bodies of fetched artifacts of a known kind say: one row for each fact."""
     readable = found.where((F.col("status") == "fetched") & (F.col("kind") != "unknown"))
-    return readable.select("run_id", "ordinal", "artifact_id", "url", "at", "kind", "text").mapInArrow(_extract, "run_id string, ordinal int, artifact_id string, from_url string, seq long, fact string, payload string")
+    return bounded(readable, 16).select("run_id", "ordinal", "artifact_id", "url", "at", "kind", "text").mapInArrow(_extract, "run_id string, ordinal int, artifact_id string, from_url string, seq long, fact string, payload string")
 
 
 def _of(rows: DataFrame, fact: str) -> DataFrame:
@@ -157,10 +159,11 @@ def analyze(fetched: DataFrame, options: Options | None = None) -> Report:
     """The report of each run of fetched."""
     options = options or Options()
     packs = enabled_packs(options.profile_packs)
-    found = classified(fetched)
+    read = classified(fetched)
+    found = stored(read.select("run_id", "ordinal", "artifact_id", "url", "final_url", "at", "kind", "status", "media_type", "http_status", "discovered_from", "headers", F.octet_length("body").cast("long").alias("byte_length"), body_hash("body").alias("hash"), F.when(F.col("status") == "fetched", F.col("text")).alias("text")), "artifacts")
     rows = stored(facts(found), "facts")
-    # what later tables need of an artifact, without its body
-    head = stored(found.select("run_id", "ordinal", "artifact_id", "url", "final_url", "kind", "status", "media_type", "http_status", "discovered_from", F.octet_length("body").cast("long").alias("byte_length"), body_hash("body").alias("hash")), "artifacts")
+    # what later tables need of an artifact, without its text
+    head = found.select("run_id", "ordinal", "artifact_id", "url", "final_url", "kind", "status", "media_type", "http_status", "discovered_from", "byte_length", "hash")
 
     key = lambda c: F.concat_ws("\0", c)
     raw = _of(rows, "asset").withColumn("id", det_id("asset", "artifact_id", key(F.col("key"))))

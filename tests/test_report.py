@@ -191,10 +191,18 @@ class Site:
         "https://a.example/private": (403, [], b""),
         "https://a.example/inner": (302, [("Location", "https://inner.example/")], b""),
         "https://a.example/gone": (410, [], b""),
+        "https://a.example/odd": (200, [("Content-Length", "many")], b""),
+        "https://a.example/said": (200, [("Content-Length", "99")], b""),
+        "https://a.example/pieces": (200, [], (b"x" * 10 for _ in range(1000))),
+        "https://a.example/slow": (200, [], b"x"),
     }
+    asked = []
 
-    def get(self, url, credential):
-        status, headers, body = self.pages[url]
+    def get(self, request):
+        self.asked.append(request)
+        if request.url.endswith("slow"):
+            raise TimeoutError
+        status, headers, body = self.pages[request.url]
         return {"status": status, "headers": headers, "body": body}
 
     def resolve(self, host):
@@ -205,7 +213,7 @@ class Site:
 
 @pytest.mark.parametrize(
     "path, reason",
-    [("", None), ("x", None), ("down", "policy.https_downgrade"), ("loop", "policy.too_many_redirects"), ("nowhere", "policy.redirect_missing_location"), ("big", "limit.body_too_large"), ("private", "auth.required"), ("inner", "policy.private_network_blocked"), ("gone", "fetch.failed"), ("missing", "fetch.failed")],
+    [("", None), ("x", None), ("down", "policy.https_downgrade"), ("loop", "policy.too_many_redirects"), ("nowhere", "policy.redirect_missing_location"), ("big", "limit.body_too_large"), ("private", "auth.required"), ("inner", "policy.private_network_blocked"), ("gone", "fetch.failed"), ("missing", "fetch.failed"), ("odd", "fetch.invalid_header"), ("said", "limit.body_too_large"), ("pieces", "limit.body_too_large"), ("slow", "limit.timeout")],
 )
 def test_fetch_policy(path, reason):
     from lodestrata.sources import fetch
@@ -213,6 +221,7 @@ def test_fetch_policy(path, reason):
     site = Site()
     got = fetch.fetch_artifact(f"https://a.example/{path}", site.get, site.resolve, fetch.Policy(max_body_bytes=20))
     assert got["reason_code"] == reason
+    assert site.asked[-1].address == "93.184.216.34" and site.asked[-1].most_bytes == 20 and 0 < site.asked[-1].seconds <= 10
     if not reason:
         assert got["media_type"] == "text/html" and got["headers"] == [{"name": "content-type", "value": "text/html; charset=utf-8"}] and got["final_url"].endswith("/x")
 
@@ -232,11 +241,37 @@ def test_credentials_stay_at_their_origin():
     assert got["reason_code"] == "auth.rejected" and got["credential_sent"]
 
 
+def test_shared_addresses_are_private_and_time_runs_over_redirects():
+    from lodestrata.sources import fetch
+
+    assert fetch.refused("https://a.example/", fetch.Policy(), lambda host: ["100.64.1.1"]) == "policy.private_network_blocked"
+    site = Site()
+    assert fetch.fetch_artifact("https://a.example/x", site.get, site.resolve, fetch.Policy(timeout_ms=-1))["reason_code"] == "limit.timeout"
+    assert crawl.CrawlConfig(max_redirects=1, fetch_timeout_ms=5).policy(allow_private=True) == fetch.Policy(schemes=("http", "https"), max_redirects=1, timeout_ms=5, allow_private=True)
+
+
+def test_crawl_counts_bytes_by_round(spark):
+    pages = spark.createDataFrame([(f"https://e.example/{k}", 200, "text/plain", b"x" * 100) for k in range(8)], "url string, status int, media_type string, body binary")
+    seeds = spark.createDataFrame([("r", "https://e.example/0")], "run_id string, url string")
+    asked = []
+
+    def follow(good):
+        asked.append(sorted(r.url[-1] for r in good.select("url").collect()))
+        at = F.substring(F.col("url"), -1, 1).cast("int")
+        return good.select("run_id", F.explode(F.array(at * 2 + 1, at * 2 + 2)).alias("k"), F.col("url").alias("discovered_from")).select("run_id", F.concat(F.lit("https://e.example/"), F.col("k").cast("string")).alias("url"), F.lit(10).alias("priority"), "discovered_from")
+
+    good, bad = crawl.crawl(seeds, bundles.in_memory(pages), follow, crawl.CrawlConfig(max_depth=3, max_total_bytes=250))
+    assert sorted(r.url[-1] for r in good.collect()) == ["0", "1"]
+    assert [(r.url[-1], r.reason_code) for r in bad.where("reason_code like 'limit%'").collect()] == [("2", "limit.total_bytes")]
+    assert asked == [["0"], ["1"]]
+
+
 def test_fetching_in_workers(spark):
     from lodestrata.sources import fetch
 
     pages = dict(Site.pages)  # workers cannot import this module
-    get = lambda url, credential: dict(zip(("status", "headers", "body"), pages[url], strict=True))
+    pages.pop("https://a.example/pieces")
+    get = lambda request: dict(zip(("status", "headers", "body"), pages[request.url], strict=True))
     due = spark.createDataFrame([("r", "https://a.example/", 0, None), ("r", "ftp://a.example/", 0, None)], "run_id string, url string, depth int, discovered_from string")
     rows = {r.url: r for r in fetch.fetching(get, lambda host: ["93.184.216.34"])(due).collect()}
     assert bytes(rows["https://a.example/"].body) == b"hello" and rows["https://a.example/"].redirect_chain == ["https://a.example/"]

@@ -113,3 +113,24 @@ def test_evidence_is_cut_between_characters():
 @pytest.mark.parametrize("body", ["[]", "3", '"x"', "null", '{"links": 3, "servers": 4, "paths": [], "datasets": {}, "collections": 1}'])
 def test_odd_shapes_do_not_crash(kind, body):
     facts(kind, body)
+
+
+def nested(value, depth, key):
+    for _ in range(depth):
+        value = {key: value}
+    return value
+
+
+def test_depth_has_no_limit_of_its_own():
+    assert trees.text_of(nested("x", 5000, "value")) == "x" and trees.text_of([[[[[[[[[[["y"]]]]]]]]]]]) == "y"
+    assert [p for p, _ in trees.schema_references(nested({"$ref": "a.json"}, 3000, "items"))] == ["/items" * 3000 + "/$ref"]
+    assert [path for _, path, _, _ in trees.schema_properties(nested({"properties": {"p": {}}}, 3000, "items"))] == ["p"]
+    deep = nested({"sh:property": {"sh:path": "urn:p"}}, 900, "x") | {"@id": "urn:s"}
+    (finding,) = of(facts("shacl", json.dumps(deep)), "finding")
+    assert finding["evidence"]["shape"] == "urn:s"
+
+
+def test_what_a_parser_refuses_is_a_parse_error():
+    deep = "[" * 100_000
+    assert [t for t, _ in facts("json_schema", deep)] == ["error"]
+    assert [t for t, _ in facts("shacl", "<urn:a> <urn:p> " + "[ <urn:q> " * 400 + "1" + "]" * 400 + " .")] == ["error"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tomllib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import det_id
-from ..functions.vocabulary import PROFILE_PACKS
+from ..functions.vocabulary import PROFILE_PACKS, PROFILE_WORDS
 from .classify import looks_like_profile, standard_label
 from .links import first_by
 
@@ -23,6 +25,22 @@ def enabled_packs(names: list[str] | None = None) -> tuple:
     return tuple(p for p in PROFILE_PACKS if p[0] in names)
 
 
+def parse_packs(*texts: str) -> tuple:
+    """Packs from TOML texts: id, label and standard_iri must be there; a pack whose IRI or label speaks of a profile, or that says `profile = true`, makes profile claims. Raises ValueError for what is no pack."""
+    out = []
+    for text in texts:
+        pack = tomllib.loads(text)  # its error is a ValueError
+        missing = [k for k in ("id", "label", "standard_iri") if not isinstance(pack.get(k), str)]
+        if missing:
+            raise ValueError(f"a profile pack needs {', '.join(missing)}")
+        for name in ("artifact_kinds", "link_predicates"):
+            if not all(isinstance(x, str) for x in pack.get(name, [])):
+                raise ValueError(f"{name} of a profile pack must be strings")
+        words = f"{pack['label']} {pack['standard_iri']}".lower()
+        out.append((pack["id"], pack["label"], pack["standard_iri"], bool(pack.get("profile", any(w in words for w in PROFILE_WORDS)))))
+    return tuple(out)
+
+
 def with_pack(claims: DataFrame, packs: tuple = PROFILE_PACKS) -> DataFrame:
     """claims (iri) with label and is_profile: from the first pack whose IRI is the claim's, above or below it; else from the IRI's words."""
     iri = F.lower(F.rtrim(F.col("iri"), F.lit("/")))

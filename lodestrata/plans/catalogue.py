@@ -210,9 +210,10 @@ opt AS (SELECT h.s AS requirement, h.o AS option, spec.o AS t FROM haslist h LEF
 optacc AS (SELECT requirement, option, count(t) AS n_types, count_if(t IS NOT NULL AND t NOT IN (SELECT t FROM tacc)) AS n_missing FROM opt GROUP BY 1, 2)"""
 
 
-def _graph(spark, d):
+def _graph(spark, d, keep=False):
+    """keep: paths that several methods share are stored when they are first asked for."""
     rel = demo.relations(spark, d)
-    return graph.ServiceGraph(demo.assets(spark, d), rel, demo.claims(rel))
+    return graph.ServiceGraph(demo.assets(spark, d), rel, demo.claims(rel), keep)
 
 
 @query(f"WITH {_GRAPH} SELECT p AS predicate, count(*) AS n, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects FROM edges GROUP BY 1")
@@ -254,7 +255,7 @@ def evidence_providers(spark, d):
 
 @query(f"WITH {_GRAPH} SELECT DISTINCT c AS source, prov AS target FROM stype JOIN tprov ON stype.t = tprov.t")
 def service_providers(spark, d):
-    return _graph(spark, d).stored().service_providers().select("source", "target")
+    return _graph(spark, d).service_providers().select("source", "target")
 
 
 @query(f"WITH {_GRAPH} SELECT requirement, option, n_types, n_missing, n_types > 0 AND n_missing = 0 AS satisfiable FROM optacc", n_missing="BIGINT")
@@ -280,14 +281,14 @@ UNION ALL SELECT a, 'registry_manifest:evidenceType' FROM typ WHERE a NOT IN (SE
 UNION ALL SELECT a, 'registry_manifest:providedBy' FROM off WHERE a NOT IN (SELECT s FROM provided)
 UNION ALL SELECT a, 'registry_manifest:evidenceService' FROM off WHERE a NOT IN (SELECT s FROM access)""")
 def service_gaps(spark, d):
-    return _graph(spark, d).stored().gaps().drop("run_id")
+    return _graph(spark, d, True).gaps().drop("run_id")
 
 
 @query(f"""WITH {_GRAPH} SELECT kind, count(*) AS n, count(DISTINCT source) AS services FROM (
  SELECT 'evidence_type' AS kind, c AS source, t FROM stype UNION ALL SELECT DISTINCT 'evidence_provider', c, prov FROM stype JOIN tprov ON stype.t = tprov.t
  UNION ALL SELECT DISTINCT 'evidence_access_service', c, svc FROM stype JOIN tacc ON stype.t = tacc.t) GROUP BY 1""")
 def service_routes(spark, d):
-    return _graph(spark, d).stored().routes().groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("source").alias("services"))
+    return _graph(spark, d, True).routes().groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("source").alias("services"))
 
 
 _ID = "'relation:' || substr(sha256('relation' || chr(0) || {s} || '|{p}|' || {o}), 1, 16)"

@@ -97,6 +97,19 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.when(bare, F.try_variant_get("v", "$.run_id", "string")).otherwise(F.col("stem")).alias("source_id"), report.alias("report"))
 
 
+#: What a run changes although nothing else has changed (fixed values).
+TIMES, DURATIONS, EPOCH = ("analyzed_at", "fetched_at"), ("total_elapsed_ms",), "1970-01-01T00:00:00Z"
+
+
+def canonical_json(text: str) -> str:
+    """A report or envelope for a fixture: keys in order, times at the epoch, durations zero. One document; raises ValueError for no JSON."""
+
+    def plain(key: str, value):
+        return EPOCH if key in TIMES else 0 if key in DURATIONS else value
+
+    return json.dumps(json.loads(text, object_pairs_hook=lambda pairs: {k: plain(k, v) for k, v in pairs}), sort_keys=True, ensure_ascii=False, indent=2) + "\n"
+
+
 def analyze_json(spark: SparkSession, text: str) -> str:
     """The whole engine behind one JSON string: a bundle in, a report (or an error) out. Small by its budget."""
     from ..plans.report import analyze

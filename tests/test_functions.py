@@ -1,5 +1,8 @@
 """Scalar functions, classification, links and claims on odd values."""
 
+import json
+from urllib.parse import urljoin
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +33,27 @@ def test_resolve(spark, raw, full):
     assert one(spark, urls.resolve(F.col("b"), F.col("r")), b="https://a.example/d/e?p", r=raw) == full
 
 
+@pytest.mark.parametrize("base", ["https://a.example/d/e?p", "http://a.example", "https://a.example/d/f/", "https://a.example/d/e/f#x"])
+@pytest.mark.parametrize("raw", ["../z", "z.html", "./", "..", "../../../up", "a/./b/../c?x=/../#f", "/r/./s", "g;x=1", "x?y/../z", "."])
+def test_resolve_as_the_standard_library_does(spark, base, raw):
+    assert one(spark, urls.resolve(F.col("b"), F.col("r")), b=base, r=raw) == urljoin(base.split("#")[0], raw)
+
+
+def test_profile_packs_from_toml():
+    text = 'id = "town"\nlabel = "Town profile"\nversion = "1"\nstandard_iri = "https://town.example/profile/"\nartifact_kinds = ["dcat_catalog"]\n'
+    assert claims.parse_packs(text) == (("town", "Town profile", "https://town.example/profile/", True),)
+    for bad in ("id = ", 'id = "x"', text.replace('["dcat_catalog"]', "[1]")):
+        with pytest.raises(ValueError):
+            claims.parse_packs(bad)
+
+
+def test_canonical_json():
+    from lodestrata.sources.bundles import canonical_json
+
+    assert json.loads(canonical_json('{"b": 1, "a": {"fetched_at": "now", "total_elapsed_ms": 9}}')) == {"a": {"fetched_at": "1970-01-01T00:00:00Z", "total_elapsed_ms": 0}, "b": 1}
+    assert canonical_json('{"b":1,"a":2}') == canonical_json('{ "a": 2, "b": 1 }')
+
+
 @pytest.mark.parametrize("url, secret", [("https://u@a.example/", True), ("https://a.example/?API_KEY=1", True), ("https://a.example/?q=token", False), ("https://a.example/?my_token_x=1", True), ("https://a.example/", False)])
 def test_secrets(spark, url, secret):
     assert one(spark, urls.has_secret(F.col("u")), u=url) is secret

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import iris, labels, urls
 from ..functions.vocabulary import AUTHORITY_SIGNALS, FRESHNESS_SIGNALS, GAPS, LEGAL_SIGNALS, SOURCE_SIGNALS, STRUCTURED_KINDS
+from ..sources.store import stored
 
 STRUCTURED, METADATA, MAPPING, ACCESS = "structured", "metadata", "reviewed_mapping", "access"
 TERM_SCHEMA = "query_id string, need_id string, role string, group_ord int, kind string, value string, set_id string, mapping_id string"
@@ -322,10 +323,19 @@ def confidence(structured: Column, metadata: Column, mapping: Column, access: Co
 
 
 def ranked(matches: DataFrame) -> DataFrame:
-    """matches with their rank in each need: structured, metadata, mapping, access counts falling; gaps, confidence, route id and evidence rising."""
+    """matches with their rank in each need: structured, metadata, mapping, access counts falling; gaps, confidence, route id and evidence rising.
+
+    Matches are dealt by ranges of that order and ranked within each range, to which
+    the sizes of the ranges before are added: no task holds all matches of a need.
+    """
     order = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
-    by = Window.partitionBy("query_id", "need_id").orderBy(F.desc("structured"), F.desc("metadata"), F.desc("mapping"), F.desc("access"), F.size("gaps"), order, "route_id", "evidence_ids")
-    return matches.withColumn("rank", F.row_number().over(by))
+    by = [F.desc("structured"), F.desc("metadata"), F.desc("mapping"), F.desc("access"), F.size("gaps"), order, "route_id", "evidence_ids"]
+    need = ["query_id", "need_id"]
+    dealt = stored(matches.repartitionByRange(*need, *by).withColumn("_part", F.spark_partition_id()), "matches")
+    sizes = dealt.groupBy(*need, "_part").agg(F.count("*").alias("_n"))
+    before = sizes.select(*need, "_part", (F.sum("_n").over(Window.partitionBy(*need).orderBy("_part")) - F.col("_n")).cast("int").alias("_before"))
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(*need, "_part").orderBy(*by)))
+    return own.join(before, [*need, "_part"]).withColumn("rank", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 
 
 def one_route_each(matches: DataFrame) -> DataFrame:

@@ -181,3 +181,19 @@ def test_graph_mutations(spark):
     import json
 
     assert json.loads(graph.view("urn:s").first().view)["accepted_evidence_types"][0]["target"] == "t"
+
+
+def test_ranks_over_ranges_are_those_of_one_window(spark):
+    from pyspark.sql import Window
+
+    from lodestrata.operators import capability
+
+    k = F.col("id")
+    frame = spark.range(3000).select(
+        F.lit("q").alias("query_id"), F.when(k % 10 == 0, "b").otherwise("a").alias("need_id"), (k % 3).alias("structured"), (k % 5).alias("metadata"), F.lit(0).alias("mapping"), (k % 2).alias("access"),
+        F.array_repeat(F.lit("g"), (k % 4).cast("int")).alias("gaps"), F.lit("low").alias("confidence"), F.concat(F.lit("r"), k.cast("string")).alias("route_id"), F.array(k.cast("string")).alias("evidence_ids"),
+    )
+    plain = Window.partitionBy("query_id", "need_id").orderBy(F.desc("structured"), F.desc("metadata"), F.desc("mapping"), F.desc("access"), F.size("gaps"), "route_id")
+    want = {r.route_id: r.n for r in frame.withColumn("n", F.row_number().over(plain)).collect()}
+    assert {r.route_id: r["rank"] for r in capability.ranked(frame).collect()} == want
+    assert capability.ranked(frame.limit(0)).count() == 0

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import headers as header_fns
 from ..functions import ids, iris, labels, urls
 from ..operators import capability, classify, seeds, workbench
+from . import board
 from .catalogue import query
 from .demo import load
+from .report import redacted
 
 _U = "'https://data.example/'"
 
@@ -192,3 +194,41 @@ def overview_counts(spark, d):
     kind = F.when(k % 4 == 0, "catalog").when(k % 4 == 1, "dataset").when(k % 4 == 2, "service").otherwise("distribution")
     items = s.select(run, F.when(k % 2 == 0, "blocking").otherwise("recommended").alias("rank"), F.when(F.col("s_acctbal") < 0, "unknown").otherwise("known").alias("status"))
     return workbench.overview(s.select(run, kind.alias("type"), (k % 3).alias("publisher_fields")), items)
+
+
+# ---- the workbench's checks
+
+_CHECKED = {"dcat": "n_nationkey % 4 = 0", "records": "n_nationkey % 5 = 0", "shacl": "n_nationkey % 2 = 0", "odrl": "n_nationkey % 2 = 1", "rights": "n_nationkey % 3 = 0"}
+
+
+def _checks_sql() -> str:
+    order = ("dcat", "breg", "records", "openapi", "features", "shacl", "odrl", "rights", "dqv", "adms", "dpv", "trust", "own")
+    cases = " UNION ALL ".join(f"SELECT n_name AS run_id, {k} AS ord, '{i}' AS check_id, CASE WHEN {_CHECKED.get(name, 'false')} THEN 'found' ELSE 'missing' END AS presence FROM nation" for k, (name, (i, _)) in enumerate(zip(order, board.CHECKS, strict=True)))
+    return f"SELECT run_id, ord::INT AS ord, check_id, presence FROM ({cases})"
+
+
+@query(_checks_sql())
+def artifact_checks(spark, d):
+    k, run = F.col("n_nationkey"), F.col("n_name").alias("run_id")
+    n = load(spark, d, "nation")
+    said = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    kinds = said("@type", F.when(k % 2 == 0, "sh:NodeShape").otherwise("odrl:Offer"))
+    more = F.array(kinds, F.when(k % 3 == 0, said("dcterms:license", F.lit("urn:l"))), F.when(k % 5 == 0, said("dcterms:conformsTo", F.lit("https://data.example/OGCAPI-Records/"))), said("x:other", F.lit("ogcapi-features")))
+    artifacts = n.select(run, F.when(k % 4 == 0, "dcat_catalog").otherwise("open_api").alias("kind"), F.when(k % 4 == 0, "fetched").otherwise("failed").alias("status"))
+    return board.checks(n.select(run, F.inline(F.array_compact(more))), artifacts, n.select(run)).select("run_id", "ord", "check_id", "presence")
+
+
+@query("""SELECT 'a' || n_nationkey AS artifact_id, CASE n_nationkey % 3 WHEN 0 THEN n_name ELSE 'Open API' END AS name, CASE n_nationkey % 4 WHEN 0 THEN 'found' WHEN 1 THEN 'auth-required' WHEN 2 THEN 'invalid' ELSE 'invalid' END AS presence FROM nation""")
+def artifact_states(spark, d):
+    k = F.col("n_nationkey")
+    status = F.when(k % 4 == 0, "fetched").when(k % 4 == 1, "auth_required").when(k % 4 == 2, "parse_error").otherwise("failed")
+    rows = load(spark, d, "nation").select(F.lit("r").alias("run_id"), F.concat(F.lit("a"), k.cast("string")).alias("id"), F.when(k % 3 == 0, F.col("n_name")).alias("title"), F.lit("open_api").alias("kind"), status.alias("status"), F.concat(F.lit("https://data.example/"), k.cast("string")).alias("url"), F.lit(None).cast("string").alias("error"), F.lit("application/json").alias("media_type"))
+    return board.artifact_statuses(rows).select("artifact_id", "name", "presence")
+
+
+@query("SELECT n_nationkey, 'https://data.example/?token=REDACTED' AS value, 'https://data.example/' || n_nationkey AS href, 'plain' AS other FROM nation")
+def redacted_evidence(spark, d):
+    url = lambda text: F.lit(text)
+    e = F.struct(url("https://u:p@data.example/?token=1").alias("value"), F.concat(F.lit("https://data.example/"), F.col("n_nationkey").cast("string")).alias("href"))
+    plain = F.struct(F.lit("plain").alias("value"), F.lit(None).cast("string").alias("href"))
+    return load(spark, d, "nation").select("n_nationkey", redacted(e)["value"].alias("value"), redacted(e)["href"].alias("href"), redacted(plain)["value"].alias("other"))

@@ -123,7 +123,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def facts(found: DataFrame) -> DataFrame:
     """What the bodies of fetched artifacts of a known kind say: one row for each fact."""
     readable = found.where((F.col("status") == "fetched") & (F.col("kind") != "unknown"))
-    return bounded(readable, 16).select("run_id", "ordinal", "artifact_id", "url", "at", "kind", "text").mapInArrow(_extract, "run_id string, ordinal int, artifact_id string, from_url string, seq long, fact string, payload string")
+    return bounded(readable).select("run_id", "ordinal", "artifact_id", "url", "at", "kind", "text").mapInArrow(_extract, "run_id string, ordinal int, artifact_id string, from_url string, seq long, fact string, payload string")
 
 
 def _of(rows: DataFrame, fact: str) -> DataFrame:

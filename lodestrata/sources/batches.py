@@ -11,15 +11,18 @@ from pyspark.sql import DataFrame
 
 #: Texts are worked on in slices of about so many bytes, which bounds the memory of a task.
 SLICE_BYTES = 4_000_000
-#: Rows of an Arrow batch: texts may be long, and a batch is held whole on both sides.
-BATCH_ROWS = 1_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bounded(frame: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """frame, after the session's Arrow batches are limited to so many rows; a lower setting stays. The plan runs later, so the setting cannot be put back here."""
-    conf, name = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, rows)
+def bounded(frame: DataFrame) -> DataFrame:
+    """frame, after the session's Arrow batches are limited to SLICE_BYTES; the number of rows, and a lower limit of bytes that the user has set, stay as they are.
+
+    The plan runs later, so the setting cannot be put back here; it is the same for every operator, so none changes how another one runs.
+    """
+    conf = frame.sparkSession.conf
+    held = str(conf.get(BATCH_BYTES)).removesuffix("b")
+    if not held.lstrip("-").isdigit() or not 0 < int(held) <= SLICE_BYTES:
+        conf.set(BATCH_BYTES, SLICE_BYTES)
     return frame
 
 

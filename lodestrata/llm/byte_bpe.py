@@ -65,7 +65,10 @@ class Encoder:
             return np.zeros(0, "<u4")
         if any(t in text for t in self.added):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+        try:
+            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+        except ValueError:  # the split's stack does not hold runs of some 10**6 blanks
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.fast:

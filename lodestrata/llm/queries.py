@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_reputation, licenses, lm_scoring, media, oracles, packing, pieces, quality, simhash, substrings, token_files
+from . import host_reputation, licenses, lm_scoring, media, oracles, packing, pieces, quality, simhash, substrings, token_files, vector_codes
 from .common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -60,6 +60,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents")).drop("intervals")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 _TWO = "|".join(s.replace(".", "\\.") for s in host_reputation.TWO_LABEL_SUFFIXES)
 _STEPS = f"list_transform(range({host_reputation.POINTS}), lambda k: (k - {host_reputation.POINTS // 2}) * {host_reputation.STEP}::DOUBLE)"
 _LT = "(least({u}, 0.0) - ln(1 + exp(-abs({u}))))"
@@ -121,8 +125,8 @@ FROM placed p LEFT JOIN hb ON p.host = hb.host
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_simhash, op4_sentencepiece, op5_quality_rules, op6_best_fit_packing, op7_token_files, op8_license_scan, op9_media_columns, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_simhash, op4_sentencepiece, op5_quality_rules, op6_best_fit_packing, op7_token_files, op8_license_scan, op9_media_columns, op10_substring_dedup, op11_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op5_quality_rules": oracles.OP5_SQL, "op8_license_scan": oracles.OP8_SQL, "op10_substring_dedup": oracles.OP10_SQL}
+    return {"op2_url_filters": OP2_SQL, "op5_quality_rules": oracles.OP5_SQL, "op8_license_scan": oracles.OP8_SQL, "op10_substring_dedup": oracles.OP10_SQL, "op11_vector_codes": vector_codes.OP11_SQL}

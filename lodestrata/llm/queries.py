@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_reputation, licenses, lm_scoring, media, oracles, packing, pieces, quality, simhash, substrings, token_files, toxicity, vector_codes
+from . import host_reputation, licenses, lm_scoring, media, oracles, packing, pieces, quality, resampling, simhash, substrings, token_files, toxicity, vector_codes
 from .common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -68,6 +68,10 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _TWO = "|".join(s.replace(".", "\\.") for s in host_reputation.TWO_LABEL_SUFFIXES)
 _STEPS = f"list_transform(range({host_reputation.POINTS}), lambda k: (k - {host_reputation.POINTS // 2}) * {host_reputation.STEP}::DOUBLE)"
 _LT = "(least({u}, 0.0) - ln(1 + exp(-abs({u}))))"
@@ -129,7 +133,7 @@ FROM placed p LEFT JOIN hb ON p.host = hb.host
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_simhash, op4_sentencepiece, op5_quality_rules, op6_best_fit_packing, op7_token_files, op8_license_scan, op9_media_columns, op10_substring_dedup, op11_vector_codes, op12_toxicity)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_simhash, op4_sentencepiece, op5_quality_rules, op6_best_fit_packing, op7_token_files, op8_license_scan, op9_media_columns, op10_substring_dedup, op11_vector_codes, op12_toxicity, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,7 +24,7 @@ one id the largest counts. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -151,21 +151,24 @@ class Model:
 def _lexicon(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts: text * n + word for each of a text's distinct words, the number of subwords of each of the n words, and their buckets."""
     ends = np.cumsum([len(t) for t in texts]) // CHUNK
-    text, hashes, names, sizes, buckets = [], [], [], [], []
+    text, hashes, sizes, buckets, names = [], [], [], [], np.zeros(0, np.uint64)
     for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
         words = words_of([texts[k] for k in rows])
+        if not len(words.hashes):
+            continue
         own = np.unique(words.text * np.int64(len(words.starts)) + words.which)
-        text.append(rows[own // len(words.starts)] if len(own) else own)
-        hashes.append(words.hashes[own % len(words.starts)] if len(own) else words.hashes)
-        bucket, owner = subwords(words)
-        names.append(words.hashes)
-        sizes.append(np.bincount(owner, minlength=len(words.starts)))
+        text.append(rows[own // len(words.starts)])
+        hashes.append(words.hashes[own % len(words.starts)])
+        new = ~np.isin(words.hashes, names)
+        bucket, owner = subwords(replace(words, starts=words.starts[new], ends=words.ends[new]))
+        names = np.concatenate([names, words.hashes[new]])
+        sizes.append(np.bincount(owner, minlength=int(new.sum())))
         buckets.append(bucket.astype(np.int32))
-    found, first = np.unique(np.concatenate(names), return_index=True)
-    size = np.concatenate(sizes)
-    place, _ = _ranges((np.cumsum(size) - size)[first], np.cumsum(size)[first])
-    pair = np.concatenate(text) * np.int64(len(found)) + np.searchsorted(found, np.concatenate(hashes))
-    return np.sort(pair), size[first], np.concatenate(buckets)[place]
+    if not text:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    order = np.argsort(names)
+    pair = np.concatenate(text) * np.int64(len(names)) + order[np.searchsorted(names, np.concatenate(hashes), sorter=order)]
+    return np.sort(pair), np.concatenate(sizes), np.concatenate(buckets)
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,9 +187,9 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         return Model(np.zeros((BUCKETS, 2), np.float32), np.array([0.0, bias]))
     pair, each, bucket = _lexicon(texts)
     n = len(each)
-    text, word = pair // n, pair % n
+    text, word = pair // max(1, n), pair % max(1, n)
     limits = np.searchsorted(text, np.arange(len(texts) + 1))
-    owner, each = np.repeat(np.arange(n), each), each.astype(np.float32)
+    owner, each = np.repeat(np.arange(n, dtype=np.int32), each), each.astype(np.float32)
     # subwords that few texts have stay zero
     enough = np.bincount(bucket, np.bincount(word, minlength=n)[owner], minlength=BUCKETS) >= LEAST_TEXTS
     bucket, owner = bucket[enough[bucket]], owner[enough[bucket]]
@@ -239,10 +242,14 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def learned(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """The model of the labelled rows that are not held out."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(doc_id)).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("toxic"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).where(F.length("text") <= SAMPLE_BYTES).join(known, "doc_id")
-    sample = []
-    for c in (0, 1):
-        sample += rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(SAMPLE).collect()
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")).where(F.length("text") <= SAMPLE_BYTES)
+    named = rows.withColumn("h", F.xxhash64("text"))
+    # first the ids and hashes of the sample, then the texts of these alone; equal rows count once
+    keys = named.select("doc_id", "h").join(known, "doc_id").distinct()
+    order = [F.xxhash64("doc_id"), "doc_id", "h"]
+    ids = keys.where("toxic = 0").orderBy(*order).limit(SAMPLE).unionByName(keys.where("toxic = 1").orderBy(*order).limit(SAMPLE))
+    picked = named.join(F.broadcast(ids), ["doc_id", "h"]).groupBy("doc_id", "h", "toxic").agg(F.min("text").alias("text"))
+    sample = sorted(picked.collect(), key=lambda r: (r.doc_id, r.h))
     return train([bytes(r.text).decode("utf-8", "replace") for r in sample], [r.toxic for r in sample])
 
 

@@ -42,8 +42,10 @@ from .common import bounded, stored, text_bytes
 
 BUCKETS = 10_000
 MIN_WORDS, PERCENT, SEED = 20, 25, 7
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 8_000_000
 PARTS_FACTOR = 4
+#: In so many tasks the tasks' counts are added up.
+SUMS = 8
 
 #: ASCII letters in lower case, digits and all bytes of other characters stay; the rest separates words.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -128,6 +130,7 @@ def _slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if texts and size + len(t) > SLICE_BYTES:
                 yield out()
+                pa.default_memory_pool().release_unused()
                 number, ids, texts, size = number + 1, [], [], 0
             ids.append(i)
             texts.append(t)
@@ -167,36 +170,46 @@ def _ask(parts: int):
                 limits = np.flatnonzero(np.diff(part[order], prepend=-1))
                 rows = [(number, int(part[order[a]]), zstandard.compress(data[offsets[a] : offsets[b]], 1), _packed(times[a:b])) for a, b in zip(limits, [*limits[1:], len(order)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "part", "features", "times"])
+                pa.default_memory_pool().release_unused()
 
     return run
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by part: for each row the buckets of its features, and for each part the counts of its buckets."""
-    names, kinds = ["slice", "part", "buckets", "totals"], (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    """Rows come by part: for each row the buckets of its features, and at the end the counts of all buckets of the task."""
+    names, kinds = ["slice", "part", "buckets", "totals"], (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    total = np.zeros(BUCKETS, np.int64)
 
-    def out(part: int, rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    def out(part: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
         asked = [_lines(zstandard.decompress(f)) for _, f, _ in rows]
         dictionary = pa.concat_arrays(asked).dictionary_encode()
         bucket = np.fromiter((zlib.crc32(s[:-1]) for s in dictionary.dictionary.to_pylist()), np.int64, len(dictionary.dictionary)) % BUCKETS
         of_row = bucket[np.asarray(dictionary.indices)]
         times = np.concatenate([_unpacked(t, "<u4") for _, _, t in rows])
         ends = np.cumsum([len(a) for a in asked])
-        total = np.bincount(of_row, times, minlength=BUCKETS).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([None], [part], [None], [total.tolist()]), kinds, strict=True)], names)
-        for (number, _, _), a, b in zip(rows, [0, *ends[:-1]], ends, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((number, part, _packed(of_row[a:b].astype("<u2")), None), kinds, strict=True)], names)
+        total[:] += np.bincount(of_row, times, minlength=BUCKETS).astype(np.int64)
+        packed = [_packed(of_row[a:b].astype("<u2")) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([r[0] for r in rows], [part] * len(rows), packed, [None] * len(rows)), kinds, strict=True)], names)
 
     rows, at = [], None
     for batch in batches:
         for number, part, features, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if part != at and rows:
-                yield from out(at, rows)
+                yield out(at, rows)
                 rows = []
             at = part
             rows.append((number, features, times))
     if rows:
-        yield from out(at, rows)
+        yield out(at, rows)
+    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, None, _packed(total.astype("<i8"))), kinds, strict=True)], names)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            total += _unpacked(packed, "<i8")
+    yield pa.RecordBatch.from_arrays([pa.array([_packed(total)], pa.binary())], ["totals"])
 
 
 def _partitions(frame: DataFrame) -> int:
@@ -208,16 +221,14 @@ def answers_to(slices: DataFrame) -> DataFrame:
     n = _partitions(slices)
     asked = bounded(slices).mapInArrow(_ask(n * PARTS_FACTOR), "slice long, part int, features binary, times binary")
     dealt = asked.repartition(n, "part").sortWithinPartitions("part", "slice")
-    return stored(dealt.mapInArrow(_answer, "slice long, part int, buckets binary, totals array<long>"), "answers")
+    return stored(dealt.mapInArrow(_answer, "slice long, part int, buckets binary, totals binary"), "answers")
 
 
 def bucket_counts(answers: DataFrame) -> np.ndarray:
     """How many features of all texts are in each bucket."""
-    counts = np.zeros(BUCKETS, np.int64)
-    each = answers.where("totals is not null").select(F.posexplode("totals").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n"))
-    for r in each.collect():  # one row for each bucket at most
-        counts[r.bucket] = r.n
-    return counts
+    # each task's counts are BUCKETS numbers; a fixed number of sums of them comes to the driver
+    sums = answers.where("totals is not null").select("totals").repartition(SUMS).mapInArrow(_added, "totals binary")
+    return sum((_unpacked(bytes(r.totals), "<i8") for r in sums.collect()), np.zeros(BUCKETS, np.int64))
 
 
 def gains_of(source: np.ndarray, target: np.ndarray) -> np.ndarray:

@@ -64,6 +64,6 @@ def test_edge_cases(spark):
 
 
 def test_slices_are_cut_by_bytes(spark):
-    batch = __import__("pyarrow").RecordBatch.from_pydict({"doc_id": list(range(5)), "text": [b"a b c " * 1_000_000] * 5})
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"doc_id": list(range(5)), "text": [b"a b c " * 600_000] * 5})
     rows = [b.to_pylist()[0] for b in rs._slice(iter([batch]))]
     assert [r["ids"] for r in rows] == [[0, 1], [2, 3], [4]] and len({r["slice"] for r in rows}) == 3

@@ -155,8 +155,13 @@ def _raw_links(found: DataFrame, rows: DataFrame) -> DataFrame:
     return tree.unionByName(html).unionByName(head).withColumnRenamed("artifact_id", "from_artifact_id")
 
 
-def analyze(fetched: DataFrame, options: Options | None = None) -> Report:
-    """The report of each run of fetched."""
+#: Tables of parts that are merged by id: of several rows the first by (ordinal, seq) stays. The others are added up.
+MERGED = ("assets", "relations", "relation_claims", "links", "standards", "profiles", "findings", "candidates")
+
+
+def parts(fetched: DataFrame, options: Options | None = None) -> dict[str, DataFrame]:
+    """What the artifacts of fetched say by themselves: artifacts, fields, and the tables of MERGED, whose rows of one id may still
+    meet with those of other artifacts. Relations hold their ends as the artifact names them."""
     options = options or Options()
     packs = enabled_packs(options.profile_packs)
     read = classified(fetched)
@@ -168,50 +173,59 @@ def analyze(fetched: DataFrame, options: Options | None = None) -> Report:
     key = lambda c: F.concat_ws("\0", c)
     raw = _of(rows, "asset").withColumn("id", det_id("asset", "artifact_id", key(F.col("key"))))
     uri = F.when(F.coalesce("relative", F.lit(False)), urls.resolve(F.col("from_url"), F.col("uri"))).otherwise(F.col("uri"))
-    assets = links.first_by(
-        raw.select(
-            "run_id", "id", "ordinal", "seq", "artifact_id", "kind", uri.alias("uri"), "title", "description", "publisher", F.col("endpoint").alias("endpoint_url"),
-            F.coalesce("conforms", F.array().cast("array<string>")).alias("conforms_to"), F.coalesce("hints", F.array().cast("array<struct<label: string, predicate: string, path: string>>")).alias("source_hints"), "pointer", "subject",
-        ),
-        ["run_id", "id"], ["ordinal", "seq"],
+    assets = raw.select(
+        "run_id", "id", "ordinal", "seq", "artifact_id", "kind", uri.alias("uri"), "title", "description", "publisher", F.col("endpoint").alias("endpoint_url"),
+        F.coalesce("conforms", F.array().cast("array<string>")).alias("conforms_to"), F.coalesce("hints", F.array().cast("array<struct<label: string, predicate: string, path: string>>")).alias("source_hints"), "pointer", "subject",
     )
 
     error = _of(rows, "error").select("run_id", "ordinal", F.col("message").alias("error"))
     kind = _of(rows, "kind").groupBy("run_id", "ordinal").agg(F.max_by("kind", "seq").alias("_kind"))
-    first = assets.groupBy("run_id", "artifact_id").agg(F.min_by(F.struct("title", "description"), F.struct("ordinal", "seq")).alias("_first"))
-    artifacts = head.join(kind, ["run_id", "ordinal"], "left").join(error, ["run_id", "ordinal"], "left").join(first, ["run_id", "artifact_id"], "left")
-    artifacts = artifacts.withColumn("kind", F.coalesce("_kind", "kind")).select(
-        "run_id", F.col("artifact_id").alias("id"), "ordinal", "url", "final_url", "kind", classify.artifact_status(F.col("http_status"), F.col("kind"), F.col("error")).alias("status"), "media_type", "http_status",
-        "_first.title", "_first.description", "discovered_from", "byte_length", "hash", "error", F.lit(options.analyzed_at).alias("analyzed_at"),
-    )
+    artifacts = head.join(kind, ["run_id", "ordinal"], "left").join(error, ["run_id", "ordinal"], "left").withColumn("kind", F.coalesce("_kind", "kind"))
+    artifacts = artifacts.select("run_id", F.col("artifact_id").alias("id"), "ordinal", "url", "final_url", "kind", classify.artifact_status(F.col("http_status"), F.col("kind"), F.col("error")).alias("status"), "media_type", "http_status", "discovered_from", "byte_length", "hash", "error")
 
-    claim = _of(rows, "claim").drop("from_url")
-    standards, profiles = claims(claim, packs)
+    standards, profiles = claims(_of(rows, "claim").drop("from_url"), packs)
 
     judged = stored(links.judged(_raw_links(found, rows)), "links")
     link = links.links(judged).select("run_id", "id", "ordinal", "seq", "from_artifact_id", "from_url", "to_url", "rel", "predicate", "role", F.lit("declared").alias("confidence"), redacted(F.col("evidence")).alias("evidence"))
-    every = links.candidates(judged)
-    top = links.top_candidates(every, options.max_next_fetches)
 
     rejected = judged.where("verdict <> 'accepted'").select("run_id", "ordinal", F.col("from_artifact_id").alias("artifact_id"), "seq", F.lit("link.rejected_by_core").alias("code"), F.lit("warning").alias("severity"), F.concat(F.lit("A link was rejected: "), "verdict").alias("message"), F.lit(None).cast("string").alias("asset_id"), F.lit(None).cast("string").alias("standard_iri"), F.col("evidence").withField("value", urls.redact(F.coalesce("to_url", "href"))).withField("href", F.lit(None).cast("string")).alias("evidence"))
     said = _of(rows, "finding").select("run_id", "ordinal", "artifact_id", "seq", "code", "severity", "message", F.when(F.col("asset_key").isNotNull(), det_id("asset", "artifact_id", key(F.col("asset_key")))).alias("asset_id"), "standard_iri", redacted(F.col("evidence")).alias("evidence"))
     broken = _of(rows, "error").select("run_id", "ordinal", "artifact_id", "seq", F.lit("parse.failed").alias("code"), F.lit("warning").alias("severity"), "message", F.lit(None).cast("string").alias("asset_id"), F.lit(None).cast("string").alias("standard_iri"), _evidence(source=F.lit("content_sniff"), detector=F.lit("parser"), marker=F.col("message")).alias("evidence"))
     findings = said.unionByName(rejected).unionByName(broken).withColumn("id", det_id("finding", "code", "artifact_id", F.coalesce("asset_id", F.lit("")), F.to_json("evidence")))
-    findings = links.first_by(findings, ["run_id", "id"], ["ordinal", "seq"])
 
     ends = _of(rows, "relation").withColumn("evidence", redacted(F.col("evidence")))
     ends = ends.withColumns({end: F.struct(F.col(f"{end}.asset_id"), F.col(f"{end}.uri"), F.when(F.col(f"{end}.node").isNotNull(), det_id("blank", "artifact_id", F.col(f"{end}.node"))).alias("node_id")) for end in ("subject", "object")})
-    resolved = resolve_endpoints(ends, assets)
-    named = resolved.withColumn("id", det_id("relation", F.concat_ws("|", F.coalesce("subject.uri", "subject_id"), "predicate", F.coalesce("object.uri", "object_id"))))
-    relations = links.first_by(named.select("run_id", "id", "ordinal", "seq", "subject_id", "predicate", "object_id", "subject", "object"), ["run_id", "id"], ["ordinal", "seq"])
-    relation_claims = links.first_by(named.select("run_id", det_id("claim", "id", "artifact_id", F.to_json("evidence")).alias("id"), F.col("id").alias("relation_id"), "ordinal", "seq", F.col("artifact_id").alias("asserted_by_artifact_id"), "evidence"), ["run_id", "id"], ["ordinal", "seq"])
+    # an end with a URI is named by it, whatever asset it resolves to, so the id of a relation does not change when that asset arrives
+    name = lambda end: F.coalesce(f"{end}.uri", f"{end}.asset_id", f"{end}.node_id")
+    named = ends.withColumn("id", det_id("relation", F.concat_ws("|", name("subject"), "predicate", name("object"))))
+    relations = named.select("run_id", "id", "ordinal", "seq", "predicate", "subject", "object")
+    relation_claims = named.select("run_id", det_id("claim", "id", "artifact_id", F.to_json("evidence")).alias("id"), F.col("id").alias("relation_id"), "ordinal", "seq", F.col("artifact_id").alias("asserted_by_artifact_id"), "evidence")
+
+    own = {"assets": assets, "relations": relations, "relation_claims": relation_claims, "findings": findings}
+    own = {n: links.first_by(t, ["run_id", "id"], ["ordinal", "seq"]) for n, t in own.items()}
+    return own | {"artifacts": artifacts, "links": link, "standards": standards, "profiles": profiles, "candidates": links.candidates(judged), "fields": _of(rows, "field").drop("from_url")}
 
-    return Report(summary(head, artifacts, assets, standards, profiles, every, top, options), artifacts, assets, relations, relation_claims, link, standards, profiles, findings, top, _of(rows, "field").drop("from_url"))
+
+def whole(found: dict[str, DataFrame], options: Options | None = None) -> Report:
+    """The report of parts: ends of relations resolved against all assets, titles of artifacts, the next fetches, and the counts of each run."""
+    options = options or Options()
+    assets, at = found["assets"], F.lit(options.analyzed_at).alias("analyzed_at")
+    first = assets.groupBy("run_id", F.col("artifact_id").alias("id")).agg(F.min_by(F.struct("title", "description"), F.struct("ordinal", "seq")).alias("_first"))
+    artifacts = found["artifacts"].join(first, ["run_id", "id"], "left").select("run_id", "id", "ordinal", "url", "final_url", "kind", "status", "media_type", "http_status", "_first.title", "_first.description", "discovered_from", "byte_length", "hash", "error", at)
+    relations = resolve_endpoints(found["relations"], assets).select("run_id", "id", "ordinal", "seq", "subject_id", "predicate", "object_id", "subject", "object")
+    top = links.top_candidates(found["candidates"], options.max_next_fetches)
+    run = summary(artifacts, assets, found["standards"], found["profiles"], found["candidates"], top, options)
+    return Report(run, artifacts, assets, relations, found["relation_claims"], found["links"], found["standards"], found["profiles"], found["findings"], top, found["fields"])
+
+
+def analyze(fetched: DataFrame, options: Options | None = None) -> Report:
+    """The report of each run of fetched."""
+    return whole(parts(fetched, options), options)
 
 
-def summary(head: DataFrame, artifacts: DataFrame, assets: DataFrame, standards: DataFrame, profiles: DataFrame, every: DataFrame, top: DataFrame, options: Options) -> DataFrame:
+def summary(artifacts: DataFrame, assets: DataFrame, standards: DataFrame, profiles: DataFrame, every: DataFrame, top: DataFrame, options: Options) -> DataFrame:
     """The header of each run: its entry, and counts of its tables."""
-    entry = head.groupBy("run_id").agg(F.min_by("url", "ordinal").alias("entry_url"))
+    entry = artifacts.groupBy("run_id").agg(F.min_by("url", "ordinal").alias("entry_url"))
     status = lambda name: F.count_if(F.col("status") == name).alias(f"{name}_artifact_count" if name != "parse_error" else "parse_error_count")
     out = entry.join(artifacts.groupBy("run_id").agg(F.count("*").alias("artifact_count"), status("failed"), status("unsupported"), status("parse_error")), "run_id", "left")
     for table, name in ((assets, "asset_count"), (standards, "standard_count"), (profiles, "profile_count"), (top, "next_fetch_count"), (every, "_all")):

@@ -29,9 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder, system = _file_system(spark, path)
+    return system.exists(folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all below it, if there is one."""
+    folder, system = _file_system(spark, path)
+    system.delete(folder, True)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    delete(spark, path)
     _standing.pop(path, None)
 
 
@@ -46,18 +61,24 @@ def _end() -> None:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: this cuts the lineage, and lost executors cost no more than a new read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestrata-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _standing[path] = spark
     inside = _inside.get()
     if inside is not None:
         inside.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder; what lies there goes when the program ends."""
+    path = f"{shared_dir(spark)}/lodestrata-{label}-{uuid.uuid4().hex}"
+    _standing[path] = spark
+    return path
+
+
 @contextlib.contextmanager
-def swept(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end all tables written inside but the last: for a step whose result is itself stored last. After an error all of them go."""
+def swept(spark: SparkSession, all: bool = False) -> Iterator[None]:
+    """Delete at the end all tables written inside but the last: for a step whose result is itself stored last. After an error, or with all, all of them go."""
     outer, own, done = _inside.get(), [], False
     token = _inside.set(own)
     try:
@@ -65,10 +86,11 @@ def swept(spark: SparkSession) -> Iterator[None]:
         done = True
     finally:
         _inside.reset(token)
-        for path in own[:-1] if done else own:
+        kept = own[-1:] if done and not all else []
+        for path in own[: len(own) - len(kept)]:
             _delete(spark, path)
-        if outer is not None and done:
-            outer.extend(own[-1:])
+        if outer is not None:
+            outer.extend(kept)
 
 
 def discard(df: DataFrame) -> None:

@@ -9,7 +9,6 @@ from lodestrata.operators import views
 from lodestrata.plans import crawl
 from lodestrata.plans.report import Options, Report, analyze
 from lodestrata.sources import bundles
-from lodestrata.streaming import arriving
 
 CATALOG = {
     "@context": {"dcat": "http://www.w3.org/ns/dcat#"},
@@ -133,14 +132,6 @@ def test_fetcher_function(spark):
     assert sorted((r.url[-3:], r.status) for r in bundles.fetch_with(fetch)(due).collect()) == [("bad", None), ("le/", 200)]
 
 
-def test_arriving_artifacts(spark, bundle, tmp_path):
-    fetched = bundles.read_bundle(spark, bundle)
-    fetched.write.parquet(str(tmp_path / "in"))
-    query = arriving.analyze_stream(arriving.arriving(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"))
-    query.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out" / "batch=0" / "artifacts")).count() == 6
-
-
 def test_workbench_model(spark, report):
     from lodestrata.plans.board import board
 

@@ -31,3 +31,72 @@ def incremental_report(spark, d):
     relations = found.relations.groupBy("run_id").agg(F.count("*").alias("relations"), served.alias("served"))
     first = found.artifacts.groupBy("run_id").agg(F.min(F.when(~F.col("title").endswith(" API"), F.col("title"))).alias("first_title"))
     return found.run.select("run_id", "artifact_count", "asset_count").join(relations, "run_id").join(first, "run_id")
+
+
+# ---- contexts, shapes and references over nested documents
+
+#: Objects nest as deep as this, by the supplier's number.
+_DEPTH = 7
+
+
+def _nested(spark, d):
+    """A chain of objects for each supplier, as deep as its number says: every second one has a context, every third an id, each a property shape."""
+    k, level = F.col("s_suppkey"), F.sequence(F.lit(0), F.col("s_suppkey") % _DEPTH)
+
+    def around(inner, i):
+        context = F.when(i % 2 == 0, F.concat(F.lit('"@context": [{"title": "own:old"}, {"title": {"@id": "own:t'), i.cast("string"), F.lit('", "@type": "xsd:string"}, "odd": "no colon"}], '))).otherwise(F.lit(""))
+        name = F.when(i % 3 == 0, F.concat(F.lit('"@id": "urn:'), k.cast("string"), F.lit("-"), i.cast("string"), F.lit('", '))).otherwise(F.lit(""))
+        shape = F.concat(F.lit('"sh:property": [{"sh:path": {"@id": "urn:p'), i.cast("string"), F.lit('"}, "sh:name": "P"}], "odd": 1, "title": "T'), i.cast("string"), F.lit('"'))
+        return F.concat(F.lit("{"), context, name, shape, F.when(inner == "", F.lit("")).otherwise(F.concat(F.lit(', "sh:and": ['), inner, F.lit("]"))), F.lit("}"))
+
+    return load(spark, d, "supplier").select(k.alias("key"), F.aggregate(F.reverse(level), F.lit("").cast("string"), around).alias("body"))
+
+
+_LEVELS = f"SELECT s_suppkey AS key, unnest(range(s_suppkey % {_DEPTH} + 1)) AS i FROM supplier"
+
+
+@query(f"""SELECT key, i AS depth, 'own:t' || (i - i % 2) AS term, 'xsd:string' AS coercion, 'T' || i AS value FROM ({_LEVELS})
+UNION ALL SELECT key, i, 'odd', NULL, '1' FROM ({_LEVELS})""", depth="INTEGER")
+def context_terms(spark, d):
+    """Names under the nearest context: own ones override, and objects without one have that above."""
+    from ..operators.contexts import contextualized
+    from ..operators.jsonwalk import walk
+
+    found = contextualized(walk(_nested(spark, d))).where(F.col("name").isin("title", "odd"))
+    return found.select("key", ((F.col("depth") - 1) / 2).cast("int").alias("depth"), "term", "coercion", F.try_variant_get("value", "$", "string").alias("value"))
+
+
+@query(f"SELECT key, (row_number() OVER (PARTITION BY key ORDER BY i))::INTEGER AS place, 'urn:' || key || '-' || (i - i % 3) AS shape, 'urn:p' || i AS property_path, 'P' AS label FROM ({_LEVELS})")
+def nested_shapes(spark, d):
+    """Property shapes under the nearest object above with an id, numbered in the order of a walk: an object's own shapes come after those of what it nests."""
+    from pyspark.sql import Window
+
+    from ..operators.contexts import shape_properties
+
+    found = shape_properties(_nested(spark, d), contexts=False)
+    # `sh:and` comes before `sh:property`, so a walk meets the innermost shape first
+    place = F.count("*").over(Window.partitionBy("key")) - F.row_number().over(Window.partitionBy("key").orderBy("path")) + 1
+    return found.select("key", place.cast("int").alias("place"), "shape", "property_path", "label")
+
+
+def _schemas(spark, d):
+    """A schema for each part: one property refers to the schema of half its number, a definition to that of a third."""
+    k = F.col("p_partkey")
+    ref = lambda n: F.concat(F.lit('{"$ref": "schemas-'), n.cast("string"), F.lit('"}'))
+    body = F.concat(F.lit('{"properties": {"half": '), ref(F.floor(k / 2)), F.lit(', "own'), (k % 10).cast("string"), F.lit('": {"$ref": "#/$defs/third"}}, "$defs": {"third": {"properties": {"third": '), ref(F.floor(k / 3)), F.lit("}}}}"))
+    return load(spark, d, "part").select(F.concat(F.lit(f"{demo.BASE}schemas-"), k.cast("string")).alias("key"), body.alias("body"))
+
+
+_REFS = f"""WITH RECURSIVE n AS (SELECT p_partkey AS k, '{demo.BASE}schemas-' || p_partkey AS u FROM part),
+e AS (SELECT u AS s, '{demo.BASE}schemas-' || (k // 2) AS t FROM n UNION SELECT u, u || '#/$defs/third' FROM n UNION SELECT u || '#/$defs/third', '{demo.BASE}schemas-' || (k // 3) FROM n),
+c AS (SELECT s, t FROM e UNION SELECT c.s, e.t FROM c JOIN e ON e.s = c.t)"""
+
+
+@query(f"{_REFS} SELECT s AS source, count(*) AS reached, min(t) AS first_place, max(t) AS last_place FROM c GROUP BY 1")
+def schema_closure(spark, d):
+    """What each schema reaches through its references; the schema of number 0 is not there, and nothing goes on from it."""
+    from ..operators import schema_graph
+    from ..operators.jsonwalk import walk
+
+    found = schema_graph.closure(schema_graph.references(walk(_schemas(spark, d))))
+    return found.groupBy("source").agg(F.count("*").alias("reached"), F.min("target").alias("first_place"), F.max("target").alias("last_place"))

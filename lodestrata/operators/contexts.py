@@ -20,7 +20,7 @@ from .jsonwalk import walk
 
 _INSIDE = r"(^|/)@context(/|$)"
 #: An id of an object, as `@id` or `id`.
-OWN_ID = """coalesce(try_variant_get(v, '$["@id"]', 'string'), try_variant_get(v, '$.id', 'string'))"""
+OWN_ID = "coalesce(" + ", ".join(f"""CASE WHEN schema_of_variant(try_variant_get(v, '$["{n}"]', 'variant')) = 'STRING' THEN try_variant_get(v, '$["{n}"]', 'string') END""" for n in ("@id", "id")) + ")"
 
 
 def parent(pointer: Column | str) -> Column:
@@ -34,14 +34,15 @@ def above(pointer: Column) -> Column:
 
 
 def _text(value: str, at: str) -> Column:
-    return F.try_variant_get(value, at, "string")
+    """What is at a path, if it is a string."""
+    return F.when(F.schema_of_variant(F.try_variant_get(value, at, "variant")) == "STRING", F.try_variant_get(value, at, "string"))
 
 
 def definitions(walked: DataFrame) -> DataFrame:
     """(key, owner, path, alias, term, coercion): what the contexts of each document define. owner: the pointer of the object whose context it is."""
     rows = walked.where(F.col("name").isNotNull() & ~F.col("name").startswith("@"))
     inside = rows.withColumn("owner", F.regexp_extract("pointer", r"^(.*)/@context(?:/[0-9]+)*/[^/]*$", 1)).where(F.col("pointer").rlike(r"/@context(/[0-9]+)*/[^/]*$") & ~F.col("owner").rlike(_INSIDE))
-    simple, of_object = F.when(F.col("kind") == "STRING", _text("value", "$")), _text("value", '$["@id"]')
+    simple, of_object = _text("value", "$"), _text("value", '$["@id"]')
     term = F.coalesce(F.when(F.contains(simple, F.lit(":")), simple), F.when(F.col("kind").startswith("OBJECT"), of_object))
     return inside.select("key", "owner", "path", F.col("name").alias("alias"), term.alias("term"), F.when(F.col("kind").startswith("OBJECT"), _text("value", '$["@type"]')).alias("coercion")).where("term is not null")
 
@@ -70,7 +71,7 @@ def shape_properties(documents: DataFrame, key: str = "key", body: str = "body",
     # a property shape is the value of sh:property, or an entry of a list there
     lists = named.where(is_("property")).select("key", F.col("pointer").alias("at"))
     own = named.select("key", "object", "term", "value", "kind")
-    text = F.coalesce(F.when(F.col("kind") == "STRING", _text("value", "$")), _text("value", '$["@id"]'))
+    text = F.coalesce(_text("value", "$"), _text("value", '$["@id"]'))
     paths = own.where(is_("path")).select("key", "object", text.alias("property_path")).where("property_path is not null")
     labels = own.where(is_("name")).groupBy("key", "object").agg(F.min(text).alias("label"))
     shaped = paths.withColumn("at", F.regexp_replace("object", "/[0-9]+$", "")).join(lists, ["key", "at"], "left_semi")

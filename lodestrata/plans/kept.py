@@ -100,3 +100,39 @@ def schema_closure(spark, d):
 
     found = schema_graph.closure(schema_graph.references(walk(_schemas(spark, d))))
     return found.groupBy("source").agg(F.count("*").alias("reached"), F.min("target").alias("first_place"), F.max("target").alias("last_place"))
+
+
+# ---- crawl
+
+_FETCHES, _HOPS = 4, 2
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
+e AS (SELECT page_id AS s, unnest([(7 * page_id + 1) % n, (3 * page_id + 2) % n, (5 * page_id + 3) % n]) AS t FROM pages, n),
+l AS (SELECT s, list({{'p': t % 4, 'u': 'https://data.example/pages/' || t, 'd': 0}}) AS ts FROM (SELECT DISTINCT s, t FROM e) GROUP BY 1),
+w AS (SELECT page_id AS run, 1 AS step, 'https://data.example/pages/' || page_id AS u, 0 AS d, ['https://data.example/pages/' || page_id] AS seen, list_transform(ts, lambda x: {{'p': x.p, 'u': x.u, 'd': 1}}) AS front FROM pages JOIN l ON l.s = page_id
+  UNION ALL SELECT run, step, u, d, seen, list_concat(front, list_transform(l.ts, lambda x: {{'p': x.p, 'u': x.u, 'd': d + 1}})) FROM (
+    SELECT run, step + 1 AS step, pick.u AS u, pick.d AS d, list_append(seen, pick.u) AS seen, front FROM (
+      SELECT *, list_sort(list_filter(front, lambda x: x.d <= {_HOPS} AND NOT list_contains(seen, x.u)))[1] AS pick FROM w WHERE step < {_FETCHES}) WHERE pick IS NOT NULL) c JOIN l ON 'https://data.example/pages/' || l.s = c.u),
+z AS (SELECT run, max_by(seen, step) AS seen, max_by(front, step) AS front FROM w GROUP BY 1),
+r AS (SELECT run, x.u AS u, min(x.d) AS d FROM (SELECT run, seen, unnest(front) AS x FROM z) WHERE NOT list_contains(seen, x.u) GROUP BY 1, 2)
+SELECT 'run-' || run AS run_id, u AS url, d AS depth, 'fetched' AS outcome FROM w
+UNION ALL SELECT 'run-' || run, u, NULL, CASE WHEN d > {_HOPS} THEN 'limit.max_depth' ELSE 'limit.max_fetches' END FROM r""", depth="INTEGER")
+def best_first_crawl(spark, d):
+    """A crawl from each page, one candidate a round: the best open one, whatever its depth; what is left has its reason."""
+    from .crawl import CrawlConfig, crawl
+
+    pages = load(spark, d, "pages").select("page_id")
+    n, base = pages.count(), "https://data.example/pages/"
+    k = F.col("page_id")
+    edges = pages.select(F.concat(F.lit(base), k.cast("string")).alias("url"), F.explode(F.array_distinct(F.array((7 * k + 1) % n, (3 * k + 2) % n, (5 * k + 3) % n))).alias("t"))
+    seeds = pages.select(F.concat(F.lit("run-"), k.cast("string")).alias("run_id"), F.concat(F.lit(base), k.cast("string")).alias("url"))
+
+    def fetch(due):
+        return due.withColumns({"status": F.lit(200), "media_type": F.lit("text/plain"), "body": F.lit(b"x")})
+
+    def follow(good):
+        return good.select("run_id", "url").join(edges, "url").select("run_id", F.concat(F.lit(base), F.col("t").cast("string")).alias("url"), (F.col("t") % 4).cast("int").alias("priority"), F.col("url").alias("discovered_from"))
+
+    fetched, rejected = crawl(seeds, fetch, follow, CrawlConfig(max_depth=_HOPS, max_fetches=_FETCHES, width=1, total_timeout_ms=3_600_000))
+    return fetched.select("run_id", "url", "depth", F.lit("fetched").alias("outcome")).unionByName(rejected.select("run_id", "url", F.lit(None).cast("int").alias("depth"), F.col("reason_code").alias("outcome")))

@@ -33,6 +33,28 @@ def incremental_report(spark, d):
     return found.run.select("run_id", "artifact_count", "asset_count").join(relations, "run_id").join(first, "run_id")
 
 
+# ---- bundles as a data source
+
+_BUNDLE = 40
+
+
+@query(f"""SELECT 'run:' || substr(sha256('run' || chr(0) || 'https://data.example/bundles/' || page_id // {_BUNDLE}), 1, 16) AS run_id, (page_id % {_BUNDLE})::INTEGER AS ordinal, url, 200 AS status, 'text/html' AS media_type,
+sha256(html) AS body_hash, CASE WHEN page_id % 2 = 0 THEN 'gzip' END AS encoding FROM pages""", status="INTEGER")
+def bundle_source(spark, d):
+    """Pages written as bundles, some forty a bundle and one bundle a line, and read back by the data source; every second one has a header."""
+    from ..sources.bundle_source import register
+
+    register(spark)
+    folder, k = scratch(spark, "bundles"), F.col("page_id")
+    header = F.when(k % 2 == 0, F.array(F.struct(F.lit("content-encoding").alias("name"), F.lit("gzip").alias("value"))))
+    artifact = F.struct(k.alias("k"), "url", F.lit("text/html").alias("media_type"), header.alias("headers"), F.col("html").alias("body"))
+    entry = F.concat(F.lit("https://data.example/bundles/"), F.floor(k / _BUNDLE).cast("string"))
+    bundles = load(spark, d, "pages").groupBy(entry.alias("entry_url")).agg(F.array_sort(F.collect_list(artifact)).alias("artifacts"))
+    bundles.select(F.to_json(F.struct("entry_url", "artifacts")).alias("value")).write.text(folder)
+    read = spark.read.format("bundle").load(folder)
+    return read.select("run_id", "ordinal", "url", "status", "media_type", F.sha2("body", 256).alias("body_hash"), F.get(F.col("headers"), 0)["value"].alias("encoding"))
+
+
 # ---- contexts, shapes and references over nested documents
 
 #: Objects nest as deep as this, by the supplier's number.

@@ -7,9 +7,9 @@ artifacts, as sources.bundles.read_bundle gives them.
 
 option("run_id", "run:a,run:b") reads these runs only: a bundle's run follows from its
 entry URL, so artifacts of other bundles are not decoded. Filters run_id = value and run_id IN
-(values) do the same by themselves where spark.sql.python.filterPushdown.enabled is set. That is left to the user: Spark
-4.1 keeps a pushed filter with the loaded frame, and the same frame would have it without the filter too, so
-with this setting each filter needs a load of its own.
+(values) do the same by themselves with option("pushdown", "true"), which needs the session's
+spark.sql.python.filterPushdown.enabled. That is left to the user: Spark 4.1 keeps a pushed filter with the loaded
+frame, and the same frame would have it without the filter too, so each filter then needs a load of its own.
 
 The path may be local or any that pyarrow.fs resolves; files whose names begin with
 a dot or underscore are left out, as Spark does. Results in edge cases: an empty file has no rows; artifacts without
@@ -84,14 +84,6 @@ class BundleReader(DataSourceReader):
     def __init__(self, path: str, lenient: bool = False, runs: set[str] | None = None) -> None:
         self.path, self.lenient, self.runs = path, lenient, runs
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("run_id",):
-                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.runs = wanted if self.runs is None else self.runs & wanted
-            else:
-                yield f
-
     def partitions(self) -> list[BundleFile]:
         return [BundleFile(p) for p in _files(self.path)]
 
@@ -122,6 +114,16 @@ class BundleReader(DataSourceReader):
             )
 
 
+class PushedBundleReader(BundleReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("run_id",):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.runs = wanted if self.runs is None else self.runs & wanted
+            else:
+                yield f
+
+
 class BundleSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -135,7 +137,8 @@ class BundleSource(DataSource):
         if not path:
             raise ValueError("a bundle source needs a path")
         runs = self.options.get("run_id")
-        return BundleReader(path, self.options.get("mode", "FAILFAST").upper() == "DROPMALFORMED", set(runs.split(",")) if runs else None)
+        reader = PushedBundleReader if self.options.get("pushdown", "false").lower() == "true" else BundleReader
+        return reader(path, self.options.get("mode", "FAILFAST").upper() == "DROPMALFORMED", set(runs.split(",")) if runs else None)
 
 
 def register(spark: SparkSession) -> None:

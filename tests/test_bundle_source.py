@@ -43,13 +43,13 @@ def test_runs_are_filtered_in_the_reader(spark, folder):
     assert [r.url for r in spark.read.format("bundle").option("run_id", f"{wanted},run:none").load(str(folder)).orderBy("ordinal").collect()] == urls
     frame = spark.read.format("bundle").load(str(folder))
     assert frame.where(F.col("run_id") == wanted).count() == 2 and frame.count() == 7
-    reader = bundle_source.BundleReader(str(folder))
+    reader = bundle_source.PushedBundleReader(str(folder))
     assert list(reader.pushFilters([bundle_source.EqualTo(("run_id",), wanted), bundle_source.In(("run_id",), (wanted, "x")), bundle_source.EqualTo(("url",), "u")])) == [bundle_source.EqualTo(("url",), "u")]
     assert reader.runs == {wanted} and sum(len(list(reader.read(p))) for p in reader.partitions()) == 2
     name = "spark.sql.python.filterPushdown.enabled"
     spark.conf.set(name, "true")
     try:
-        pushed = spark.read.format("bundle").load(str(folder)).where(F.col("run_id") == wanted)
+        pushed = spark.read.format("bundle").option("pushdown", "true").load(str(folder)).where(F.col("run_id") == wanted)
         assert [r.url for r in pushed.orderBy("ordinal").collect()] == urls
     finally:
         spark.conf.unset(name)

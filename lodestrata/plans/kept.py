@@ -33,6 +33,24 @@ def incremental_report(spark, d):
     return found.run.select("run_id", "artifact_count", "asset_count").join(relations, "run_id").join(first, "run_id")
 
 
+# ---- reports as parts
+
+@query("""SELECT n_name AS run_id, count(*) AS artifacts, 2 * count(*) AS assets, 2 * count(*) + count_if(s_suppkey % 2 = 1) AS relations, 2 * count(*) + count_if(s_suppkey % 2 = 1) AS links, count_if(s_suppkey % 2 = 1) AS standards, max(s_name) AS last_title
+FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""", relations="BIGINT", links="BIGINT", standards="BIGINT")
+def report_parts(spark, d):
+    """A report written as JSON lines and a manifest, and read back."""
+    from .report import Report, analyze
+
+    folder = scratch(spark, "parts")
+    analyze(_suppliers(spark, d)).write_json(folder)
+    found = Report.read_json(spark, folder).tables()
+    out = found["run"].select("run_id")
+    for name in ("artifacts", "assets", "relations", "links", "standards"):
+        out = out.join(found[name].groupBy("run_id").agg(F.count("*").alias(name)), "run_id", "left")
+    titles = found["artifacts"].groupBy("run_id").agg(F.max("title").alias("last_title"))
+    return out.fillna(0).join(titles, "run_id")
+
+
 # ---- bundles as a data source
 
 _BUNDLE = 40

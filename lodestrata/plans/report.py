@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import headers, urls
 from ..functions.ids import body_hash, decoded, det_id
@@ -26,7 +27,7 @@ from ..operators.claims import claims, enabled_packs
 from ..operators.graph import resolve_endpoints, unclaimed
 from ..operators.trees import extract
 from ..sources.batches import bounded, slices
-from ..sources.store import stored
+from ..sources.store import exists, stored
 from .schemas import EVIDENCE, EVIDENCE_FIELDS, FACTS
 
 #: Versions that are read, whatever name stands before them; the last is written.
@@ -67,6 +68,40 @@ class Report:
     def read(cls, spark, path: str) -> Report:
         return cls(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in dataclasses.fields(cls)})
 
+    def write_json(self, path: str) -> None:
+        """Each table as a folder of JSON lines, in the order of its rows over its files, and a manifest, written last: (table, schema, run_id, n).
+
+        No row and no task holds a run: tables are dealt by ranges of their order. path must be new or empty.
+        """
+        spark = self.run.sparkSession
+        counts = None
+        for name, table in self.tables().items():
+            table = stored(table, name)
+            order = [c for c in ("run_id", "rank", "ordinal", "seq", "id") if c in table.columns]
+            lines = table.repartitionByRange(*order).sortWithinPartitions(*order).select(F.to_json(F.struct(*table.columns)).alias("value"))
+            lines.write.text(f"{path}/{name}")
+            own = table.groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), F.lit(None).cast("string").alias("schema"), "run_id", "n")
+            head = spark.createDataFrame([(name, table.schema.json(), None, None)], "table string, schema string, run_id string, n long")
+            counts = head.unionByName(own) if counts is None else counts.unionByName(head).unionByName(own)
+        counts.write.json(f"{path}/manifest")
+
+    @classmethod
+    def read_json(cls, spark, path: str) -> Report:
+        """What write_json() wrote. Raises ValueError where the manifest is missing or counts other rows than there are."""
+        if not exists(spark, f"{path}/manifest/_SUCCESS"):
+            raise ValueError("the report was not written to its end")
+        manifest = spark.read.schema("table string, schema string, run_id string, n long").json(f"{path}/manifest")
+        schemas = {r.table: StructType.fromJson(json.loads(r.schema)) for r in manifest.where("schema is not null").collect()}  # one row for each table
+        tables = {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.items()}
+        found = None
+        for name, table in tables.items():
+            own = table.groupBy("run_id").agg(F.count("*").alias("found")).withColumn("table", F.lit(name))
+            found = own if found is None else found.unionByName(own)
+        other = manifest.where("schema is null").join(found, ["table", "run_id"], "full").where(~F.col("n").eqNullSafe(F.col("found")))
+        if not other.isEmpty():
+            raise ValueError("the report's tables do not have the rows that its manifest counts")
+        return cls(**tables)
+
     def views(self, prefix: str = "") -> None:
         """Register all tables as views, so that spark.sql can query them."""
         for name, table in self.tables().items():

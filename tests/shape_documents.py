@@ -7,9 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.bundles import from_pages
-from .catalogue import query
-from .report import analyze
+from lodestrata.plans.report import analyze
+from lodestrata.sources.bundles import from_pages
 
 BASE = "https://town.example/"
 
@@ -215,6 +214,4 @@ EXPECTED = r"""
 """
 
 
-@query(f"SELECT part, ordinal::INT AS ordinal, a, b, c FROM (VALUES {EXPECTED}) AS t(part, ordinal, a, b, c)")
-def shape_report(spark, d):
-    return said(spark)
+SQL = f"SELECT part, ordinal::INT AS ordinal, a, b, c FROM (VALUES {EXPECTED}) AS t(part, ordinal, a, b, c)"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.plans.incremental import KeptReport
-from lodestrata.plans.report import Options, analyze
+from lodestrata.plans.report import Options, Report, analyze
 from lodestrata.plans.schemas import FETCHED
 from lodestrata.sources.bundles import _filled
 from lodestrata.streaming import arriving
@@ -51,6 +51,23 @@ def test_batches_in_any_order_equal_one_analysis(spark, fetched, whole, tmp_path
     assert rows(kept.report()) == whole and KeptReport(spark, str(tmp_path / "kept"), OPTIONS, buckets=3).batches() == {0, 1, 2}
 
 
+def test_a_report_in_parts_is_read_back(spark, fetched, whole, tmp_path):
+    path = str(tmp_path / "parts")
+    report = analyze(fetched, OPTIONS)
+    report.write_json(path)
+    again = Report.read_json(spark, path)
+    assert rows(again) == whole and all(again.tables()[n].schema.simpleString() == t.schema.simpleString() for n, t in report.tables().items())
+    lines = [json.loads(x.value) for x in spark.read.text(f"{path}/findings").collect()]
+    assert len(lines) == len(whole["findings"]) and [(x["run_id"], x["ordinal"], x["seq"]) for x in lines] == sorted((x["run_id"], x["ordinal"], x["seq"]) for x in lines)
+    one = next((tmp_path / "parts" / "assets").glob("part-*"))
+    one.write_text(one.read_text().split("\n", 1)[1])
+    (one.parent / f".{one.name}.crc").unlink()
+    with pytest.raises(ValueError):
+        Report.read_json(spark, path)
+    with pytest.raises(ValueError):
+        Report.read_json(spark, str(tmp_path / "none"))
+
+
 def test_a_batch_reads_the_buckets_of_its_runs_only(spark, fetched, tmp_path):
     kept = KeptReport(spark, str(tmp_path / "kept"), OPTIONS, buckets=64)
     kept.add(fetched, 0)

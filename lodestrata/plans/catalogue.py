@@ -221,9 +221,9 @@ def edge_table(spark, d):
     return demo.edges(spark, d).groupBy("predicate").agg(F.count("*").alias("n"), F.count_distinct("subject_id").alias("subjects"), F.count_distinct("object_id").alias("objects"))
 
 
-@query(f"WITH {_GRAPH} SELECT 'relation:' || substr(sha256('relation' || chr(0) || s || '|' || p || '|' || o), 1, 16) AS relation_id, p AS predicate FROM edges WHERE p IN ('dcterms:isPartOf', 'registry_manifest:providedBy', 'dcat:endpointURL')")
+@query(f"WITH {_GRAPH} SELECT 'relation:' || substr(sha256('relation' || chr(0) || s || '|' || p || '|' || o), 1, 16) AS relation_id, p AS predicate FROM edges")
 def relation_ids(spark, d):
-    return demo.relations(spark, d).where("predicate in ('dcterms:isPartOf', 'registry_manifest:providedBy', 'dcat:endpointURL')").select("relation_id", "predicate")
+    return demo.relations(spark, d).select("relation_id", "predicate")
 
 
 @query(f"WITH {_GRAPH} SELECT s AS subject_id, o AS object_id FROM edges WHERE p = 'dcterms:isPartOf'")
@@ -329,12 +329,16 @@ def endpoint_projection(spark, d):
 
 # ---- capability search
 
-_KINDS = ("evidence_type", "evidence_offering", "evidence_provider", "data_service")
 _ASSETS = f"""assets AS (
  SELECT {_B}part/' || p_partkey AS id, 'evidence_type' AS kind, p_name AS title, p_brand AS publisher, NULL::VARCHAR AS endpoint FROM part
  UNION ALL SELECT {_B}supplier/' || s_suppkey, 'evidence_offering', s_name, NULL, NULL FROM supplier
  UNION ALL SELECT {_B}nation/' || n_nationkey, 'evidence_provider', n_name, NULL, NULL FROM nation
- UNION ALL SELECT {_B}access/' || s_suppkey, 'data_service', s_name || ' API', NULL, {_B}api/' || s_suppkey FROM supplier)"""
+ UNION ALL SELECT {_B}access/' || s_suppkey, 'data_service', s_name || ' API', NULL, {_B}api/' || s_suppkey FROM supplier
+ UNION ALL SELECT {_B}region/' || r_regionkey, 'catalog', r_name, NULL, NULL FROM region
+ UNION ALL SELECT {_B}customer/' || c_custkey, 'public_service', c_name, c_mktsegment, NULL FROM customer
+ UNION ALL SELECT DISTINCT {_B}segment/' || c_mktsegment, 'channel', c_mktsegment, NULL, NULL FROM customer
+ UNION ALL SELECT {_B}orders/' || o_orderkey, 'requirement', 'Order ' || o_orderkey, NULL, NULL FROM orders
+ UNION ALL SELECT DISTINCT {_B}list/' || l_orderkey || '-' || l_returnflag, 'evidence_type_list', l_returnflag, NULL, NULL FROM lineitem)"""
 _INDEX = _ASSETS + """, idx AS (
  SELECT DISTINCT id, kind, 'label' AS term_kind, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS value FROM assets
  UNION SELECT DISTINCT id, kind, 'label', lower(trim(regexp_replace(publisher, '\\s+', ' ', 'g'))) FROM assets WHERE publisher IS NOT NULL
@@ -342,7 +346,7 @@ _INDEX = _ASSETS + """, idx AS (
 
 
 def _searched(spark, d):
-    return demo.assets(spark, d).where(F.col("kind").isin(*_KINDS))
+    return demo.assets(spark, d)
 
 
 def _index(spark, d):
@@ -636,11 +640,11 @@ def crawl_levels(spark, d):
     return crawl.levels(edges, spark.range(1).select(F.col("id").alias("node")), 4)
 
 
-@query("""SELECT 'all' AS run_id, count(*) AS fetched_count, (SELECT count(*) FROM documents WHERE doc_id % 10 = 0) AS rejected_count, sum(page_id % 3)::BIGINT AS redirect_count, sum(strlen(html))::BIGINT AS total_bytes FROM pages""")
+@query("""SELECT 'all' AS run_id, count(*) AS fetched_count, (SELECT count(*) FROM documents) AS rejected_count, sum(page_id % 3)::BIGINT AS redirect_count, sum(strlen(html))::BIGINT AS total_bytes FROM pages""")
 def fetch_summary(spark, d):
     hops = F.slice(F.array(F.lit("a"), F.lit("b")), 1, (F.col("page_id") % 3).cast("int"))
     fetched = load(spark, d, "pages").select(F.lit("all").alias("run_id"), F.col("html").cast("binary").alias("body"), hops.alias("redirect_chain"))
-    return crawl.fetch_summary(fetched, load(spark, d, "documents").where("doc_id % 10 = 0").select(F.lit("all").alias("run_id")))
+    return crawl.fetch_summary(fetched, load(spark, d, "documents").select(F.lit("all").alias("run_id")))
 
 
 # ---- extractors: documents written from the tables, read back by the report plan

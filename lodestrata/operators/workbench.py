@@ -41,7 +41,7 @@ def with_parents(assets: DataFrame) -> DataFrame:
     counts = shown.groupBy("run_id").agg(F.count_if(F.col("record_type").isin(*ACCESS_TYPES)).alias("_n"))
     return placed.join(counts, "run_id").select(
         "run_id", F.col("id").alias("record_id"), "record_type", F.coalesce("title", "uri", "id").alias("name"), "publisher", F.nullif(parent, F.col("id")).alias("parent_id"),
-        F.when(F.col("record_type") == "catalog", F.col("_n")).otherwise(0).alias("service_count"), F.try_element_at("conforms_to", F.lit(1)).alias("profile"),
+        F.when(F.col("record_type") == "catalog", F.col("_n")).otherwise(0).alias("service_count"), F.try_element_at("conforms_to", F.lit(1)).alias("profile"), "uri",
     )
 
 

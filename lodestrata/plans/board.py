@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,12 @@ CHECKS = (
     ("adms", "ADMS"), ("dpv", "DPV"), ("trust", "DID/VCDM/PROV"), ("publisher-specific", "Publisher-specific pattern"),
 )
 
+#: Classes of records that the workbench shows by themselves (fixed values).
+RECORD_CLASSES = {
+    "catalog": ("catalog",), "dataset": ("dataset", "base-registry"),
+    "access": ("service", "distribution", "ogc-feature-collection", "ogc-record-collection", "operation-group"),
+}
+
 
 @dataclass
 class Board:
@@ -126,3 +133,22 @@ def board(report: Report, validation: str = "not-run", budget: int = workbench.N
     compared = fields.groupBy("run_id").agg(F.count_if(~F.col("publisher_specific")).alias("core_fields"), F.count_if("publisher_specific").alias("publisher_fields"), F.bool_or("publisher_specific").alias("impact"))
     profile = report.assets.where("kind = 'catalog'").groupBy("run_id").agg(inferred_profile(F.flatten(F.array_sort(F.collect_list("conforms_to"))), publisher_profile).alias("profile"))
     return Board(records, fields, found, artifact_statuses(report.artifacts), items, workbench.readiness_categories(items, validation != "not-run"), kept, inside, compared, profile)
+
+
+def lens(whole: Board, record_class: str | None = None, publisher: bool = True) -> Board:
+    """What of a model is seen: the records of a class with their fields, nodes and the edges between them, and, without publisher, nothing that is a publisher's own.
+
+    Readiness, items, comparison and profiles are of the whole run and stay. An unknown class is an error.
+    """
+    if record_class is not None and record_class not in RECORD_CLASSES:
+        raise ValueError(f"no class of records: {record_class}")
+    records, fields, nodes, edges, found, artifacts = whole.records, whole.fields, whole.nodes, whole.edges, whole.checks, whole.artifacts
+    if record_class is not None:
+        kinds = RECORD_CLASSES[record_class]
+        records, nodes = records.where(F.col("record_type").isin(*kinds)), nodes.where(F.col("node_type").isin(*kinds))
+        fields = fields.join(records.select("run_id", F.col("uri").alias("record_id")), ["run_id", "record_id"], "left_semi")  # fields are named by their node
+        for end in ("source", "target"):
+            edges = edges.join(nodes.select("run_id", F.col("node_id").alias(end)), ["run_id", end], "left_semi")
+    if not publisher:
+        fields, found, artifacts = fields.where(~F.col("publisher_specific")), found.where("check_id <> 'publisher-specific'"), artifacts.where("origin <> 'publisher-specific'")
+    return dataclasses.replace(whole, records=records, fields=fields, checks=found, artifacts=artifacts, nodes=nodes, edges=edges)

@@ -176,3 +176,25 @@ def best_first_crawl(spark, d):
 
     fetched, rejected = crawl(seeds, fetch, follow, CrawlConfig(max_depth=_HOPS, max_fetches=_FETCHES, width=1, total_timeout_ms=3_600_000))
     return fetched.select("run_id", "url", "depth", F.lit("fetched").alias("outcome")).unionByName(rejected.select("run_id", "url", F.lit(None).cast("int").alias("depth"), F.col("reason_code").alias("outcome")))
+
+
+# ---- what the workbench shows
+
+_SHOWN = "count(*) AS n, count_if(s_suppkey % 2 = 1) AS odd FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1"
+
+
+@query(f"""WITH r AS (SELECT n_name AS run_id, {_SHOWN})
+SELECT run_id, 'all' AS lens, 2 * n AS records, n AS edges, 2 * n + odd AS fields FROM r UNION ALL SELECT run_id, 'dataset', n, 0, 2 * n + odd FROM r UNION ALL SELECT run_id, 'access', n, 0, 0 FROM r""", fields="BIGINT")
+def board_lens(spark, d):
+    """The model of the suppliers' report as a whole, by its datasets, and by its access methods, without a publisher's own."""
+    from .board import board, lens
+    from .report import analyze
+
+    whole, out = board(analyze(_suppliers(spark, d))), None
+    for name, shown in (("all", lens(whole, None, False)), ("dataset", lens(whole, "dataset", False)), ("access", lens(whole, "access", False))):
+        found = shown.records.groupBy("run_id").agg(F.count("*").alias("records"))
+        for table in ("edges", "fields"):
+            found = found.join(getattr(shown, table).groupBy("run_id").agg(F.count("*").alias(table)), "run_id", "left")
+        own = found.fillna(0).select("run_id", F.lit(name).alias("lens"), "records", "edges", "fields")
+        out = own if out is None else out.unionByName(own)
+    return out

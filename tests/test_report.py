@@ -177,6 +177,12 @@ def test_workbench_model(spark, report):
     assert status["discoverable"] == (3, 6, "missing") and status["validatable"][2] == "not-checked"
     assert model.profiles.first().profile == "dcat-ap-3" and model.edges.count() == 3
     assert model.artifacts.where("presence = 'invalid'").count() == 2
+    from lodestrata.plans.board import lens
+
+    seen = lens(model, "access", publisher=False)
+    assert {r.record_type for r in seen.records.collect()} <= {"service", "distribution"} and seen.edges.count() == 0 and seen.checks.where("check_id = 'publisher-specific'").count() == 0
+    with pytest.raises(ValueError):
+        lens(model, "other")
 
 
 def test_later_values_of_a_node_win(spark):

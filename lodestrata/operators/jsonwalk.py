@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.store import stored
 
 
-def walk(documents: DataFrame, key: str = "key", body: str = "body", carry: dict[str, str] | None = None) -> DataFrame:
+def walk(documents: DataFrame, key: str = "key", body: str = "body", carry: dict[str, str] | None = None, inside: str = "true") -> DataFrame:
     """(key, pointer, depth, name, position, path, kind, value) of each value below and with the root, and the carried columns. What is no JSON gives no row.
 
     Names are escaped as pointers ask for (~0, ~1). Object members come in the order of their names. path holds the positions from the
@@ -19,6 +19,8 @@ def walk(documents: DataFrame, key: str = "key", body: str = "body", carry: dict
     carry names columns that a value hands down: for each an SQL expression over the value v, a string. Where it is null, the value has what
     the one above it has.
 
+    inside is an SQL condition over the same columns (a carried one is _name): what a value holds is walked only where it is true.
+
     Each level is a table in the shared folder, so neither the number of values nor the depth has a limit but that of the JSON parser.
     """
     carry = carry or {}
@@ -36,7 +38,7 @@ def walk(documents: DataFrame, key: str = "key", body: str = "body", carry: dict
     while True:
         level = documents.sparkSession.sql(f"""
             SELECT n.key, concat(n.pointer, '/', coalesce(replace(replace(e.key, '~', '~0'), '/', '~1'), CAST(e.pos AS STRING))) AS pointer, n.depth + 1 AS depth, e.key AS name, e.pos AS position, concat(n.path, array(e.pos)) AS path, e.value AS v{down}
-            FROM {{level}} n, LATERAL variant_explode(n.v) e""", level=levels[-1])
+            FROM (SELECT * FROM {{level}} WHERE {inside}) n, LATERAL variant_explode(n.v) e""", level=levels[-1])
         level = stored(carried(level), "json")
         if level.isEmpty():
             break

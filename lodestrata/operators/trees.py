@@ -1,4 +1,4 @@
-"""Extractors for tree formats: JSON-LD, JSON Schema, OpenAPI, OGC API, metadata indexes, Turtle, TOML packages and LinkML YAML.
+"""Extractors for tree formats: JSON-LD, Turtle, TOML packages and LinkML YAML. The formats that are plain JSON are rules over walked documents (json_rules).
 
 Each artifact's body is parsed once, in one Arrow pass without a shuffle, and
 gives facts: assets, claims, links, findings, relations, kinds and errors, as
@@ -87,10 +87,6 @@ def all_of(node: dict, keys: tuple[str, ...]) -> list[str]:
     return [t for k in keys if k in node for t in texts_of(node[k])]
 
 
-def escape(segment: str) -> str:
-    return segment.replace("~", "~0").replace("/", "~1")
-
-
 def objects(value: Any) -> Iterator[dict]:
     """All objects of a tree, outer ones first, members in the order of their names."""
     stack = [value]
@@ -268,112 +264,6 @@ def _shapes(facts: Facts, value: Any, names: Names, shape: str | None) -> None:
             stack += [(k, x[k], inner) for k in sorted(x, reverse=True)]
 
 
-# ---- other JSON
-
-def metadata_index(facts: Facts, document: Any) -> None:
-    if not isinstance(document, dict):
-        return
-    _links(facts, document)
-    if not isinstance(document.get("datasets"), list):
-        return
-    base, publisher = first_of(document, ("base_url",)), first_of(document, ("publisher",))
-    uri = first_of(document, ("id",)) or facts.url
-    facts.asset("catalog", [uri, "metadata index catalog"], uri, first_of(document, ("title",)), description=first_of(document, ("description",)), publisher=publisher, conforms=all_of(document, ("conforms_to", "conformsTo")), hints=[("metadata index catalog", "@type", None)])
-    for item in document["datasets"]:
-        if isinstance(item, dict):
-            name = first_of(item, ("dataset_id", "id"))
-            own = first_of(item, ("@id", "uri", "url")) or (f"{base.rstrip('/')}/datasets/{name}" if base and name else None)
-            facts.asset("dataset", [own or "metadata index dataset", "metadata index dataset"], own, first_of(item, ("title", "name")), description=first_of(item, ("description",)), publisher=first_of(item, ("publisher",)) or publisher, conforms=all_of(item, ("conforms_to", "conformsTo")), hints=[("metadata index dataset", "@type", None)])
-
-
-def _links(facts: Facts, document: dict) -> None:
-    found = document.get("links")
-    for k, item in enumerate(found if isinstance(found, list) else []):
-        if href := first_of(item, ("href",)):
-            facts.link(href, {"source": "json_pointer", "pointer": f"/links/{k}/href", "value": href}, first_of(item, ("rel",)), None, first_of(item, ("type",)))
-
-
-def json_schema(facts: Facts, document: Any) -> None:
-    uri = first_of(document, ("$id",)) or facts.url
-    meta = first_of(document, ("$schema",))
-    facts.claim(meta or V.JSON_SCHEMA_IRI, "$schema")
-    facts.asset("class", ["json-schema", uri], uri, first_of(document, ("title",)), description=first_of(document, ("description",)), conforms=[meta] if meta else [], hints=[("JSON Schema", "$schema", "/$schema")], pointer="/")
-    for key, role in (("$id", "schema-id"), ("$schema", "schema-meta")):
-        if url := first_of(document, (key,)):
-            facts.link(url, {"source": "json_pointer", "pointer": f"/{key}", "value": url}, predicate=key, role=role)
-    for pointer, url in schema_references(document):
-        facts.link(url, {"source": "json_pointer", "pointer": pointer, "value": url}, predicate="$ref", role="schema-reference")
-    for pointer, path, name, schema in schema_properties(document):
-        facts.finding("semantic.schema_property", "A schema has a property", {"source": "schema_property", "schema_pointer": pointer, "property_path": path, "property_name": name, "value": shorten(schema)})
-
-
-def schema_references(value: Any) -> Iterator[tuple[str, str]]:
-    """(pointer, url) of every $ref."""
-    stack: list[tuple[str, str | None, Any]] = [("", None, value)]
-    while stack:
-        pointer, key, x = stack.pop()
-        if key == "$ref" and isinstance(x, str):
-            yield pointer, x
-        elif isinstance(x, dict):
-            stack += [(f"{pointer}/{escape(k)}", k, x[k]) for k in sorted(x, reverse=True)]
-        elif isinstance(x, list):
-            stack += [(f"{pointer}/{k}", None, x[k]) for k in range(len(x) - 1, -1, -1)]
-
-
-def schema_properties(schema: Any) -> Iterator[tuple[str, str, str, Any]]:
-    """(pointer, dotted path, name, schema) of every property, through the keywords that hold schemas."""
-    stack: list[tuple[str, str, str | None, Any]] = [("", "", None, schema)]
-    while stack:
-        pointer, path, name, x = stack.pop()
-        if name is not None:
-            yield pointer, path, name, x
-        if not isinstance(x, dict):
-            continue
-        own = x.get("properties")
-        below = [(f"{pointer}/properties/{escape(k)}", f"{path}.{k}" if path else k, k, own[k]) for k in sorted(own)] if isinstance(own, dict) else []
-        below += [(f"{pointer}/{k}", path, None, x.get(k)) for k in ("items", "additionalProperties", "contains", "propertyNames")]
-        for key in ("allOf", "anyOf", "oneOf", "prefixItems"):
-            parts = x.get(key)
-            below += [(f"{pointer}/{key}/{k}", path, None, part) for k, part in enumerate(parts if isinstance(parts, list) else ())]
-        stack += reversed(below)
-
-
-def open_api(facts: Facts, document: Any) -> None:
-    document = document if isinstance(document, dict) else {}
-    info = document.get("info")
-    servers = [s for s in (document.get("servers") if isinstance(document.get("servers"), list) else [])]
-    facts.claim(V.OPENAPI_IRI, "openapi", first_of(document, ("openapi",)))
-    facts.asset("api_description", ["openapi"], facts.url, first_of(info, ("title",)) or "OpenAPI description", description=first_of(info, ("description",)), endpoint=next((u for s in servers if (u := first_of(s, ("url",)))), None), conforms=[V.OPENAPI_IRI], hints=[("OpenAPI", "openapi", "/openapi")], pointer="/")
-    if url := first_of(document.get("externalDocs"), ("url",)):
-        facts.link(url, {"source": "json_pointer", "pointer": "/externalDocs/url", "value": url}, "describedby", None, "external-docs")
-    for k, s in enumerate(servers):
-        if url := first_of(s, ("url",)):
-            facts.link(url, {"source": "json_pointer", "pointer": f"/servers/{k}/url", "value": url}, None, "servers", "api-server")
-    paths = document.get("paths")
-    for path in sorted(paths) if isinstance(paths, dict) else ():
-        for method in sorted(paths[path]) if isinstance(paths[path], dict) else ():
-            if method.lower() in V.HTTP_METHODS:
-                operation = paths[path][method]
-                facts.finding("semantic.openapi_operation", "An API has an operation", {"source": "open_api_operation", "path": path, "method": method.lower(), "operation_id": first_of(operation, ("operationId",)), "summary": first_of(operation, ("summary",))})
-
-
-def ogc(facts: Facts, document: Any, kind: str) -> None:
-    document = document if isinstance(document, dict) else {}
-    conforms = all_of(document, ("conformsTo",))
-    low = " ".join(conforms).lower()
-    found = "ogc_records" if "ogcapi-records" in low else "ogc_features" if "ogcapi-features" in low else "ogc_landing" if "ogcapi" in low else None
-    if found:
-        facts.add("kind", kind=found)
-    for iri in conforms:
-        facts.claim(iri, "conformsTo")
-    facts.asset("feature_collection" if (found or kind) == "ogc_features" else "record_collection", ["ogc"], facts.url, first_of(document, ("title",)) or "OGC API landing page", description=first_of(document, ("description",)), conforms=conforms, hints=[("OGC API", "conformsTo", "/conformsTo")], pointer="/")
-    _links(facts, document)
-    collections = document.get("collections")
-    for c in collections if isinstance(collections, list) else ():
-        if own := first_of(c, ("id",)):
-            facts.finding("semantic.ogc_collection", "An API has a collection", {"source": "ogc_collection", "collection_id": own, "title": first_of(c, ("title",))})
-
-
 # ---- TOML and YAML
 
 def _documents(value: Any) -> list[str]:
@@ -627,18 +517,7 @@ def extract(kind: str, url: str, body: str) -> list[tuple[str, dict]]:
         elif kind == "html_landing_page" or kind == "unknown":
             return []
         else:
-            document = json.loads(body)
-            if kind == "json_schema":
-                json_schema(facts, document)
-            elif kind == "open_api":
-                open_api(facts, document)
-            elif kind.startswith("ogc_"):
-                ogc(facts, document, kind)
-            else:
-                if kind == "metadata_index":
-                    metadata_index(facts, document)
-                if kind != "metadata_index" or '"@' in body or "odrl:" in body:
-                    json_ld(facts, document, kind)
+            json_ld(facts, json.loads(body), kind)
     except (ValueError, RecursionError, ImportError) as e:
         return [("error", {"message": shorten(str(e))})]
     except Exception as e:  # YAML has errors of its own

@@ -22,7 +22,7 @@ from ..functions import headers, urls
 from ..functions.ids import body_hash, decoded, det_id
 from ..functions.labels import known_or_unknown
 from ..functions.vocabulary import ARTIFACT_KINDS
-from ..operators import classify, links
+from ..operators import classify, json_rules, links
 from ..operators.claims import claims, enabled_packs
 from ..operators.graph import resolve_endpoints, unclaimed
 from ..operators.trees import extract
@@ -149,21 +149,38 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         rows = []
         for run, ordinal, artifact, url, at, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for seq, (fact, payload) in enumerate(extract(kind, at or url or "", text or "")):
+            for seq, (fact, payload) in enumerate(extract(kind, at or url or "", text or ""), _LATER if kind in json_rules.KINDS else 0):
                 rows.append((run, ordinal, artifact, url, seq, fact, json.dumps(payload, ensure_ascii=False)))
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+#: What the JSON-LD of a metadata index says comes behind what the index says.
+_LATER = 1 << 40
+#: Kinds whose bodies no Python sees.
+_RULED = set(json_rules.KINDS) - {"metadata_index"}
+
+
 def facts(found: DataFrame) -> DataFrame:
-    """What the bodies of fetched artifacts of a known kind say: one row for each fact."""
+    """What the bodies of fetched artifacts of a known kind say: one row for each fact, with a typed column of each kind of fact, null but for the row's own.
+
+    Formats that are plain JSON are rules over walked documents (operators.json_rules); bodies of the others are read once in an Arrow pass.
+    """
     readable = found.where((F.col("status") == "fetched") & (F.col("kind") != "unknown"))
-    return bounded(readable).select("run_id", "ordinal", "artifact_id", "url", "at", "kind", "text").mapInArrow(_extract, "run_id string, ordinal int, artifact_id string, from_url string, seq long, fact string, payload string")
+    index = (F.col("kind") == "metadata_index") & (F.contains("text", F.lit('"@')) | F.contains("text", F.lit("odrl:"))) & F.try_parse_json("text").isNotNull()
+    others = readable.where(~F.col("kind").isin(*json_rules.KINDS) | index)
+    said = bounded(others).select("run_id", "ordinal", "artifact_id", "url", "at", "kind", "text").mapInArrow(_extract, "run_id string, ordinal int, artifact_id string, from_url string, seq long, fact string, payload string")
+    typed = said.select("run_id", "ordinal", "artifact_id", "from_url", "seq", "fact", *(F.when(F.col("fact") == name, F.from_json("payload", schema)).alias(name) for name, schema in FACTS.items()))
+    # at most as many rows as there are kinds
+    present = {r.kind for r in readable.select("kind").distinct().collect()}
+    if not present & set(json_rules.KINDS):
+        return typed
+    rules = json_rules.facts(readable, present)
+    return rules.withColumns({n: F.lit(None).cast(typed.schema[n].dataType) for n in typed.columns if n not in rules.columns}) if present <= _RULED else typed.unionByName(rules, allowMissingColumns=True)
 
 
 def _of(rows: DataFrame, fact: str) -> DataFrame:
-    own = rows.where(F.col("fact") == fact)
-    return own.select("run_id", "ordinal", "artifact_id", "from_url", "seq", F.from_json("payload", FACTS[fact]).alias("p")).select("run_id", "ordinal", "artifact_id", "from_url", "seq", "p.*")
+    return rows.where(F.col("fact") == fact).select("run_id", "ordinal", "artifact_id", "from_url", "seq", f"{fact}.*")
 
 
 def _evidence(**given: F.Column) -> F.Column:

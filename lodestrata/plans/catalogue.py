@@ -726,6 +726,30 @@ def metadata_indexes(spark, d):
     return _facts(_fetched(r, F.lit("r"), F.col("r_regionkey"), base, "application/json", body), "asset").select("ordinal", "kind", "title", "uri")
 
 
+@query("""SELECT p_partkey::INT AS ordinal, 'catalog' AS kind, p_name AS title, 'https://data.example/p' || p_partkey AS uri, p_brand AS publisher, CASE WHEN p_partkey % 3 = 0 THEN 'urn:rules, https://data.example/rules' END AS conforms FROM part
+ UNION ALL SELECT p_partkey::INT, 'dataset', NULL, 'https://data.example/p' || p_partkey || '/datasets/' || p_size, p_brand, NULL FROM part
+ UNION ALL SELECT p_partkey::INT, 'dataset', p_type, 'urn:part:' || p_partkey, p_name, 'urn:rules' FROM part""")
+def index_datasets(spark, d):
+    """An index for each part, whose datasets are named below its base or by themselves, and whose texts are strings, objects or lists."""
+    p, k = load(spark, d, "part"), F.col("p_partkey")
+    base = F.concat(F.lit("https://data.example/p"), k.cast("string"))
+    conforms = F.when(k % 3 == 0, ', "conforms_to": ["urn:rules", [{"@id": "https://data.example/rules"}]]').otherwise("")
+    text = lambda c: F.to_json(F.array(F.struct(F.struct(F.col(c).alias("@value")).alias("name"))))
+    body = F.concat(F.lit('{"title": '), text("p_name"), F.lit(', "publisher": '), text("p_brand"), conforms, F.lit(', "base_url": "'), base, F.lit('///", "datasets": [{"dataset_id": "'), F.col("p_size").cast("string"), F.lit('"}, 7, {"conformsTo": "urn:rules", "publisher": '), text("p_name"), F.lit(', "url": "urn:part:'), k.cast("string"), F.lit('", "name": '), text("p_type"), F.lit("}]}"))
+    found = _facts(_fetched(p, F.lit("r"), k, base, "application/json", body), "asset")
+    return found.select("ordinal", "kind", "title", "uri", "publisher", F.when(F.size("conforms") > 0, F.array_join("conforms", ", ")).alias("conforms"))
+
+
+@query("""SELECT c_custkey::INT AS ordinal, '/links/' || i || '/href' AS pointer, 'https://data.example/c' || c_custkey || '/' || i AS href, CASE WHEN i = 0 THEN c_mktsegment END AS rel, CASE WHEN i = 2 THEN 'text/html' END AS role FROM customer, (SELECT unnest([0, 2]) AS i)""")
+def ogc_links(spark, d):
+    """The links of a landing page for each customer; entries without a target are none."""
+    c, k = load(spark, d, "customer"), F.col("c_custkey").cast("string")
+    at = F.concat(F.lit("https://data.example/c"), k)
+    body = F.concat(F.lit('{"conformsTo": ["http://www.opengis.net/spec/ogcapi-common-1/1.0/conf/core"], "links": [{"rel": "'), "c_mktsegment", F.lit('", "href": "'), at, F.lit('/0"}, {"rel": "none"}, {"type": "text/html", "href": {"@id": "'), at, F.lit('/2"}}]}'))
+    found = _facts(_fetched(c, F.lit("r"), F.col("c_custkey"), at, "application/json", body), "link")
+    return found.select("ordinal", "evidence.pointer", "href", "rel", "role")
+
+
 @query("""SELECT n_nationkey AS ordinal, 'shape_graph' AS kind, 'https://data.example/t#S' || n_nationkey AS uri, n_name AS title FROM nation UNION ALL SELECT n_nationkey, 'concept_scheme', 'https://data.example/t#C' || n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, 'alignment', 'https://data.example/t#C' || n_nationkey, n_name FROM nation""")
 def turtle_assets(spark, d):
     k = F.col("n_nationkey").cast("string")

@@ -111,8 +111,10 @@ def comparison(fields: DataFrame, publisher: Column) -> DataFrame:
     return fields.agg(F.count_if(~publisher).alias("core_fields"), F.count_if(publisher).alias("publisher_fields"), (F.count_if(publisher) > 0).alias("impact"))
 
 
-def budgeted(nodes: DataFrame, edges: DataFrame, budget: int = NODE_BUDGET) -> tuple[DataFrame, DataFrame]:
-    """The first nodes (node_id, node_type, seq) of each run up to the budget, and the edges between them. This is a display's limit."""
+def budgeted(nodes: DataFrame, edges: DataFrame, budget: int | None = NODE_BUDGET) -> tuple[DataFrame, DataFrame]:
+    """The first nodes (node_id, node_type, seq) of each run up to the budget, and the edges between them. This is a display's limit; None keeps all."""
+    if budget is None:
+        return nodes, edges
     kept = nodes.withColumn("_n", F.row_number().over(Window.partitionBy("run_id").orderBy("seq", "node_id"))).where(F.col("_n") <= budget).drop("_n")
     ids = kept.select("run_id", "node_id")
     inside = edges.join(ids.withColumnRenamed("node_id", "source"), ["run_id", "source"], "left_semi").join(ids.withColumnRenamed("node_id", "target"), ["run_id", "target"], "left_semi")

@@ -120,8 +120,8 @@ def checklist(records: DataFrame, fields: DataFrame, found: DataFrame, validatio
     return row.select("run_id", *(v.alias(k) for k, v in items.items()))
 
 
-def board(report: Report, validation: str = "not-run", budget: int = workbench.NODE_BUDGET, publisher_keys: tuple[str, ...] = (), publisher_profile: tuple[str, str] | None = None) -> Board:
-    """The model of each run of a report."""
+def board(report: Report, validation: str = "not-run", budget: int | None = workbench.NODE_BUDGET, publisher_keys: tuple[str, ...] = (), publisher_profile: tuple[str, str] | None = None) -> Board:
+    """The model of each run of a report. budget: of how many nodes a run's graph may be; None: of all."""
     nodes = merged(report.fields)
     fields = record_fields(nodes)
     found = checks(nodes, report.artifacts, report.run, publisher_keys)

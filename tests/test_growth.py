@@ -17,3 +17,11 @@ def test_many_that_share_a_label_and_a_route_meet_one_row(spark):
     found = capability.related_distribution(frame).groupBy("distribution").count().collect()
     assert [(r["distribution"], r["count"]) for r in found] == [(2 * n - 2, n)]
     assert time.monotonic() - began < 60
+
+
+def test_a_graph_without_a_budget_is_whole(spark):
+    n = workbench.NODE_BUDGET + 500
+    nodes = spark.range(n).select(F.lit("r").alias("run_id"), F.col("id").cast("string").alias("node_id"), F.lit("dataset").alias("node_type"), F.col("id").alias("seq"))
+    edges = spark.range(1, n).select(F.lit("r").alias("run_id"), F.lit("0").alias("source"), F.col("id").cast("string").alias("target"), F.lit("x").alias("label"))
+    assert [f.count() for f in workbench.budgeted(nodes, edges, None)] == [n, n - 1]
+    assert [f.count() for f in workbench.budgeted(nodes, edges)] == [workbench.NODE_BUDGET, workbench.NODE_BUDGET - 1]

@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from lodestrata.operators import capability, workbench
+from lodestrata.plans import demo
 
 
 def test_many_that_share_a_label_and_a_route_meet_one_row(spark):
@@ -25,3 +26,11 @@ def test_a_graph_without_a_budget_is_whole(spark):
     edges = spark.range(1, n).select(F.lit("r").alias("run_id"), F.lit("0").alias("source"), F.col("id").cast("string").alias("target"), F.lit("x").alias("label"))
     assert [f.count() for f in workbench.budgeted(nodes, edges, None)] == [n, n - 1]
     assert [f.count() for f in workbench.budgeted(nodes, edges)] == [workbench.NODE_BUDGET, workbench.NODE_BUDGET - 1]
+
+
+def test_numbered_relations_are_the_relations(spark):
+    d = "/root/testdata/sf0.001"
+    own = demo.relations(spark, d).where("predicate <> 'cv:hasChannel'").select("relation_id", "subject_id", "predicate", "object_id")
+    some = demo.numbered_relations(spark, d).where("predicate <> 'cv:hasChannel'")
+    named = some.select(demo.relation_text("relation_id").alias("relation_id"), demo.named("subject_id").alias("subject_id"), "predicate", demo.named("object_id").alias("object_id"))
+    assert own.exceptAll(named).count() == named.exceptAll(own).count() == 0

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import capability, workbench
+from lodestrata.operators import capability, schema_graph, workbench
 from lodestrata.plans import demo
 
 
@@ -34,3 +34,9 @@ def test_numbered_relations_are_the_relations(spark):
     some = demo.numbered_relations(spark, d).where("predicate <> 'cv:hasChannel'")
     named = some.select(demo.relation_text("relation_id").alias("relation_id"), demo.named("subject_id").alias("subject_id"), "predicate", demo.named("object_id").alias("object_id"))
     assert own.exceptAll(named).count() == named.exceptAll(own).count() == 0
+
+
+def test_what_is_reached_is_counted_without_pairs(spark):
+    edges = spark.createDataFrame([(str(k), str(j)) for k in range(1, 60) for j in {k // 2, k // 3}] + [("59", "7"), ("0", "59")], "source string, target string")
+    pairs = schema_graph.closure(edges).groupBy("source").agg(F.count("*").alias("n"), F.min("target").alias("a"), F.max("target").alias("b"))
+    assert sorted(map(tuple, schema_graph.reach(edges).collect())) == sorted(map(tuple, pairs.collect()))

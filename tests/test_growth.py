@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from lodestrata.operators import capability, schema_graph, workbench
-from lodestrata.plans import demo
+from lodestrata.plans import catalogue, demo
 
 
 def test_many_that_share_a_label_and_a_route_meet_one_row(spark):
@@ -40,3 +40,7 @@ def test_what_is_reached_is_counted_without_pairs(spark):
     edges = spark.createDataFrame([(str(k), str(j)) for k in range(1, 60) for j in {k // 2, k // 3}] + [("59", "7"), ("0", "59")], "source string, target string")
     pairs = schema_graph.closure(edges).groupBy("source").agg(F.count("*").alias("n"), F.min("target").alias("a"), F.max("target").alias("b"))
     assert sorted(map(tuple, schema_graph.reach(edges).collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_documents_of_a_small_file_are_dealt_over_all_cores(spark):
+    assert catalogue._suppliers(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import capability, schema_graph, workbench
+from lodestrata.operators import capability, graph, schema_graph, workbench
 from lodestrata.plans import catalogue, demo
 
 
@@ -44,3 +44,25 @@ def test_what_is_reached_is_counted_without_pairs(spark):
 
 def test_documents_of_a_small_file_are_dealt_over_all_cores(spark):
     assert catalogue._suppliers(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_edges_are_dealt_by_a_number_and_chained_without_a_window(spark):
+    g = catalogue._graph(spark, "/root/testdata/sf0.001")
+    assert g.parts is None and demo.parts(spark, "/root/testdata/sf0.1") is None
+    g.parts = 37  # what larger tables get
+    for found in (g.offerings(), g.service_types()):
+        assert found.columns == ["run_id", "source", "target"]
+        assert found.rdd.getNumPartitions() == 37
+        assert "Window" not in found._jdf.queryExecution().toString()
+
+
+def test_repeated_edges_change_nothing(spark):
+    assets = spark.createDataFrame([("r", n, k, n, n) for n, k in (("s", "public_service"), ("q", "requirement"), ("l", "evidence_type_list"), ("t", "evidence_type"), ("o", "evidence_offering"), ("d", "data_service"))], "run_id string, id string, kind string, uri string, title string")
+    edges = [("s", "cv:holdsRequirement", "q"), ("q", "cccev:hasEvidenceTypeList", "l"), ("l", "cccev:specifiesEvidenceType", "t"), ("o", "registry_manifest:evidenceType", "t"), ("o", "registry_manifest:evidenceService", "d")]
+    relations = spark.createDataFrame([("r", f"{a}{b}", a, p, b, 0) for a, p, b in 3 * edges], "run_id string, relation_id string, subject_id string, predicate string, object_id string, seq int")
+    for paths in (True, False):
+        g = graph.ServiceGraph(assets, relations, paths=paths)
+        for found, row in ((g.service_types(), ("s", "t")), (g.offerings(), ("t", "o"))):
+            assert [(r.source, r.target) for r in found.collect()] == [row]
+        assert [(r.n_types, r.n_missing, r.satisfiable) for r in g.option_access().collect()] == [(1, 0, True)]
+        assert sorted((r.asset_id, r.predicate) for r in g.gaps().collect()) == [("o", "registry_manifest:providedBy"), ("s", "cv:hasChannel")]

@@ -66,3 +66,10 @@ def test_repeated_edges_change_nothing(spark):
             assert [(r.source, r.target) for r in found.collect()] == [row]
         assert [(r.n_types, r.n_missing, r.satisfiable) for r in g.option_access().collect()] == [(1, 0, True)]
         assert sorted((r.asset_id, r.predicate) for r in g.gaps().collect()) == [("o", "registry_manifest:providedBy"), ("s", "cv:hasChannel")]
+
+
+def test_claims_are_counted_without_a_row_for_each_step(spark):
+    g = catalogue._graph(spark, "/root/testdata/sf0.001", paths=True)
+    paths = g.service_types()
+    steps = g.provenance(paths).groupBy("source").agg(F.count("*").alias("claims"), F.count_distinct("target").alias("routes"), F.min("relation_id").alias("first"))
+    assert sorted(map(tuple, g.provenance_counts(paths).drop("run_id").collect())) == sorted(map(tuple, steps.collect()))

@@ -314,9 +314,10 @@ def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Top:
-    """The levels of up to TOP = 2 bytes. row: of the two bytes before a symbol, the newer one higher. one: by node, the probability of bit 1 so far; left: the part that the subtree decides."""
+    """The levels of up to TOP = 2 bytes. row: of the two bytes before a symbol, the newer one higher. zero, one: by node, the probability of either bit so far; left: the part that the subtree decides. None is what the others leave of 1: a bit that was never seen in 10**8 has less than single precision holds beside 1."""
 
     row: np.ndarray
+    zero: np.ndarray
     one: np.ndarray
     left: np.ndarray
 
@@ -332,25 +333,27 @@ class Top:
             zeros, ones = _nodes(table)
             log = _log_kt(zeros, ones)
             weight = half + np.logaddexp(log, below)
-            levels.append(((ones + 0.5) / (zeros + ones + 1), np.exp(half + log - weight), rows))
+            levels.append(((zeros + 0.5) / (zeros + ones + 1), (ones + 0.5) / (zeros + ones + 1), np.exp(half + log - weight), rows))
             contexts, up = np.unique(contexts >> 8, return_inverse=True)
             rows = up[rows]
             table, below = (_summed(x, up, len(contexts)) for x in (table, weight))
-        one, left = 0.0, 1.0
-        for own, stop, of in reversed(levels):
-            one = one + left * (stop * own)[of]
+        zero, one, left = 0.0, 0.0, 1.0
+        for own_zero, own_one, stop, of in reversed(levels):
+            zero = zero + left * (stop * own_zero)[of]
+            one = one + left * (stop * own_one)[of]
             left = left * (1 - stop)[of]
         row = np.zeros(65536, np.int32)
         row[np.unique(codes >> 8)] = np.arange(len(left))
-        return cls(row, one.astype(np.float32), left.astype(np.float32))
+        return cls(row, zero.astype(np.float32), one.astype(np.float32), left.astype(np.float32))
 
     def logs(self, key: np.ndarray, given: np.ndarray) -> np.ndarray:
         """log10 probability of each pair's symbol; given: by pair and bit, the probability that its subtree gives the bit."""
         row, symbol = self.row[key >> 8 * (DEPTH + 1 - TOP)], key & 255
         log = np.zeros(len(key))
         for k in range(8):
-            one, left = self.one[row, _NODE[k, symbol]].astype(np.float64), self.left[row, _NODE[k, symbol]]
-            log += np.log10(np.where(_BIT[k, symbol] == 1, one, 1 - left - one) + left * given[:, k])
+            node = row, _NODE[k, symbol]
+            above = np.where(_BIT[k, symbol] == 1, self.one[node], self.zero[node]).astype(np.float64)
+            log += np.log10(above + self.left[node].astype(np.float64) * given[:, k])
         return log
 
 
@@ -578,7 +581,7 @@ def weighed(grams: DataFrame) -> DataFrame:
     sums = deep.where("bits is null").groupBy("key").agg(F.sum("weight").alias("weight")).toArrow()  # at most 255 * 256**2 rows
     of = lambda t, c, kind: np.asarray(t[c]).astype(kind)
     top = Top.trained(of(few, "code", np.int64), of(few, "n", np.float64), of(sums, "key", np.int64), of(sums, "weight", np.float64))
-    shared = grams.sparkSession.sparkContext.broadcast((top.row, top.one, top.left))
+    shared = grams.sparkSession.sparkContext.broadcast((top.row, top.zero, top.one, top.left))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = Top(*shared.value)

@@ -243,6 +243,20 @@ def test_no_share_of_the_corpus_is_asked_of_a_context(spark):
     assert found.score > model.tree.scores([passage.encode()])[0] + 5
 
 
+def test_bits_that_a_frequent_context_never_took_have_finite_scores():
+    """Less than what single precision holds beside 1: as of a context of 10**8 line ends of which none has another bit at a node."""
+    rng = np.random.default_rng(0)
+    for n in np.geomspace(1e6, 1e9, 60):
+        codes, counts = np.array([0x0A0A0A, 0x0A780A]), np.array([n, n * rng.uniform()])
+        nodes = np.sort(np.add.outer(codes >> 8 << 8, np.arange(255)).ravel())
+        top = lm_scoring.Top.trained(codes, counts, nodes, np.full(len(nodes), lm_scoring._log_kt(np.zeros(1), np.array([n]))[0] + rng.uniform(-20, 20)))
+        rare, given = 0.5 / (n + 1), np.full((1, 8), 1.0)
+        given[0, 4] = rare  # line ends are 0000 1010, the symbol is 0000 0010
+        found = top.logs(np.array([0x0A0A << 40 | 0x0A0A0A0A << 8 | 0x02]), given)
+        assert np.isfinite(found).all() and found[0] > math.log10(rare) - 2
+    assert np.allclose(top.zero + top.one + top.left, 1, atol=1e-6)
+
+
 # ---- URLs
 
 URLS = [None, "", "no-scheme.example.com/x", "HTTP://WWW.Example.COM/en/1?q#f", "https://example.com/en/x", "https://a.example.com/en/", "https://example.com/fr/en/", "https://x.net/es/1", "https://net/fr/2", "https://x.netz/es/1", "https://example.com", "https://example.com?x=/en/", "https://u@h.co.uk:8080/p", "https://10.0.0.1/x", "a://b.com/x://y/"]

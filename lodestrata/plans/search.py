@@ -36,7 +36,7 @@ def index(report: Report, rejected: DataFrame | None = None, mappings: DataFrame
 
 def search(report: Report, terms: DataFrame, rejected: DataFrame | None = None, mappings: DataFrame | None = None, prefixes: dict[str, str] | None = None) -> DataFrame:
     """Ranked matches of all needs over all runs. An operation or collection among an asset's required hits decides its access, the first by evidence id."""
-    own = index(report, rejected, mappings)
+    own = cap.postings(records(report, rejected, mappings))
     asked = cap.expanded_terms(terms, mappings, prefixes)
     hit = cap.hits(own, asked).where("role in ('any', 'all')")
     callable_ = report.findings.where(F.col("evidence.source").isin("open_api_operation", "ogc_collection")).select(F.concat_ws(":", F.lit("evidence:finding"), "run_id", "id").alias("evidence_id"), F.col("evidence.source").alias("_location"))

@@ -73,3 +73,19 @@ def test_claims_are_counted_without_a_row_for_each_step(spark):
     paths = g.service_types()
     steps = g.provenance(paths).groupBy("source").agg(F.count("*").alias("claims"), F.count_distinct("target").alias("routes"), F.min("relation_id").alias("first"))
     assert sorted(map(tuple, g.provenance_counts(paths).drop("run_id").collect())) == sorted(map(tuple, steps.collect()))
+
+
+def test_a_search_reads_its_index_and_its_assets_once(spark, monkeypatch):
+    read, stored, d = [], capability.stored, "/root/testdata/sf0.001"
+    monkeypatch.setattr(capability, "stored", lambda df, label: (read.append((label, any(d in f for f in df.inputFiles()))), stored(df, label))[1])
+    assert catalogue.capability_rank(spark, d).count() == 19
+    assert sorted(label for label, sources in read if sources) == ["hits", "met"] and "matches" in dict(read)
+
+
+def test_values_that_repeat_or_are_blank_change_no_hit(spark):
+    some = [("r", "s", "e1", "a1", "metadata", ["Trees", " trees ", "", None], ["dct:title", None], ["x", " x"]), ("r", "s", "e2", None, "access", [" "], [], [""])]
+    records = spark.createDataFrame(some, "run_id string, source_id string, evidence_id string, asset_id string, strength string, labels array<string>, iris array<string>, fields array<string>")
+    need = capability.InformationNeed("n").requires_any(*(capability.Term.label(x) for x in ("TREES", " ", "")), capability.Term.named_field("x"), capability.Term.named_field("")).requires_all(capability.Term.iri("dcterms:title"), capability.Term.iri("http://purl.org/dc/terms/title"))
+    asked = capability.expanded_terms(capability.CapabilityQuery("q").need(need).terms(spark))
+    rows = [sorted(map(repr, (r.asDict() for r in capability.hits(index, asked).select("role", "group_ord", "evidence_id", "term_kind", "value").collect()))) for index in (capability.inverted(records), capability.postings(records))]
+    assert rows[0] == rows[1] and any("trees" in r for r in rows[0]) and not any("e2" in r for r in rows[1])

@@ -142,8 +142,11 @@ def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("text_hash"), text_bytes(text).alias("text"))
 
 
-def find(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """What prepare() says of each row; texts that lose all words as copies; candidates with their texts; and per candidate the starts of the windows to remove."""
+def find(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text", every: bool = False, again: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What prepare() says of each row; texts that lose all words as copies; candidates with their texts; and per candidate the starts of the windows to remove.
+
+    again: whether the caller reads the candidates, too; only then are their texts stored.
+    """
     base = _base(docs, doc_id, text)
     prepared = stored(base.mapInArrow(_prepare(window, seed), PREPARED), "prepared")
     keys = ["doc_id", "text_hash"]
@@ -160,7 +163,9 @@ def find(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id:
     # a join on the complement of the key puts an exchange on either side: adaptive execution can then split a frequent key, which it cannot where an aggregate's exchange is used again
     other = F.bitwise_not("seed").alias("other")
     wanted = seen.select("*", other).join(repeated.select(other), "other").groupBy("doc_id", "text_hash").agg(F.collect_set("seed").alias("seeds"))
-    candidates = stored(base.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "seeds"), "candidates")
+    candidates = base.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "seeds")
+    if again:
+        candidates = stored(candidates, "candidates")
     return prepared, copies, candidates, _starts(candidates, window, seed)
 
 
@@ -226,11 +231,11 @@ def _rest(text: str, starts: np.ndarray, window: int) -> str:
 
 def remove(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated words cut out of their texts; all other columns and rows stay. Texts that lose nothing stay as they are."""
-    _, copies, _, starts = find(docs, window, seed, doc_id, text)
+    _, copies, _, starts = find(docs, window, seed, doc_id, text, again=False)
     # of a copy no word is left: no starts
     starts = starts.unionByName(copies.withColumn("starts", F.array().cast("array<int>")))
     own, hashed, gone = (free_name(docs, n) for n in ("_doc", "_hash", "_starts"))
-    found = stored(starts, "starts").select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed), F.col("starts").alias(gone))
+    found = starts.select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed), F.col("starts").alias(gone))
     same = (F.col(doc_id).cast("long") == F.col(own)) & (F.coalesce(F.xxhash64(F.col(text)), F.lit(0)) == F.col(hashed))
     joined = docs.join(found, same, "left").drop(own, hashed)
     names = docs.columns

@@ -885,6 +885,14 @@ def test_removal_keeps_rows_columns_and_untouched_texts(docs):
     assert texts[8] == "" and texts[11] == "" and texts[10].split() == prose(4, 55).split()
 
 
+def test_removal_stores_only_what_is_read_twice(docs, monkeypatch):
+    tables = {}
+    monkeypatch.setattr(substrings, "stored", lambda df, label, f=substrings.stored: tables.setdefault(label, f(df, label)))
+    substrings.remove(docs)
+    assert set(tables) == {"prepared", "copies", "windows"}
+    assert not any("text" in t.columns for t in tables.values())
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.integers(1, 9))
 def test_rolling_hashes_and_minimizers(values, length):

@@ -1,7 +1,9 @@
 """Steps whose rows must not grow with the square of a group, and results that no display's limit may cut."""
 
+import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import capability, graph, schema_graph, workbench
@@ -42,6 +44,39 @@ def test_what_is_reached_is_counted_without_pairs(spark):
     assert sorted(map(tuple, schema_graph.reach(edges).collect())) == sorted(map(tuple, pairs.collect()))
 
 
+def test_lists_of_what_is_reached_are_stored_once(spark, monkeypatch):
+    rows, stored = [], schema_graph.stored
+    monkeypatch.setattr(schema_graph, "stored", lambda df, label: (out := stored(df, label), any("array" in t for _, t in df.dtypes) and rows.append(out.count()))[0])
+    edges = spark.createDataFrame([(str(k), str(j)) for k in range(60) for j in {k // 2, k // 3}], "source string, target string")  # all lead to the cycle of 0
+    assert schema_graph.reach(edges).count() == 60
+    assert sum(rows) <= 2 * 60
+
+
+@pytest.mark.parametrize("levels, joined", [(100, 3), (2, 5)])
+def test_what_is_reached_through_cycles_and_between_them(spark, monkeypatch, levels, joined):
+    monkeypatch.setattr(schema_graph, "LEVELS", levels)
+    monkeypatch.setattr(schema_graph, "JOINED", joined)
+    rng = random.Random(levels + joined)
+    pairs = {(a, b) for a in range(25) for b in rng.sample(range(a + 1, 30), rng.randint(0, 2))}  # ends lie above
+    pairs |= {(12, 10), (13, 12), (20, 20), (21, 18)} | {(k, k + 1) for k in range(100, 107)}
+    edges = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "source string, target string")
+    on = {}
+    for a, b in pairs:
+        on.setdefault(a, set()).add(b)
+
+    def reached(a):
+        seen, open_ = set(), [a]
+        while open_:
+            fresh = on.get(open_.pop(), set()) - seen
+            seen |= fresh
+            open_ += fresh
+        return {str(x) for x in seen}
+
+    want = sorted((str(a), len(reached(a)), min(reached(a)), max(reached(a))) for a in on)
+    assert sorted(map(tuple, schema_graph.reach(edges).collect())) == want
+    assert schema_graph.reach(edges.limit(0)).collect() == []
+
+
 def test_documents_of_a_small_file_are_dealt_over_all_cores(spark):
     assert catalogue._suppliers(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
 

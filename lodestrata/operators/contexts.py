@@ -4,7 +4,8 @@ A term is defined by the nearest @context at or above the object that uses it; a
 definition replaces an outer one for its object and all below. Each use of a name that
 its document defines looks its definitions up at each pointer above it, an equi join on
 (document, name, pointer), and keeps the deepest: an aggregate that combines before
-its shuffle. Nothing holds a whole document.
+its shuffle. Nothing holds a whole document, and no side of a join is broadcast: the
+files' sizes, by which Spark would choose, say little of texts that compress well.
 
 Results in edge cases: a definition that is neither a string with a colon nor an object with
 @id is none, and null hides no outer one; of several contexts in an array the last counts; names that
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from .jsonwalk import walk
 
 _INSIDE = r"(^|/)@context(/|$)"
@@ -55,12 +57,12 @@ def members(walked: DataFrame) -> DataFrame:
 def contextualized(walked: DataFrame) -> DataFrame:
     """members() with term, the name as the nearest context above has it (else the name itself), and coercion, the type that this gives to its values."""
     own, found = members(walked), definitions(walked)
-    asked = own.select("key", "pointer", "object", "name").join(found.select("key", F.col("alias").alias("name")).distinct(), ["key", "name"], "left_semi")
+    asked = own.select("key", "pointer", "object", "name").join(found.select("key", F.col("alias").alias("name")).distinct().hint("merge"), ["key", "name"], "left_semi")
     places = asked.select("key", "pointer", "name", F.explode(above(F.col("object"))).alias("owner"))
-    known = places.join(found.withColumnRenamed("alias", "name"), ["key", "name", "owner"])
+    known = places.join(found.withColumnRenamed("alias", "name").hint("merge"), ["key", "name", "owner"])
     # an inner owner's pointer is longer, and of one owner's contexts the last comes last in the path
     nearest = known.groupBy("key", "pointer").agg(F.max_by(F.struct("term", "coercion"), F.struct(F.length("owner"), "path")).alias("_n")).select("key", "pointer", "_n.*")
-    return own.join(nearest.withColumnRenamed("term", "_term"), ["key", "pointer"], "left").withColumn("term", F.coalesce("_term", "name")).drop("_term")
+    return own.join(nearest.withColumnRenamed("term", "_term").hint("merge"), ["key", "pointer"], "left").withColumn("term", F.coalesce("_term", "name")).drop("_term")
 
 
 def shape_properties(documents: DataFrame, key: str = "key", body: str = "body", contexts: bool = True) -> DataFrame:
@@ -68,18 +70,20 @@ def shape_properties(documents: DataFrame, key: str = "key", body: str = "body",
     walked = walk(documents, key, body, {"nearest": OWN_ID})
     named = contextualized(walked) if contexts else members(walked).withColumn("term", F.col("name"))
     is_ = lambda local: F.col("term").isin(f"sh:{local}", f"http://www.w3.org/ns/shacl#{local}")
+    # what is looked up several times is stored, so the levels of the walk are read once for members and once for objects
+    texts = F.when(~is_("property"), F.coalesce(_text("value", "$"), _text("value", '$["@id"]')))
+    some = stored(named.where(is_("property") | is_("path") | is_("name")).select("key", "pointer", "object", "term", texts.alias("text")), "shapes")
+    objects = stored(walked.where("kind like 'OBJECT%'").select("key", "pointer", "nearest", "path"), "objects")
     # a property shape is the value of sh:property, or an entry of a list there
-    lists = named.where(is_("property")).select("key", F.col("pointer").alias("at"))
-    own = named.select("key", "object", "term", "value", "kind")
-    text = F.coalesce(_text("value", "$"), _text("value", '$["@id"]'))
-    paths = own.where(is_("path")).select("key", "object", text.alias("property_path")).where("property_path is not null")
-    labels = own.where(is_("name")).groupBy("key", "object").agg(F.min(text).alias("label"))
+    holder = some.where(is_("property")).select("key", F.col("pointer").alias("at"), F.col("object").alias("above")).hint("merge")
+    lists = holder.select("key", "at").hint("merge")
+    paths = some.where(is_("path")).select("key", "object", F.col("text").alias("property_path")).where("property_path is not null")
+    labels = some.where(is_("name")).groupBy("key", "object").agg(F.min("text").alias("label")).hint("merge")
     shaped = paths.withColumn("at", F.regexp_replace("object", "/[0-9]+$", "")).join(lists, ["key", "at"], "left_semi")
     direct = paths.withColumn("at", F.col("object")).join(lists, ["key", "at"], "left_semi")
     found = shaped.unionByName(direct).distinct()
     # the member that holds the property shapes hands down the id of its object, not of a shape in it
-    holder = named.where(is_("property")).select("key", F.col("pointer").alias("at"), parent("pointer").alias("above"))
-    ids = walked.where("kind like 'OBJECT%'").select("key", F.col("pointer").alias("above"), F.col("nearest").alias("shape"))
-    order = walked.select("key", F.col("pointer").alias("object"), "path")
+    ids = objects.select("key", F.col("pointer").alias("above"), F.col("nearest").alias("shape")).hint("merge")
+    order = objects.select("key", F.col("pointer").alias("object"), "path").hint("merge")
     out = found.join(holder, ["key", "at"]).join(ids, ["key", "above"], "left").join(labels, ["key", "object"], "left").join(order, ["key", "object"])
     return out.select("key", F.col("object").alias("pointer"), "path", "shape", "property_path", "label")

@@ -6,7 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import capability, graph, schema_graph, workbench
+from lodestrata.operators import capability, contexts, graph, schema_graph, workbench
+from lodestrata.operators.jsonwalk import walk
 from lodestrata.plans import catalogue, demo
 
 
@@ -77,6 +78,17 @@ def test_what_is_reached_through_cycles_and_between_them(spark, monkeypatch, lev
     assert schema_graph.reach(edges.limit(0)).collect() == []
 
 
+def test_contexts_and_shapes_send_nothing_whole_through_the_driver(spark):
+    frame = spark.createDataFrame([(1, '{"@context": {"path": "sh:path"}, "@id": "urn:s", "sh:property": [{"path": "urn:p", "sh:name": "N"}]}')], "key long, body string")
+    for contexts_too in (True, False):
+        found = contexts.shape_properties(frame, contexts=contexts_too)
+        assert found.count() == contexts_too
+        plan = found._jdf.queryExecution().toString()
+        assert "Broadcast" not in plan
+        assert plan.count("FileScan") <= 12  # a few stored tables, not each level of the walk for each join
+    assert "Broadcast" not in contexts.contextualized(walk(frame))._jdf.queryExecution().toString()
+
+
 def test_documents_of_a_small_file_are_dealt_over_all_cores(spark):
     assert catalogue._suppliers(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
 

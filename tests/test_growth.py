@@ -1,5 +1,6 @@
 """Steps whose rows must not grow with the square of a group, and results that no display's limit may cut."""
 
+import pathlib
 import random
 import time
 
@@ -122,6 +123,17 @@ def test_claims_are_counted_without_a_row_for_each_step(spark):
     assert sorted(map(tuple, g.provenance_counts(paths).drop("run_id").collect())) == sorted(map(tuple, steps.collect()))
 
 
+def test_claims_are_counted_slice_by_slice_and_leave_no_shuffle_files(spark):
+    d, files = "/root/testdata/sf0.001", lambda: {str(p) for p in pathlib.Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*.data")}
+    g = catalogue._graph(spark, d, paths=True)
+    before, rows = files(), []
+    found = [g.counted(n).claimed_types(n) for n in (1, 3)]
+    assert files() <= before
+    for f in (*found, g.provenance_counts(g.service_types())):
+        rows.append(sorted(map(tuple, f.drop("run_id").collect())))
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 10
+
+
 def test_a_search_reads_its_index_and_its_assets_once(spark, monkeypatch):
     read, stored, d = [], capability.stored, "/root/testdata/sf0.001"
     monkeypatch.setattr(capability, "stored", lambda df, label: (read.append((label, any(d in f for f in df.inputFiles()))), stored(df, label))[1])
